@@ -143,9 +143,11 @@ def _benchmark_blocks(benchmark: DataFrame, item: str, text: str):
 def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``n_words``, ``spans`` (hit word spans: from, to) and ``items`` (ids as strings).
 
+    These replace columns of the same names.
+
     With more than one block, each document's rows are brought together by all of ``docs``' columns.
     """
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "n_words", "spans", "items")]
     parts = []
     for ids, texts in _benchmark_blocks(benchmark, item, item_text):
         spread = docs.sparkSession.sparkContext.broadcast((ids, texts))  # one block: a bounded number of words

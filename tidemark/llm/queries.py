@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, fingerprints, language_id, mixing, sharding
+from tidemark.llm import chat_format, decontamination, fingerprints, language_id, license_scan, line_dedup, mixing, sharding, url_filter
 from tidemark.llm.scratch import Scratch
 from tidemark.session import ship
 
@@ -17,8 +17,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.find_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontamination.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return decontamination.digest(found)
 
 
@@ -59,6 +74,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_decontamination, op6_fingerprints, op7_mixing, op8_sharding, op9_chat_format, op10_language_id,
+        op1_license_scan, op2_line_dedup, op3_url_filter, op4_decontamination, op6_fingerprints, op7_mixing, op8_sharding, op9_chat_format, op10_language_id,
     )
 }
+
+ORACLES = {
+    "op1_license_scan": license_scan.oracle(),
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op3_url_filter": url_filter.oracle(),
+}

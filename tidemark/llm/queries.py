@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, fingerprints, language_id, license_scan, line_dedup, mixing, sharding, url_filter
+from tidemark.llm import chat_format, decontamination, fingerprints, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, url_filter
 from tidemark.llm.scratch import Scratch
 from tidemark.session import ship
 
@@ -37,6 +37,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_line_dedup, op3_url_filter, op4_decontamination, op6_fingerprints, op7_mixing, op8_sharding, op9_chat_format, op10_language_id,
+        op1_license_scan, op2_line_dedup, op3_url_filter, op4_decontamination, op5_ngram_jaccard_join, op6_fingerprints, op7_mixing, op8_sharding, op9_chat_format, op10_language_id,
     )
 }
 
@@ -82,4 +86,5 @@ ORACLES = {
     "op1_license_scan": license_scan.oracle(),
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_url_filter": url_filter.oracle(),
+    "op5_ngram_jaccard_join": jaccard_join.ORACLE,
 }

@@ -1,10 +1,11 @@
 """Exact Jaccard join of word n-gram sets, by a grouped prefix join, down to connected components.
 
 Sets that link share one of the first ``n - ceil(t n) + 1`` elements in any order of elements that all sets follow. The order
-here puts frequent elements last (those in more than ``HOT`` sets), then goes by hash.
+here is by frequency (powers of two), then by hash, so prefixes hold a text's rarest elements.
 
-1. Elements are counted over all documents, packed into ranges of hashes; the frequent ones are spread to the workers. Their
-   number is checked: if more than ``MAX_HOT``, the bound on frequency is doubled until they fit. The order only affects cost.
+1. Elements are counted over all documents, packed into ranges of hashes; those found more than once are spread to the
+   workers with their level, the logarithm of the count. Their number is checked: if there are more than ``MAX_KNOWN``, the
+   least level kept is raised until they fit, and what is below counts as rare. The order only affects cost.
 2. Equal sets become one class (least document). Classes with the same prefix and size become one group.
 3. Groups that share an element of their prefixes are paired, those of unlike size filtered out, group pairs made distinct.
 4. Group pairs and groups are expanded to members, and members are verified with their whole sets.
@@ -34,7 +35,10 @@ from tidemark.llm.graph import connected_components
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.words import blocks, mix, shingle_lists
 
-HOT, MAX_HOT = 32, 4_000_000
+#: An element in more sets is frequent: its prefixes are blocks, unless few of them hold it.
+HOT = 32
+#: Elements whose level is spread: five bytes each.
+MAX_KNOWN = 4_000_000
 #: Elements that a worker counts before it sends what it has.
 COUNT_CHUNK = 2_000_000
 #: Elements of the sets in one chunk of a block.
@@ -71,8 +75,8 @@ def _sets(texts: list, words: int) -> Iterator[np.ndarray]:
             yield np.unique(s)
 
 
-def _frequent(docs: DataFrame, words: int, ranges: int, scratch: Scratch) -> np.ndarray:
-    """The high halves of the hashes of frequent elements, sorted. Counted over all documents."""
+def _levels(docs: DataFrame, words: int, ranges: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The high halves of the hashes of repeated elements, sorted, and their levels. Counted over all documents."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -107,23 +111,34 @@ def _frequent(docs: DataFrame, words: int, ranges: int, scratch: Scratch) -> np.
         codes, each = codes[order], each[order]
         at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         total = np.add.reduceat(each.astype(np.int64), at)
-        hot = total > HOT
-        return pd.DataFrame({"code": codes[at][hot].astype(np.int64), "n": total[hot]})
+        level = np.floor(np.log2(total)).astype(np.uint8)
+        mine = level > 0
+        sizes = np.bincount(level[mine], minlength=64).tolist()
+        return pd.DataFrame({"r": pdf["r"].iloc[:1], "codes": [codes[at][mine].tobytes()], "level": [level[mine].tobytes()], "sizes": [sizes]})
 
     packed = docs.select("text").mapInPandas(pack, "r int, codes binary, counts binary")
-    found = scratch.write(packed.groupBy("r").applyInPandas(count, "code long, n long"), "frequent")
-    least = HOT
-    by_size = found.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()  # at most 64 rows
-    while sum(r["count"] for r in by_size if 2 ** (r["k"] + 1) > least) > MAX_HOT:
-        least *= 2
-    return np.sort(found.where(F.col("n") > least).select("code").toPandas()["code"].to_numpy(np.uint32))
+    known = scratch.write(packed.groupBy("r").applyInPandas(count, "r int, codes binary, level binary, sizes array<long>"), "levels")
+    sizes = np.sum([r["sizes"] for r in known.select("sizes").collect()] or [[0] * 64], axis=0)  # a row of 64 numbers for each range
+    least = next(k for k in range(1, 65) if sizes[k:].sum() <= MAX_KNOWN)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r, c, v in zip(pdf["r"], pdf["codes"], pdf["level"], strict=True):
+                keep = np.frombuffer(v, np.uint8) >= least
+                rows.append((r, np.frombuffer(c, np.uint32)[keep].tobytes(), np.frombuffer(v, np.uint8)[keep].tobytes()))
+            yield pd.DataFrame(rows, columns=["r", "codes", "level"])
+
+    rows = sorted(known.select("r", "codes", "level").mapInPandas(cut, "r int, codes binary, level binary").collect(), key=lambda r: r["r"])
+    return np.frombuffer(b"".join(r["codes"] for r in rows), np.uint32), np.frombuffer(b"".join(r["level"] for r in rows), np.uint8)
 
 
-def _described(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
+def _described(docs: DataFrame, words: int, percent: int, spread) -> DataFrame:
     """A row for each document: size, digests of set and prefix, the prefix and how many of it are not frequent."""
+    hot_level = int(np.log2(HOT))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = frequent.value
+        known, levels = spread.value
         for pdf in batches:
             rows = []
             for d, s in zip(pdf["doc"], _sets(list(pdf["text"]), words), strict=True):
@@ -131,12 +146,14 @@ def _described(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame
                 p = prefix_length(n, percent)
                 prefix, cold = s[:0], 0
                 if p:
-                    code = (s >> np.uint64(32)).astype(np.uint32)
-                    at = np.searchsorted(often, code)
-                    at[at == len(often)] = 0
-                    is_hot = often[at] == code if len(often) else np.zeros(n, bool)
-                    prefix = np.concatenate([s[~is_hot], s[is_hot]])[:p]
-                    cold = min(p, int(n - is_hot.sum()))
+                    level = np.zeros(n, np.uint8)
+                    if len(known):
+                        code = (s >> np.uint64(32)).astype(np.uint32)
+                        at = np.searchsorted(known, code)
+                        at[at == len(known)] = 0
+                        level = np.where(known[at] == code, levels[at], level)
+                    first = np.argsort(level, kind="stable")[:p]  # of one level, by hash
+                    prefix, cold = s[first], int((level[first] < hot_level).sum())
                 rows.append((d, n, *_digest(s), *_digest(prefix), cold, prefix.tobytes()))
             yield pd.DataFrame(rows, columns=["doc", "n", "s1", "s2", "p1", "p2", "cold", "prefix"])
 
@@ -244,8 +261,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).cast("string").alias("text"))
-    often = _frequent(own, words, ranges, scratch)
-    described = scratch.write(_described(own, words, percent, spark.sparkContext.broadcast(often)), "described")
+    spread = spark.sparkContext.broadcast(_levels(own, words, ranges, scratch))
+    described = scratch.write(_described(own, words, percent, spread), "described")
     key = ["p1", "p2", "n"]
     classes = scratch.write(described.where("n > 0").groupBy("s1", "s2", *key).agg(F.min("doc").alias("rep")), "classes")
     wide = described.where("length(prefix) > 0")
@@ -257,8 +274,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
 
     # Group pairs from infrequent elements, and from frequent ones that few prefixes hold.
     hot = scratch.write(_hot_rows(groups), "hot")
-    spread = hot.groupBy("token").count().where("count > 1")
-    few, big = spread.where(F.col("count") <= HOT).select("token"), spread.where(F.col("count") > HOT).select("token")
+    held = hot.groupBy("token").count().where("count > 1")
+    few, big = held.where(F.col("count") <= HOT).select("token"), held.where(F.col("count") > HOT).select("token")
     left = hot.join(few, "token")
     right = left.select("token", F.col("leader").alias("b"), F.col("n").alias("m"))
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("leader") < F.col("b"))
@@ -317,7 +334,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
 
     joined = scratch.write(block_rows.join(sets, "rep").groupBy("key", "band", "i", "j").applyInPandas(block, "a long, b long"), "block_links")
     found = connected_components(links.unionByName(joined), scratch)
-    scratch.drop("sets", "pairs", "blocks", "groups", "hot", "group_pairs", "frequent")
+    scratch.drop("sets", "pairs", "blocks", "groups", "hot", "group_pairs", "levels")
     rows = described.select("doc", "n", "s1", "s2")
     back = rows.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left").join(found, F.col("rep") == F.col("node"), "left")
     real = lambda c: F.when(c != _LAST, c)

@@ -168,6 +168,15 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     return merged.withColumn("spans", merge("spans")).withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).drop("_n", "_t")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without those that hold a window of the benchmark: a filter for each block, no shuffle."""
+    for ids, texts in _benchmark_blocks(benchmark, item, item_text):
+        spread = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        found = F.pandas_udf(_finder(spread), "n_words long, spans array<struct<s:int,e:int>>, items array<string>")
+        docs = docs.where(F.size(found(F.col(text))["spans"]) == 0)
+    return docs
+
+
 def _finder(spread):
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = Index(*spread.value)

@@ -115,7 +115,7 @@ def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     wrap = F.when(at == F.lit(top), F.lit(0)) if top is not None else F.lit(0)
     to = F.array_compact(F.array(F.struct(number.cast("int").alias("r"), F.lit(False).alias("copy")), F.when(lower.isNotNull(), F.struct(lower.cast("int").alias("r"), F.lit(True).alias("copy"))), F.when(wrap.isNotNull(), F.struct(wrap.cast("int").alias("r"), F.lit(True).alias("copy")))))
     dealt = rows.withColumn("_to", F.explode(to)).select("_to.r", "_to.copy", "doc_id", "text", F.xxhash64("text").alias("_h"))
-    ordered = dealt.repartition(min(ranges, 65_536), "r").sortWithinPartitions("r", "copy", F.desc_nulls_last("doc_id"), "_h")
+    ordered = dealt.repartitionById(ranges, F.col("r")).sortWithinPartitions("r", "copy", F.desc_nulls_last("doc_id"), "_h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Holds back the last row of what has come, until its next one is there."""

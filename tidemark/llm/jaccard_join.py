@@ -17,9 +17,9 @@ here is by frequency (powers of two), then by hash, so prefixes hold a text's ra
 Nothing is capped or sampled; a hot element costs the comparison of its chunks, spread over as many tasks as it has pairs of
 them. Sets are hashes of 64 bits, so sizes and overlaps are exact but for collisions within one pair of documents.
 
-Defined results: without words or text the set is empty, size 0, linked with nothing (its own component). Null ids: as the
-greatest id; their component is null if no other id is in it. Rows with the same id are judged each by its own text. Repeated
-rows stay. Other columns are ignored. An empty table gives no rows.
+Defined results: without words or text the set is empty, size 0, linked with nothing (its own component). A null id is
+greater than all others; its component is null if no other id is in it. Rows with the same id are judged each by its own
+text. Repeated rows stay. Other columns are ignored. An empty table gives no rows. Ids are below 2^62.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ COUNT_CHUNK = 2_000_000
 CHUNK_ELEMENTS, CHUNK_ROWS = 2_000_000, 2048
 #: Ids that may be spread to all executors; above this, documents are joined with them by a shuffle.
 MAX_SPREAD_IDS = 2_000_000
-_LAST = 2**63 - 1
+#: Stands for null ids, less a hash of the text.
+_LAST, _NO_ID = 2**63 - 1, 2**62
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -141,7 +142,7 @@ def _described(docs: DataFrame, words: int, percent: int, spread) -> DataFrame:
         known, levels = spread.value
         for pdf in batches:
             rows = []
-            for d, s in zip(pdf["doc"], _sets(list(pdf["text"]), words), strict=True):
+            for d, t, s in zip(pdf["doc"], pdf["t"], _sets(list(pdf["text"]), words), strict=True):
                 n = len(s)
                 p = prefix_length(n, percent)
                 prefix, cold = s[:0], 0
@@ -154,10 +155,10 @@ def _described(docs: DataFrame, words: int, percent: int, spread) -> DataFrame:
                         level = np.where(known[at] == code, levels[at], level)
                     first = np.argsort(level, kind="stable")[:p]  # of one level, by hash
                     prefix, cold = s[first], int((level[first] < hot_level).sum())
-                rows.append((d, n, *_digest(s), *_digest(prefix), cold, prefix.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc", "n", "s1", "s2", "p1", "p2", "cold", "prefix"])
+                rows.append((d, t, n, *_digest(s), *_digest(prefix), cold, prefix.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc", "t", "n", "s1", "s2", "p1", "p2", "cold", "prefix"])
 
-    return docs.mapInPandas(run, "doc long, n int, s1 long, s2 long, p1 long, p2 long, cold int, prefix binary")
+    return docs.mapInPandas(run, "doc long, t long, n int, s1 long, s2 long, p1 long, p2 long, cold int, prefix binary")
 
 
 def _cold_pairs(groups: DataFrame, percent: int, ranges: int) -> DataFrame:
@@ -257,12 +258,13 @@ def block_links(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (the least id reachable by links) for every row of ``docs``."""
+    """``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links) and ``text_hash`` for every row of ``docs``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).cast("string").alias("text"))
+    h = F.xxhash64(F.col(text).cast("string"))
+    own = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LAST) - F.pmod(h, F.lit(_NO_ID - 1))).alias("doc"), F.col(text).cast("string").alias("text"))
     spread = spark.sparkContext.broadcast(_levels(own, words, ranges, scratch))
-    described = scratch.write(_described(own, words, percent, spread), "described")
+    described = scratch.write(_described(own.withColumn("t", F.xxhash64("text")), words, percent, spread), "described")
     key = ["p1", "p2", "n"]
     classes = scratch.write(described.where("n > 0").groupBy("s1", "s2", *key).agg(F.min("doc").alias("rep")), "classes")
     wide = described.where("length(prefix) > 0")
@@ -335,13 +337,14 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     joined = scratch.write(block_rows.join(sets, "rep").groupBy("key", "band", "i", "j").applyInPandas(block, "a long, b long"), "block_links")
     found = connected_components(links.unionByName(joined), scratch)
     scratch.drop("sets", "pairs", "blocks", "groups", "hot", "group_pairs", "levels")
-    rows = described.select("doc", "n", "s1", "s2")
+    rows = described.select("doc", "t", "n", "s1", "s2")
     back = rows.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left").join(found, F.col("rep") == F.col("node"), "left")
-    real = lambda c: F.when(c != _LAST, c)
+    real = lambda c: F.when(c < _NO_ID, c)
     return back.select(
         real(F.col("doc")).alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
         real(F.coalesce("component", "rep", "doc")).alias("component_id"),
+        F.col("t").alias("text_hash"),
     )
 
 

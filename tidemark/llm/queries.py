@@ -38,7 +38,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+    return jaccard_join.components(_table(spark, sf_dir, "documents"), words=3, percent=90).drop("text_hash")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 Sets that link share one of the first ``n - ceil(t n) + 1`` elements in any order of elements that all sets follow. The order
 here is by frequency (powers of two), then by hash, so prefixes hold a text's rarest elements.
 
-1. Elements are counted over all documents, packed into ranges of hashes; those found more than once are spread to the
-   workers with their level, the logarithm of the count. Their number is checked: if there are more than ``MAX_KNOWN``, the
-   least level kept is raised until they fit, and what is below counts as rare. The order only affects cost.
+1. Elements are counted over all documents, packed into ranges of hashes; those found more than once go to a table of
+   fixed size, with their level, the logarithm of the count, and the table is spread to the workers. If there are more than
+   ``MAX_KNOWN``, the least level kept is raised until they fit, and what is below counts as rare. The order only affects cost.
 2. Equal sets become one class (least document). Classes with the same prefix and size become one group.
 3. Groups that share an element of their prefixes are paired, those of unlike size filtered out, group pairs made distinct.
 4. Group pairs and groups are expanded to members, and members are verified with their whole sets.
@@ -37,8 +37,8 @@ from tidemark.llm.words import blocks, mix, shingle_lists
 
 #: An element in more sets is frequent: its prefixes are blocks, unless few of them hold it.
 HOT = 32
-#: Elements whose level is spread: five bytes each.
-MAX_KNOWN = 4_000_000
+#: Elements whose level is spread, and bits of the table that is spread for them: one byte for each of its places.
+MAX_KNOWN, TABLE_BITS = 4_000_000, 25
 #: Elements that a worker counts before it sends what it has.
 COUNT_CHUNK = 2_000_000
 #: Elements of the sets in one chunk of a block.
@@ -76,8 +76,11 @@ def _sets(texts: list, words: int) -> Iterator[np.ndarray]:
             yield np.unique(s)
 
 
-def _levels(docs: DataFrame, words: int, ranges: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """The high halves of the hashes of repeated elements, sorted, and their levels. Counted over all documents."""
+def _levels(docs: DataFrame, words: int, ranges: int, scratch: Scratch) -> np.ndarray:
+    """Levels of repeated elements by the first bits of their hashes (the greatest of those that meet in a place).
+
+    Counted over all documents. The level in the table is what orders an element, so meeting costs time at most.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -130,8 +133,11 @@ def _levels(docs: DataFrame, words: int, ranges: int, scratch: Scratch) -> tuple
                 rows.append((r, np.frombuffer(c, np.uint32)[keep].tobytes(), np.frombuffer(v, np.uint8)[keep].tobytes()))
             yield pd.DataFrame(rows, columns=["r", "codes", "level"])
 
-    rows = sorted(known.select("r", "codes", "level").mapInPandas(cut, "r int, codes binary, level binary").collect(), key=lambda r: r["r"])
-    return np.frombuffer(b"".join(r["codes"] for r in rows), np.uint32), np.frombuffer(b"".join(r["level"] for r in rows), np.uint8)
+    table = np.zeros(1 << TABLE_BITS, np.uint8)
+    for r in known.select("r", "codes", "level").mapInPandas(cut, "r int, codes binary, level binary").collect():  # MAX_KNOWN elements
+        place, level = np.frombuffer(r["codes"], np.uint32) >> (32 - TABLE_BITS), np.frombuffer(r["level"], np.uint8)
+        np.maximum.at(table, place, level)
+    return table
 
 
 def _described(docs: DataFrame, words: int, percent: int, spread) -> DataFrame:
@@ -139,7 +145,7 @@ def _described(docs: DataFrame, words: int, percent: int, spread) -> DataFrame:
     hot_level = int(np.log2(HOT))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, levels = spread.value
+        table = spread.value
         for pdf in batches:
             rows = []
             for d, t, s in zip(pdf["doc"], pdf["t"], _sets(list(pdf["text"]), words), strict=True):
@@ -147,12 +153,7 @@ def _described(docs: DataFrame, words: int, percent: int, spread) -> DataFrame:
                 p = prefix_length(n, percent)
                 prefix, cold = s[:0], 0
                 if p:
-                    level = np.zeros(n, np.uint8)
-                    if len(known):
-                        code = (s >> np.uint64(32)).astype(np.uint32)
-                        at = np.searchsorted(known, code)
-                        at[at == len(known)] = 0
-                        level = np.where(known[at] == code, levels[at], level)
+                    level = table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                     first = np.argsort(level, kind="stable")[:p]  # of one level, by hash
                     prefix, cold = s[first], int((level[first] < hot_level).sum())
                 rows.append((d, t, n, *_digest(s), *_digest(prefix), cold, prefix.tobytes()))
@@ -162,7 +163,12 @@ def _described(docs: DataFrame, words: int, percent: int, spread) -> DataFrame:
 
 
 def _cold_pairs(groups: DataFrame, percent: int, ranges: int) -> DataFrame:
-    """Pairs of groups that share an infrequent element of their prefixes and fit in size."""
+    """Pairs of groups that share an infrequent element of their prefixes, fit in size, and share enough of their prefixes.
+
+    What is left of a set after its prefix bounds what it can share there. So with c shared elements in the prefixes, the
+    overlap is at most c + max(n - p) of the two. Frequent elements aren't counted here: as many as both hold may be shared.
+    """
+    kind = [("t", "<u8"), ("g", "<i8"), ("n", "<i4"), ("f", "<i4")]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,8 +177,9 @@ def _cold_pairs(groups: DataFrame, percent: int, ranges: int) -> DataFrame:
             if not size.sum():
                 continue
             token = np.concatenate(keys)
-            rec = np.empty(len(token), [("t", "<u8"), ("g", "<i8"), ("n", "<i4")])
+            rec = np.empty(len(token), kind)
             rec["t"], rec["g"], rec["n"] = token, np.repeat(pdf["leader"].to_numpy(), size), np.repeat(pdf["n"].to_numpy(), size)
+            rec["f"] = np.repeat([len(p) // 8 for p in pdf["prefix"]] - size, size)
             where = ((token >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             order = np.argsort(where, kind="stable")
             rec, where = rec[order], where[order]
@@ -180,7 +187,7 @@ def _cold_pairs(groups: DataFrame, percent: int, ranges: int) -> DataFrame:
             yield pd.DataFrame({"r": where[at].astype(np.int32), "rec": [x.tobytes() for x in np.split(rec, at[1:])]})
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.concatenate([np.frombuffer(x, [("t", "<u8"), ("g", "<i8"), ("n", "<i4")]) for x in pdf["rec"]])
+        rec = np.concatenate([np.frombuffer(x, kind) for x in pdf["rec"]])
         t = np.sort(rec["t"])
         twice = np.unique(t[1:][t[1:] == t[:-1]])
         at = np.searchsorted(twice, rec["t"])
@@ -193,14 +200,20 @@ def _cold_pairs(groups: DataFrame, percent: int, ranges: int) -> DataFrame:
             if not same.any():
                 break
             fits = same & (100 * rec["n"][:-k].astype(np.int64) >= percent * rec["n"][k:].astype(np.int64))
-            a, b = rec["g"][:-k][fits], rec["g"][k:][fits]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            found.append(np.stack([rec[c][:-k][fits] if i == 0 else rec[c][k:][fits] for c in ("g", "n", "f") for i in (0, 1)]))
             k += 1
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": both[0], "b": both[1]})
+        both = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
+        swap = both[0] > both[1]
+        both[:, swap] = both[[1, 0, 3, 2, 5, 4]][:, swap]
+        both, shared = np.unique(both, axis=1, return_counts=True)
+        return pd.DataFrame(dict(zip(["a", "b", "n_a", "n_b", "f_a", "f_b"], both, strict=True)) | {"shared": shared})
 
     packed = groups.where("cold > 0").select("leader", "n", "cold", "prefix").mapInPandas(pack, "r int, rec binary")
-    return packed.groupBy("r").applyInPandas(pair, "a long, b long").distinct()
+    some = packed.groupBy("r").applyInPandas(pair, "a long, b long, n_a long, n_b long, f_a long, f_b long, shared long")
+    shared = some.groupBy("a", "b", "n_a", "n_b", "f_a", "f_b").agg(F.sum("shared").alias("shared"))
+    behind = lambda n: F.ceil(n * percent / 100.0) - 1  # elements after the prefix
+    most = F.col("shared") + F.least("f_a", "f_b") + F.greatest(behind(F.col("n_a")), behind(F.col("n_b")))
+    return shared.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _hot_rows(groups: DataFrame) -> DataFrame:
@@ -288,9 +301,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     alone = lambda g: many.select(F.col("leader").alias(g), F.col("rep").alias(f"{g}_rep"), F.col("members").alias(f"{g}_members"))
     wide_pairs = group_pairs.join(alone("a").select("a", "a_members").distinct(), "a", "left").join(alone("b").select("b", "b_members").distinct(), "b", "left")
     wide_pairs = wide_pairs.na.fill(1, ["a_members", "b_members"])
-    small = wide_pairs.where(F.col("a_members") * F.col("b_members") <= HOT).select("a", "b")
+    little = wide_pairs.where(F.col("a_members") * F.col("b_members") <= HOT).select("a", "b")
     large = wide_pairs.where(F.col("a_members") * F.col("b_members") > HOT).select("a", "b")
-    pairs = small.join(alone("a"), "a", "left").join(alone("b"), "b", "left").select(F.coalesce("a_rep", "a").alias("a"), F.coalesce("b_rep", "b").alias("b"))
+    pairs = little.join(alone("a"), "a", "left").join(alone("b"), "b", "left").select(F.coalesce("a_rep", "a").alias("a"), F.coalesce("b_rep", "b").alias("b"))
     inside = many.where(F.col("members") <= HOT)
     mates = inside.select("leader", F.col("rep").alias("b"))
     pairs = scratch.write(pairs.unionByName(inside.join(mates, "leader").where("rep < b").select(F.col("rep").alias("a"), "b")), "pairs")
@@ -307,15 +320,16 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     # The whole sets of all that is to be verified.
     asked = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(block_rows.select("rep")).distinct()
     wanted = scratch.write(classes.select("rep", "s1", "s2").join(asked, "rep", "left_semi"), "wanted")
+    small = wanted.count() <= MAX_SPREAD_IDS
     ids = wanted.select(F.col("rep").alias("doc")).distinct()
-    texts = own.join(F.broadcast(ids) if wanted.count() <= MAX_SPREAD_IDS else ids, "doc", "left_semi")
+    texts = own.join(F.broadcast(ids) if small else ids, "doc", "left_semi")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(d, *_digest(s), s.tobytes()) for d, s in zip(pdf["doc"], _sets(list(pdf["text"]), words), strict=True)]
             yield pd.DataFrame(rows, columns=["rep", "s1", "s2", "elements"])
 
-    sets = texts.mapInPandas(whole, "rep long, s1 long, s2 long, elements binary").join(wanted, ["rep", "s1", "s2"], "left_semi")
+    sets = texts.mapInPandas(whole, "rep long, s1 long, s2 long, elements binary").join(F.broadcast(wanted) if small else wanted, ["rep", "s1", "s2"], "left_semi")
     sets = scratch.write(sets.select("rep", "elements"), "sets")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,7 +29,7 @@ _ALNUM[128:] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Bytes of text handled at once, so that temporary arrays stay small whatever the batch holds.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

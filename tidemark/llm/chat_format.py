@@ -162,3 +162,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", "token_start", "token_end", "loss_mask").mapInPandas(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
+
+
+def oracle(case: str) -> str:
+    """Digests in DuckDB's SQL, from the rows themselves; ``case``: the text of conversation -1."""
+    extra = lambda c: f"len(regexp_extract_all({c}, '<\\\\*\\|'))"  # marks that get one more backslash
+    fixed = len(TURN) + len(TEXT) + len(END)
+    return f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{case}' UNION ALL SELECT -1, 1, 'assistant', '{case}')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({fixed} + length(role) + length(text) + {extra("role")} + {extra("text")})::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id"""

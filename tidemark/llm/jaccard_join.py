@@ -342,14 +342,14 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
             yield pdf.loc[keep, ["a", "b"]]
 
     x, y = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")), sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
-    links = scratch.write(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"), "links")
+    links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         found = block_links(pdf["rep"].to_numpy(), [np.frombuffer(e, np.uint64) for e in pdf["elements"]], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    joined = scratch.write(block_rows.join(sets, "rep").groupBy("key", "band", "i", "j").applyInPandas(block, "a long, b long"), "block_links")
-    found = connected_components(links.unionByName(joined), scratch)
+    joined = block_rows.join(sets, "rep").groupBy("key", "band", "i", "j").applyInPandas(block, "a long, b long")
+    found = connected_components(links.unionByName(joined), scratch)  # it begins by writing them
     scratch.drop("sets", "pairs", "blocks", "groups", "hot", "group_pairs", "levels")
     rows = described.select("doc", "t", "n", "s1", "s2")
     back = rows.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left").join(found, F.col("rep") == F.col("node"), "left")

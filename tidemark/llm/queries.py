@@ -86,5 +86,7 @@ ORACLES = {
     "op1_license_scan": license_scan.oracle(),
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_url_filter": url_filter.oracle(),
+    "op4_decontamination": decontamination.ORACLE,
     "op5_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op9_chat_format": chat_format.oracle(CHAT_CASE),
 }

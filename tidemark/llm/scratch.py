@@ -11,8 +11,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Removes the shuffle files of a query when it ends; its result is then in a table and they are not needed again.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while an intermediate table is written: shuffle files go when the table is there; files are of the advised size,
+#: not as many as there are cores; batches for Python hold few rows, since a row can be a very long text.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,16 +38,19 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` as table ``name`` and return it as read back."""
-        was = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        conf = self.spark.conf
+        was = {k: conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            conf.set(k, v)
         try:
             w = df.write.mode("overwrite")
             (w.partitionBy(partition_by) if partition_by else w).parquet(f"{self.root}/{name}")
         finally:
-            if was is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, was)
+            for k, v in was.items():
+                if v is None:
+                    conf.unset(k)
+                else:
+                    conf.set(k, v)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

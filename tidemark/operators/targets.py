@@ -42,7 +42,8 @@ def label(rows: DataFrame, target: Target, bars: DataFrame, actions: DataFrame |
         return rows.withColumn("target", forward).drop("_close_h")
     if actions is None:
         raise InvalidArgument("total_return needs corporate actions")
-    span = rows.select(*BAR_KEY, "realization_date").where("realization_date is not null")
+    # The spans come from the bars, not from ``rows``: features are not computed for them again.
+    span = bars.select(*BAR_KEY, ahead(target.horizon)["realization_date"].alias("realization_date")).where("realization_date is not null")
     inside = (F.col("ex_date") > F.col(DATE)) & (F.col("ex_date") <= F.col("realization_date"))
     splits = span.join(splits_of(actions), ID).where(inside).groupBy(*BAR_KEY).agg(F.product("ratio").alias("_split"))
     # Dividends are summed by ex-date and meet the bar of that day first; without one they have no price.

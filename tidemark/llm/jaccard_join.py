@@ -278,6 +278,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     own = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LAST) - F.pmod(h, F.lit(_NO_ID - 1))).alias("doc"), F.col(text).cast("string").alias("text"))
     spread = spark.sparkContext.broadcast(_levels(own, words, ranges, scratch))
     described = scratch.write(_described(own.withColumn("t", F.xxhash64("text")), words, percent, spread), "described")
+    spread.destroy()  # what was made with it is in a table
     key = ["p1", "p2", "n"]
     classes = scratch.write(described.where("n > 0").groupBy("s1", "s2", *key).agg(F.min("doc").alias("rep")), "classes")
     wide = described.where("length(prefix) > 0")

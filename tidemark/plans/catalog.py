@@ -205,7 +205,7 @@ def bars_by_symbol(spark, d):
        ON r.instrument_id = b.instrument_id AND b.date >= r.available_at"""
 )
 def fundamentals_asof_join(spark, d):
-    dates = domain.bars(spark, d).where(F.col(ID) < 50).select(ID, DATE)
+    dates = domain.bars(spark, d).select(ID, DATE)
     records = domain.fundamentals(spark, d).where(F.col("metric_name") == "1-urgent")
     return lookups.as_of_join(dates, records, [ID], DATE, "available_at", ["period_end", "value"])
 

@@ -16,7 +16,7 @@ def plain(name, cut):
     return [c[0] for c in found.description], found.fetchall()
 
 
-@pytest.mark.parametrize(("name", "cut"), [("fundamentals_asof_join", " WHERE instrument_id < 50")])
+@pytest.mark.parametrize(("name", "cut"), [("fundamentals_asof_join", " WHERE instrument_id < 50"), ("dq_bar_batch", " WHERE user_id < 10")])
 def test_whole_tables(spark, name, cut):
     columns, expected = plain(name, cut)
     got = [tuple(r) for r in catalog.QUERIES[name](spark, SF).select(columns).collect()]

@@ -463,7 +463,7 @@ def duplicate_bar_dates(spark, d):
         SELECT *, batch_index = min(batch_index) OVER () AS is_first FROM v WHERE violation IS NOT NULL"""
 )
 def dq_bar_batch(spark, d):
-    ev = tables.table(spark, d, "events").where(F.col("user_id") < 10)
+    ev = tables.table(spark, d, "events")
     batch = ev.select(F.col("event_id").alias("batch_index"), F.col("user_id").alias(ID), F.to_date("ts").alias(DATE))
     return quality.bar_batch(batch, 3, "2024-01-03", "2024-01-20")
 

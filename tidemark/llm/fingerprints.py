@@ -9,8 +9,9 @@ sorting within ranges of ids: one shuffle of the texts. Range bounds are ids tha
 known beforehand and is sent to its neighbour as well.
 
 ``similar_classes`` joins signature bands in Spark and verifies the Jaccard similarity of the shingle sets: equal sets are one
-class, and each class is compared with the least and the greatest class of each of its bands, so pairs grow with the classes
-and no group is paired with itself. Links go through connected components.
+class, and all classes that share a band are compared. A band of more than ``jaccard_join.HOT`` classes is a block: its classes meet
+chunk by chunk in tasks of bounded size, and only links that join two parts of a block leave it. Links go through connected
+components.
 
 Defined results: null text is empty text; rows with equal ids are ordered by a hash of the text; null ids come last (least);
 with one document, it is its own next; an empty table gives no rows.
@@ -26,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import jaccard_join
 from tidemark.llm.graph import connected_components
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.words import blocks, gram_hashes, mix, shingle_lists
@@ -198,11 +200,16 @@ def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
 
     described = scratch.write(own.mapInPandas(describe, "doc long, n int, s long, bands array<long>"), "described")
     classes = scratch.write(described.where("n > 0").groupBy("s", "n").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "classes")
-    bands = classes.select("rep", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    met = bands.join(ends, "band").select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p"))
-    pairs = scratch.write(met.select("p.a", "p.b").where("a < b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    bands = scratch.write(classes.select("rep", "n", F.explode("bands").alias("band")), "bands")
+    held = bands.groupBy("band").count().where("count > 1")
+    few, big = held.where(F.col("count") <= jaccard_join.HOT).select("band"), held.where(F.col("count") > jaccard_join.HOT).select("band")
+    left = bands.join(few, "band")
+    right = left.select("band", F.col("rep").alias("b"), F.col("n").alias("m"))
+    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("rep") < F.col("b"))
+    pairs = scratch.write(left.join(right, "band").where(fits).select(F.col("rep").alias("a"), "b").distinct(), "pairs")
+    crowded = bands.join(big, "band").select(F.col("band").alias("key"), "rep", "n")
+    block_rows = scratch.write(jaccard_join._block_rows(crowded, percent), "blocks")
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(block_rows.select("rep")).distinct()
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -221,6 +228,12 @@ def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     sets = scratch.write(own.join(wanted, "doc", "left_semi").mapInPandas(whole, "doc long, elements binary"), "sets")
     x, y = sets.select(F.col("doc").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc").alias("b"), F.col("elements").alias("y"))
     links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
-    found = connected_components(links, scratch)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = jaccard_join.block_links(pdf["rep"].to_numpy(), [np.frombuffer(e, np.uint64) for e in pdf["elements"]], percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    joined = block_rows.join(sets.withColumnRenamed("doc", "rep"), "rep").groupBy("key", "band", "i", "j").applyInPandas(block, "a long, b long")
+    found = connected_components(links.unionByName(joined), scratch)
     back = described.select("doc", "n", "s").join(classes.select("s", "n", "rep"), ["s", "n"], "left").join(found, F.col("rep") == F.col("node"), "left")
     return back.select(F.col("doc").alias("doc_id"), F.coalesce("component", "rep", "doc").alias("class_id"))

@@ -22,3 +22,24 @@ def test_similar_classes_in_crowded_bands(spark, hot, monkeypatch):
     got = {r["doc_id"]: r["class_id"] for r in fingerprints.similar_classes(df).collect()}
     exact = {d: c for d, (_, c) in brute.components(rows, 5, 80).items()}
     assert len(set(exact.values())) == 121 and got == exact
+
+
+@pytest.mark.parametrize("hot", [1, 32])
+def test_jaccard_link_counts(spark, docs, doc_rows, hot, monkeypatch):
+    """Also where links close circles in a block, and with rows that repeat."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 3)
+    rng = random.Random(4)
+    base = [f"c{i}" for i in range(60)]
+    family = []
+    for i in range(50):
+        at = rng.randrange(60)
+        family.append((1000 + i, " ".join([*base[:at], f"y{i % 45}", *base[at + 1 :]]) if i % 3 else " ".join(base), "en", "s", 1))
+    rows = [(r[0], r[1]) for r in [*doc_rows, *family]]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in family], "doc_id long, text string"))
+    sets = {d: brute.shingles(t, 3) for d, t in rows}
+    linked = lambda x, y: x and y and 100 * len(x & y) >= 85 * len(x | y)
+    expected = {a: sum(1 for b in sets if a != b and linked(sets[a], sets[b])) for a in sets}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.components(df, 3, 85, count_links=True).collect()}
+    plain = brute.components(rows, 3, 85)
+    assert got == {d: (*plain[d], n) for d, n in expected.items()} and max(expected.values()) > 32

@@ -14,6 +14,9 @@ here is by frequency (powers of two), then by hash, so prefixes hold a text's ra
    links that join two parts of a block leave it.
 5. Links go through connected components; a document has its class's component.
 
+With ``count_links`` blocks give all their links, linked parts or not. Links of classes are made distinct, and a row's links are
+the rows of its class but itself and those of all classes linked with it. Traffic then grows with the links between classes.
+
 Nothing is capped or sampled; a hot element costs the comparison of its chunks, spread over as many tasks as it has pairs of
 them. Sets are hashes of 64 bits, so sizes and overlaps are exact but for collisions within one pair of documents.
 
@@ -240,8 +243,8 @@ def _block_rows(members: DataFrame, percent: int) -> DataFrame:
     return dealt.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep")
 
 
-def block_links(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links among sets, as few as connect what all links connect."""
+def block_links(reps: np.ndarray, sets: list[np.ndarray], percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links among sets: ``every`` one, or as few as connect what all links connect."""
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     reps, sets, size = reps[order], [sets[i] for i in order], size[order]
@@ -266,12 +269,16 @@ def block_links(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
         for b in others[linked(overlap, size[a], size[others], percent)]:
             if part[b] != part[a]:
                 out.append((int(reps[a]), int(reps[b])))
-                part[part == part[b]] = part[a]
+                if not every:
+                    part[part == part[b]] = part[a]
     return out
 
 
-def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links) and ``text_hash`` for every row of ``docs``."""
+def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links) and ``text_hash`` for every row of ``docs``.
+
+    With ``count_links`` also ``n_links``: how many other rows are linked with the row.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     h = F.xxhash64(F.col(text).cast("string"))
@@ -280,7 +287,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     described = scratch.write(_described(own.withColumn("t", F.xxhash64("text")), words, percent, spread), "described")
     spread.destroy()  # what was made with it is in a table
     key = ["p1", "p2", "n"]
-    classes = scratch.write(described.where("n > 0").groupBy("s1", "s2", *key).agg(F.min("doc").alias("rep")), "classes")
+    classes = scratch.write(described.where("n > 0").groupBy("s1", "s2", *key).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
     wide = described.where("length(prefix) > 0")
     groups = wide.groupBy(*key).agg(F.min("doc").alias("leader"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"))
     groups = scratch.write(groups, "groups")
@@ -346,20 +353,30 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = block_links(pdf["rep"].to_numpy(), [np.frombuffer(e, np.uint64) for e in pdf["elements"]], percent)
+        found = block_links(pdf["rep"].to_numpy(), [np.frombuffer(e, np.uint64) for e in pdf["elements"]], percent, count_links)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     joined = block_rows.join(sets, "rep").groupBy("key", "band", "i", "j").applyInPandas(block, "a long, b long")
-    found = connected_components(links.unionByName(joined), scratch)  # it begins by writing them
+    edges = links.unionByName(joined)
+    if count_links:
+        edges = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    found = connected_components(edges, scratch)  # it begins by writing them
     scratch.drop("sets", "pairs", "blocks", "groups", "hot", "group_pairs", "levels")
     rows = described.select("doc", "t", "n", "s1", "s2")
     back = rows.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left").join(found, F.col("rep") == F.col("node"), "left")
     real = lambda c: F.when(c < _NO_ID, c)
+    counts = []
+    if count_links:
+        sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        far = sides.join(classes.select(F.col("rep").alias("b"), "rows"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("rows").alias("far"))
+        back = back.join(classes.select("rep", F.col("rows").alias("near")).join(far, "rep", "left"), "rep", "left")
+        counts = [F.coalesce(F.col("near") - 1 + F.coalesce("far", F.lit(0)), F.lit(0)).alias("n_links")]
     return back.select(
         real(F.col("doc")).alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
         real(F.coalesce("component", "rep", "doc")).alias("component_id"),
         F.col("t").alias("text_hash"),
+        *counts,
     )
 
 

@@ -43,3 +43,34 @@ def test_jaccard_link_counts(spark, docs, doc_rows, hot, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.components(df, 3, 85, count_links=True).collect()}
     plain = brute.components(rows, 3, 85)
     assert got == {d: (*plain[d], n) for d, n in expected.items()} and max(expected.values()) > 32
+
+
+@pytest.mark.parametrize("hot", [1, 32])
+def test_jaccard_judges_texts_of_one_id_apart(spark, hot, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", 3)
+    rng = random.Random(6)
+    bases = [[f"b{k}x{i}" for i in range(60)] for k in range(6)]
+    rows = [(1, " ".join(bases[0])), (5, " ".join([*bases[0][:-1], "end"])), (5, "a clean text that is like nothing else in here")]
+    for _ in range(80):  # few ids: most have several texts
+        base = bases[rng.randrange(6)]
+        at = rng.randrange(60)
+        rows.append((rng.randrange(10, 40), " ".join([*base[:at], f"z{rng.randrange(4)}", *base[at + 1 :]])))
+    rows = sorted(set(rows))
+    plain = brute.components(list(enumerate(t for _, t in rows)), 3, 85)
+    least = {}
+    for i, (_, c) in plain.items():
+        least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {(r[0], r[1]): r[2] for r in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()}
+    got = sorted((r["doc_id"], r["text_hash"], r["component_id"]) for r in jaccard_join.components(df, 3, 85).collect())
+    assert got == sorted((d, hashes[d, t], least[plain[i][1]]) for i, (d, t) in enumerate(rows))
+
+
+def test_pipeline_keeps_a_clean_text_of_a_repeated_id(spark, tmp_path):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (5, " ".join([*base[:-1], "end"])), (5, "a clean text that is like nothing else in here")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in kept) == [rows[0], rows[2]]

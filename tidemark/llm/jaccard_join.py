@@ -22,7 +22,9 @@ them. Sets are hashes of 64 bits, so sizes and overlaps are exact but for collis
 
 Defined results: without words or text the set is empty, size 0, linked with nothing (its own component). A null id is
 greater than all others; its component is null if no other id is in it. Rows with the same id are judged each by its own
-text. Repeated rows stay. Other columns are ignored. An empty table gives no rows. Ids are below 2^62.
+text: where an id has several sets, each (id, set) is a node with a name of its own, below all ids, and components that hold such
+a node are named by their least id in the end. Repeated rows stay. Other columns are ignored. An empty table gives no rows. Ids are
+between -2^62 and 2^62.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ COUNT_CHUNK = 2_000_000
 CHUNK_ELEMENTS, CHUNK_ROWS = 2_000_000, 2048
 #: Ids that may be spread to all executors; above this, documents are joined with them by a shuffle.
 MAX_SPREAD_IDS = 2_000_000
-#: Stands for null ids, less a hash of the text.
+#: Stands for null ids, less a hash of the text; names of (id, set) are below -_NO_ID.
 _LAST, _NO_ID = 2**63 - 1, 2**62
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -274,6 +276,18 @@ def block_links(reps: np.ndarray, sets: list[np.ndarray], percent: int, every: b
     return out
 
 
+def _named(described: DataFrame) -> DataFrame:
+    """``described`` with ``node``: the id, or a hash of id and set where an id has several sets."""
+    several = described.where("n > 0").groupBy("doc").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)])
+    several = several.where("min_s1 < max_s1 or min_s2 < max_s2").select("doc", F.lit(True).alias("several"))
+    own = F.lit(-_NO_ID - 1) - F.pmod(F.xxhash64("doc", "s1", "s2"), F.lit(_NO_ID - 1))
+    k = several.count()
+    if not k:
+        return described.withColumn("node", F.col("doc"))
+    marked = described.join(F.broadcast(several) if k <= MAX_SPREAD_IDS else several, "doc", "left")
+    return marked.withColumn("node", F.when(F.col("several"), own).otherwise(F.col("doc"))).drop("several")
+
+
 def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links) and ``text_hash`` for every row of ``docs``.
 
@@ -286,10 +300,11 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     spread = spark.sparkContext.broadcast(_levels(own, words, ranges, scratch))
     described = scratch.write(_described(own.withColumn("t", F.xxhash64("text")), words, percent, spread), "described")
     spread.destroy()  # what was made with it is in a table
+    described = _named(described)
     key = ["p1", "p2", "n"]
-    classes = scratch.write(described.where("n > 0").groupBy("s1", "s2", *key).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    classes = scratch.write(described.where("n > 0").groupBy("s1", "s2", *key).agg(F.min("node").alias("rep"), F.min("doc").alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
     wide = described.where("length(prefix) > 0")
-    groups = wide.groupBy(*key).agg(F.min("doc").alias("leader"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"))
+    groups = wide.groupBy(*key).agg(F.min("node").alias("leader"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"))
     groups = scratch.write(groups, "groups")
     sized = classes.groupBy(*key).agg(F.count(F.lit(1)).alias("members"))
     named = groups.select(*key, "leader").join(sized.where("members > 1"), key)  # groups of more than one class
@@ -327,17 +342,17 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
 
     # The whole sets of all that is to be verified.
     asked = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(block_rows.select("rep")).distinct()
-    wanted = scratch.write(classes.select("rep", "s1", "s2").join(asked, "rep", "left_semi"), "wanted")
+    wanted = scratch.write(classes.select("rep", F.col("least").alias("doc"), "s1", "s2").join(asked, "rep", "left_semi"), "wanted")
     small = wanted.count() <= MAX_SPREAD_IDS
-    ids = wanted.select(F.col("rep").alias("doc")).distinct()
+    ids = wanted.select("doc").distinct()
     texts = own.join(F.broadcast(ids) if small else ids, "doc", "left_semi")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(d, *_digest(s), s.tobytes()) for d, s in zip(pdf["doc"], _sets(list(pdf["text"]), words), strict=True)]
-            yield pd.DataFrame(rows, columns=["rep", "s1", "s2", "elements"])
+            yield pd.DataFrame(rows, columns=["doc", "s1", "s2", "elements"])
 
-    sets = texts.mapInPandas(whole, "rep long, s1 long, s2 long, elements binary").join(F.broadcast(wanted) if small else wanted, ["rep", "s1", "s2"], "left_semi")
+    sets = texts.mapInPandas(whole, "doc long, s1 long, s2 long, elements binary").join(F.broadcast(wanted) if small else wanted, ["doc", "s1", "s2"])
     sets = scratch.write(sets.select("rep", "elements"), "sets")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -363,7 +378,11 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     found = connected_components(edges, scratch)  # it begins by writing them
     scratch.drop("sets", "pairs", "blocks", "groups", "hot", "group_pairs", "levels")
     rows = described.select("doc", "t", "n", "s1", "s2")
-    back = rows.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left").join(found, F.col("rep") == F.col("node"), "left")
+    back = rows.join(classes.select("s1", "s2", "n", "rep", "least"), ["s1", "s2", "n"], "left").join(found, F.col("rep") == F.col("node"), "left")
+    # Components that are named by a node of (id, set): their least id.
+    odd = found.where(F.col("component") < -_NO_ID).withColumnRenamed("component", "odd")
+    names = odd.join(classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("odd").agg(F.min("least").alias("name"))
+    back = back.join(names, F.col("component") == F.col("odd"), "left").withColumn("component", F.coalesce("name", "component"))
     real = lambda c: F.when(c < _NO_ID, c)
     counts = []
     if count_links:
@@ -374,7 +393,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "d
     return back.select(
         real(F.col("doc")).alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
-        real(F.coalesce("component", "rep", "doc")).alias("component_id"),
+        real(F.coalesce("component", "least", "doc")).alias("component_id"),
         F.col("t").alias("text_hash"),
         *counts,
     )

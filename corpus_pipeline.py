@@ -6,6 +6,7 @@ table as read back to the next stage. All but the last return the columns of ``d
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,9 @@ SHARDS = 24
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in no language: null, or without a letter."""
+    """Rejects texts in no language: null, or without a letter. Where nothing could be learned, all others pass as of one language."""
     ship(spark)
-    profiles = language_id.learn(docs, "text", "lang")
+    profiles = language_id.learn(docs, "text", "lang") or {"unknown": np.zeros(1, np.uint32)}
     return language_id.predict(docs, "text", profiles).where(F.col("lang_pred") != language_id.UND).select(docs.columns)
 
 

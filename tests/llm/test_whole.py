@@ -74,3 +74,11 @@ def test_pipeline_keeps_a_clean_text_of_a_repeated_id(spark, tmp_path):
     rows = [(1, " ".join(base)), (5, " ".join([*base[:-1], "end"])), (5, "a clean text that is like nothing else in here")]
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
     assert sorted(tuple(r) for r in kept) == [rows[0], rows[2]]
+
+
+def test_pipeline_keeps_texts_where_no_language_is_known(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["some words of a clean document", "Straße", "123 !!!", "", None, "\u6f22\u5b57"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, str(tmp_path)).collect()) == [0, 1, 5]

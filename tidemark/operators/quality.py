@@ -61,13 +61,15 @@ def fundamental_rules() -> Rules:
     ]
 
 
-def fundamental_batch(records: DataFrame, start: str, end: str) -> DataFrame:
-    """Records out of the period range, or whose key (null-safe) is not the only one."""
+def fundamental_batch(records: DataFrame, start: str, end: str, instrument: int | str | None = None) -> DataFrame:
+    """Records of another instrument than the expected one (if given), out of the period range, or whose key (null-safe) is not the only one."""
     key = Window.partitionBy(ID, "period_end", "metric_name", "fiscal_year", "fiscal_quarter")
     rules = [
         ("out_of_range", ~F.col("period_end").between(F.lit(start).cast("date"), F.lit(end).cast("date"))),
         ("duplicate", F.count(F.lit(1)).over(key) > 1),
     ]
+    if instrument is not None:
+        rules.insert(0, ("wrong_instrument", F.col(ID) != instrument))
     return violations(records, rules)
 
 

@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from tidemark.errors import InvalidArgument
+
 _SHIPPED: set[str] = set()
 
 
@@ -28,6 +30,18 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
     return builder.config(map=settings).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session names it. On a single machine, where none is set, a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python workers can import it anywhere."""
     sc = spark.sparkContext

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidArgument
-from tidemark.functions.features import Feature, add_features, default_registry, encode, wilder
+from tidemark.functions.features import Feature, Smoothed, add_features, default_registry, encode, wilder
 from tidemark.operators.adjust import adjust_bars
 from tidemark.operators.targets import Target, add_target
 from tidemark.plans import dataset
@@ -130,6 +131,29 @@ def test_names_and_arguments():
         Target("Total_return", 5)
 
 
+def test_names_tell_features_apart():
+    values = ["x", "x_b_1", "true", True, "1", 1, 2, "2", None, "none", "None", "", " x", '"x"', [1], (1,), {1}, frozenset({1}), ["1"], [], (), set(), {}, {"a": 1}, {"a": "1"}, {"a:1": 1}, [[1], 2], [[1, 2]], dt.date(2024, 1, 1), "2024-01-01"]
+    names = [Feature("f", {"a": v}).name for v in values]
+    assert len(set(names)) == len(values)
+    assert Feature("f", {"a": "x_b_1"}).name != Feature("f", {"a": "x", "b": 1}).name
+    assert Feature("f", {"a": {"p": 1, "q": 2}}).name == Feature("f", {"a": {"q": Decimal("2.0"), "p": 1}}).name
+    for key in ("a_b", "", 1):
+        with pytest.raises(InvalidArgument):
+            Feature("f", {key: 1})
+    with pytest.raises(InvalidArgument):
+        encode({1: 2})
+
+
+def test_smoothing_without_a_window(spark):
+    """Increments of a family that needs no window: each instrument's rows still come together."""
+    r = default_registry()
+    r.register("level", lambda p: Smoothed(2, (F.col("close"),), lambda x: x))
+    rows = [(i, dt.date(2026, 1, d), 1.0, 1.0, 1.0, float(d), 1.0) for d in range(1, 6) for i in (1, 2, 3)]
+    got = add_features(spark.createDataFrame(rows, BARS).repartition(4), [Feature("level")], r)
+    assert "_place" not in got.columns
+    assert {tuple(x) for x in got.where("instrument_id = 2").select(F.day("date"), "level").collect()} == {(1, None), (2, 1.5), (3, 2.25), (4, 3.125), (5, 4.0625)}
+
+
 def test_split_adjusted(spark):
     b = spark.createDataFrame([(1, day(0), 190.0, 210.0, 180.0, 200.0, 1000.0), (1, day(1), 100.0, 100.0, 100.0, 100.0, 2000.0)], BARS)
     first, second = adjust_bars(b, actions(spark, ("split", 1, 2))).orderBy("date").collect()

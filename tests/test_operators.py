@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidArgument, InvalidData, RateLimited, provider_error
 from tidemark.functions import scalars
-from tidemark.operators import calendar, lookups, quality, security_master, split, upsert
+from tidemark.operators import calendar, ingestion, lookups, quality, security_master, split, upsert
 from tidemark.sources import tables
 
 DAY0 = dt.date(2024, 1, 1)
@@ -30,19 +30,47 @@ def rows(spark, n, h, ident=1):
 )
 def test_split(spark, n, h, embargo, expected):
     source = rows(spark, n, h)
-    parts = split.split(source, split.SplitConfig(embargo=embargo))
+    config = split.SplitConfig(embargo=embargo)
+    parts = split.split(source, config)
     got = split.summary(parts).first().asDict()
     assert {k: got[k] for k in expected} == expected and got["total"] == n
-    report = split.verify(parts, source).first()
-    assert (report["leaks"], report["extra"], report["missing"]) == (False, 0, 0)
+    report = split.verify(parts, source, config).first()
+    assert (report["leaks"], report["extra"], report["missing"], report["misplaced"], report["misjudged"]) == (False, 0, 0, 0, 0)
+    assert split.require_verified(parts, source, config) is parts
 
 
 def test_verification_finds_tampering(spark):
-    source = rows(spark, 40, 3)
-    parts = split.split(source, split.SplitConfig())
+    source, config = rows(spark, 40, 3), split.SplitConfig()
+    parts = split.split(source, config)
+    report = lambda p, c=config: split.verify(p, source, c).first()
     leaky = parts.withColumn("status", F.lit("kept"))
-    assert split.verify(leaky, source).first()["leaks"]
-    assert split.verify(parts.where("observation_date <> '2024-01-05'"), source).first()["missing"] == 1
+    assert report(leaky)["leaks"] and report(leaky)["misjudged"] > 0
+    assert report(parts.where("observation_date <> '2024-01-05'"))["missing"] == 1
+    assert report(parts.unionByName(parts.limit(1)))["extra"] == 1
+    moved = parts.withColumn("segment", F.when(F.col("segment") == "val", "test").otherwise(F.col("segment")))
+    assert report(moved)["misplaced"] == 6
+    assert report(parts, split.SplitConfig(embargo=1))["misjudged"] == 2
+    for bad in (leaky, moved):
+        with pytest.raises(InvalidData):
+            split.require_verified(bad, source, config)
+
+
+def test_split_without_purge(spark):
+    source = rows(spark, 40, 3)
+    config = split.SplitConfig(embargo=2, purge_overlap=False)
+    parts = split.split(source, config)
+    got = split.summary(parts).first().asDict()
+    assert {k: got[k] for k in ("val_purged", "test_purged", "val_embargoed", "test_embargoed", "val_kept")} == dict(val_purged=0, test_purged=0, val_embargoed=2, test_embargoed=2, val_kept=4)
+    assert not split.verify(parts, source, config).first()["leaks"]
+    with pytest.raises(InvalidArgument):
+        split.SplitConfig(purge_overlap=1)
+
+
+def test_dense_parts(spark):
+    source = rows(spark, 40, 3).withColumns({"f": F.day("observation_date").cast("double"), "g": F.lit(2.0), "target": F.lit(1.0)})
+    parts = split.dense_parts(split.split(source, split.SplitConfig()), ["g", "f"])
+    assert {s: p.count() for s, p in parts.items()} == {"train": 28, "val": 4, "test": 4}
+    assert [r["x"] for r in parts["val"].orderBy("observation_date").collect()][0] == [2.0, 31.0]
 
 
 def test_small_series_are_rejected(spark):
@@ -135,3 +163,99 @@ def test_unpivot_skips_null_and_nan(spark):
     wide = spark.createDataFrame([(1, dt.date(2024, 3, 31), 1.0, float("nan")), (1, dt.date(2024, 6, 30), None, 2.0), (1, dt.date(2025, 3, 31), 9.0, 9.0)], "instrument_id long, period_end date, a double, b double")
     got = tables.unpivot_fundamentals(wide, ["instrument_id", "period_end"], ["a", "b"], "2024-01-01", "2024-12-31").collect()
     assert sorted((r["metric_name"], r["value"]) for r in got) == [("a", 1.0), ("b", 2.0)]
+
+
+BATCH = "batch_index int, instrument_id long, date date, open double, high double, low double, close double, volume double"
+
+
+def test_ingestion_runs(spark):
+    """500 new, the same again, 200 revised; and runs that fail for each reason."""
+    bars = lambda change=lambda i: 0.0, ident=1, n=500: [(i, ident, DAY0 + dt.timedelta(days=i), 10.0, 20.0, 5.0, 10.0 + change(i), 1.0) for i in range(n)]
+    requested = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "instrument_id long")
+    store = spark.createDataFrame([], BATCH).drop("batch_index")
+
+    def run(data, store):
+        out = ingestion.ingest_bars(spark.createDataFrame(data, BATCH), store, requested, "2024-01-01", "2026-12-31")
+        return out.table, {r["instrument_id"]: (r["status"], r["received_count"], r["inserted_count"], r["updated_count"], r["skipped_count"], r["error_message"]) for r in out.runs.collect()}
+
+    store, runs = run(bars(), store)
+    assert runs[1] == ("SUCCESS", 500, 500, 0, 0, None) and runs[2] == ("SUCCESS", 0, 0, 0, 0, None)
+    store, runs = run(bars(), store)
+    assert runs[1] == ("SUCCESS", 500, 0, 0, 500, None)
+    store, runs = run(bars(lambda i: 1.0 if i < 200 else 0.0), store)
+    assert runs[1] == ("SUCCESS", 500, 0, 200, 300, None) and store.count() == 500
+    odd = [(0, 2, DAY0, 10.0, 5.0, 6.0, 6.0, 1.0), (1, 3, dt.date(2030, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0), (0, 4, DAY0, 1.0, 1.0, 1.0, 1.0, 1.0), (1, 4, DAY0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    odd += [(0, 5, DAY0, None, 1.0, 1.0, 1.0, 1.0), (1, 5, None, 1.0, 1.0, 1.0, 1.0, 1.0), (0, 9, DAY0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    after, runs = run([*bars(lambda i: 2.0), *odd], store)
+    assert {k: v[-1] for k, v in runs.items()} == {1: None, 2: "high_below_low", 3: "out_of_range", 4: "duplicate", 5: "missing", 9: "unknown_instrument"}
+    assert all(v[:2] == ("FAILED", 0) for k, v in runs.items() if k > 1) and after.select("instrument_id").distinct().count() == 1
+
+
+def test_fundamental_rules(spark):
+    r = spark.createDataFrame(
+        [("2024-01-01T00:00:00Z", "usd"), ("2024-01-01 00:00:00+05:30", None), ("2024-01-01T00:00:00", "usd"), ("2024-01-01", " "), (None, "")], "available_at string, currency string"
+    )
+    zones, money = quality.zone_rules("available_at"), quality.currency_rule()
+    assert {x["available_at"] for x in quality.violations(r, zones).collect()} == {"2024-01-01T00:00:00", "2024-01-01"}
+    assert sorted(x["currency"] for x in quality.violations(r, money).collect()) == ["", " "]
+
+
+def test_required_dataset(spark):
+    one = spark.createDataFrame([(1, DAY0, DAY0 + dt.timedelta(days=1), 1.0, 2.0)], "instrument_id long, observation_date date, realization_date date, f double, target double")
+    assert quality.require_dataset(one, ["f"], 1) is one
+    for df, names, ident in ((one, ["f", "f"], None), (one, [], None), (one, ["f"], 2), (one.limit(0), ["f"], None), (one.withColumn("target", F.lit(float("nan"))), ["f"], None), (one.withColumn("realization_date", F.col("observation_date")), ["f"], None)):
+        with pytest.raises((InvalidData, InvalidArgument)):
+            quality.require_dataset(df, names, ident)
+
+
+def test_several_changes_of_one_instrument(spark):
+    d = dt.date
+    history = spark.createDataFrame([(1, "A", d(2020, 1, 1), None), (2, "Z", d(2020, 1, 1), None)], "instrument_id long, symbol string, effective_from date, effective_to date")
+    schema = "instrument_id long, new_symbol string, effective date"
+    changes = spark.createDataFrame([(1, "c", d(2022, 1, 1)), (1, "b", d(2021, 1, 1))], schema)
+    got = [tuple(r) for r in security_master.change_symbols(history, changes).orderBy("instrument_id", "effective_from").collect()]
+    assert got == [(1, "A", d(2020, 1, 1), d(2020, 12, 31)), (1, "B", d(2021, 1, 1), d(2021, 12, 31)), (1, "C", d(2022, 1, 1), None), (2, "Z", d(2020, 1, 1), None)]
+    now = spark.createDataFrame([(1, "A", "active"), (2, "Z", "active")], "instrument_id long, symbol string, status string")
+    assert {r["instrument_id"]: r["symbol"] for r in security_master.current_symbols(now, changes).collect()} == {1: "C", 2: "Z"}
+    stopped = security_master.set_status(now, spark.createDataFrame([(2, " Delisted ")], "instrument_id long, new_status string"))
+    assert {r["instrument_id"]: r["status"] for r in stopped.collect()} == {1: "active", 2: "delisted"}
+    for bad, match in ((spark.createDataFrame([(1, "b", None)], schema), "no date"),):
+        with pytest.raises(Exception, match=match):
+            security_master.change_symbols(history, bad).collect()
+    with pytest.raises(Exception, match="unknown status"):
+        security_master.set_status(now, spark.createDataFrame([(2, "gone")], "instrument_id long, new_status string")).collect()
+
+
+def test_registration(spark):
+    companies, exchanges = spark.createDataFrame([(1,)], "company_id long"), spark.createDataFrame([(7, "NSE", "x")], "exchange_id long, code string, country string")
+    old = spark.createDataFrame([(1, "A")], "instrument_id long, symbol string")
+    schema = "instrument_id long, company_id long, code string, symbol string, isin string"
+    rows, history = security_master.register_instruments(spark.createDataFrame([(2, 1, " nse", " new ", "ine123456789")], schema), old, companies, exchanges, "2024-01-01")
+    assert tuple(rows.first()) == (2, 1, 7, "NEW", "INE123456789", "active") and history.first()["effective_from"] == DAY0
+    for row, match in (((1, 1, "NSE", "A", "INE123456789"), "is there already"), ((2, 9, "NSE", "A", "INE123456789"), "company"), ((2, 1, "X", "A", "INE123456789"), "exchange"), ((2, 1, "NSE", "A", "bad"), "ISIN")):
+        with pytest.raises(Exception, match=match):
+            security_master.register_instruments(spark.createDataFrame([row], schema), old, companies, exchanges, "2024-01-01")[0].collect()
+
+
+def test_saving_by_the_keys_of_the_schema(spark, tmp_path):
+    at = "holiday_id string, exchange_id string, holiday_date date, name string, session_type string"
+    old = spark.createDataFrame([("h1", "e", DAY0, "New Year", "full_day")], at)
+    new = spark.createDataFrame([("h2", "e", DAY0, "New Year", "half_day"), ("h3", "e", DAY0 + dt.timedelta(days=1), "x", "half_day")], at)
+    saved = upsert.save(new, old, "market_holidays", surrogate="holiday_id")
+    assert sorted(tuple(r)[0::4] for r in saved.collect()) == [("h1", "half_day"), ("h3", "half_day")]
+    saved.write.parquet(str(tmp_path / "h"))
+    assert tables.read_domain(spark, str(tmp_path / "h"), "market_holidays").count() == 2
+    arrivals = spark.createDataFrame([("c1", "A", 1), ("c1", "B", 2)], "company_id string, name string, n int")
+    assert [r["name"] for r in upsert.save(arrivals, arrivals.limit(0).drop("n"), "companies", "n").collect()] == ["B"]
+
+
+def test_small_lookups(spark):
+    ex = spark.createDataFrame([(1, "NSE", "x"), (2, "BSE", "y")], "exchange_id long, code string, country string")
+    ins = spark.createDataFrame([(1, 1, "A"), (2, 2, "A")], "instrument_id long, exchange_id long, symbol string")
+    bars = spark.createDataFrame([(i, DAY0 + dt.timedelta(days=k), float(k)) for i in (1, 2) for k in range(3)], "instrument_id long, date date, close double")
+    assert [(r["instrument_id"], r["close"]) for r in lookups.latest_bar_by_symbol(bars, ins, ex, " a", "bse").collect()] == [(2, 2.0)]
+    assert lookups.instrument_by_symbol(ins, ex, "a ", "nse").first()["instrument_id"] == 1
+    assert lookups.by_id(ins, "instrument_id", 2).count() == 1 and lookups.by_id(ins, "instrument_id", 3).count() == 0
+    h = spark.createDataFrame([(1, dt.date(2026, 8, 14), "full_day"), (2, dt.date(2026, 8, 14), "half_day"), (1, dt.date(2027, 1, 1), "full_day")], "exchange_id long, holiday_date date, session_type string")
+    assert calendar.holiday_on(h, 2, "2026-08-14").first()["session_type"] == "half_day" and calendar.holiday_on(h, 2, "2027-01-01").count() == 0
+    assert calendar.holidays_of_year(h, 1, 2026).count() == 1

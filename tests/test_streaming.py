@@ -19,3 +19,21 @@ def test_stream_upserts(spark, tmp_path):
         assert sorted((r["date"].day, r["close"]) for r in store.read().collect()) == [(1, close), (2, close)]
     again = spark.createDataFrame([(*r, 0) for r in rows(3.0)], BARS + ", arrival long")
     assert [r["skipped"] for r in store.apply(again, 7).collect()] == [2]
+
+
+def test_only_touched_buckets_are_rewritten_and_versions_are_bounded(spark, tmp_path):
+    schema = spark.createDataFrame([], BARS).schema
+    store = BarStore(spark, str(tmp_path / "bars"), schema, buckets=4)
+    day = lambda i, close: [(i, dt.date(2026, 1, 1), 1.0, 9.0, 1.0, close, 1.0, 0)]
+    batch = lambda rows: spark.createDataFrame(rows, BARS + ", arrival long")
+    store.apply(batch([r for i in range(20) for r in day(i, 2.0)]), 0)
+    before = dict(store._versions())
+    assert len(before) > 1
+    for n in (1, 2, 3):
+        store.apply(batch(day(5, 2.0 + n)), n)
+    touched = {b for b, v in store._versions() if v > 1}
+    assert len(touched) == 1 and sorted(v for b, v in store._versions() if b in touched) == [3, 4]
+    assert all(v == 1 for b, v in store._versions() if b not in touched)
+    assert {r["instrument_id"]: r["close"] for r in store.read().collect()} == {i: 5.0 if i == 5 else 2.0 for i in range(20)}
+    store.apply(batch(day(5, 4.0)), 3)  # run again
+    assert store.read().where("instrument_id = 5").first()["close"] == 4.0 and store.read().count() == 20

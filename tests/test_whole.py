@@ -1,4 +1,4 @@
-"""Registered queries take whole tables: their registered SQL without its id filter gives the same rows."""
+"""Registered queries take whole tables: their registered SQL, which has no id filter, gives the same rows."""
 
 import datetime as dt
 
@@ -11,17 +11,18 @@ from tidemark.plans import catalog
 SF = "/root/testdata/sf0.01"
 
 
-def plain(name, cut):
+def plain(name):
     db = duckdb.connect()
     for t in ("lineitem", "orders", "events"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    found = db.execute(catalog.ORACLES[name].replace(cut, ""))
+    found = db.execute(catalog.ORACLES[name])
     return [c[0] for c in found.description], found.fetchall()
 
 
-@pytest.mark.parametrize(("name", "cut"), [("fundamentals_asof_join", " WHERE instrument_id < 50"), ("dq_bar_batch", " WHERE user_id < 10")])
-def test_whole_tables(spark, name, cut):
-    columns, expected = plain(name, cut)
+@pytest.mark.parametrize("name", ["fundamentals_asof_join", "dq_bar_batch"])
+def test_whole_tables(spark, name):
+    assert "instrument_id < 50" not in catalog.ORACLES[name] and "user_id < 10" not in catalog.ORACLES[name]
+    columns, expected = plain(name)
     got = [tuple(r) for r in catalog.QUERIES[name](spark, SF).select(columns).collect()]
     assert len(got) == len(expected) and set(got) == set(expected)
 

@@ -7,9 +7,12 @@ ordered pass afterwards. All families see the bars up to the row's date only.
 from __future__ import annotations
 
 import datetime as dt
+import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -25,10 +28,11 @@ BANDS = ("upper", "middle", "lower")
 
 
 def encode(value: object) -> str:
-    """A parameter's value in a column name: the same text for equal values."""
-    if value is None:
-        return "none"
-    if isinstance(value, bool):
+    """A parameter's value in a column name: the same text for equal values, different texts for all others.
+
+    Numbers are bare, strings quoted, other scalars have a mark before them, and each kind of container has brackets of its own.
+    """
+    if value is None or isinstance(value, bool):
         return str(value).lower()
     if isinstance(value, int | float | Decimal):
         d = Decimal(str(value))
@@ -37,18 +41,25 @@ def encode(value: object) -> str:
         text = format(d.normalize(), "f")
         return "0" if text == "-0" else text
     if isinstance(value, dt.date | dt.datetime):
-        return value.isoformat()
+        return f"{type(value).__name__}@{value.isoformat()}"
     if isinstance(value, str):
-        return value if value.replace("_", "").isalnum() else repr(value)
+        return json.dumps(value, ensure_ascii=False)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{k}:{encode(value[k])}" for k in sorted(value)) + "}"
-    if isinstance(value, list | tuple):
-        return "[" + ",".join(map(encode, value)) + "]"
-    if isinstance(value, set | frozenset):
-        return "<" + ",".join(sorted(map(encode, value))) + ">"
+        if not all(isinstance(k, str) for k in value):
+            raise InvalidArgument("keys of a parameter must be strings")
+        return "{" + ",".join(f"{encode(k)}:{encode(value[k])}" for k in sorted(value)) + "}"
+    for kind, (left, right) in _BRACKETS.items():
+        if type(value) is kind:
+            parts = map(encode, value)
+            return left + ",".join(sorted(parts) if kind in (set, frozenset) else parts) + right
     raise InvalidArgument(f"parameters can't hold {type(value).__name__}")
 
 
+_BRACKETS = {list: ("[", "]"), tuple: ("(", ")"), set: ("<", ">"), frozenset: ("<<", ">>")}
+#: Strings that need no quotes in a name: words that no other value is written as.
+_BARE = re.compile(r"(?!(?:none|true|false)$)[a-z]+")
+
+
 @dataclass(frozen=True)
 class Feature:
     """A family with parameters, such as ``Feature("sma", {"window": 20})``."""
@@ -56,9 +67,16 @@ class Feature:
     family: str
     params: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        for k in self.params:
+            if not isinstance(k, str) or not k or "_" in k:
+                raise InvalidArgument(f"a parameter's key must be a word without an underscore, not {k!r}")
+
     @property
     def name(self) -> str:
-        return "_".join([self.family.strip().lower(), *(f"{k}_{encode(self.params[k])}" for k in sorted(self.params))])
+        """Keys hold no underscore and values are told apart, so two features have one name only if they are equal."""
+        plain = lambda v: v if isinstance(v, str) and _BARE.fullmatch(v) else encode(v)
+        return "_".join([self.family.strip().lower(), *(f"{k}_{plain(self.params[k])}" for k in sorted(self.params))])
 
 
 def positive(params: dict, key: str, default: int) -> int:
@@ -154,20 +172,24 @@ def default_registry() -> Registry:
 def wilder(x: np.ndarray, n: int, state: list) -> np.ndarray:
     """Smoothed values of increments ``x``, going on from ``state`` (count and sum so far, smoothed value) of the series.
 
-    The seed is the mean of the first n increments; then (previous * (n - 1) + x) / n.
+    The seed is the mean of the first n increments; then (previous * (n - 1) + x) / n, folded in just this order of operations: a closed
+    form over blocks would differ from the rule in the last bits. The fold takes about 0.1 microseconds a row.
     """
     out = np.full(len(x), np.nan)
+    at = np.flatnonzero(~np.isnan(x))  # the series' first bar has no increment
+    v = x[at].tolist()
     count, total, value = state
-    for i, v in enumerate(x.tolist()):
-        if v != v:  # the series' first bar has no increment
-            continue
-        count += 1
-        if count < n:
-            total += v
-            continue
-        value = (total + v) / n if count == n else (value * (n - 1) + v) / n
-        out[i] = value
-    state[:] = [count, total, value]
+    need = n - count
+    for y in v[: max(0, need)]:
+        total += y
+    if len(v) >= need > 0:
+        value = total / n
+        out[at[need - 1]] = value
+    if len(v) > max(0, need):
+        rest = list(accumulate(v[max(0, need) :], lambda before, y: (before * (n - 1) + y) / n, initial=value))
+        out[at[max(0, need) :]] = rest[1:]
+        value = rest[-1]
+    state[:] = [count + len(v), total, value]
     return out
 
 
@@ -185,6 +207,8 @@ def add_features(bars: DataFrame, features: list[Feature], registry: Registry |
     direct = {n: c for n, c in made if isinstance(c, Column)} | (extra or {})
     smoothed = [(n, s) for n, s in made if isinstance(s, Smoothed)]
     steps = {f"_inc{i}_{j}": c for i, (_, s) in enumerate(smoothed) for j, c in enumerate(s.increments)}
+    if smoothed:  # so that there is a window whatever the increments are: it brings each instrument's rows together
+        steps["_place"] = F.row_number().over(series())
     out = bars.withColumns(direct | steps)
     if not smoothed:
         return out
@@ -192,7 +216,7 @@ def add_features(bars: DataFrame, features: list[Feature], registry: Registry |
     schema = T.StructType([out.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n, _ in smoothed])
     # What goes to the workers: no Columns.
     plan = [(n, s.window, [f"_inc{i}_{j}" for j in range(len(s.increments))], s.close_out) for i, (n, s) in enumerate(smoothed)]
-    inputs = list(steps)
+    inputs = [c for c in steps if c != "_place"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, states = None, {}

@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import is_weekend
 
 
-def holidays_in_range(holidays: DataFrame, start: str, end: str) -> DataFrame:
-    return holidays.where(F.col("holiday_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).orderBy("exchange_id", "holiday_date")
+def holidays_in_range(holidays: DataFrame, start: str, end: str, exchange: int | str | None = None) -> DataFrame:
+    found = holidays.where(F.col("holiday_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return (found if exchange is None else found.where(F.col("exchange_id") == exchange)).orderBy("exchange_id", "holiday_date")
+
+
+def holidays_of_year(holidays: DataFrame, exchange: int | str, year: int) -> DataFrame:
+    return holidays_in_range(holidays, f"{year:04d}-01-01", f"{year:04d}-12-31", exchange)
+
+
+def holiday_on(holidays: DataFrame, exchange: int | str, day: str) -> DataFrame:
+    return holidays_in_range(holidays, day, day, exchange)
 
 
 def trades(day: Column, session: Column) -> Column:

@@ -38,6 +38,17 @@ def latest_bar(bars: DataFrame, instrument: int | str) -> DataFrame:
     return bars.where(F.col(ID) == instrument).orderBy(F.desc(DATE)).limit(1)
 
 
+def by_id(rows: DataFrame, column: str, value: int | str) -> DataFrame:
+    """One row of any table by its id; nothing if there is none."""
+    return rows.where(F.col(column) == value)
+
+
+def latest_bar_by_symbol(bars: DataFrame, instruments: DataFrame, exchanges: DataFrame, symbol: str, code: str) -> DataFrame:
+    """The newest bar of a listing: the instrument is one row, so its bars are found by a broadcast."""
+    one = instrument_by_symbol(instruments, exchanges, symbol, code).select(ID).limit(1)
+    return latest_bars(bars.join(F.broadcast(one), ID, "left_semi"))
+
+
 def by_code(exchanges: DataFrame, code: str) -> DataFrame:
     return exchanges.where(F.col("code") == upper_code(F.lit(code)))
 
@@ -76,6 +87,12 @@ def fundamentals_as_of(records: DataFrame, as_of: str, start: str | None = None,
     return records.where(seen).orderBy("period_end", "metric_name", "available_at")
 
 
+def fundamentals_of(records: DataFrame, instrument: int | str, period: str, as_of: str | None = None) -> DataFrame:
+    """One period's records of an instrument; with ``as_of`` only those that were available then."""
+    seen = fundamentals_as_of(records, as_of) if as_of else records
+    return seen.where((F.col(ID) == instrument) & (F.col("period_end") == _date(period))).orderBy("metric_name")
+
+
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """``left`` with the ``values`` of the newest row of ``right`` whose time is not after its own.
 
@@ -93,13 +110,15 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
 def symbols_as_of(dated: DataFrame, history: DataFrame, instruments: DataFrame) -> DataFrame:
     """``dated`` (instrument, date) with the symbol valid on the date, or else the current one.
 
-    Intervals include both ends; of several the one that begins last counts. A maximum over the matches replaces a sort.
+    Intervals include both ends; of several the one that begins last counts. An instrument's few intervals are one array, joined
+    once and searched in the row.
     """
-    within = (F.col("effective_from") <= F.col(DATE)) & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col(DATE)))
-    h = history.select(ID, F.col("symbol").alias("h_symbol"), "effective_from", "effective_to")
-    found = dated.join(h, ID).where(within).groupBy(ID, DATE).agg(F.max_by("h_symbol", "effective_from").alias("h_symbol"))
-    now = instruments.select(ID, F.col("symbol").alias("now_symbol"))
-    return dated.join(found, [ID, DATE], "left").join(now, ID, "left").withColumn("symbol", F.coalesce("h_symbol", "now_symbol")).drop("h_symbol", "now_symbol")
+    span = F.struct("effective_from", "effective_to", "symbol")
+    spans = history.groupBy(ID).agg(F.collect_list(span).alias("_spans"))
+    known = instruments.select(ID, F.col("symbol").alias("_now")).join(spans, ID, "full_outer")
+    valid = lambda s: (s["effective_from"] <= F.col(DATE)) & (s["effective_to"].isNull() | (s["effective_to"] >= F.col(DATE)))
+    found = F.array_max(F.transform(F.filter("_spans", valid), lambda s: F.struct(s["effective_from"], s["symbol"].alias("symbol"))))
+    return dated.join(known, ID, "left").withColumn("symbol", F.coalesce(found["symbol"], "_now")).drop("_spans", "_now")
 
 
 def newest(rows: DataFrame, by: list[str], time: str, tie: str, k: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.errors import InvalidArgument, InvalidData
 from tidemark.functions.scalars import blank_to_null, is_finite
 from tidemark.functions.windows import DATE, ID
 
@@ -23,8 +24,12 @@ def violations(rows: DataFrame, rules: Rules) -> DataFrame:
 
 
 def bar_rules() -> Rules:
-    o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
+    o, h, lo, c, v = values = [F.col(x) for x in ("open", "high", "low", "close", "volume")]
+    missing = F.lit(False)
+    for x in values:
+        missing |= x.isNull()
     return [
+        ("missing", missing),
         ("negative", (o < 0) | (h < 0) | (lo < 0) | (c < 0) | (v < 0)),
         ("high_below_low", h < lo),
         ("open_out_of_range", (o < lo) | (o > h)),
@@ -41,9 +46,13 @@ def bar_batch(batch: DataFrame, instrument: int | str, start: str, end: str, ind
         ("out_of_range", ~F.col(DATE).between(F.lit(start).cast("date"), F.lit(end).cast("date"))),
         ("duplicate", repeated),
     ]
-    found = violations(batch, rules)
-    least = found.agg(F.min(index).alias("_least"))  # one row
-    return found.join(F.broadcast(least)).withColumn("is_first", F.col(index) == F.col("_least")).drop("_least")
+    return mark_first(violations(batch, rules), index)
+
+
+def mark_first(found: DataFrame, index: str) -> DataFrame:
+    """``is_first``: the violation that a strict ingest raises, the one of the least index. An equi-join with one row."""
+    least = found.agg(F.min(index).alias("_least"))
+    return found.join(F.broadcast(least), F.col(index) == F.col("_least"), "left").withColumn("is_first", F.col("_least").isNotNull()).drop("_least")
 
 
 def out_of_order(batch: DataFrame, index: str = "batch_index") -> DataFrame:
@@ -61,11 +70,23 @@ def fundamental_rules() -> Rules:
     ]
 
 
-def fundamental_batch(records: DataFrame, start: str, end: str, instrument: int | str | None = None) -> DataFrame:
-    """Records of another instrument than the expected one (if given), out of the period range, or whose key (null-safe) is not the only one."""
+def currency_rule() -> Rules:
+    """For records with a currency: it may be missing, but not blank."""
+    return [("currency_blank", F.col("currency").isNotNull() & blank_to_null(F.col("currency")).isNull())]
+
+
+def zone_rules(*columns: str) -> Rules:
+    """Text stamps that say no offset from UTC: which instant they mean can't be known. A trailing Z or offset is one."""
+    return [(f"{c}_without_zone", ~F.col(c).rlike(r"[T ].*(Z|[+-]\d{2}:?\d{2})$")) for c in columns]
+
+
+def fundamental_batch(records: DataFrame, start: str, end: str, instrument: int | str | None = None, stamps: tuple[str, ...] = ()) -> DataFrame:
+    """Records of another instrument than the expected one (if given), out of the period range, with a text stamp that names no zone
+    (``stamps``), or whose key (null-safe) is not the only one."""
     key = Window.partitionBy(ID, "period_end", "metric_name", "fiscal_year", "fiscal_quarter")
     rules = [
         ("out_of_range", ~F.col("period_end").between(F.lit(start).cast("date"), F.lit(end).cast("date"))),
+        *zone_rules(*stamps),
         ("duplicate", F.count(F.lit(1)).over(key) > 1),
     ]
     if instrument is not None:
@@ -75,7 +96,7 @@ def fundamental_batch(records: DataFrame, start: str, end: str, instrument: int
 
 def action_rules() -> Rules:
     return [
-        ("unknown_type", ~F.lower(F.trim("action_type")).isin("split", "dividend")),
+        ("unknown_type", ~F.coalesce(F.lower(F.trim("action_type")), F.lit("")).isin("split", "dividend")),
         ("value_not_positive", ~(is_finite(F.col("value")) & (F.col("value") > 0))),
         ("currency_blank", F.col("currency").isNotNull() & blank_to_null(F.col("currency")).isNull()),
     ]
@@ -91,6 +112,19 @@ def dataset_report(rows: DataFrame, features: list[str]) -> DataFrame:
     return marked.groupBy(ID).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if("_again").alias("not_increasing"),
-        F.count_if(F.col("realization_date") <= F.col("observation_date")).alias("not_ahead"),
+        F.count_if(F.coalesce(F.col("realization_date") <= F.col("observation_date"), F.lit(True))).alias("not_ahead"),
         F.count_if(bad).alias("not_finite"),
     )
+
+
+def require_dataset(rows: DataFrame, features: list[str], instrument: int | str | None = None) -> DataFrame:
+    """``rows``, or an error: no feature or two of one name, no rows, another instrument than the one given, or a row that breaks a rule."""
+    if not features or len(set(features)) != len(features):
+        raise InvalidArgument("features must be named, each by a name of its own")
+    report = dataset_report(rows, features)
+    wrong = F.lit(False) if instrument is None else F.col(ID) != instrument
+    bad = F.count_if((F.col("not_increasing") + F.col("not_ahead") + F.col("not_finite") > 0) | wrong)
+    n, broken = report.agg(F.sum("rows"), bad).first()
+    if not n or broken:
+        raise InvalidData(f"{broken} instruments break a rule" if n else "no rows")
+    return rows

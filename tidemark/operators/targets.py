@@ -11,7 +11,7 @@ from tidemark.errors import InvalidArgument
 from tidemark.functions.features import positive
 from tidemark.functions.scalars import ratio
 from tidemark.functions.windows import DATE, ID, series
-from tidemark.operators.adjust import BAR_KEY, dividends_by_date, splits_of
+from tidemark.operators.adjust import dividends_by_date, events_of, product, splits_of, within
 
 TARGETS = ("forward_return", "total_return")
 
@@ -42,17 +42,16 @@ def label(rows: DataFrame, target: Target, bars: DataFrame, actions: DataFrame |
         return rows.withColumn("target", forward).drop("_close_h")
     if actions is None:
         raise InvalidArgument("total_return needs corporate actions")
-    # The spans come from the bars, not from ``rows``: features are not computed for them again.
-    span = bars.select(*BAR_KEY, ahead(target.horizon)["realization_date"].alias("realization_date")).where("realization_date is not null")
-    inside = (F.col("ex_date") > F.col(DATE)) & (F.col("ex_date") <= F.col("realization_date"))
-    splits = span.join(splits_of(actions), ID).where(inside).groupBy(*BAR_KEY).agg(F.product("ratio").alias("_split"))
-    # Dividends are summed by ex-date and meet the bar of that day first; without one they have no price.
-    paid = dividends_by_date(actions).join(bars.select(ID, F.col(DATE).alias("ex_date"), F.col("close").alias("ex_close")), [ID, "ex_date"], "left")
-    grown = F.when(F.col("ex_close") > 0, 1 + F.col("dividend") / F.col("ex_close"))
-    paid = span.join(paid, ID).where(inside).groupBy(*BAR_KEY).agg(F.product(grown).alias("_paid"), F.count_if(grown.isNull()).alias("_bad"))
-    out = rows.join(splits, BAR_KEY, "left").join(paid, BAR_KEY, "left")
-    value = ratio(F.col("_close_h"), F.col("close") / F.coalesce("_split", F.lit(1.0))) * F.coalesce("_paid", F.lit(1.0)) - 1
-    return out.withColumn("target", F.when(F.coalesce("_bad", F.lit(0)) == 0, value)).drop("_close_h", "_split", "_paid", "_bad")
+    # Dividends are summed by ex-date and meet the bar of that day first; without one they have no price, and the label is null.
+    priced = dividends_by_date(actions).join(bars.select(ID, F.col(DATE).alias("ex_date"), F.col("close").alias("ex_close")), [ID, "ex_date"], "left")
+    grown = priced.select(ID, "ex_date", F.when(F.col("ex_close") > 0, 1 + F.col("dividend") / F.col("ex_close")).alias("grown"))
+    events = events_of(splits_of(actions), "ratio", "_splits").join(events_of(grown, "grown", "_paid"), ID, "full_outer")
+    out = rows.join(events, ID, "left")
+    split = product(within(F.col("_splits"), F.col(DATE), F.col("realization_date")))
+    paid = within(F.col("_paid"), F.col(DATE), F.col("realization_date"))
+    known = ~F.coalesce(F.exists(paid, lambda e: e["x"].isNull()), F.lit(False))
+    value = ratio(F.col("_close_h"), F.col("close") / split) * product(paid) - 1
+    return out.withColumn("target", F.when(known, value)).drop("_close_h", "_splits", "_paid")
 
 
 def add_target(bars: DataFrame, target: Target, actions: DataFrame | None = None) -> DataFrame:

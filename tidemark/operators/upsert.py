@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.schemas import KEYS
+
 INSERTED, UPDATED, SKIPPED = "inserted", "updated", "skipped"
 
 
@@ -46,5 +48,7 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def arrival_order(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(arrival)))).where("_n = 1").drop("_n")
+def save(incoming: DataFrame, target: DataFrame, table: str, arrival: str | None = None, surrogate: str | None = None) -> DataFrame:
+    """``upsert`` by the key that the schema names for the table; with ``arrival`` the last row to arrive of each key counts."""
+    keys = KEYS[table]
+    return upsert(last_arrivals(incoming, keys, arrival) if arrival else incoming, target, keys, surrogate)

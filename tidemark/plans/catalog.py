@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,12 @@ from tidemark.functions import scalars as X
 from tidemark.functions.features import Feature, add_features, true_range
 from tidemark.functions.scalars import tidy
 from tidemark.functions.windows import DATE, ID
-from tidemark.operators import adjust, calendar, lookups, quality, security_master, split, targets, upsert
+from tidemark.operators import adjust, calendar, ingestion, lookups, quality, security_master, split, targets, upsert
 from tidemark.plans import dataset
 from tidemark.plans.oracle import sql
-from tidemark.session import ship
+from tidemark.session import shared_dir, ship
 from tidemark.sources import domain, tables
+from tidemark.streaming.bars import BarStore, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,9 +120,24 @@ def bars_in_range(spark, d):
     return lookups.bars_in_range(domain.bars(spark, d), ONE, START, END)
 
 
-@register(f"SELECT * FROM bars WHERE date = DATE '{DAY}' AND instrument_id = {ONE}")
+@register(f"SELECT * FROM bars WHERE instrument_id = {ONE} AND date = (SELECT min(date) FROM bars WHERE instrument_id = {ONE} AND date >= DATE '{START}')")
 def bar_at_timestamp(spark, d):
-    return lookups.bar_at(domain.bars(spark, d), ONE, DAY)
+    """The first day from ``START`` on that has a bar is asked for."""
+    b = domain.bars(spark, d)
+    day = lookups.bars_in_range(b, ONE, START, "2099-12-31").agg(F.min(DATE)).first()[0]
+    return lookups.bar_at(b, ONE, str(day))
+
+
+@register(f"SELECT * FROM instruments WHERE instrument_id = {ONE}")
+def instrument_by_id(spark, d):
+    return lookups.by_id(domain.instruments(spark, d), ID, ONE)
+
+
+@register(f"SELECT b.* FROM bars b JOIN instruments i ON i.instrument_id = b.instrument_id WHERE i.symbol = 'SUPPLIER#000000007' QUALIFY row_number() OVER (ORDER BY date DESC) = 1")
+def latest_bar_by_symbol(spark, d):
+    i, e = domain.instruments(spark, d), domain.exchanges(spark, d)
+    code = lookups.instruments_with_exchange(i, e).where(F.col(ID) == ONE).first()["exchange_code"]
+    return lookups.latest_bar_by_symbol(domain.bars(spark, d), i, e, " supplier#000000007", code.lower())
 
 
 @register("SELECT * FROM exchanges WHERE code = 'NATION_3'")
@@ -142,7 +159,12 @@ def corporate_actions_on_date(spark, d):
 
 @register(f"SELECT * FROM records WHERE instrument_id = {ONE + 1} AND period_end = DATE '{DAY}'")
 def fundamentals_for_period(spark, d):
-    return domain.fundamentals(spark, d).where((F.col(ID) == ONE + 1) & (F.col("period_end") == F.lit(DAY).cast("date"))).orderBy("metric_name")
+    return lookups.fundamentals_of(domain.fundamentals(spark, d), ONE + 1, DAY)
+
+
+@register(f"SELECT * FROM records WHERE instrument_id = {ONE + 1} AND period_end = DATE '{DAY}' AND available_at <= DATE '1997-07-18'")
+def fundamentals_for_period_as_of(spark, d):
+    return lookups.fundamentals_of(domain.fundamentals(spark, d), ONE + 1, DAY, "1997-07-18")
 
 
 @register(f"SELECT * FROM records WHERE available_at IS NOT NULL AND available_at <= DATE '{DAY}' AND metric_name = '1-urgent'")
@@ -155,6 +177,17 @@ def holidays_in_range(spark, d):
     return calendar.holidays_in_range(domain.holidays(spark, d), START, END)
 
 
+@register("SELECT * FROM holidays WHERE exchange_id = 3 AND year(holiday_date) = 1997")
+def holidays_of_year(spark, d):
+    return calendar.holidays_of_year(domain.holidays(spark, d), 3, 1997)
+
+
+@register("SELECT * FROM holidays WHERE exchange_id = 3 AND holiday_date = (SELECT min(holiday_date) FROM holidays WHERE exchange_id = 3)")
+def holiday_on_day(spark, d):
+    h = domain.holidays(spark, d)
+    return calendar.holiday_on(h, 3, str(h.where("exchange_id = 3").agg(F.min("holiday_date")).first()[0]))
+
+
 @register("SELECT * FROM history WHERE instrument_id = 7")
 def instrument_history(spark, d):
     return domain.instrument_history(spark, d).where(F.col(ID) == ONE).orderBy("effective_from")
@@ -199,7 +232,7 @@ def bars_by_symbol(spark, d):
 
 
 @register(
-    """SELECT b.instrument_id, b.date, r.value, r.period_end FROM (SELECT instrument_id, date FROM bars WHERE instrument_id < 50) b ASOF LEFT JOIN
+    """SELECT b.instrument_id, b.date, r.value, r.period_end FROM (SELECT instrument_id, date FROM bars) b ASOF LEFT JOIN
        (SELECT instrument_id, available_at, arg_max(value, period_end) AS value, max(period_end) AS period_end FROM records
         WHERE metric_name = '1-urgent' AND available_at IS NOT NULL GROUP BY ALL) r
        ON r.instrument_id = b.instrument_id AND b.date >= r.available_at"""
@@ -368,9 +401,9 @@ def dense_features(spark, d):
 # Splits.
 
 
-def _parts(spark, d, embargo: int = 0) -> DataFrame:
+def _parts(spark, d, embargo: int = 0, purge: bool = True) -> DataFrame:
     rows = _labelled(spark, d).rows.select(ID, "observation_date", "realization_date")
-    return split.split(rows, split.SplitConfig(embargo=embargo))
+    return split.split(rows, split.SplitConfig(embargo=embargo, purge_overlap=purge))
 
 
 @register("SELECT instrument_id, observation_date, segment, status FROM parts", e=0)
@@ -383,6 +416,14 @@ def split_embargo(spark, d):
     return _parts(spark, d, 3).drop("realization_date")
 
 
+@register(
+    """SELECT instrument_id, observation_date, segment, CASE WHEN segment <> 'train' AND row_number() OVER (PARTITION BY instrument_id, segment ORDER BY observation_date) <= 3
+       THEN 'embargoed' ELSE 'kept' END AS status FROM seg"""
+)
+def split_without_purge(spark, d):
+    return _parts(spark, d, 3, purge=False).drop("realization_date")
+
+
 _N = "count(*) FILTER (segment = '{}' AND status = '{}') AS {}_{}"
 
 
@@ -406,10 +447,41 @@ def split_boundaries(spark, d):
     return split.boundaries(_parts(spark, d, 3))
 
 
-@register("SELECT instrument_id, count(*) AS rows, false AS leaks, 0::BIGINT AS extra, 0::BIGINT AS missing FROM labelled GROUP BY ALL")
+@register(
+    """SELECT p.instrument_id, p.observation_date, p.segment, 2 AS width, round(return_window_1, 6) + 0.0 AS x_0, round(sma_window_5, 6) + 0.0 AS x_1, round(target, 6) + 0.0 AS y
+       FROM parts p JOIN labelled l ON l.instrument_id = p.instrument_id AND l.observation_date = p.observation_date WHERE p.status = 'kept'""",
+    e=3,
+)
+def dense_by_segment(spark, d):
+    rows = _tidied(_labelled(spark, d).rows, [*NAMES, "target"])
+    parts = split.dense_parts(split.split(rows, split.SplitConfig(embargo=3)), NAMES[:2])
+    out = [x.select(ID, "observation_date", F.lit(s).alias("segment"), F.size("x").alias("width"), F.col("x")[0].alias("x_0"), F.col("x")[1].alias("x_1"), "y") for s, x in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+#: Parts that someone has changed: another status, a row less, a row twice, another segment; by the instrument's number.
+_TAMPERED = """WITH x AS (SELECT p.instrument_id, p.observation_date, realization_date, CASE WHEN p.instrument_id % 5 = 3 AND p.segment = 'val' THEN 'test' ELSE p.segment END AS segment,
+    CASE WHEN p.instrument_id % 5 = 0 THEN 'kept' ELSE status END AS status FROM parts p JOIN labelled l ON l.instrument_id = p.instrument_id AND l.observation_date = p.observation_date
+    WHERE NOT (p.instrument_id % 5 = 1 AND day(p.observation_date) = 7)),
+  t AS (SELECT * FROM x UNION ALL SELECT * FROM x WHERE instrument_id % 5 = 2 AND day(observation_date) = 9),
+  g AS (SELECT instrument_id, observation_date, count(*) AS n, min(segment) AS s, min(status) AS k FROM t GROUP BY ALL),
+  b AS (SELECT coalesce(g.instrument_id, p.instrument_id) AS instrument_id, coalesce(n, 0) AS n, CASE WHEN p.instrument_id IS NULL THEN 0 ELSE 1 END AS m, s <> p.segment AS moved, k <> p.status AS judged
+        FROM g FULL JOIN parts p ON p.instrument_id = g.instrument_id AND p.observation_date = g.observation_date),
+  o AS (SELECT instrument_id, max(realization_date) FILTER (segment = 'train' AND status = 'kept') AS r1, max(realization_date) FILTER (segment IN ('train', 'val') AND status = 'kept') AS r2,
+        min(observation_date) FILTER (segment = 'val' AND status = 'kept') AS v, min(observation_date) FILTER (segment = 'test' AND status = 'kept') AS u FROM t GROUP BY ALL)
+SELECT b.instrument_id, sum(n)::BIGINT AS rows, sum(greatest(n - m, 0))::BIGINT AS extra, sum(greatest(m - n, 0))::BIGINT AS missing, count(*) FILTER (moved) AS misplaced, count(*) FILTER (judged) AS misjudged,
+    any_value(coalesce(v < r1, false) OR coalesce(u < r2, false)) AS leaks FROM b JOIN o ON o.instrument_id = b.instrument_id GROUP BY b.instrument_id"""
+
+
+@register(_TAMPERED, e=3)
 def verify_split(spark, d):
-    rows = _labelled(spark, d).rows.select(ID, "observation_date", "realization_date")
-    return split.verify(split.split(rows, split.SplitConfig(embargo=3)), rows)
+    rows, config = _labelled(spark, d).rows.select(ID, "observation_date", "realization_date"), split.SplitConfig(embargo=3)
+    kind, day = F.col(ID) % 5, F.day("observation_date")
+    parts = split.split(rows, config).where(~((kind == 1) & (day == 7)))
+    parts = parts.withColumns(
+        {"segment": F.when((kind == 3) & (F.col("segment") == "val"), "test").otherwise(F.col("segment")), "status": F.when(kind == 0, "kept").otherwise(F.col("status"))}
+    )
+    return split.verify(parts.unionByName(parts.where((kind == 2) & (day == 9))), rows, config)
 
 
 # Ingestion.
@@ -453,13 +525,92 @@ def duplicate_bar_dates(spark, d):
     return upsert.duplicates(li, [ID, DATE])
 
 
+_RANGE = "DATE '1992-01-01' AND DATE '2000-12-31'"
+_RUN = """v AS (SELECT b.instrument_id, i, {rules} AS violation, row_number() OVER () AS k FROM batch b),
+  e AS (SELECT instrument_id, arg_min(violation, i) FILTER (violation IS NOT NULL) AS error_message FROM v GROUP BY ALL),
+  c AS (SELECT b.instrument_id, count(*) AS r, count(*) FILTER (s.instrument_id IS NULL) AS n, count(*) FILTER ({same}) AS p FROM batch b JOIN e ON e.instrument_id = b.instrument_id
+        LEFT JOIN store s ON {on} WHERE error_message IS NULL GROUP BY ALL)
+SELECT coalesce(q.instrument_id, e.instrument_id) AS instrument_id, '{kind}' AS ingestion_type, CASE WHEN error_message IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status, coalesce(r, 0) AS received_count,
+    coalesce(n, 0) AS inserted_count, coalesce(r - n - p, 0) AS updated_count, coalesce(p, 0) AS skipped_count, error_message
+FROM (SELECT instrument_id FROM instruments WHERE instrument_id % 7 <> 3 {more}) q FULL JOIN e ON e.instrument_id = q.instrument_id LEFT JOIN c ON c.instrument_id = e.instrument_id"""
+
+
+@register(
+    f"""WITH batch AS (SELECT instrument_id, CASE WHEN instrument_id % 6 = 2 AND {_D} % 60 = 0 THEN CAST(date + INTERVAL 20 YEAR AS DATE) ELSE date END AS date, open,
+          CASE WHEN instrument_id % 6 = 0 AND {_D} % 50 = 0 THEN low - 1 ELSE high END AS high, low, CASE WHEN instrument_id % 6 = 0 THEN low ELSE close END AS close, volume, {_D} AS i FROM incoming
+          UNION ALL SELECT instrument_id, date, open, high, low, close, volume, {_D} + 100000 FROM incoming WHERE instrument_id % 6 = 1 AND {_D} % 97 = 0),
+        store AS (SELECT * FROM stored), """
+    + _RUN.format(
+        kind="price",
+        rules=f"""CASE WHEN instrument_id % 7 = 3 THEN 'unknown_instrument' WHEN NOT date BETWEEN {_RANGE} THEN 'out_of_range'
+          WHEN row_number() OVER (PARTITION BY instrument_id, date ORDER BY i) > 1 THEN 'duplicate' WHEN least(open, high, low, close, volume) < 0 THEN 'negative' WHEN high < low THEN 'high_below_low'
+          WHEN open < low OR open > high THEN 'open_out_of_range' WHEN close < low OR close > high THEN 'close_out_of_range' END""",
+        same="s.open = b.open AND s.high = b.high AND s.low = b.low AND s.close = b.close AND s.volume = b.volume",
+        on="s.instrument_id = b.instrument_id AND s.date = b.date",
+        more="",
+    )
+)
+def price_ingestion_run(spark, d):
+    b = domain.bars(spark, d)
+    new, kind, i = domain.incoming_bars(b).where("arrival = 1").drop("arrival"), F.col(ID) % 6, _day(DATE)
+    again = new.where((kind == 1) & (i % 97 == 0)).withColumn("batch_index", i + 100_000)
+    new = new.withColumn("batch_index", i).withColumns(
+        {
+            DATE: F.when((kind == 2) & (i % 60 == 0), F.add_months(DATE, 240)).otherwise(F.col(DATE)),
+            "high": F.when((kind == 0) & (i % 50 == 0), F.col("low") - 1).otherwise(F.col("high")),
+            "close": F.when(kind == 0, F.col("low")).otherwise(F.col("close")),
+        }
+    )
+    requested = domain.instruments(spark, d).where(F.col(ID) % 7 != 3)
+    return ingestion.ingest_bars(new.unionByName(again), domain.stored_bars(b), requested, "1992-01-01", "2000-12-31").runs
+
+
+@register(
+    f"""WITH batch AS (SELECT instrument_id, period_end, metric_name, fiscal_year, fiscal_quarter, {_CHANGED} AS value, published_at,
+          CASE WHEN instrument_id % 10 = 3 AND month(period_end) = 9 THEN CAST(available_at - 30 AS DATE) ELSE available_at END AS available_at,
+          date_diff('day', DATE '1995-01-01', period_end) * 10 + CAST(metric_name[1] AS INT) AS i FROM records),
+        store AS (SELECT * FROM records WHERE instrument_id % 4 <> 0), """
+    + _RUN.format(
+        kind="fundamentals",
+        rules=f"""CASE WHEN instrument_id % 7 = 3 THEN 'unknown_instrument' WHEN NOT period_end BETWEEN {_RANGE} THEN 'out_of_range' WHEN available_at < published_at THEN 'available_before_published' END""",
+        same="s.value = b.value AND s.published_at IS NOT DISTINCT FROM b.published_at AND s.available_at IS NOT DISTINCT FROM b.available_at",
+        on="s.instrument_id = b.instrument_id AND s.period_end = b.period_end AND s.metric_name = b.metric_name AND s.fiscal_year IS NOT DISTINCT FROM b.fiscal_year AND s.fiscal_quarter IS NOT DISTINCT FROM b.fiscal_quarter",
+        more="UNION SELECT instrument_id FROM records WHERE instrument_id % 7 <> 3",
+    )
+)
+def fundamentals_ingestion_run(spark, d):
+    r = domain.fundamentals(spark, d)
+    new = r.withColumns(
+        {
+            "value": F.when(F.month("period_end") == 6, F.col("value") + 1).otherwise(F.col("value")),
+            "available_at": F.when((F.col(ID) % 10 == 3) & (F.month("period_end") == 9), F.date_sub("available_at", 30)).otherwise(F.col("available_at")),
+            "batch_index": _day("period_end") * 10 + F.substring("metric_name", 1, 1).cast("int"),
+        }
+    )
+    requested = domain.instruments(spark, d).select(ID).union(r.select(ID)).where(F.col(ID) % 7 != 3)
+    return ingestion.ingest_fundamentals(new, r.where(F.col(ID) % 4 != 0), requested, "1992-01-01", "2000-12-31").runs
+
+
+@register("SELECT * FROM incoming")
+def bars_streamed(spark, d):
+    """Two files arrive one after the other, the second with the valid closes of bars that the first has wrong."""
+    bars = domain.incoming_bars(domain.bars(spark, d))
+    at = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex[:12]}"
+    store = BarStore(spark, f"{at}/bars", bars.drop("arrival").schema, buckets=8)
+    for i in (0, 1):
+        bars.where(F.col("arrival") == i).write.parquet(f"{at}/in/{i}")
+        stream = spark.readStream.schema(bars.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        ingest(stream, store, f"{at}/checkpoint").awaitTermination()
+    return store.read()
+
+
 # Quality.
 
 
 @register(
     f"""WITH v AS (SELECT event_id AS batch_index, user_id AS instrument_id, CAST(ts AS DATE) AS date, CASE WHEN user_id <> 3 THEN 'wrong_instrument'
           WHEN NOT CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' THEN 'out_of_range'
-          WHEN row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) > 1 THEN 'duplicate' END AS violation FROM events WHERE user_id < 10)
+          WHEN row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) > 1 THEN 'duplicate' END AS violation FROM events)
         SELECT *, batch_index = min(batch_index) OVER () AS is_first FROM v WHERE violation IS NOT NULL"""
 )
 def dq_bar_batch(spark, d):
@@ -533,9 +684,22 @@ def dq_corporate_actions(spark, d):
     return quality.violations(broken, quality.action_rules())
 
 
-@register("SELECT instrument_id, count(*) AS rows, 0::BIGINT AS not_increasing, 0::BIGINT AS not_ahead, 0::BIGINT AS not_finite FROM labelled GROUP BY ALL")
+@register(
+    """WITH x AS (SELECT instrument_id, observation_date, CASE WHEN instrument_id % 4 = 1 AND day(observation_date) = 6 THEN observation_date ELSE realization_date END AS realization_date,
+         CASE WHEN instrument_id % 4 = 0 AND day(observation_date) = 5 THEN NULL ELSE target END AS target FROM labelled),
+       y AS (SELECT * FROM x UNION ALL SELECT * FROM x WHERE instrument_id % 4 = 2 AND day(observation_date) = 8)
+       SELECT instrument_id, count(*) AS rows, count(*) FILTER (again) AS not_increasing, count(*) FILTER (realization_date <= observation_date) AS not_ahead, count(*) FILTER (target IS NULL) AS not_finite
+       FROM (SELECT *, lag(observation_date) OVER (PARTITION BY instrument_id ORDER BY observation_date) >= observation_date AS again FROM y) GROUP BY ALL"""
+)
 def dq_dataset(spark, d):
-    return quality.dataset_report(_labelled(spark, d).rows, NAMES)
+    kind, day = F.col(ID) % 4, F.day("observation_date")
+    rows = _labelled(spark, d).rows.withColumns(
+        {
+            "realization_date": F.when((kind == 1) & (day == 6), F.col("observation_date")).otherwise(F.col("realization_date")),
+            "target": F.when((kind == 0) & (day == 5), F.lit(float("nan"))).otherwise(F.col("target")),
+        }
+    )
+    return quality.dataset_report(rows.unionByName(rows.where((kind == 2) & (day == 8))), NAMES)
 
 
 # Reference data.
@@ -560,6 +724,20 @@ def scd2_symbol_change(spark, d):
     return security_master.change_symbols(domain.instrument_history(spark, d), changes)
 
 
+@register(
+    """SELECT instrument_id + 1000000 AS instrument_id, instrument_id % 5 AS company_id, i.exchange_id, 'X_' || symbol AS symbol, 'IN' || lpad(CAST(instrument_id AS VARCHAR), 9, '0') || '7' AS isin,
+       'active' AS status FROM instruments i WHERE instrument_id % 9 = 0"""
+)
+def register_instruments(spark, d):
+    old, ex = domain.instruments(spark, d), domain.exchanges(spark, d)
+    new = lookups.instruments_with_exchange(old, ex).where(F.col(ID) % 9 == 0).select(
+        (F.col(ID) + 1_000_000).alias(ID), (F.col(ID) % 5).alias("company_id"), F.lower("exchange_code").alias("code"), F.concat(F.lit(" x_"), "symbol").alias("symbol"),
+        F.concat(F.lit("in"), F.lpad(F.col(ID).cast("string"), 9, "0"), F.lit("7")).alias("isin"),
+    )
+    companies = spark.range(5).select(F.col("id").alias("company_id"))
+    return security_master.register_instruments(new, old, companies, ex, "2000-01-01")[0]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled dataset with total returns."""
     return QUERIES["dataset_total"](spark, sf_dir)

@@ -101,4 +101,5 @@ def sql(body: str, **values: object) -> str:
         for k in ("e", "cut"):
             text = text.replace("{" + k + "}", str(values.get(k, "")))
         parts.append(f"{name} AS {'' if name in _RECURSIVE else 'MATERIALIZED '}({text})")
-    return f"WITH {'RECURSIVE ' if _RECURSIVE & set(order) else ''}" + ",\n".join(parts) + "\n" + body
+    rest = ",\n" + body.removeprefix("WITH ") if body.startswith("WITH ") else "\n" + body
+    return f"WITH {'RECURSIVE ' if _RECURSIVE & set(order) else ''}" + ",\n".join(parts) + rest

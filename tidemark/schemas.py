@@ -31,6 +31,10 @@ TABLES: dict[str, T.StructType] = {
 #: Keys that a table holds once.
 KEYS: dict[str, list[str]] = {
     "exchanges": ["code"],
+    "companies": ["company_id"],
+    "instruments": ["instrument_id"],
+    "instrument_history": ["history_id"],
+    "ingestion_runs": ["run_id"],
     "market_holidays": ["exchange_id", "holiday_date"],
     "market_bars": ["instrument_id", "timestamp"],
     "corporate_actions": ["instrument_id", "execution_date", "action_type"],

@@ -15,9 +15,17 @@ def _days(d):
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of each supplier from line items: ``instrument_id``, ``date``, OHLC, ``volume``."""
+    """Daily bars of each supplier from line items: ``instrument_id``, ``date``, OHLC, ``volume``.
+
+    First and last go by order, line, part and price (order and line repeat). As one decimal they fit a hash aggregation; a struct
+    would need a sort. Digits: 12 for orders, 2 for lines, 12 for parts, 12 for prices in cents.
+    """
     li = table(spark, sf_dir, "lineitem")
-    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")  # (order, line) repeats
+    whole = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
+    key = (whole("l_orderkey", 12) * F.lit(100).cast("decimal(3,0)") + whole("l_linenumber", 2)).cast("decimal(14,0)")
+    key = (key * F.lit(10**12).cast("decimal(13,0)") + whole("l_partkey", 12)).cast("decimal(26,0)")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(12,0)")
+    key = (key * F.lit(10**12).cast("decimal(13,0)") + cents).cast("decimal(38,0)")
     return li.groupBy(F.col("l_suppkey").alias("instrument_id"), F.to_date("l_shipdate").alias("date")).agg(
         F.min_by("l_extendedprice", key).alias("open"),
         F.max("l_extendedprice").alias("high"),

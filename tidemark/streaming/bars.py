@@ -11,39 +11,63 @@ from tidemark.functions.windows import DATE, ID
 from tidemark.operators.upsert import classify, counts, last_arrivals, upsert
 
 VALUES = ["open", "high", "low", "close", "volume"]
+BUCKETS, KEPT_VERSIONS = 64, 2
 
 
 class BarStore:
-    """A table of bars as numbered Parquet versions; the newest complete one counts.
+    """A table of bars in buckets of instruments; each bucket has numbered Parquet versions, and the newest complete one counts.
 
-    A batch writes version ``batch + 1`` from the version before it, so a batch that is run again gives the same table.
+    A batch rewrites the buckets that it touches only: version ``batch + 1``, from the version before it. So a batch that is run again
+    gives the same table. Of each bucket the newest ``KEPT_VERSIONS`` versions stay.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest version (below ``before``); empty if there is none."""
-        versions = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={max(versions)}") if versions else self.spark.createDataFrame([], self.schema)
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The newest versions (below ``before``) of all buckets, or of some; empty if there are none."""
+        newest: dict[int, int] = {}
+        for b, v in self._versions():
+            if (before is None or v < before) and (buckets is None or b in buckets):
+                newest[b] = max(v, newest.get(b, v))
+        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in sorted(newest.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _names(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _versions(self) -> list[tuple[int, int]]:
+        """Bucket and version of all that is complete."""
+        out = []
+        for v in (n for n in self._names(self.path) if n.startswith("v=")):
+            inside = self._names(f"{self.path}/{v}")
+            out += [(int(b[7:]), int(v[2:])) for b in inside if b.startswith("bucket=")] if "_SUCCESS" in inside else []
+        return out
 
     def apply(self, batch: DataFrame, number: int) -> DataFrame:
         """Upsert one batch (columns of the table and ``arrival``); returns the audit counts of each instrument."""
-        target = self.read(before=number + 1)
+        bucket = F.pmod(F.xxhash64(ID), F.lit(self.buckets)).cast("int")
+        touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())  # BUCKETS numbers
+        target = self.read(number + 1, touched)
         new = last_arrivals(batch, [ID, DATE], "arrival")
         audit = counts(classify(new, target, [ID, DATE], VALUES), [ID])
-        result = audit.collect()  # one row for each instrument of the batch
-        upsert(new, target, [ID, DATE]).write.mode("overwrite").parquet(f"{self.path}/v={number + 1}")
-        return self.spark.createDataFrame(result, audit.schema)
+        out = upsert(new, target, [ID, DATE]).withColumn("bucket", bucket).repartition("bucket")
+        audit.write.mode("overwrite").parquet(f"{self.path}/audit/v={number + 1}")
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={number + 1}")
+        self._forget(touched, number + 1)
+        return self.spark.read.schema(audit.schema).parquet(f"{self.path}/audit/v={number + 1}")
+
+    def _forget(self, buckets: list[int], upto: int) -> None:
+        """Delete what is older than the versions that stay, in the buckets that have got a new one."""
+        for b in buckets:
+            for v in sorted(v for x, v in self._versions() if x == b and v <= upto)[:-KEPT_VERSIONS]:
+                fs, at = self._fs(f"{self.path}/v={v}/bucket={b}")
+                fs.delete(at, True)
 
 
 def ingest(stream: DataFrame, store: BarStore, checkpoint: str) -> StreamingQuery:

@@ -1,20 +1,22 @@
 """MinHash document fingerprints.
 
 A text is the set of its five-word shingles (fewer words: the whole sequence; none: the empty set). Each of
-``PERMUTATIONS`` universal hash functions (multiply, add, keep the high bits) keeps its least value over the set; the
-fingerprint is the low 16 bits of each. Two fingerprints agree in a share of places that estimates the Jaccard similarity.
-
-``edited_likeness`` compares each text with an edited text that takes its end from the next document. Neighbours come by
-sorting within ranges of ids: one shuffle of the texts. Range bounds are ids that occur, so the first row of a range is
-known beforehand and is sent to its neighbour as well.
+``PERMUTATIONS`` universal hash functions (multiply and add, modulo 2^64) keeps its least value over the set; the fingerprint
+holds ``BITS`` middle bits of each. Two fingerprints agree in a share of places that estimates the Jaccard similarity.
 
 ``similar_classes`` joins signature bands in Spark and verifies the Jaccard similarity of the shingle sets: equal sets are one
 class, and all classes that share a band are compared. A band of more than ``jaccard_join.HOT`` classes is a block: its classes meet
 chunk by chunk in tasks of bounded size, and only links that join two parts of a block leave it. Links go through connected
 components.
 
-Defined results: null text is empty text; rows with equal ids are ordered by a hash of the text; null ids come last (least);
-with one document, it is its own next; an empty table gives no rows.
+``edited_likeness`` compares each text with an edited text that takes its end from the next document. Neighbours come by
+sorting within ranges of ids: one shuffle of the texts. Range bounds are ids that occur, so the first row of a range is
+known beforehand and is sent to its neighbour as well. An id that very many rows have, and rows without an id, are one range:
+it is read in a stream, so it costs time, not memory.
+
+Defined results: null text is empty text; rows with equal ids are ordered by a hash of the text, equal texts in any order;
+null ids come last (least), and any long is an id; with one document, it is its own next; repeated rows are rows of their own; a
+very long text is one row; other columns are carried by ``edited_likeness`` only if asked for; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join
-from tidemark.llm.graph import connected_components
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.words import blocks, gram_hashes, mix, shingle_lists
 
@@ -69,7 +70,7 @@ def _groups(size: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def codes(sig: np.ndarray) -> np.ndarray:
-    """What a fingerprint holds: the high bits of each least value are all small, the middle ones tell values apart."""
+    """What a fingerprint holds: bits 24 to 39. The high bits of each least value are all small, the middle ones tell values apart."""
     return ((sig >> np.uint64(24)) & np.uint64(2**BITS - 1)).astype(">u2")
 
 
@@ -102,11 +103,12 @@ def _bounds(docs: DataFrame, doc: str) -> tuple[list[int], int | None]:
     return sorted(set(docs.agg(F.percentile_approx(doc, at, 100_000)).first()[0])), top
 
 
-def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text and its edited text, and their likeness; see the module."""
-    bounds, top = _bounds(docs.select(doc), doc)
+def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text", label: str | None = None) -> DataFrame:
+    """Fingerprints of each text and its edited text, and their likeness; see the module. ``label``: a long to carry along."""
+    bounds, top = _bounds(docs.select(F.col(doc).cast("long").alias(doc)), doc)
     ranges = len(bounds) + 1
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    carried = (F.col(label) if label else F.lit(None)).cast("long").alias("label")
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), carried)
     at = F.col("doc_id")
     number = F.lit(0)
     if bounds:  # two levels, so that a row passes about twice the square root of the number of bounds
@@ -120,8 +122,10 @@ def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     lower = F.when(at.isin(bounds), number + 1) if bounds else F.lit(None)
     wrap = F.when(at == F.lit(top), F.lit(0)) if top is not None else F.lit(0)
     to = F.array_compact(F.array(F.struct(number.cast("int").alias("r"), F.lit(False).alias("copy")), F.when(lower.isNotNull(), F.struct(lower.cast("int").alias("r"), F.lit(True).alias("copy"))), F.when(wrap.isNotNull(), F.struct(wrap.cast("int").alias("r"), F.lit(True).alias("copy")))))
-    dealt = rows.withColumn("_to", F.explode(to)).select("_to.r", "_to.copy", "doc_id", "text", F.xxhash64("text").alias("_h"))
-    ordered = dealt.repartitionById(ranges, F.col("r")).sortWithinPartitions("r", "copy", F.desc_nulls_last("doc_id"), "_h")
+    # Numbers that can be null go to the workers with a flag: as floats they would lose digits.
+    flagged = [x for c in ("doc_id", "label") for x in (F.coalesce(c, F.lit(0)).alias(c), F.col(c).isNull().alias(f"no_{c}"))]
+    dealt = rows.withColumn("_to", F.explode(to)).select("_to.r", "_to.copy", "doc_id", "label", "text", F.xxhash64("text").alias("_h"))
+    ordered = dealt.repartitionById(ranges, F.col("r")).sortWithinPartitions("r", "copy", F.desc_nulls_last("doc_id"), "_h").select("r", "copy", "text", *flagged)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Holds back the last row of what has come, until its next one is there."""
@@ -129,8 +133,8 @@ def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
         done: int | None = None  # the range whose copies have begun: its last row is complete
         for pdf in batches:
             pairs: list[tuple] = []
-            ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            for r, copy, d, t in zip(pdf["r"], pdf["copy"], ids, pdf["text"], strict=True):
+            keys = zip(pdf["doc_id"], pdf["no_doc_id"], pdf["label"], pdf["no_label"], strict=True)
+            for r, copy, key, t in zip(pdf["r"], pdf["copy"], keys, pdf["text"], strict=True):
                 if copy:
                     if done != r and held is not None:
                         pairs.append((*held, t))
@@ -139,12 +143,15 @@ def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
                 else:
                     if held is not None:
                         pairs.append((*held, t))
-                    held = (d, t)
+                    held = (key, t)
             yield from _compare(pairs)
 
-    return ordered.mapInPandas(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    numbers = "doc_id long, no_doc_id boolean, label long, no_label boolean"
+    found = ordered.mapInPandas(
+        run, f"{numbers}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
+    found = found.withColumns({c: F.when(~F.col(f"no_{c}"), F.col(c)) for c in ("doc_id", "label")}).drop("no_doc_id", "no_label")
+    return found.withColumnRenamed("label", label) if label else found.drop("label")
 
 
 def _compare(pairs: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -162,7 +169,7 @@ def _compare(pairs: list[tuple]) -> Iterator[pd.DataFrame]:
                 nxt[i] = fingerprint_texts([following[a + i]])[0]
         yield pd.DataFrame(
             {
-                "doc_id": pd.array([p[0] for p in pairs[a:b]], "Int64"),
+                **{c: [p[0][i] for p in pairs[a:b]] for i, c in enumerate(("doc_id", "no_doc_id", "label", "no_label"))},
                 "n_chars": [len(t) for t in texts[a:b]],
                 "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
                 "fingerprint": to_text(own),
@@ -179,27 +186,27 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return np.stack([mix(gram_hashes(np.ravel(p), BAND_ROWS)[:: BAND_ROWS] ^ np.uint64(i)) for i, p in enumerate(parts)], axis=1).view(np.int64)
 
 
-def _set_digest(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(mix(s).sum(dtype=np.uint64).astype(np.int64))
-
+def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = SIMILAR_PERCENT, scratch: Scratch | None = None) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``class_id`` (the least id reachable by verified links, null last) of every row.
 
-def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """``doc_id`` and ``class_id`` (least id reachable by verified links) of every row; a text without words is alone."""
-    scratch = Scratch(docs.sparkSession, "fingerprints")
-    own = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    A text without words is alone. Rows of one id are judged each by its own text; repeated rows stay. An empty table gives no rows.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "fingerprints")
+    own = jaccard_join.identified(docs, doc, text)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = list(pdf["text"])
             for a, b in blocks(texts):
                 sets = [np.unique(s) for s in shingle_lists(texts[a:b], SHINGLE)]
-                yield pd.DataFrame(
-                    {"doc": pdf["doc"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "s": [_set_digest(s) for s in sets], "bands": list(band_hashes(signatures(sets)))}
-                )
-
-    described = scratch.write(own.mapInPandas(describe, "doc long, n int, s long, bands array<long>"), "described")
-    classes = scratch.write(described.where("n > 0").groupBy("s", "n").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "classes")
+                digests = np.array([jaccard_join.digest(s) for s in sets], np.int64).reshape(-1, 2)
+                made = {"n": [len(s) for s in sets], "s1": digests[:, 0], "s2": digests[:, 1], "bands": list(band_hashes(signatures(sets)))}
+                yield pd.DataFrame({c: pdf[c].iloc[a:b].to_numpy() for c in ("doc", "no", "t")} | made)
+
+    described = own.mapInPandas(describe, "doc long, no boolean, t long, n int, s1 long, s2 long, bands array<long>")
+    described = scratch.write(jaccard_join.with_ids(described), "described")
+    by = ["s1", "s2", "n"]
+    classes = jaccard_join.number_classes(described, by, scratch, F.first("bands").alias("bands"))
     bands = scratch.write(classes.select("rep", "n", F.explode("bands").alias("band")), "bands")
     held = bands.groupBy("band").count().where("count > 1")
     few, big = held.where(F.col("count") <= jaccard_join.HOT).select("band"), held.where(F.col("count") > jaccard_join.HOT).select("band")
@@ -207,33 +214,27 @@ def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     right = left.select("band", F.col("rep").alias("b"), F.col("n").alias("m"))
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("rep") < F.col("b"))
     pairs = scratch.write(left.join(right, "band").where(fits).select(F.col("rep").alias("a"), "b").distinct(), "pairs")
-    crowded = bands.join(big, "band").select(F.col("band").alias("key"), "rep", "n")
-    block_rows = scratch.write(jaccard_join._block_rows(crowded, percent), "blocks")
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(block_rows.select("rep")).distinct()
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc": pdf["doc"], "elements": [np.unique(s).tobytes() for a, b in blocks(list(pdf["text"])) for s in shingle_lists(list(pdf["text"])[a:b], SHINGLE)]})
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([p, q]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    sets = scratch.write(own.join(wanted, "doc", "left_semi").mapInPandas(whole, "doc long, elements binary"), "sets")
-    x, y = sets.select(F.col("doc").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc").alias("b"), F.col("elements").alias("y"))
-    links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = jaccard_join.block_links(pdf["rep"].to_numpy(), [np.frombuffer(e, np.uint64) for e in pdf["elements"]], percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    joined = block_rows.join(sets.withColumnRenamed("doc", "rep"), "rep").groupBy("key", "band", "i", "j").applyInPandas(block, "a long, b long")
-    found = connected_components(links.unionByName(joined), scratch)
-    back = described.select("doc", "n", "s").join(classes.select("s", "n", "rep"), ["s", "n"], "left").join(found, F.col("rep") == F.col("node"), "left")
-    return back.select(F.col("doc").alias("doc_id"), F.coalesce("component", "rep", "doc").alias("class_id"))
+    crowded = scratch.write(bands.join(big, "band").select(F.col("band").alias("key"), "rep", "n"), "blocks")
+    asked = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowded.select("rep"))
+    sets = jaccard_join.class_sets(own, classes, asked, SHINGLE, scratch)
+    edges = jaccard_join.verified(pairs, sets, percent).unionByName(jaccard_join._block_edges(crowded, sets, percent, scratch))
+    found = jaccard_join.component_ids(edges, classes, scratch)
+    scratch.drop("bands", "pairs", "blocks", "wanted", "sets", "sets_once", *jaccard_join.BLOCK_TABLES)
+    back = described.select("doc", "t", *by).join(classes.select(*by, "rep", "least"), by, "left").join(found, "rep", "left")
+    class_id = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.coalesce("least", "doc"))
+    return back.select(F.col("doc").alias("doc_id"), F.col("t").alias("text_hash"), class_id.alias("class_id"))
+
+
+def fingerprint_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``edited_likeness`` with ``class_id`` of ``similar_classes`` for each row.
+
+    Only rows that aren't the first of their class are listed for the join: a broadcast up to a checked number, a shuffle beyond.
+    """
+    scratch = Scratch(docs.sparkSession, "fingerprints")
+    found = similar_classes(docs, doc, text, scratch=scratch).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).distinct()
+    found = scratch.write(found.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias("t"), "class_id"), "linked")
+    scratch.drop("described", "classes", "numbers")
+    ident = F.col(doc).cast("long")
+    rows = docs.select(ident.alias("doc_id"), F.col(text).alias("text"), F.coalesce(ident, F.lit(0)).alias("d"), ident.isNull().alias("none"), F.xxhash64(F.col(text).cast("string")).alias("t"))
+    rows = rows.join(F.broadcast(found) if found.count() <= jaccard_join.MAX_SPREAD_IDS else found, ["d", "none", "t"], "left")
+    return edited_likeness(rows.select("doc_id", "text", F.coalesce("class_id", "doc_id").alias("class_id")), label="class_id")

@@ -3,19 +3,21 @@
 Rows fall into P buckets. How many rows each bucket sends to each shard is drawn from the multivariate hypergeometric
 distribution, which is the law these counts follow in a uniform shuffle with fixed shard sizes. Each bucket permutes its
 rows and deals them out by its row of the matrix; each shard permutes what it receives. Bucket, permutations and matrix
-depend on nothing but the seed and the rows, so a task that runs again on another executor does the same.
+depend on nothing but the seed and the rows, so a task that runs again on another executor does the same. Rows that are equal
+in ``ids`` are ordered by a hash of all their columns; what still ties is equal in everything, so it can't be told apart.
 
 Shard sizes differ by one row at most. Work is split by bucket, and within a shard by sub-bucket: no task holds a shard.
 The matrix has at most ``MAX_BUCKETS`` rows; counts of buckets and sub-buckets are all that reaches the driver or is joined.
 
-Defined results: a null text has no bytes; null ids are ids like others; repeated rows are dealt out like others (equal
-rows may trade places with no visible change); an empty table gives no rows; other columns are carried along.
+Defined results: a null text has no bytes; very long texts are rows like others; null ids are ids like others; repeated rows
+are dealt out like others; an empty table gives no rows; other columns are carried along, but ``shard`` and ``slot`` are
+replaced, and columns that begin with ``_sh_`` are the operator's own.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 4096
@@ -39,37 +41,39 @@ def draw_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def shard_rows(df: DataFrame, ids: list[str], shards: int = 24, seed: int = 17, buckets: int | None = None) -> DataFrame:
+def shard_rows(df: DataFrame, ids: list[str | Column], shards: int = 24, seed: int = 17, buckets: int | None = None) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
-    ``ids``: columns whose hash deals rows to buckets and orders permutations; ``df`` is read three times.
+    ``ids``: columns (or expressions) whose hash deals rows to buckets and orders permutations; ``df`` is read three times.
     """
     spark: SparkSession = df.sparkSession
     n = df.count() if buckets is None else None
     p = buckets or int(min(MAX_BUCKETS, max(256, -(-n // ROWS_PER_BUCKET))))
     h = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *ids)
-    keyed = df.withColumns({"_b": F.pmod(h(1), F.lit(p)).cast("int"), "_k": h(2), "_s": h(3)})
+    rest = [F.col(c).cast("string") if "map<" in kind else F.col(c) for c, kind in df.dtypes if c not in [i for i in ids if isinstance(i, str)]]
+    every = F.xxhash64(F.lit(seed), *rest, *[c.isNull() for c in rest])
+    keyed = df.withColumns({"_sh_b": F.pmod(h(1), F.lit(p)).cast("int"), "_sh_k": h(2), "_sh_s": h(3), "_sh_e": every})
     counts = np.zeros(p, np.int64)
-    for b, c in keyed.groupBy("_b").count().collect():  # at most MAX_BUCKETS rows
+    for b, c in keyed.groupBy("_sh_b").count().collect():  # at most MAX_BUCKETS rows
         counts[b] = c
     upto = np.cumsum(draw_matrix(counts, shards, seed), axis=1)
-    plan = spark.createDataFrame([(i, [int(x) for x in upto[i]]) for i in range(p)], "_b int, _upto array<long>")
-    local = Window.partitionBy("_b").orderBy("_k", "_s", *ids)
+    plan = spark.createDataFrame([(i, [int(x) for x in upto[i]]) for i in range(p)], "_sh_b int, _sh_upto array<long>")
+    local = Window.partitionBy("_sh_b").orderBy("_sh_k", "_sh_s", *ids, "_sh_e")
     dealt = (
-        keyed.withColumn("_r", F.row_number().over(local))
-        .join(F.broadcast(plan), "_b")  # MAX_BUCKETS rows of ``shards`` counts
-        .withColumn("shard", F.size(F.filter("_upto", lambda u: u < F.col("_r"))).cast("int"))
-        .drop("_upto", "_r")
+        keyed.drop("shard", "slot").withColumn("_sh_r", F.row_number().over(local))
+        .join(F.broadcast(plan), "_sh_b")  # MAX_BUCKETS rows of ``shards`` counts
+        .withColumn("shard", F.size(F.filter("_sh_upto", lambda u: u < F.col("_sh_r"))).cast("int"))
+        .drop("_sh_upto", "_sh_r")
     )
     # The second permutation: a random sub-bucket first, then a random order within it.
-    dealt = dealt.withColumn("_q", F.pmod(h(4), F.lit(p)).cast("int"))
-    inner = Window.partitionBy("shard", "_q").orderBy("_s", "_k", *ids)
-    sizes = dealt.groupBy("shard", "_q").count()
-    before = Window.partitionBy("shard").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_q", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    dealt = dealt.withColumn("_sh_q", F.pmod(h(4), F.lit(p)).cast("int"))
+    inner = Window.partitionBy("shard", "_sh_q").orderBy("_sh_s", "_sh_k", *ids, "_sh_e")
+    sizes = dealt.groupBy("shard", "_sh_q").count()
+    before = Window.partitionBy("shard").orderBy("_sh_q").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "_sh_q", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_sh_start"))
     return (
-        dealt.withColumn("_r", F.row_number().over(inner))
-        .join(starts, ["shard", "_q"])
-        .withColumn("slot", (F.col("_start") + F.col("_r") - 1).cast("long"))
-        .drop("_b", "_k", "_s", "_q", "_r", "_start")
+        dealt.withColumn("_sh_r", F.row_number().over(inner))
+        .join(starts, ["shard", "_sh_q"])
+        .withColumn("slot", (F.col("_sh_start") + F.col("_sh_r") - 1).cast("long"))
+        .drop("_sh_b", "_sh_k", "_sh_s", "_sh_e", "_sh_q", "_sh_r", "_sh_start")
     )

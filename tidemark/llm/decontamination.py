@@ -1,17 +1,23 @@
 """Benchmark decontamination by winnowed fingerprints.
 
 Both sides are winnowed: of every ``SPAN - GRAM + 1`` consecutive ``GRAM``-word hashes the least one is kept (the last of
-equals), so two texts that share ``SPAN`` words in a row keep a common fingerprint there. Document fingerprints are joined
-with those of the benchmark; around each hit the windows of ``SPAN`` words that contain it are looked up in the benchmark
-and compared word by word, which extends the hit to every shared span and removes hash collisions.
+equals), so two texts that share ``SPAN`` words in a row keep a common fingerprint there. Items shorter than ``SPAN`` words
+are windows by themselves: their fingerprint is the hash of all their words, and documents give those of their word
+sequences of just these lengths (``SPAN - 1`` lengths at most, none if there is no such item).
 
-The benchmark is the small side. Its fingerprints and windows are spread as one index per ``BLOCK_WORDS`` words of
-benchmark: one block is a broadcast join with a checked size, without any shuffle; a larger benchmark is taken block by
-block, and each document's hits are merged. Items shorter than ``SPAN`` words are windows by themselves; they are indexed by
-their length (``SPAN - 1`` lengths at most) and looked up directly, which is exact.
+1. Items of equal words become one class. Its windows and fingerprints are tables.
+2. Fingerprints of documents are joined with those of the items in Spark. What is left is a list of hits by text.
+3. Only texts with hits are read again, each once whatever its copies: around each hit the windows of ``SPAN`` words that
+   contain it are joined with the items' windows word by word. That extends a hit to every shared span, and hash collisions go.
+4. Spans and items are gathered by text and joined with the documents by the hash of the text.
+
+Fingerprints, windows and results are spread to all executors up to a checked number and joined by a shuffle beyond. These
+shuffles carry hashes and windows, no texts but those with hits; a window that very many documents share is one key of a join
+without an aggregation above, so adaptive execution splits it.
 
 Defined results: null texts have no words; an item without words has no window; equal items count as items each; repeated
-documents are judged each; null ids are carried. An empty benchmark leaves all documents clean.
+documents are judged each, and null or repeated ids are carried; very long texts are whole in one task; an empty benchmark
+leaves all documents clean, an empty table gives no rows. Columns that begin with ``_dc_`` are the operator's own.
 """
 
 from __future__ import annotations
@@ -23,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import ALNUM_WORD, LOWER, UPPER, Words, blocks, gram_hashes, gram_hashes_at, split_words
+from tidemark.llm.scratch import Scratch
+from tidemark.llm.words import ALNUM_WORD, ALNUM_WORD_RAW, LOWER, UPPER, Words, blocks, gram_hashes, gram_hashes_at, mix, split_words
 
 SPAN, GRAM = 10, 5
-#: Words of benchmark in one block: about 12 bytes of index for each.
-BLOCK_WORDS = 4_000_000
+#: Rows that may be spread to all executors: fingerprints and text hashes, and windows or results of about a hundred bytes.
+MAX_SPREAD, MAX_SPREAD_WIDE = 1_000_000, 200_000
+TEXT = ["_dc_1", "_dc_2"]
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -46,75 +54,48 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(at)
 
 
-class Index:
-    """The benchmark's fingerprints, and its windows by hash."""
-
-    def __init__(self, ids: list, texts: list[str | None]):
-        words = split_words(texts, spaced=False)
-        prints: list[np.ndarray] = []
-        hashes: dict[int, list[np.ndarray]] = {}
-        places: dict[int, list[np.ndarray]] = {}
-        owner: dict[int, list[np.ndarray]] = {}
-        for k in range(len(texts)):
-            a, b = int(words.first[k]), int(words.first[k + 1])
-            n = min(b - a, SPAN)
-            if n == 0:
-                continue
-            h = gram_hashes(words.hash[a:b], n)
-            hashes.setdefault(n, []).append(h)
-            places.setdefault(n, []).append(np.arange(a, a + len(h)))
-            owner.setdefault(n, []).append(np.full(len(h), k))
-            if n == SPAN:
-                grams = gram_hashes(words.hash[a:b], GRAM)
-                prints.append(grams[winnow(grams, SPAN - GRAM + 1)])
-        self.ids, self.words = ids, words
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.windows = {}
-        for n in hashes:
-            h = np.concatenate(hashes[n])
-            order = np.argsort(h, kind="stable")
-            self.windows[n] = (h[order], np.concatenate(places[n])[order], np.concatenate(owner[n])[order])
-
-    @staticmethod
-    def _among(values: np.ndarray, found_in: np.ndarray) -> np.ndarray:
-        """Positions of those values that are in the sorted array."""
-        if not len(found_in) or not len(values):
-            return np.zeros(0, np.int64)
-        at = np.searchsorted(found_in, values)
-        at[at == len(found_in)] = 0
-        return np.flatnonzero(found_in[at] == values)
-
-    def hits(self, words: Words, a: int, b: int, grams: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
-        """Merged hit spans (from word, to word) and numbers of occurring items, of the words a to b of a batch."""
-        found: list[tuple[int, int]] = []
-        items: set[int] = set()
-        n_words = b - a
-        for n, (hashes, places, owner) in self.windows.items():
-            if n_words < n:
-                continue
-            if n == SPAN:
-                own = grams[a : b - GRAM + 1]
-                kept = winnow(own, SPAN - GRAM + 1)
-                kept = kept[self._among(own[kept], self.prints)]  # the fingerprint join
-                if not len(kept):
-                    continue
-                starts = np.unique((kept[:, None] - np.arange(SPAN - GRAM + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts <= n_words - SPAN)]
-                h = gram_hashes_at(words.hash, a + starts, n)
-            else:
-                starts, h = np.arange(n_words - n + 1), gram_hashes(words.hash[a:b], n)
-            near = self._among(h, hashes)
-            confirmed: dict[bytes, bool] = {}
-            for s, x in zip(starts[near].tolist(), h[near], strict=True):
-                mine = b" ".join(words.word(a + s + j) for j in range(n))
-                if mine not in confirmed:  # a window that occurs again brings no new items
-                    lo, hi = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
-                    same = [i for i in range(lo, hi) if b" ".join(self.words.word(int(places[i]) + j) for j in range(n)) == mine]
-                    items.update(int(owner[i]) for i in same)
-                    confirmed[mine] = bool(same)
-                if confirmed[mine]:
-                    found.append((s, s + n))
-        return _merge(found), items
+def _of_length(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of short items are told apart by length."""
+    return mix(hashes ^ np.uint64(n))
+
+
+def _kept(words: Words, a: int, b: int, grams: np.ndarray) -> np.ndarray:
+    """Positions of the winnowed fingerprints of the words a to b of a batch."""
+    return winnow(grams[a : b - GRAM + 1], SPAN - GRAM + 1) if b - a >= SPAN else np.zeros(0, np.int64)
+
+
+def prints(words: Words, a: int, b: int, grams: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """The fingerprints of the words a to b: winnowed, and of all word sequences of the given lengths."""
+    parts = [grams[a + _kept(words, a, b, grams)]]
+    parts += [_of_length(gram_hashes(words.hash[a:b], n), n) for n in lengths]
+    return np.unique(np.concatenate(parts))
+
+
+def places(words: Words, a: int, b: int, grams: np.ndarray, lengths: list[int], hits: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Lengths and starts of the windows that contain a hit (``hits``: sorted fingerprints)."""
+    kept = _kept(words, a, b, grams)
+    kept = kept[_among(grams[a + kept], hits)]
+    starts = np.unique((kept[:, None] - np.arange(SPAN - GRAM + 1)).ravel())
+    out = [(SPAN, starts[(starts >= 0) & (starts <= b - a - SPAN)])]
+    return out + [(n, np.flatnonzero(_among(_of_length(gram_hashes(words.hash[a:b], n), n), hits))) for n in lengths]
+
+
+def _among(values: np.ndarray, found_in: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array."""
+    if not len(found_in) or not len(values):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(found_in, values)
+    at[at == len(found_in)] = 0
+    return found_in[at] == values
+
+
+def _batches(texts: list) -> Iterator[tuple[int, Words, int, int, np.ndarray]]:
+    """Number, words and grams of each text."""
+    for x, y in blocks(texts):
+        words = split_words(texts[x:y], spaced=False)
+        grams = gram_hashes(words.hash, GRAM)
+        for k in range(y - x):
+            yield x + k, words, int(words.first[k]), int(words.first[k + 1]), grams
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -127,73 +108,98 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _benchmark_blocks(benchmark: DataFrame, item: str, text: str):
-    """The benchmark as lists of items of ``BLOCK_WORDS`` words, read one block at a time: the driver holds a block."""
-    ids, texts, size = [], [], 0
-    for r in benchmark.select(F.col(item), F.col(text)).toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        size += len(r[1] or "") // 2 + 1  # no fewer than its words
-        if size >= BLOCK_WORDS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    yield ids, texts
+def _items(benchmark: DataFrame, item: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Classes of items of equal words (``c``, ``text``, ``ids``), and their windows (``c``, ``n``, ``x``)."""
+    normal = F.array_join(F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(ALNUM_WORD), F.lit(0)), " ")
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), normal.alias("text")).where("text <> ''")
+    classes = rows.groupBy("text").agg(F.collect_list("id").alias("ids")).withColumn("c", F.monotonically_increasing_id())
+    classes = scratch.write(classes, "items")
+    words = F.split("text", " ")
+    cut = classes.select("c", words.alias("w"), F.least(F.size(words), F.lit(SPAN)).alias("n"))
+    cut = cut.select("c", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i"))
+    return classes, scratch.write(cut.select("c", "n", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("x")).distinct(), "windows")
+
+
+def _hits(texts: DataFrame, classes: DataFrame, lengths: list[int], scratch: Scratch) -> DataFrame:
+    """The fingerprint join: ``p`` of the texts (hashes of text, ``text``) that an item has too."""
+
+    def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [np.zeros(0, np.uint64)]
+            for _, words, a, b, grams in _batches(list(pdf["text"])):
+                parts.append(prints(words, a, b, grams, [b - a] if b - a < SPAN else []))
+            yield pd.DataFrame({"p": np.unique(np.concatenate(parts)).view(np.int64)})
+
+    def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [prints(words, a, b, grams, lengths).view(np.int64) for _, words, a, b, grams in _batches(list(pdf["text"]))]
+            yield pdf[TEXT].assign(p=found)
+
+    own = scratch.write(classes.select("text").mapInPandas(of_items, "p long").distinct(), "prints")
+    each = texts.mapInPandas(of_texts, "_dc_1 long, _dc_2 long, p array<long>").select(*TEXT, F.explode("p").alias("p"))
+    found = each.join(F.broadcast(own) if own.count() <= MAX_SPREAD else own, "p", "left_semi")
+    return scratch.write(found.groupBy(*TEXT).agg(F.collect_set("p").alias("p")), "hits")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Windows of items in texts: hashes of the text, ``n``, ``starts``, ``c``; and the items' classes."""
+    classes, windows = _items(benchmark, item, item_text, scratch)
+    lengths = sorted(r["n"] for r in windows.where(F.col("n") < SPAN).select("n").distinct().collect())  # at most SPAN - 1
+    texts = docs.select(*_hashes(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    hits = _hits(texts, classes, lengths, scratch)
+    n = hits.count()
+    again = texts.join(F.broadcast(hits.select(*TEXT)) if n <= MAX_SPREAD else hits.select(*TEXT), TEXT, "left_semi")
+    again = again.dropDuplicates(TEXT).join(hits, TEXT)
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, words, a, b, grams in _batches(list(pdf["text"])):
+                own = np.sort(np.asarray(pdf["p"].iloc[k], np.int64).view(np.uint64))
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for n, starts in places(words, a, b, grams, lengths, own):
+                    for s in starts.tolist():
+                        found.setdefault((n, b" ".join(words.word(a + s + j) for j in range(n))), []).append(s)
+                rows += [(*pdf[TEXT].iloc[k], n, x.decode(), s) for (n, x), s in found.items()]
+            yield pd.DataFrame(rows, columns=[*TEXT, "n", "x", "starts"])
+
+    near = again.mapInPandas(extend, "_dc_1 long, _dc_2 long, n int, x string, starts array<int>")
+    few = windows.count() <= MAX_SPREAD_WIDE
+    return scratch.write(near.join(F.broadcast(windows) if few else windows, ["n", "x"]).select(*TEXT, "n", "starts", "c"), "matches"), classes
+
+
+def _hashes(text: str) -> list:
+    return [F.xxhash64(text).alias(TEXT[0]), F.xxhash64(F.lit(1), text).alias(TEXT[1])]
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``n_words``, ``spans`` (hit word spans: from, to) and ``items`` (ids as strings).
 
     These replace columns of the same names.
-
-    With more than one block, each document's rows are brought together by all of ``docs``' columns.
     """
-    keep = [c for c in docs.columns if c not in (text, "n_words", "spans", "items")]
-    parts = []
-    for ids, texts in _benchmark_blocks(benchmark, item, item_text):
-        spread = docs.sparkSession.sparkContext.broadcast((ids, texts))  # one block: a bounded number of words
-        made = F.pandas_udf(_finder(spread), "n_words long, spans array<struct<s:int,e:int>>, items array<string>")
-        parts.append(docs.withColumn("_f", made(F.col(text))).select(*keep, F.xxhash64(text).alias("_t"), "_f.*"))
-    if len(parts) == 1:
-        return parts[0].drop("_t")
-    many = parts[0].withColumn("_copies", F.lit(0))
-    for i, p in enumerate(parts[1:], 1):
-        many = many.unionByName(p.withColumn("_copies", F.lit(i)))
-    # Repeated rows: each block has all of them, so the rows of one block say how many there are.
-    merged = many.groupBy(*keep, "_t", "n_words").agg(
-        F.sum((F.col("_copies") == 0).cast("int")).alias("_n"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    matches, classes = _matches(docs, benchmark, text, item, item_text, scratch)
+    one = F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("n")).alias("e")))
+    # Several items can have one window: it is one row by then.
+    spans = matches.select(*TEXT, one.alias("one")).distinct().groupBy(*TEXT).agg(F.flatten(F.collect_list("one")).alias("spans"))
     merge = F.pandas_udf(lambda s: s.map(lambda x: _merge([(y["s"], y["e"]) for y in x])), "array<struct<s:int,e:int>>")
-    return merged.withColumn("spans", merge("spans")).withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))).drop("_n", "_t")
+    names = matches.select(*TEXT, "c").distinct().join(classes.select("c", "ids"), "c").groupBy(*TEXT)
+    names = names.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
+    found = scratch.write(spans.withColumn("spans", merge("spans")).join(names, TEXT), "found")
+    wide = found.agg(F.sum(8 * F.size("spans") + 16 * F.size("items") + F.octet_length(F.array_join("items", "")))).first()[0] or 0
+    keep = [c for c in docs.columns if c not in (text, "n_words", "spans", "items")]
+    count = F.coalesce(F.regexp_count(text, F.lit(ALNUM_WORD_RAW)), F.lit(0)).cast("long").alias("n_words")
+    out = docs.select(*keep, *_hashes(text), count).join(F.broadcast(found) if wide <= 100 * MAX_SPREAD_WIDE else found, TEXT, "left").drop(*TEXT)
+    return out.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in (("spans", "array<struct<s:int,e:int>>"), ("items", "array<string>"))})
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without those that hold a window of the benchmark: a filter for each block, no shuffle."""
-    for ids, texts in _benchmark_blocks(benchmark, item, item_text):
-        spread = docs.sparkSession.sparkContext.broadcast((ids, texts))
-        found = F.pandas_udf(_finder(spread), "n_words long, spans array<struct<s:int,e:int>>, items array<string>")
-        docs = docs.where(F.size(found(F.col(text))["spans"]) == 0)
-    return docs
-
-
-def _finder(spread):
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = Index(*spread.value)
-        names = [str(x) if x is not None else "" for x in index.ids]
-        for series in batches:
-            texts, rows = list(series), []
-            for x, y in blocks(texts):
-                words = split_words(texts[x:y], spaced=False)
-                grams = gram_hashes(words.hash, GRAM)
-                for k in range(y - x):
-                    a, b = int(words.first[k]), int(words.first[k + 1])
-                    spans, items = index.hits(words, a, b, grams)
-                    rows.append((b - a, [{"s": s, "e": e} for s, e in spans], sorted({names[i] for i in items})))
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
-
-    find.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return find
+    """``docs`` without those that hold a window of the benchmark."""
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    found = scratch.write(_matches(docs, benchmark, text, item, item_text, scratch)[0].select(*TEXT).distinct(), "found")
+    scratch.drop("items", "windows", "prints", "hits", "matches")
+    rows = docs.select(F.struct("*").alias("_dc_row"), *_hashes(text))
+    return rows.join(F.broadcast(found) if found.count() <= MAX_SPREAD else found, TEXT, "left_anti").select("_dc_row.*")
 
 
 def digest(found: DataFrame, doc: str = "doc_id") -> DataFrame:

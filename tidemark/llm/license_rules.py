@@ -1,6 +1,7 @@
 """Signature rules of the licence scan, in order: ``label: regex`` over a text's words, joined by single spaces.
 
-A rule's first word (or alternatives in brackets) is literal: it is where a match can start. Tiers are priorities: an
+A rule's first word (or alternatives in brackets) is literal: it is where a match can start. The number of its words is bounded by
+the rule itself. Tiers are priorities: an
 earlier tier prevails over a later one that starts at the same word or overlaps it.
 """
 
@@ -169,7 +170,7 @@ mit: permission is hereby granted free of charge to any person obtaining a copy
 mit: the above copyright notice and this permission notice shall be included in all copies
 isc: permission to use copy modify and or distribute this software for any purpose
 bsd: redistribution and use in source and binary forms with or without modification are permitted
-bsd-3: neither the name of .{1,60} nor the names of its contributors
+bsd-3: neither the name of( [^ ]+){1,30} nor the names of its contributors
 bsd-2: redistributions of source code must retain the above copyright notice
 apache-2: you may not use this file except in compliance with the license
 apache-2: unless required by applicable law or agreed to in writing software distributed under
@@ -359,11 +360,49 @@ class Rule:
     label: str
     regex: str
     leads: tuple[str, ...]
+    #: Words that can follow a lead; empty if that isn't a fixed choice.
+    seconds: tuple[str, ...]
+    #: The most words that a match can have.
+    words: int
 
 
-def _leads(regex: str) -> tuple[str, ...]:
-    head = re.match(r"\(([^()]*)\)|[^ ]+", regex)
-    return tuple(x.split(" ")[0] for x in (head[1].split("|") if head[1] else [head[0]]))
+def _leads(regex: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The words a match can begin with, and those that can come next after any of them."""
+    choice = r"\(([^()]*)\)|([^ ()]+)"
+    head = re.match(choice, regex)
+    words = (head[1] or head[2]).split("|")
+    if any(" " in w for w in words):  # several words in one choice: each has its own next word
+        return tuple(dict.fromkeys(w.split(" ")[0] for w in words)), ()
+    then = re.match(rf" (?:{choice})(?= |$|\( )", regex[head.end() :])
+    options = (then[1] or then[2]).split("|") if then else []
+    return tuple(words), tuple(options) if all(re.fullmatch(r"\w+", x) for x in options) else ()
+
+
+def most_words(regex: str) -> int:
+    """The most words of a match: one more than its spaces. Atoms are characters, classes and groups, with or without a quantifier."""
+
+    def spaces(at: int) -> tuple[int, int]:
+        best = here = 0
+        while at < len(regex) and regex[at] != ")":
+            if regex[at] == "|":
+                best, here, at = max(best, here), 0, at + 1
+                continue
+            if regex[at] == "(":
+                n, at = spaces(at + 1)
+                at += 1
+            else:
+                end = regex.index("]", at) + 1 if regex[at] == "[" else at + 1
+                n, at = int(regex[at:end] in (" ", ".")), end
+            times = re.match(r"\{\d+,?(\d+)?\}|[?+*]", regex[at:])
+            if times:
+                at += times.end()
+                if n and times[0] in "+*":
+                    raise ValueError(f"no bound of words in {regex}")
+                n *= int(times[1] or 1)
+            here += n
+        return max(best, here), at
+
+    return spaces(0)[0] + 1
 
 
 def rules() -> list[Rule]:
@@ -371,5 +410,5 @@ def rules() -> list[Rule]:
     for tier, text in enumerate(TIERS):
         for line in text.strip().splitlines():
             label, _, regex = line.partition(": ")
-            out.append(Rule(len(out), tier, label, regex, _leads(regex)))
+            out.append(Rule(len(out), tier, label, regex, *_leads(regex), most_words(regex)))
     return out

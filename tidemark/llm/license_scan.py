@@ -1,16 +1,18 @@
 """License scan by ordered signature rules.
 
-A keyword prefilter over the raw text decides which texts are looked at. In those, words are taken, and each place whose
-word can start a rule is tried against the rules of that word: hand-written regexes over the next ``WINDOW`` words. At one
-place the best rule stays: the earliest tier, then the longest match, then the first rule. A detection is dropped if one
-that starts before it covers it and is of the same or an earlier tier, or if one of an earlier tier overlaps it. The base
-phrases are the rules of tier 0; they are detected for themselves and nothing drops them.
+A keyword prefilter over the raw text decides which texts are looked at. In those, words are taken. A place is tried if its word,
+and the next one where that is fixed as well, can begin a rule; it is tried against the rules of that word only, which are
+literal regexes over the next words (as many as the longest rule can match). At one place the best rule stays: the earliest tier, then
+the longest match, then the first rule. A detection is dropped if one that starts before it covers it and is of the same or an
+earlier tier, or if one of an earlier tier overlaps it. The base phrases are the rules of tier 0; they are detected for
+themselves and nothing drops them.
 
 All of it is one projection of built-in functions: no shuffle, no Python. Work grows with the length of a text: a place looks
-at ``WINDOW`` words, and covering and overlap are looked for among the ``WINDOW`` detections before and after.
+at a bounded number of words, and covering and overlap are looked for among as many detections before and after.
 
 Defined results: null text is empty: no words, no labels (empty strings), score 0, null places. Rows are kept one for one
-with all their columns; columns that clash with results are replaced.
+with all their columns, repeated rows and null ids as well; columns that clash with results are replaced, and columns that begin with
+``_ls_`` are the operator's own. Rules of one label at one place give it once.
 """
 
 from __future__ import annotations
@@ -21,13 +23,36 @@ from pyspark.sql import functions as F
 from tidemark.llm.license_rules import CONFIDENCE, Rule, gate, rules
 from tidemark.llm.words import ALNUM_WORD, ALNUM_WORD_RAW, LOWER, UPPER
 
-#: The longest match in words.
-WINDOW = 18
 
+def _by_lead(given: list[Rule]) -> dict[str, list[Rule]]:
+    out: dict[str, list[Rule]] = {}
+    for r in given:
+        for lead in r.leads:
+            out.setdefault(lead, []).append(r)
+    return out
 
-def _rule_struct(r: Rule) -> Column:
-    return F.struct(
-        F.lit(r.tier).alias("tier"), F.lit(r.number).alias("number"), F.lit(r.label).alias("label"), F.lit(f"^({r.regex})( |$)").alias("regex")
+
+def _best(place: Column, by_lead: dict[str, list[Rule]]) -> Column:
+    """The best detection at a place (``i``, ``lead``, ``next``: the words from there on); null if no rule matches."""
+
+    def tried(r: Rule) -> Column:
+        match = F.regexp_extract(place["next"], f"^({r.regex})( |$)", 1)  # a literal: compiled once a task
+        found = F.struct(F.lit(r.tier).alias("tier"), (-F.size(F.split(match, " "))).alias("minus"), F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"))
+        return F.when(match != "", found)
+
+    out = None
+    for lead, own in by_lead.items():
+        case = (place["lead"] == lead, F.array_min(F.array(*[tried(r) for r in own])))
+        out = F.when(*case) if out is None else out.when(*case)
+    return F.lit(None) if out is None else out
+
+
+def _detections(places: Column, by_lead: dict[str, list[Rule]]) -> Column:
+    best = F.transform(places, lambda p: F.struct(p["i"].alias("i"), _best(p, by_lead).alias("b")))
+    found = F.filter(best, lambda x: x["b"].isNotNull())
+    return F.transform(
+        found,
+        lambda x: F.struct(x["i"].alias("first"), (x["i"] - x["b"]["minus"]).alias("end"), x["b"]["tier"].alias("tier"), x["b"]["rule"].alias("rule"), x["b"]["label"].alias("label")),
     )
 
 
@@ -35,65 +60,33 @@ def scan(docs: DataFrame, text: str = "text", ordered_rules: list[Rule] | None =
     """``docs`` with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score`` and
     ``detections`` (array of first word, end, tier, rule number, label; in order of place)."""
     all_rules = rules() if ordered_rules is None else ordered_rules
-    by_lead: dict[str, list[Rule]] = {}
-    for r in all_rules:
-        for lead in r.leads if r.tier else ():
-            by_lead.setdefault(lead, []).append(r)
-    base_rules = {lead: r for r in all_rules if r.tier == 0 for lead in r.leads}
-    leads = sorted(by_lead | base_rules)
-    table = F.create_map(*[x for lead in by_lead for x in (F.lit(lead), F.array(*[_rule_struct(r) for r in by_lead[lead]]))])
+    window = max(r.words for r in all_rules)
+    alone = sorted({x for r in all_rules if not r.seconds for x in r.leads})
+    pairs = sorted({f"{x} {y}" for r in all_rules for x in r.leads for y in r.seconds})
+    leads = sorted({x for r in all_rules for x in r.leads})
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = docs.withColumn("n_words", F.regexp_count(body, F.lit(ALNUM_WORD_RAW)).cast("long"))
-    gated = body.rlike(gate())
     words = F.regexp_extract_all(F.translate(body, UPPER, LOWER), F.lit(ALNUM_WORD), F.lit(0))
-    out = out.withColumn("_ls_words", F.when(gated, words))
+    out = out.withColumn("_ls_words", F.when(body.rlike(gate()), words))
     w = F.col("_ls_words")
-    # Places of words that start a rule.
-    places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(leads), i)), lambda i: i.isNotNull())
-    out = out.withColumn("_ls_places", F.coalesce(places, F.array().cast("array<int>")))
-
-    def best(i: Column) -> Column:
-        """The best detection at word i; null if no rule matches."""
-        window = F.array_join(F.slice(w, i + 1, F.lit(WINDOW)), " ")
-        tried = F.transform(
-            F.element_at(table, w[i]),
-            lambda r: F.struct(
-                r["tier"].alias("tier"),
-                (-F.size(F.split(F.call_function("regexp_extract", window, r["regex"], F.lit(1)), " "))).alias("minus"),
-                r["number"].alias("number"),
-                r["label"].alias("label"),
-                F.rlike(window, r["regex"]).alias("hit"),
-            ),
-        )
-        b = F.array_min(F.filter(tried, lambda t: t["hit"]))
-        return F.when(
-            b.isNotNull(),
-            F.struct(i.alias("first"), (i - b["minus"]).alias("end"), b["tier"].alias("tier"), b["number"].alias("rule"), b["label"].alias("label")),
-        )
-
-    out = out.withColumn("_ls_best", F.filter(F.transform("_ls_places", best), lambda d: d.isNotNull()))
-    d = F.col("_ls_best")
+    begins = lambda x, i: x.isin(leads) & (x.isin(alone) | F.concat_ws(" ", x, F.get(w, i + 1)).isin(pairs))
+    at = F.filter(F.transform(w, lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull())
+    places = F.transform(at, lambda i: F.struct(i.alias("i"), w[i].alias("lead"), F.array_join(F.slice(w, i + 1, F.lit(window)), " ").alias("next")))
+    out = out.withColumn("_ls_places", places)
+    none = F.array().cast("array<struct<first:int,end:int,tier:int,rule:int,label:string>>")
+    for name, tiers in (("_ls_found", lambda r: r.tier > 0), ("_ls_base", lambda r: r.tier == 0)):
+        out = out.withColumn(name, F.coalesce(_detections(F.col("_ls_places"), _by_lead([r for r in all_rules if tiers(r)])), none))
+    d = F.col("_ls_found")
 
     def stays(x: Column, k: Column) -> Column:
-        near = F.slice(d, F.greatest(k - (WINDOW - 1), F.lit(1)), F.lit(2 * WINDOW + 1))
+        near = F.slice(d, F.greatest(k - (window - 1), F.lit(1)), F.lit(2 * window + 1))
         covers = lambda o: (o["first"] < x["first"]) & (o["end"] >= x["end"]) & (o["tier"] <= x["tier"])
         prevails = lambda o: (o["tier"] < x["tier"]) & (o["first"] < x["end"]) & (o["end"] > x["first"])
         return ~F.exists(near, lambda o: covers(o) | prevails(o))
 
-    out = out.withColumn("_ls_method", F.filter(d, stays))
-    phrase = F.create_map(*[x for lead, r in base_rules.items() for x in (F.lit(lead), _rule_struct(r))])
-
-    def base_at(i: Column) -> Column:
-        r = F.element_at(phrase, w[i])
-        window = F.array_join(F.slice(w, i + 1, F.lit(WINDOW)), " ")
-        stop = i + F.size(F.split(F.call_function("regexp_extract", window, r["regex"], F.lit(1)), " "))
-        hit = F.struct(i.alias("first"), stop.alias("end"), F.lit(0).alias("tier"), r["number"].alias("rule"), r["label"].alias("label"))
-        return F.when(r.isNotNull() & F.rlike(window, r["regex"]), hit)
-
-    out = out.withColumn("_ls_base", F.filter(F.transform("_ls_places", base_at), lambda x: x.isNotNull()))
     base = F.col("_ls_base")
-    out = out.withColumn("detections", F.array_sort(F.concat("_ls_base", "_ls_method")))
+    out = out.withColumn("detections", F.array_sort(F.concat("_ls_base", F.filter(d, stays))))
     found = F.col("detections")
     names = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda x: x["label"]))), ",")
     tier = F.array_min(F.transform(found, lambda x: x["tier"]))
@@ -106,7 +99,7 @@ def scan(docs: DataFrame, text: str = "text", ordered_rules: list[Rule] | None =
             "labels": names(found),
             "score": F.when(tier.isNull(), F.lit(0.0)).otherwise(F.element_at(F.array(*[F.lit(c) for c in CONFIDENCE]), tier + 1)),
         }
-    ).drop("_ls_words", "_ls_places", "_ls_best", "_ls_method", "_ls_base")
+    ).drop("_ls_words", "_ls_places", "_ls_found", "_ls_base")
 
 
 def oracle(sf_table: str = "documents") -> str:
@@ -117,7 +110,7 @@ def oracle(sf_table: str = "documents") -> str:
     return rf"""
 WITH rules(rule, tier, label, regex, lead) AS (VALUES {values}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM_WORD}') AS w FROM {sf_table}),
-p AS (SELECT doc_id, i - 1 AS first, w[i] AS word, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS win
+p AS (SELECT doc_id, i - 1 AS first, w[i] AS word, array_to_string(w[i:i + {max(r.words for r in rules()) - 1}], ' ') AS win
       FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 h AS (SELECT doc_id, first, first + len(string_split(regexp_extract(win, regex, 1), ' ')) AS stop, tier, rule, label
       FROM p JOIN rules ON p.word = rules.lead WHERE regexp_matches(win, regex)),

@@ -11,7 +11,11 @@ aggregation above it that needs its keys together, so adaptive execution splits
 document as line positions.
 
 Defined results: null or empty text is one empty line; a null id counts as the greatest; rows with the same id are one
-document for ownership (all keep their lines); all other columns are carried; an empty table gives no rows.
+document for ownership (all keep their lines), and any long is an id; a line that is tied within its document stays where it is
+first and again; a very long text is one row; all other columns are carried, but ``n_lines`` and ``n_dropped`` are replaced and
+columns that begin with ``_ld_`` are the operator's own; an empty table gives no rows.
+
+The number of batches follows the number of documents, that of a run's buckets the number of lines, so tasks stay of one size.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ from tidemark.llm.scratch import Scratch
 from tidemark.llm.words import LOWER, SPACE, UPPER
 
 MIN_CHARS = 10
-BATCHES, FANOUT = 4, 2
-_LAST = 2**63 - 1
+FANOUT = 2
+#: Least and greatest number of batches (powers of two), documents of one, and lines of one bucket of a run.
+BATCHES, MAX_BATCHES, DOCS_PER_BATCH, LINES_PER_BUCKET = 4, 64, 50_000_000, 2_000_000
 _H = ["_ld_h1", "_ld_h2"]
 
 
@@ -50,7 +55,7 @@ class LineRuns:
         self.scratch.drop(name)
 
     def add(self, keys: DataFrame, name: str, last: bool = False) -> DataFrame:
-        """Add a batch: one row for each line, with ``_ld_first`` and ``_ld_last`` (least and greatest document).
+        """Add a batch: one row for each line, with ``_ld_first``, the least document (null: none with an id).
 
         Returns the batch's lines with ``_ld_owner``, the document that owns the line. ``last``: no merging any more.
         """
@@ -61,7 +66,7 @@ class LineRuns:
             owners.append(F.col(f"_ld_o{i}"))
         known = F.coalesce(*owners) if owners else F.lit(None).cast("long")
         table = self.scratch.write(
-            joined.select(*_H, "_ld_last", F.coalesce(known, "_ld_first").alias("_ld_owner"), known.isNull().alias("_ld_new")), name
+            joined.select(*[c for c in keys.columns if c != "_ld_first"], F.coalesce(known, "_ld_first").alias("_ld_owner"), known.isNull().alias("_ld_new")), name
         )
         if not last:
             self._push(0, self._write(table.where("_ld_new").select(*_H, "_ld_owner")))
@@ -96,32 +101,39 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, batches: int | None = None) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, ``n_lines`` (before) and ``n_dropped``."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    ident = {"_ld_d": F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)), "_ld_t": F.xxhash64(text), "_ld_u": F.xxhash64(F.lit(1), text)}
-    bounds = docs.agg(F.percentile_approx(doc, [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
-    batch = sum([(F.col("_ld_d") > F.lit(b)).cast("int") for b in sorted(set(bounds))], F.lit(0))
-    exploded = docs.select(*[c.alias(n) for n, c in ident.items()], F.posexplode(_lines(F.col(text))).alias("_ld_pos", "_ld_line"))
+    ident = F.col(doc).cast("long")
+    who = {"_ld_d": F.coalesce(ident, F.lit(0)), "_ld_n": ident.isNull(), "_ld_t": F.xxhash64(text), "_ld_u": F.xxhash64(F.lit(1), text)}
+    n, cuts = docs.agg(F.count(F.lit(1)), F.percentile_approx(ident, [i / MAX_BATCHES for i in range(1, MAX_BATCHES)], 10_000)).first()
+    batches = batches or min(MAX_BATCHES, max(BATCHES, 1 << (n // DOCS_PER_BATCH).bit_length()))
+    bounds = sorted({cuts[i * MAX_BATCHES // batches - 1] for i in range(1, batches)}) if cuts else []
+    number = F.when(F.col("_ld_n"), len(bounds)).otherwise(sum([(F.col("_ld_d") > F.lit(b)).cast("int") for b in bounds], F.lit(0)))
+    exploded = docs.select(*[c.alias(k) for k, c in who.items()], F.posexplode(_lines(F.col(text))).alias("_ld_pos", "_ld_line"))
     key = exploded.withColumn("_ld_key", line_key(F.col("_ld_line"))).where(F.char_length("_ld_key") >= min_chars)
-    hashed = key.select("_ld_d", "_ld_t", "_ld_u", "_ld_pos", F.xxhash64("_ld_key").alias(_H[0]), F.xxhash64(F.lit(1), "_ld_key").alias(_H[1]))
-    lines = scratch.write(hashed.withColumn("_ld_batch", batch.cast("int")), "hashed")  # texts are split once
-    keys = lines.groupBy("_ld_batch", *_H).agg(F.min("_ld_d").alias("_ld_first"), F.max("_ld_d").alias("_ld_last"))
+    hashed = key.select(*who, "_ld_pos", F.xxhash64("_ld_key").alias(_H[0]), F.xxhash64(F.lit(1), "_ld_key").alias(_H[1]))
+    lines = scratch.write(hashed.withColumn("_ld_batch", number.cast("int")), "hashed")  # texts are split once
+    own = F.when(~F.col("_ld_n"), F.col("_ld_d"))
+    keys = lines.groupBy("_ld_batch", *_H).agg(F.min(own).alias("_ld_first"), F.max(own).alias("_ld_last"), F.max("_ld_n").alias("_ld_none"))
     keys = scratch.write(keys, "keys", partition_by="_ld_batch")
-    runs, repeated = LineRuns(scratch), []
-    for b in range(len(set(bounds)) + 1):
-        settled = runs.add(keys.where(F.col("_ld_batch") == b).drop("_ld_batch"), f"batch{b}", last=b == len(set(bounds)))
-        repeated.append(settled.where("_ld_last > _ld_owner").select(F.lit(b).alias("_ld_batch"), *_H, "_ld_owner"))
-    runs.clear()
-    scratch.drop("keys")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES_PER_BUCKET)
+    runs, repeated = LineRuns(scratch, buckets=buckets), []
+    try:
+        for b in range(len(bounds) + 1):
+            settled = runs.add(keys.where(F.col("_ld_batch") == b).drop("_ld_batch"), f"batch{b}", last=b == len(bounds))
+            repeated.append(settled.where("_ld_none or _ld_last > _ld_owner").select(F.lit(b).alias("_ld_batch"), *_H, "_ld_owner"))
+    finally:
+        runs.clear()
     again = repeated[0]
     for r in repeated[1:]:
         again = again.unionByName(r)
-    who = ["_ld_d", "_ld_t", "_ld_u"]
-    dropped = lines.join(again, ["_ld_batch", *_H]).where("_ld_d > _ld_owner").select(*who, "_ld_pos")
-    drops = dropped.groupBy(*who).agg(F.array_sort(F.collect_set("_ld_pos")).alias("_ld_drops"))
-    out = docs.withColumns(ident).join(scratch.write(drops, "drops"), who, "left").drop(*who)
+    # A line without an owner is one of rows without an id only.
+    dropped = lines.join(again, ["_ld_batch", *_H]).where("_ld_owner is not null and (_ld_n or _ld_d > _ld_owner)").select(*who, "_ld_pos")
+    drops = scratch.write(dropped.groupBy(*who).agg(F.array_sort(F.collect_set("_ld_pos")).alias("_ld_drops")), "drops")
+    scratch.drop("keys", "hashed", *[f"batch{b}" for b in range(len(bounds) + 1)])
+    out = docs.withColumns(who).join(drops, list(who), "left").drop(*who)
     out = out.withColumns({"_ld_lines": _lines(F.col(text)), "_ld_at": F.concat(F.array(F.lit(-1)), F.coalesce("_ld_drops", F.array().cast("array<int>")), F.array(F.size(_lines(F.col(text)))))})
     lines_col, at = F.col("_ld_lines"), F.col("_ld_at")
     # The lines between two dropped ones, for all of them: linear in the number of lines.

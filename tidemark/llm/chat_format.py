@@ -9,7 +9,10 @@ no mark can occur there, and taking one backslash away restores the text.
 
 Defined results: rows of a conversation are ordered by turn (null first), then role, then text; null role and null text
 are empty; rows with a null ``conv_id`` form one conversation; repeated rows are repeated turns; an empty table gives no
-rows; other columns are ignored. Memory is bounded by the longest conversation.
+rows; other columns are ignored, whatever their names; any long is an id. Memory is bounded by the longest conversation: it is one
+row of the result, so that of all rows without an id is one as well.
+
+The tokenizer is a file that every executor can read at the same path; ``format_conversations`` raises where it is missing.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 SCHEMA = (
-    "conv_id long, formatted string, input_ids array<int>, token_start array<int>, token_end array<int>, loss_mask array<boolean>"
+    "conv_id long, none boolean, formatted string, input_ids array<int>, token_start array<int>, token_end array<int>, loss_mask array<boolean>"
 )
 _TOKENIZERS: dict[str, object] = {}
 
@@ -66,6 +69,9 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import AddedToken, Tokenizer, processors
 
+        if not os.path.isfile(path):
+            raise FileNotFoundError(f"no tokenizer at {path}: name the path of a byte-level BPE file that every executor can read")
+
         tok = Tokenizer.from_file(path)
         tok.post_processor = processors.ByteLevel(trim_offsets=False)
         tok.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (TURN, TEXT, END)])
@@ -73,19 +79,17 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
+def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[int, bool], list[tuple[str, str]]]]:
     """Conversations of a partition that is sorted by conversation; they may go on over several batches."""
-    none, key, turns = object(), None, []
-    key = none
+    key, turns = None, []
     for pdf in batches:
-        ids = [None if pd.isna(x) else int(x) for x in pdf["conv_id"]]
-        for cid, role, text in zip(ids, pdf["role"], pdf["text"], strict=True):
-            if cid != key or key is none:
-                if key is not none:
+        for cid, none, role, text in zip(pdf["conv_id"], pdf["none"], pdf["role"], pdf["text"], strict=True):
+            if (cid, none) != key:
+                if key is not None:
                     yield key, turns
-                key, turns = cid, []
+                key, turns = (cid, none), []
             turns.append((role, text))
-    if key is not none:
+    if key is not None:
         yield key, turns
 
 
@@ -105,9 +109,8 @@ def format_conversations(
             out = []
             for (cid, text, spans), e in zip(rows, encoded, strict=True):
                 offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                out.append((cid, text, e.ids, offsets[:, 0], offsets[:, 1], token_mask(offsets[:, 0], offsets[:, 1], spans)))
-            names = ["conv_id", "formatted", "input_ids", "token_start", "token_end", "loss_mask"]
-            return pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                out.append((*cid, text, e.ids, offsets[:, 0], offsets[:, 1], token_mask(offsets[:, 0], offsets[:, 1], spans)))
+            return pd.DataFrame(out, columns=["conv_id", "none", "formatted", "input_ids", "token_start", "token_end", "loss_mask"])
 
         for cid, turns in _conversations(batches):
             text, spans = render(turns, loss_role)
@@ -120,13 +123,19 @@ def format_conversations(
             yield flush()
 
     keyed = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"),
+        F.col("conv_id").isNull().alias("none"),
         "turn",
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    dealt = keyed.repartition(partitions, "conv_id") if partitions else keyed.repartition("conv_id")
-    return dealt.sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, SCHEMA)
+    dealt = keyed.repartition(partitions, "conv_id", "none") if partitions else keyed.repartition("conv_id", "none")
+    return _with_ids(dealt.sortWithinPartitions("conv_id", "none", "turn", "role", "text").mapInPandas(run, SCHEMA))
+
+
+def _with_ids(rows: DataFrame) -> DataFrame:
+    """Ids that can be null go to the workers with a flag: as floats they would lose digits."""
+    return rows.withColumn("conv_id", F.when(~F.col("none"), F.col("conv_id"))).drop("none")
 
 
 def masked_texts(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
@@ -150,18 +159,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for cid, text, starts, ends, mask in pdf.itertuples(index=False):
+            for cid, none, text, starts, ends, mask in pdf.itertuples(index=False):
                 turns, all_turns = parse(text), hashlib.sha256()
                 for role, body in turns:
                     all_turns.update(f"{role}\n{body}\n".encode())
                 loss = "".join(masked_texts(text, np.asarray(starts), np.asarray(ends), np.asarray(mask, bool)))
-                rows.append((cid, len(turns), all_turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+                rows.append((cid, none, len(turns), all_turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            yield pd.DataFrame(rows, columns=["conv_id", "none", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "token_start", "token_end", "loss_mask").mapInPandas(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    ident = [F.coalesce("conv_id", F.lit(0)).alias("conv_id"), F.col("conv_id").isNull().alias("none")]
+    found = formatted.select(*ident, "formatted", "token_start", "token_end", "loss_mask").mapInPandas(
+        run, "conv_id long, none boolean, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
+    return _with_ids(found)
 
 
 def oracle(case: str) -> str:

@@ -9,7 +9,8 @@ Profiles are counted over all labelled texts given to ``learn``; a profile is ``
 
 Defined results: null text, or text without a letter: ``und`` with score 0; without any profile as well. Rows with a null
 label or null text teach nothing. Score: one minus the mean distance as a share of the longest. Whole texts are counted,
-whatever their length. Other columns are carried along; rows are never dropped or multiplied.
+whatever their length. Rows are never dropped or multiplied, equal ones are judged alike, and ids play no part; an empty table gives no
+rows. Other columns are carried along, but ``lang_pred`` and ``score`` are replaced, and ``_lid_found`` is the operator's own.
 """
 
 from __future__ import annotations
@@ -148,4 +149,4 @@ def predict(df: DataFrame, text: str, profiles: dict[str, np.ndarray], top: int
             yield pd.DataFrame(run(list(s)), columns=["lang_pred", "score"])
 
     made: Column = udf(F.col(text))
-    return df.withColumn("_lang", made).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    return df.withColumn("_lid_found", made).withColumns({"lang_pred": F.col("_lid_found.lang_pred"), "score": F.col("_lid_found.score")}).drop("_lid_found")

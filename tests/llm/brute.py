@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+from fractions import Fraction
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -80,16 +81,66 @@ def components(docs, k, percent):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def pagerank(edges, seeds, damping, iterations):
-    """edges: {(src, dst): links}; seeds: {host: mass}."""
+def pagerank(edges, seeds, damping):
+    """edges: {(src, dst): links}; seeds: {host: mass}. Ranks after so many rounds that nothing changes; who has no link keeps its rank."""
     out = collections.Counter()
     for (s, _), n in edges.items():
         out[s] += n
-    base = {h: (1 - damping) * m for h, m in seeds.items()}
-    ranks = dict(base)
-    for _ in range(iterations):
-        new = collections.defaultdict(float, base)
+    hosts = {h for e in edges for h in e} | set(seeds)
+    edges = dict(edges) | {(h, h): 1 for h in hosts if not out[h]}
+    out.update({h: 1 for h in hosts if not out[h]})
+    ranks = dict(seeds)
+    for _ in range(100):
+        new = collections.defaultdict(float, {h: (1 - damping) * m for h, m in seeds.items()})
         for (s, t), n in edges.items():
             new[t] += damping * ranks.get(s, 0.0) * n / out[s]
         ranks = dict(new)
     return ranks
+
+
+def shares(sizes, weights=(5, 2, 1), cap=3):
+    """Targets of the mix in fractions: water is poured by weight, and what is above a cap is poured again."""
+    left, out, full = Fraction(sum(sizes)), [Fraction(0)] * len(sizes), set()
+    while left > 0 and len(full) < len(sizes):
+        open_ = [i for i in range(len(sizes)) if i not in full]
+        part = {i: left * weights[i % 3] / sum(weights[j % 3] for j in open_) for i in open_}
+        over = [i for i in open_ if part[i] > cap * sizes[i]]
+        if not over:
+            for i in open_:
+                out[i] = part[i]
+            break
+        for i in over:
+            out[i] = Fraction(cap * sizes[i])
+            left -= out[i]
+            full.add(i)
+    return [float(x) for x in out]
+
+
+def cheapest_flow(offers, reach, quota):
+    """(amount, cost) of the cheapest maximal flow, by Bellman and Ford, one unit at a time."""
+    arcs = {}
+    for p, levels in enumerate(offers):
+        for r, n in enumerate(levels):
+            arcs["root", ("offer", p, r)] = [n, r]
+            arcs[("offer", p, r), ("p", p)] = [n, 0]
+        for s, n in reach[p].items():
+            arcs[("p", p), ("s", s)] = [n, 0]
+    for s, n in enumerate(quota):
+        arcs[("s", s), "sink"] = [n, 0]
+    for (a, b), (_, c) in list(arcs.items()):
+        arcs[b, a] = [0, -c]
+    amount = total = 0
+    while True:
+        far, via = {"root": 0}, {}
+        for _ in range(len(arcs)):
+            for (a, b), (n, c) in arcs.items():
+                if n > 0 and a in far and far[a] + c < far.get(b, math.inf):
+                    far[b], via[b] = far[a] + c, a
+        if "sink" not in far:
+            return amount, total
+        v = "sink"
+        while v != "root":
+            arcs[via[v], v][0] -= 1
+            arcs[v, via[v]][0] += 1
+            v = via[v]
+        amount, total = amount + 1, total + far["sink"]

@@ -82,3 +82,74 @@ def test_pipeline_keeps_texts_where_no_language_is_known(spark, tmp_path):
     texts = ["some words of a clean document", "Straße", "123 !!!", "", None, "\u6f22\u5b57"]
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, str(tmp_path)).collect()) == [0, 1, 5]
+
+
+@pytest.mark.parametrize(("least", "rows"), [(4, 4), (4, 9), (32, 2048)])
+def test_blocks_of_many_chunks(spark, least, rows, monkeypatch):
+    """Families of one template, close and not so close, and sets in between: parts that need every step of a block."""
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    monkeypatch.setattr(jaccard_join, "LEAST_ROWS", least)
+    monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", rows)
+    rng = random.Random(12)
+    template = [f"w{i}" for i in range(80)]
+    family = [(i, " ".join([*template, *(f"x{rng.randrange(400)}" for _ in range(rng.choice([3, 9, 12, 20])))])) for i in range(120)]
+    close = [(200 + i, " ".join([*template[:60], f"e{i}", *template[60:]])) for i in range(40)]
+    data = [*family, *close]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 3, 80).collect()}
+    exact = {d: c for d, (_, c) in brute.components(data, 3, 80).items()}
+    assert got == exact and len(set(exact.values())) > 3
+
+
+def test_elements_that_the_table_takes_for_rare(spark, monkeypatch):
+    """Where few levels are known, elements of many sets still make no pairs, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "MAX_KNOWN", 3)
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    rng = random.Random(3)
+    bases = [[f"b{k}x{i}" for i in range(50)] for k in range(3)]
+    data = []
+    for i in range(90):
+        w = list(bases[i % 3])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(50)] = f"z{rng.randrange(30)}"
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(df, 3, 80).collect()}
+    assert got == brute.components(data, 3, 80)
+
+
+TOP = 2**63 - 1
+
+
+@pytest.mark.parametrize("operator", ["jaccard", "similar"])
+def test_any_long_is_an_id(spark, operator):
+    base = [f"w{i}" for i in range(80)]
+    near = [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in (0, 1, 2, 79)]
+    data = [(2**62 + 5, " ".join(base)), (TOP, near[0]), (TOP - 1, near[3]), (-TOP - 1, "quite another text that is alone in here"), (None, near[1]), (None, "one more text that is alone in this table"), (TOP, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    if operator == "jaccard":
+        got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.components(df, 5, 80).collect()]
+    else:
+        got = [(r["doc_id"], r["class_id"]) for r in fingerprints.similar_classes(df).collect()]
+    low = 2**62 + 5
+    assert sorted(got, key=repr) == sorted([(low, low), (TOP, low), (TOP - 1, low), (-TOP - 1, -TOP - 1), (None, low), (None, None), (TOP, TOP)], key=repr)
+
+
+def test_similar_classes_of_boilerplate(spark):
+    """200 pairs of similarity 0.82 among texts that share boilerplate (0.79 across pairs): all are found."""
+    rng = random.Random(5)
+    shared = [f"w{i}" for i in range(400)]
+    data, pairs = [], []
+    for i in range(200):
+        own = [f"p{i}x{j}" for j in range(12)]
+        for half in (0, 1):
+            data.append((2 * i + half, " ".join([*shared, *own, *(f"q{rng.getrandbits(50)}" for _ in range(40))])))
+        pairs.append((2 * i, 2 * i + 1))
+    sets = {d: brute.shingles(t, 5) for d, t in data}
+    j = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert min(j(a, b) for a, b in pairs) >= 0.8 > max(j(2 * i, 2 * i + 3) for i in range(199))
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.similar_classes(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: d - d % 2 for d in got}
+
+
+def test_empty_tables(spark, none):
+    assert fingerprints.similar_classes(none).count() == jaccard_join.components(none, count_links=True).count() == 0

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, decontamination, fingerprints, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, url_filter
-from tidemark.llm.scratch import Scratch
-from tidemark.session import ship
+from tidemark.llm.scratch import Scratch, prepare
 
 CHAT_CASE = "</s>[INST] ok [/INST]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,19 +37,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.components(_table(spark, sf_dir, "documents"), words=3, percent=90).drop("text_hash")
+    return jaccard_join.components(_table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_likeness(_table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_t"))
-    sized = Scratch(spark, "mixing").write(sized, "sizes")  # texts are read once
-    out = mixing.mix(sized, F.array("source"), ["doc_id", "_t"])
-    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    docs, scratch = _table(spark, sf_dir, "documents"), Scratch(spark, "mixing")
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    sized = scratch.write(sized, "sizes")  # texts are read once
+    out = mixing.mix(sized, F.col("source"), F.col("text_hash"), ["doc_id"], F.col("size"), scratch)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

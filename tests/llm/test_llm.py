@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tidemark.llm import chat_format, decontamination, fingerprints, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, url_filter
 from tidemark.llm.graph import connected_components
-from tidemark.llm.license_rules import gate, rules
+from tidemark.llm.license_rules import gate, most_words, rules
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.words import gram_hashes, shingle_lists, split_words
 
@@ -77,11 +77,12 @@ def test_license_suppression(spark):
 
 def example(regex):
     """A text that a rule's regex matches: first alternatives, options left out."""
+    regex = regex.replace("( [^ ]+){1,30}", " x").replace("( [^ ]+){1,4}", " x")
     while re.search(r"\([^()]*\)", regex):
         regex = re.sub(r"\([^()]*\)(\?|\{0,\d\})", "", regex)
         regex = re.sub(r"\(([^()|]*)[^()]*\)(\{1,\d\})?", r"\1", regex, count=1)
     regex = re.sub(r"\[([^\]])[^\]]*\](\{(\d)\}|\+)?\??", lambda m: m[1].replace("^", "a") * int(m[3] or 1), regex)
-    return re.sub(r"\.\{1,60\}", "x", re.sub(r".\?", "", regex)).replace("  ", " ").strip()
+    return re.sub(r".\?", "", regex).replace("  ", " ").strip()
 
 
 def test_license_rules_are_gated_and_reachable():
@@ -93,7 +94,18 @@ def test_license_rules_are_gated_and_reachable():
         m = re.match(f"^({r.regex})( |$)", text)
         assert m, (r.regex, text)
         assert text.split(" ")[0] in r.leads and g.search(text), (r.regex, text)
-        assert len(re.sub(r"\{1,4\}|\{0,4\}", "", r.regex).split(" ")) <= license_scan.WINDOW
+        assert r.words >= len(text.split(" ")) and (not r.seconds or text.split(" ")[1] in r.seconds)
+
+
+def test_license_windows_are_those_of_the_rules(spark):
+    assert [most_words(x) for x in ("a", "a b( c)?", "(a|b c d) e", "a( [^ ]+){1,4} b", "a [0-9]{2} b", "a ( b|c){0,3}")] == [1, 3, 4, 6, 3, 5]
+    with pytest.raises(ValueError):
+        most_words("a( b)+")
+    texts = {f"Neither the name of {' '.join(['Holder'] * n)} nor the names of its contributors": "bsd-3" if n <= 30 else "" for n in (1, 8, 9, 30, 31)}
+    texts["this work is licensed under the a b c d licence"] = "licensed"
+    texts["Permission: see the license file, no part of this book may be reproduced"] = "licensed,proprietary"
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r["text"]: r["labels"] for r in license_scan.scan(df).collect()} == texts
 
 
 def test_license_odd_and_empty(odd, none, odd_rows):
@@ -113,6 +125,17 @@ def test_line_dedup(odd, odd_rows, batches):
     assert got == sorted(((r[0], *x) for r, x in zip(odd_rows, plain, strict=True)), key=repr)
 
 
+def test_line_dedup_of_any_id(spark):
+    """The greatest number is an id like others; rows without an id come after it."""
+    top, line = 2**63 - 1, "the same long line"
+    rows = [(None, line), (top, line), (None, "only in rows without id"), (None, "only in rows without id"), (5, "a line of two documents"), (top, "a line of two documents"), (-top - 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = by_row(line_dedup.dedup_lines(df), "doc_id", "n_dropped", "text")
+    plain = brute.line_dedup(rows)
+    assert got == sorted(((d, x[1], x[2]) for (d, _), x in zip(rows, plain, strict=True)), key=repr)
+    assert sum(r[1] for r in got) == 2
+
+
 def test_line_runs_are_compacted(spark):
     runs = line_dedup.LineRuns(Scratch(spark, "test"), fanout=2, buckets=2)
     for i in range(5):
@@ -166,7 +189,7 @@ def test_url_propagation(spark):
         h = rng.choice(hosts)
         links = "".join(f'<a HREF="{rng.choice(["http:", "https:", ""])}//{rng.choice(hosts).upper()}/x">' for _ in range(rng.randint(0, 4))) + '<a href="/own"><a href="#top"><a href=mailto:x@y.z><a href=""><a href="//">'
         rows.append((i, f"http://{h}{rng.choice(['/en/1', '/de/2', '/es/3', '/fr/4'])}", links))
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), threshold=0.12).collect()}
     good, bad, pages, edges = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
     for _, u, html in rows:
         host, _, rule = plain_url(u)
@@ -178,8 +201,8 @@ def test_url_propagation(spark):
         edges[host, host] += 1
     trust = brute.pagerank(edges, good, url_filter.DAMPING)
     distrust = brute.pagerank({(t, s): n for (s, t), n in edges.items()}, bad, url_filter.DAMPING)
-    blocked = {h for h in pages if round((distrust.get(h, 0) - trust.get(h, 0)) / pages[h], 9) >= url_filter.THRESHOLD}
-    assert blocked
+    blocked = {h for h in pages if round((distrust.get(h, 0) - trust.get(h, 0)) / pages[h], 9) >= 0.12}
+    assert 0 < len(blocked) < len(pages)
     for i, u, _ in rows:
         host, _, rule = plain_url(u)
         assert got[i] == (rule.verdict if rule else "block" if host in blocked else "allow")
@@ -314,13 +337,40 @@ def test_likeness_estimates_jaccard():
     assert abs(fingerprints.likeness(p[0], p[1]) - len(x & y) / len(x | y)) < 0.15
 
 
+def test_fingerprints_are_plain_minhash():
+    """One shingle, one permutation after the other, in Python's own numbers."""
+    rng = random.Random(7)
+    for text in ("", "a", "One two THREE", " ".join(f"w{rng.randint(0, 50)}" for _ in range(300)), "x " * 40):
+        hashes = {int(h) for h in shingle_lists([text], 5)[0]}
+        assert len(hashes) == len(brute.shingles(text, 5))
+        plain = []
+        for a, b in zip(fingerprints._A.tolist(), fingerprints._B.tolist(), strict=True):
+            least = min(((a * h + b) % 2**64 for h in hashes), default=2**64 - 1)
+            plain.append(f"{least // 2**24 % 2**16:04x}")
+        assert fingerprints.to_text(fingerprints.fingerprint_texts([text])) == ["".join(plain)]
+
+
+def test_fingerprints_of_any_id(spark, monkeypatch):
+    """Ids that floats can't hold stay as they are beside null ids, and classes come along."""
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 2)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(2**63 - 1, base), (2**63 - 2, base + " end"), (2**53 + 1, "other words"), (2**53, None), (-(2**63), base), (None, base + " last"), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS class_id", "'y' AS r", "'z' AS label", "1 AS copy").repartition(2)
+    got = fingerprints.fingerprint_documents(df).collect()
+    low = -(2**63)
+    assert sorted(((r["doc_id"], r["class_id"], r["n_chars"]) for r in got), key=repr) == sorted(((d, low if t and t.startswith("w0") else d, len(t or "")) for d, t in rows), key=repr)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[2**63 - 1]["near_next"] == pytest.approx(np.mean([a == b for a, b in zip(*(fingerprints.fingerprint_texts([x])[0] for x in (base, base + " end")), strict=True)]))
+    assert fingerprints.fingerprint_documents(df.limit(0)).count() == 0
+
+
 def test_similar_classes(docs, doc_rows):
     got = {r["doc_id"]: r["class_id"] for r in fingerprints.similar_classes(docs).collect()}
     plain = brute.components([(r[0], r[1]) for r in doc_rows], 5, 80)
     exact = {d: c for d, (n, c) in plain.items()}
     assert set(got) == set(exact)
     assert all(exact[d] == exact[c] for d, c in got.items())  # verified: no false links
-    assert sum(got[d] == exact[d] for d in got) >= len(got) - 2  # the bands may miss a few
+    assert got == exact
 
 
 # 7. Mixing.
@@ -496,6 +546,10 @@ def test_chat(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), brute.sha(loss))
     out = chat_format.format_conversations(df).where("conv_id = 1").first()
     assert len(out["input_ids"]) == len(out["loss_mask"]) == len(out["token_start"])
+    large = spark.createDataFrame([(2**63 - 1, 0, "user", "a"), (2**53 + 1, 0, "user", "b"), (None, 0, "user", "c")], "conv_id long, turn long, role string, text string").withColumn("none", F.lit("x")).coalesce(1)
+    assert {r["conv_id"] for r in chat_format.read_back(chat_format.format_conversations(large)).collect()} == {2**63 - 1, 2**53 + 1, None}
+    with pytest.raises(Exception, match="no tokenizer at /nowhere"):
+        chat_format.format_conversations(df, tokenizer="/nowhere").collect()
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
@@ -529,6 +583,22 @@ def test_out_of_place_distance():
         assert run([t]) == [(best, pytest.approx(1 - far[best] / (10 * len(mine))))]
 
 
+def test_profiles_are_plain_counts(spark, monkeypatch):
+    """``learn`` over many batches and tasks gives the profile of one count over all texts of a label."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["x", "y"]), " ".join("".join(rng.choice("abcÄz ") for _ in range(6)) for _ in range(rng.randint(1, 30)))) for _ in range(60)]
+    rows += [(None, "aaaa"), ("x", None), ("y", ""), ("z", "123")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = language_id.learn(df, "text", "lang", top=40)
+    for lang in ("x", "y"):
+        counts = collections.Counter()
+        for label, t in rows:
+            if label == lang and t:
+                counts.update(next(language_id._grams([t])).tolist())
+        assert got[lang].tolist() == [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], -x[0]))[:40]]
+    assert set(got) == {"x", "y"}
+
+
 def test_grams_are_counted_as_defined():
     """n-grams of one to three characters of lower-case words with a mark at each border, none of marks alone."""
     plain = collections.Counter()

@@ -153,3 +153,72 @@ def test_similar_classes_of_boilerplate(spark):
 
 def test_empty_tables(spark, none):
     assert fingerprints.similar_classes(none).count() == jaccard_join.components(none, count_links=True).count() == 0
+
+
+CLASH = ["epochs", "target", "source_size", "shard", "slot", "lang_pred", "score", "_b", "extra", "taken", "row", "_t", "_id", "_h", "t", "rep", "n", "label", "component", "spans", "items"]
+
+
+def clashing(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.selectExpr("*", *[f"'own' AS {c}" for c in CLASH]).repartition(3)
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_duplicates", "decontamination", "mixing", "sharding"])
+def test_stages_keep_columns_of_any_name(spark, name, odd_rows, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, " ".join(odd_rows[5][1].split(" ")[:12])), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = [(2**63 - 1, "one more text of its own with the greatest id", "en", None, 1), (2**63 - 2, None, None, None, None), (-(2**63), "!!!", None, "s1", 1)]
+    docs, stage = clashing(spark, [*odd_rows, *ids]), dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, str(tmp_path))
+    kept = [c for c in docs.columns if name != "sharding" or c not in ("shard", "slot")]
+    assert out.columns == [*kept, "shard", "slot"] if name == "sharding" else out.columns == docs.columns
+    rows = {tuple(r) for r in out.select(kept).collect()}
+    assert rows <= {tuple(r) for r in docs.select(kept).collect()} and rows
+    assert any(r[0] == 2**63 - 1 for r in rows) or name == "mixing"
+    empty = stage(spark, docs.limit(0), str(tmp_path))
+    assert empty.columns == out.columns and empty.count() == 0
+
+
+def test_near_duplicates_keep_one_of_each_component(spark, tmp_path):
+    """Also where the least id has two linked texts, ids are null or as large as can be, and rows repeat."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(80)]
+    near = [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in (0, 1, 2)]
+    rows = [(1, " ".join(base)), (1, near[0]), (2, near[1]), (None, near[2]), (2**63 - 1, "clean text of the greatest id"), (None, "clean text of no id"), (None, "clean text of no id"), (7, "same row"), (7, "same row"), (8, ""), (9, "")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path)).collect()
+    got = sorted((tuple(r) for r in kept), key=repr)
+    linked = [r for r in got if r[1] in (rows[0][1], *near)]
+    assert len(linked) == 1 and linked[0][0] == 1
+    assert [r for r in got if r not in linked] == sorted({rows[4], rows[5], rows[7], rows[9], rows[10]}, key=repr)
+
+
+def test_scratch(spark, tmp_path, monkeypatch):
+    """Settings hold while any writer is at work and are restored; a cluster without a shared folder is an error."""
+    import threading
+
+    from tidemark.errors import InvalidArgument
+    from tidemark.llm import scratch
+    from tidemark.session import shared_dir
+
+    was = {k: spark.conf.get(k, None) for k in scratch.SETTINGS}
+    own = scratch.Scratch(spark, "test")
+    threads = [threading.Thread(target=lambda i=i: own.write(spark.range(100), f"t{i}")) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {k: spark.conf.get(k, None) for k in scratch.SETTINGS} == was and not scratch._WRITERS
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(InvalidArgument):
+        shared_dir(Session)

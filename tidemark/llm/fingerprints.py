@@ -71,11 +71,11 @@ def _groups(size: np.ndarray) -> Iterator[np.ndarray]:
 
 def codes(sig: np.ndarray) -> np.ndarray:
     """What a fingerprint holds: bits 24 to 39. The high bits of each least value are all small, the middle ones tell values apart."""
-    return ((sig >> np.uint64(24)) & np.uint64(2**BITS - 1)).astype(">u2")
+    return ((sig >> np.uint64(24)) & np.uint64(2**BITS - 1)).astype(np.uint16)
 
 
 def to_text(code: np.ndarray) -> list[str]:
-    return [row.tobytes().hex() for row in code]
+    return [row.astype(">u2").tobytes().hex() for row in code]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def edit(text: str, following: str) -> str:
 
 def fingerprint_texts(texts: list[str]) -> np.ndarray:
     parts = [codes(signatures(shingle_lists(texts[a:b], SHINGLE))) for a, b in blocks(texts)]
-    return np.concatenate(parts) if parts else np.zeros((0, PERMUTATIONS), ">u2")
+    return np.concatenate(parts) if parts else np.zeros((0, PERMUTATIONS), np.uint16)
 
 
 def _bounds(docs: DataFrame, doc: str) -> tuple[list[int], int | None]:

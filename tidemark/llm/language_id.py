@@ -69,7 +69,7 @@ def _grams(texts: list[str]) -> Iterator[np.ndarray]:
 
 def _counts(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.sort(grams)
-    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
     return s[at], np.diff(np.concatenate([at, [len(s)]]))
 
 

@@ -207,19 +207,22 @@ def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     described = scratch.write(jaccard_join.with_ids(described), "described")
     by = ["s1", "s2", "n"]
     classes = jaccard_join.number_classes(described, by, scratch, F.first("bands").alias("bands"))
-    bands = scratch.write(classes.select("rep", "n", F.explode("bands").alias("band")), "bands")
-    held = bands.groupBy("band").count().where("count > 1")
-    few, big = held.where(F.col("count") <= jaccard_join.HOT).select("band"), held.where(F.col("count") > jaccard_join.HOT).select("band")
-    left = bands.join(few, "band")
+    # Most bands are those of one class: only their hashes are counted, and the others meet what is left.
+    each = classes.select("rep", "n", F.explode("bands").alias("band"))
+    held = scratch.write(each.groupBy("band").count().where("count > 1"), "held")
+    few = held.count() <= jaccard_join.MAX_SPREAD_IDS
+    bands = scratch.write(each.join(F.broadcast(held) if few else held, "band"), "bands")
+    left = bands.where(F.col("count") <= jaccard_join.HOT)
     right = left.select("band", F.col("rep").alias("b"), F.col("n").alias("m"))
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("rep") < F.col("b"))
     pairs = scratch.write(left.join(right, "band").where(fits).select(F.col("rep").alias("a"), "b").distinct(), "pairs")
-    crowded = scratch.write(bands.join(big, "band").select(F.col("band").alias("key"), "rep", "n"), "blocks")
+    crowded = scratch.write(bands.where(F.col("count") > jaccard_join.HOT).select(F.col("band").alias("key"), "rep", "n"), "blocks")
+    scratch.drop("held", "bands")
     asked = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowded.select("rep"))
     sets = jaccard_join.class_sets(own, classes, asked, SHINGLE, scratch)
     edges = jaccard_join.verified(pairs, sets, percent).unionByName(jaccard_join._block_edges(crowded, sets, percent, scratch))
     found = jaccard_join.component_ids(edges, classes, scratch)
-    scratch.drop("bands", "pairs", "blocks", "wanted", "sets", "sets_once", *jaccard_join.BLOCK_TABLES)
+    scratch.drop("pairs", "blocks", "wanted", "sets", "sets_once", *jaccard_join.BLOCK_TABLES)
     back = described.select("doc", "t", *by).join(classes.select(*by, "rep", "least"), by, "left").join(found, "rep", "left")
     class_id = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.coalesce("least", "doc"))
     return back.select(F.col("doc").alias("doc_id"), F.col("t").alias("text_hash"), class_id.alias("class_id"))

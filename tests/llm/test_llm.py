@@ -17,7 +17,7 @@ from tidemark.llm import chat_format, decontamination, fingerprints, jaccard_joi
 from tidemark.llm.graph import connected_components
 from tidemark.llm.license_rules import gate, most_words, rules
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.words import gram_hashes, shingle_lists, split_words
+from tidemark.llm.words import gram_hashes, shingle_lists, split_words, word_counts
 
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
@@ -37,6 +37,7 @@ def test_words_are_those_of_the_patterns(texts):
         for i, t in enumerate(texts):
             mine = [w.word(j) for j in range(w.first[i], w.first[i + 1])]
             assert mine == [x.encode("utf-8", "surrogatepass") for x in plain(t)]
+        assert word_counts(texts, spaced).tolist() == [len(plain(t)) for t in texts]
 
 
 def test_equal_words_have_equal_hashes():

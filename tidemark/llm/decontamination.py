@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.words import ALNUM_WORD, ALNUM_WORD_RAW, LOWER, UPPER, Words, blocks, gram_hashes, gram_hashes_at, mix, split_words
+from tidemark.llm.words import ALNUM_WORD, LOWER, UPPER, Words, blocks, count_words, gram_hashes, gram_hashes_at, mix, split_words
 
 SPAN, GRAM = 10, 5
 #: Rows that may be spread to all executors: fingerprints and text hashes, and windows or results of about a hundred bytes.
@@ -121,21 +121,27 @@ def _items(benchmark: DataFrame, item: str, text: str, scratch: Scratch) -> tupl
 
 
 def _hits(texts: DataFrame, classes: DataFrame, lengths: list[int], scratch: Scratch) -> DataFrame:
-    """The fingerprint join: ``p`` of the texts (hashes of text, ``text``) that an item has too."""
+    """The fingerprint join: ``p`` of the texts (hashes of text, ``text``) that an item has too.
+
+    The items' side is the table ``prints``; there are also the hashes of their windows (``window``).
+    """
 
     def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [np.zeros(0, np.uint64)]
+            parts: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
             for _, words, a, b, grams in _batches(list(pdf["text"])):
-                parts.append(prints(words, a, b, grams, [b - a] if b - a < SPAN else []))
-            yield pd.DataFrame({"p": np.unique(np.concatenate(parts)).view(np.int64)})
+                parts[0].append(prints(words, a, b, grams, [b - a] if b - a < SPAN else []))
+                parts[1].append(gram_hashes(words.hash[a:b], min(b - a, SPAN)))
+            for window, x in enumerate(parts):
+                yield pd.DataFrame({"p": np.unique(np.concatenate(x)).view(np.int64)}).assign(window=bool(window))
 
     def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [prints(words, a, b, grams, lengths).view(np.int64) for _, words, a, b, grams in _batches(list(pdf["text"]))]
             yield pdf[TEXT].assign(p=found)
 
-    own = scratch.write(classes.select("text").mapInPandas(of_items, "p long").distinct(), "prints")
+    made = scratch.write(classes.select("text").mapInPandas(of_items, "p long, window boolean").distinct(), "prints")
+    own = made.where("not window").select("p")
     each = texts.mapInPandas(of_texts, "_dc_1 long, _dc_2 long, p array<long>").select(*TEXT, F.explode("p").alias("p"))
     found = each.join(F.broadcast(own) if own.count() <= MAX_SPREAD else own, "p", "left_semi")
     return scratch.write(found.groupBy(*TEXT).agg(F.collect_set("p").alias("p")), "hits")
@@ -147,20 +153,28 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_t
     lengths = sorted(r["n"] for r in windows.where(F.col("n") < SPAN).select("n").distinct().collect())  # at most SPAN - 1
     texts = docs.select(*_hashes(text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hits = _hits(texts, classes, lengths, scratch)
-    n = hits.count()
-    again = texts.join(F.broadcast(hits.select(*TEXT)) if n <= MAX_SPREAD else hits.select(*TEXT), TEXT, "left_semi")
-    again = again.dropDuplicates(TEXT).join(hits, TEXT)
+    n, keys = hits.count(), hits.select(*TEXT)
+    tasks = 1 + min(n // 256, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    again = texts.join(F.broadcast(keys) if n <= MAX_SPREAD else keys, TEXT, "left_semi")
+    again = again.repartition(tasks, *TEXT).dropDuplicates(TEXT).join(hits, TEXT)
+    # Windows that can't match are left out by their hash, if those of all items can be spread.
+    ends = scratch.read("prints", docs.sparkSession.createDataFrame([], "p long, window boolean")).where("window").select("p")
+    known = np.sort(np.array([r[0] for r in ends.collect()], np.int64).view(np.uint64)) if ends.count() <= MAX_SPREAD else None
+    spread = docs.sparkSession.sparkContext.broadcast(known)
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
+            t1, t2, found_in = pdf[TEXT[0]].to_numpy(), pdf[TEXT[1]].to_numpy(), spread.value
             for k, words, a, b, grams in _batches(list(pdf["text"])):
                 own = np.sort(np.asarray(pdf["p"].iloc[k], np.int64).view(np.uint64))
                 found: dict[tuple[int, bytes], list[int]] = {}
                 for n, starts in places(words, a, b, grams, lengths, own):
+                    if found_in is not None:
+                        starts = starts[_among(gram_hashes_at(words.hash, a + starts, n), found_in)]
                     for s in starts.tolist():
                         found.setdefault((n, b" ".join(words.word(a + s + j) for j in range(n))), []).append(s)
-                rows += [(*pdf[TEXT].iloc[k], n, x.decode(), s) for (n, x), s in found.items()]
+                rows += [(t1[k], t2[k], n, x.decode(), s) for (n, x), s in found.items()]
             yield pd.DataFrame(rows, columns=[*TEXT, "n", "x", "starts"])
 
     near = again.mapInPandas(extend, "_dc_1 long, _dc_2 long, n int, x string, starts array<int>")
@@ -188,7 +202,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     found = scratch.write(spans.withColumn("spans", merge("spans")).join(names, TEXT), "found")
     wide = found.agg(F.sum(8 * F.size("spans") + 16 * F.size("items") + F.octet_length(F.array_join("items", "")))).first()[0] or 0
     keep = [c for c in docs.columns if c not in (text, "n_words", "spans", "items")]
-    count = F.coalesce(F.regexp_count(text, F.lit(ALNUM_WORD_RAW)), F.lit(0)).cast("long").alias("n_words")
+    count = count_words(F.col(text), spaced=False).alias("n_words")
     out = docs.select(*keep, *_hashes(text), count).join(F.broadcast(found) if wide <= 100 * MAX_SPREAD_WIDE else found, TEXT, "left").drop(*TEXT)
     return out.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in (("spans", "array<struct<s:int,e:int>>"), ("items", "array<string>"))})
 

@@ -9,14 +9,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space: space and the control characters from tab to carriage return.
 SPACE = " \t\n\v\f\r"
-#: Regular expressions of the two kinds of word, for lower-cased and for raw text.
+#: Regular expressions of words of letters and digits, for lower-cased and for raw text.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_WORD_RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -81,6 +83,23 @@ def split_words(texts: list[str | None], spaced: bool) -> Words:
     return Words(data, begin, end, h, np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)])))
 
 
+def word_counts(texts: list[str | None], spaced: bool) -> np.ndarray:
+    """How many words each text has: those that ``split_words`` gives, counted by their beginnings."""
+    out = np.zeros(len(texts), np.int64)
+    for a, b in blocks(texts):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]]
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        inside = (_SPACED if spaced else _ALNUM)[_FOLD[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]]
+        begin = np.flatnonzero(inside[1:] & ~inside[:-1])
+        out[a:b] = np.diff(np.searchsorted(begin, np.concatenate([[0], ends])))
+    return out
+
+
+def count_words(text: Column, spaced: bool) -> Column:
+    """``word_counts`` as a column, for operators that may use Python: a regular expression over each text takes several times as long."""
+    return F.pandas_udf(lambda s: pd.Series(word_counts(list(s), spaced)), "long")(text.cast("string"))
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each position on (len(h) - k + 1 of them; none if there are fewer words)."""
     if len(h) < k:

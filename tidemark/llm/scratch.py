@@ -69,6 +69,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
         fs, path = self._at(self.root)
+        fs.mkdirs(path)  # only what is there can be marked
         fs.deleteOnExit(path)
 
     def _at(self, folder: str):

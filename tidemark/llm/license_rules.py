@@ -309,7 +309,8 @@ TIERS = (BASE, EXACT, SENTENCES, NAMED, GENERAL)
 CONFIDENCE = (1.0, 0.95, 0.9, 0.7, 0.4)
 #: The keyword prefilter: every text that any rule can match has one of these (SEP stands for what parts two words).
 GATES = """
-licen[cs]
+licenc
+licens
 lizenz
 copyright
 ©
@@ -347,10 +348,12 @@ no SEP part SEP of
 """
 
 
-def gate() -> str:
-    """The prefilter as one regular expression over raw text, blind to the case of ASCII letters."""
-    sep = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    return "(?i)(?:" + "|".join(x.replace(" SEP ", sep) for x in GATES.strip().splitlines()) + ")"
+def gate_terms() -> tuple[list[str], list[tuple[str, str]]]:
+    """The prefilter over ASCII-lower-cased text: keywords, and phrases as (longest word, regular expression)."""
+    sep = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    terms = GATES.strip().splitlines()
+    phrases = [(max(t.split(" SEP "), key=len), t.replace(" SEP ", sep)) for t in terms if " SEP " in t]
+    return [t for t in terms if " SEP " not in t], phrases
 
 
 @dataclass(frozen=True)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.license_rules import CONFIDENCE, Rule, gate, rules
+from tidemark.llm.license_rules import CONFIDENCE, Rule, gate_terms, rules
 from tidemark.llm.words import ALNUM_WORD, ALNUM_WORD_RAW, LOWER, UPPER
 
 
@@ -32,28 +32,29 @@ def _by_lead(given: list[Rule]) -> dict[str, list[Rule]]:
     return out
 
 
-def _best(place: Column, by_lead: dict[str, list[Rule]]) -> Column:
-    """The best detection at a place (``i``, ``lead``, ``next``: the words from there on); null if no rule matches."""
+def _quote(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def tried(r: Rule) -> Column:
-        match = F.regexp_extract(place["next"], f"^({r.regex})( |$)", 1)  # a literal: compiled once a task
-        found = F.struct(F.lit(r.tier).alias("tier"), (-F.size(F.split(match, " "))).alias("minus"), F.lit(r.number).alias("rule"), F.lit(r.label).alias("label"))
-        return F.when(match != "", found)
 
-    out = None
-    for lead, own in by_lead.items():
-        case = (place["lead"] == lead, F.array_min(F.array(*[tried(r) for r in own])))
-        out = F.when(*case) if out is None else out.when(*case)
-    return F.lit(None) if out is None else out
+def _among(x: str, values: list[str]) -> str:
+    return f"{x} IN ({', '.join(map(_quote, values))})" if values else "false"
 
 
-def _detections(places: Column, by_lead: dict[str, list[Rule]]) -> Column:
-    best = F.transform(places, lambda p: F.struct(p["i"].alias("i"), _best(p, by_lead).alias("b")))
-    found = F.filter(best, lambda x: x["b"].isNotNull())
-    return F.transform(
-        found,
-        lambda x: F.struct(x["i"].alias("first"), (x["i"] - x["b"]["minus"]).alias("end"), x["b"]["tier"].alias("tier"), x["b"]["rule"].alias("rule"), x["b"]["label"].alias("label")),
-    )
+def _detections(places: str, by_lead: dict[str, list[Rule]]) -> Column:
+    """The best detection at each place (``i``, ``lead``, ``next``: the words from there on) that has one.
+
+    Written as SQL: hundreds of rules as Columns would take seconds to build. Patterns are literals, compiled once a task.
+    """
+
+    def tried(r: Rule) -> str:
+        match = f"regexp_extract(p.next, {_quote(f'^({r.regex})( |$)')}, 1)"
+        found = f"named_struct('tier', {r.tier}, 'minus', -size(split({match}, ' ')), 'rule', {r.number}, 'label', {_quote(r.label)})"
+        return f"CASE WHEN {match} <> '' THEN {found} END"
+
+    cases = " ".join(f"WHEN {_quote(lead)} THEN array_min(array({', '.join(map(tried, own))}))" for lead, own in by_lead.items())
+    best = f"CASE p.lead {cases} END" if cases else "null"
+    end = "named_struct('first', x.i, 'end', x.i - x.b.minus, 'tier', x.b.tier, 'rule', x.b.rule, 'label', x.b.label)"
+    return F.expr(f"transform(filter(transform({places}, p -> named_struct('i', p.i, 'b', {best})), x -> x.b IS NOT NULL), x -> {end})") if cases else F.lit(None)
 
 
 def scan(docs: DataFrame, text: str = "text", ordered_rules: list[Rule] | None = None) -> DataFrame:
@@ -67,16 +68,20 @@ def scan(docs: DataFrame, text: str = "text", ordered_rules: list[Rule] | None =
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = docs.withColumn("n_words", F.regexp_count(body, F.lit(ALNUM_WORD_RAW)).cast("long"))
-    words = F.regexp_extract_all(F.translate(body, UPPER, LOWER), F.lit(ALNUM_WORD), F.lit(0))
-    out = out.withColumn("_ls_words", F.when(body.rlike(gate()), words))
-    w = F.col("_ls_words")
-    begins = lambda x, i: x.isin(leads) & (x.isin(alone) | F.concat_ws(" ", x, F.get(w, i + 1)).isin(pairs))
-    at = F.filter(F.transform(w, lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull())
-    places = F.transform(at, lambda i: F.struct(i.alias("i"), w[i].alias("lead"), F.array_join(F.slice(w, i + 1, F.lit(window)), " ").alias("next")))
-    out = out.withColumn("_ls_places", places)
+    out = out.withColumn("_ls_text", F.translate(body, UPPER, LOWER))
+    low, (keywords, phrases) = F.col("_ls_text"), gate_terms()
+    gated = F.lit(False)
+    for k in keywords:
+        gated |= F.contains(low, F.lit(k))
+    for word, phrase in phrases:  # the regular expression only where its longest word is
+        gated |= F.contains(low, F.lit(word)) & low.rlike(phrase)
+    out = out.withColumn("_ls_words", F.when(gated, F.regexp_extract_all(low, F.lit(ALNUM_WORD), F.lit(0)))).drop("_ls_text")
+    begins = f"{_among('x', leads)} AND ({_among('x', alone)} OR {_among("concat_ws(' ', x, get(_ls_words, i + 1))", pairs)})"
+    place = f"named_struct('i', i, 'lead', _ls_words[i], 'next', array_join(slice(_ls_words, i + 1, {window}), ' '))"
+    out = out.withColumn("_ls_places", F.expr(f"transform(filter(transform(_ls_words, (x, i) -> CASE WHEN {begins} THEN i END), i -> i IS NOT NULL), i -> {place})"))
     none = F.array().cast("array<struct<first:int,end:int,tier:int,rule:int,label:string>>")
     for name, tiers in (("_ls_found", lambda r: r.tier > 0), ("_ls_base", lambda r: r.tier == 0)):
-        out = out.withColumn(name, F.coalesce(_detections(F.col("_ls_places"), _by_lead([r for r in all_rules if tiers(r)])), none))
+        out = out.withColumn(name, F.coalesce(_detections("_ls_places", _by_lead([r for r in all_rules if tiers(r)])), none))
     d = F.col("_ls_found")
 
     def stays(x: Column, k: Column) -> Column:

@@ -18,7 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\v\f\r"
 #: Regular expressions of words of letters and digits, for lower-cased and for raw text.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ALNUM_WORD_RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ALNUM_WORD_RAW = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]+"
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32

@@ -204,20 +204,23 @@ def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
                 yield pd.DataFrame({c: pdf[c].iloc[a:b].to_numpy() for c in ("doc", "no", "t")} | made)
 
     described = own.mapInPandas(describe, "doc long, no boolean, t long, n int, s1 long, s2 long, bands array<long>")
-    described = scratch.write(jaccard_join.with_ids(described), "described")
+    wide = scratch.write(jaccard_join.with_ids(described), "wide")
+    described = scratch.write(wide.drop("bands"), "described")
     by = ["s1", "s2", "n"]
-    classes = jaccard_join.number_classes(described, by, scratch, F.first("bands").alias("bands"))
+    banded = jaccard_join.number_classes(wide, by, scratch, F.first("bands").alias("bands"))
+    classes = scratch.write(banded.drop("bands"), "narrow")
     # Most bands are those of one class: only their hashes are counted, and the others meet what is left.
-    each = classes.select("rep", "n", F.explode("bands").alias("band"))
+    each = banded.select("rep", "n", F.explode("bands").alias("band"))
     held = scratch.write(each.groupBy("band").count().where("count > 1"), "held")
     few = held.count() <= jaccard_join.MAX_SPREAD_IDS
     bands = scratch.write(each.join(F.broadcast(held) if few else held, "band"), "bands")
+    scratch.drop("held", "wide", "classes")
     left = bands.where(F.col("count") <= jaccard_join.HOT)
     right = left.select("band", F.col("rep").alias("b"), F.col("n").alias("m"))
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("rep") < F.col("b"))
     pairs = scratch.write(left.join(right, "band").where(fits).select(F.col("rep").alias("a"), "b").distinct(), "pairs")
     crowded = scratch.write(bands.where(F.col("count") > jaccard_join.HOT).select(F.col("band").alias("key"), "rep", "n"), "blocks")
-    scratch.drop("held", "bands")
+    scratch.drop("bands")
     asked = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowded.select("rep"))
     sets = jaccard_join.class_sets(own, classes, asked, SHINGLE, scratch)
     edges = jaccard_join.verified(pairs, sets, percent).unionByName(jaccard_join._block_edges(crowded, sets, percent, scratch))
@@ -236,7 +239,7 @@ def fingerprint_documents(docs: DataFrame, doc: str = "doc_id", text: str = "tex
     scratch = Scratch(docs.sparkSession, "fingerprints")
     found = similar_classes(docs, doc, text, scratch=scratch).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).distinct()
     found = scratch.write(found.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias("t"), "class_id"), "linked")
-    scratch.drop("described", "classes", "numbers")
+    scratch.drop("described", "narrow", "numbers")
     ident = F.col(doc).cast("long")
     rows = docs.select(ident.alias("doc_id"), F.col(text).alias("text"), F.coalesce(ident, F.lit(0)).alias("d"), ident.isNull().alias("none"), F.xxhash64(F.col(text).cast("string")).alias("t"))
     rows = rows.join(F.broadcast(found) if found.count() <= jaccard_join.MAX_SPREAD_IDS else found, ["d", "none", "t"], "left")

@@ -1,0 +1,264 @@
+"""Spelling variants, fill-in-middle and nearest neighbours against plain versions, through the operators and the registered queries."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.llm import brute
+from tidemark.llm import fill_middle, neighbours, queries, spelling
+from tidemark.llm.scratch import Scratch
+
+
+def stored(spark, df, tmp_path, name):
+    df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+# 11. Spelling variants.
+
+
+def near(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def plain_variants(rows):
+    totals = collections.Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(brute.LOW)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 199 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            totals[run] += 1
+    n = {w: c for w, c in totals.items() if len(w) >= 6 and c >= 5}
+    form, count = {}, {}
+    for w in n:
+        others = [x for x in n if near(w, x)]
+        count[w] = len(others)
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], count[w], n[form[w]] if form[w] else None))
+    return sorted(out)
+
+
+def variant_rows():
+    rng, rows = random.Random(3), []
+    chain = {"programme": 700, "program": 3, "programm": 130, "programms": 25, "programmes": 20, "colours": 60, "colour": 10, "colour" + "é": 10, "colorus": 6, "Straßen": 40, "strasen": 7, "straßen": 5, "aaaaaaa": 50, "aaaaaa": 10, "aaaaab": 9, "aaaabaa": 5, "naïveté": 30, "naivete": 6, "naïvete": 6, "x×÷yzab": 5, "x×÷yzac": 25}
+    bag = [w.upper() if rng.random() < 0.1 and w.isascii() else w for w, n in chain.items() for _ in range(n)]
+    bag += [w for i in range(40) for w in ["alpha" + "bcdefgh"[i % 7] * 2] * rng.randrange(1, 60)]
+    rng.shuffle(bag)
+    for i in range(0, len(bag), 25):
+        rows.append((i, "".join(w + rng.choice([" ", "-", "1", "\n", "€"]) for w in bag[i : i + 25])))
+    return [*rows, (None, "programme programm Ωmega"), (9, None), (10, ""), rows[3], rows[3], (11, "short abc é")]
+
+
+def test_variants(spark, tmp_path):
+    rows = variant_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumns({c: F.lit("x") for c in ("word", "n", "root", "doc", "id", "k1")})
+    expected = plain_variants(rows)
+    got = spelling.group_variants(df)
+    columns = ["word", "form", "root", "n", "n_near", "form_n"]
+    assert sorted(map(tuple, got.select(columns).collect())) == expected
+    assert {len([1 for r in expected if r[1]]) > 8, any(r[1] and r[2] != r[1] for r in expected), any(r[4] and not r[1] for r in expected)} == {True}
+    made = queries.op11_spelling_variants(spark, stored(spark, df, tmp_path, "documents"))
+    assert made.columns == columns and dict(made.dtypes) == {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"}
+    assert sorted(map(tuple, made.collect())) == expected
+
+
+def test_variants_of_documents(spark, docs, odd, odd_rows, none):
+    for df, rows in ((docs, None), (odd, odd_rows)):
+        rows = [(r[0], r[1]) for r in (rows or docs.collect())]
+        got = spelling.group_variants(df).select("word", "form", "root", "n", "n_near", "form_n").collect()
+        assert sorted(map(tuple, got)) == plain_variants(rows)
+    assert spelling.group_variants(none).count() == 0
+
+
+def test_counts_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "TABLE_WORDS", 3)
+    rows = variant_rows()
+    got = {r["word"]: r["n"] for r in spelling.count_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[w] == n for w, _, _, n, _, _ in plain_variants(rows))
+
+
+def test_very_long_words(spark):
+    """A word as long as a text: its deletions are hashes, so they take a few megabytes, not the square of its length."""
+    long = "".join(random.Random(2).choices("abcdefgh", k=150_000))
+    rows = [(i, w) for i, w in enumerate([long] * 40 + [long[:-1]] * 5 + [long[:70_000] + "x" + long[70_001:]] * 6)]
+    got = {(len(r["word"]), r["n"]): (r["n_near"], r["form_n"]) for r in spelling.group_variants(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[150_000, 40] == (2, None) and got[149_999, 5] == (1, 40) and got[150_000, 6] == (1, 40)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abé", min_size=1, max_size=7), min_size=1, max_size=8))
+def test_deletions_are_distinct(words):
+    at, k1, k2, low, high = spelling.spell(words)
+    text = {}
+    for i, a, b, x, y in zip(at, k1, k2, low, high, strict=True):
+        w = words[i]
+        got = w if y == np.iinfo(np.int32).max else w[:x] + w[x + 1 :]
+        assert y == np.iinfo(np.int32).max or all(w[:p] + w[p + 1 :] == got for p in range(x, y + 1))
+        assert text.setdefault((a, b), got) == got
+    assert len(set(text.values())) == len(text)
+    for i, w in enumerate(words):
+        assert (at == i).sum() == 1 + len({w[:p] + w[p + 1 :] for p in range(len(w))})
+
+
+def test_roots_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(37)] + [(100, 20), (101, 100), (200, 201)]
+    got = {r["id"]: r["root_id"] for r in spelling.roots(spark.createDataFrame(edges, "id long, form_id long"), Scratch(spark, "roots")).collect()}
+    assert got == {a: 201 if a == 200 else 37 for a, _ in edges}
+
+
+# 12. Fill-in-middle.
+
+
+def plain_fim(doc, text):
+    text = text or ""
+    digest = hashlib.sha256(f"1:{'' if doc is None else doc}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * i : 8 * i + 8], 16) for i in range(4))
+    tokens = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    n = len(tokens)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    return (n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if h4 % 100 < 20 else (n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aZ<>PSM \né\U0001f600\x00@[`{", max_size=25), st.integers(0, 2**32 - 1), st.integers(0, 2**32 - 1))
+def test_cuts_are_those_of_the_tokens(text, low, high):
+    tokens = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    n = len(tokens)
+    a, b = sorted((low % (n + 1), high % (n + 1)))
+    marked = any(x in text for x in ("<P>", "<S>", "<M>"))
+    assert fill_middle.cut(text, low, high) == (n, marked, len("".join(tokens[:a])), len("".join(tokens[:b])))
+
+
+def test_automaton_follows_any_text():
+    """States by the last three classes are those of a walk from the root."""
+    classes, step, says = fill_middle.automaton()
+    rng = random.Random(4)
+    text = "".join(rng.choice("<>PSMab 1") for _ in range(4000)).encode()
+    state, walked = 0, []
+    for c in text:
+        state = step[state, classes[c]]
+        walked.append(says[state])
+    assert fill_middle.events(text).tolist() == walked
+
+
+def fim_rows():
+    rng = random.Random(6)
+    texts = ["", None, "a", "<", "<P", "x<P>y", "<S>", "a <M> b", "<<P><", "P>", "ends with <P", "<P <S <M", "word", "é", "\U0001f600\U0001f600", "\x00a\x00", "\r\n" * 9]
+    texts += ["".join(rng.choice(["ab", "Z", "<", ">", "P", "S>", " ", "é", "\n", "1", "<<"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(-5, "negative id"), (2**62, "large id"), (None, "no id"), (None, "no id"), (7, "one id twice"), (10_000, "long text " * 40_000), (10_001, "x" * 300_000)]
+    return rows
+
+
+def test_fill_middle(spark, tmp_path):
+    rows = fim_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({c: F.lit("x") for c in ("n", "form", "cut", "h1", "output")})
+    out = fill_middle.transform(df)
+    expected = sorted(((d, *plain_fim(d, t)) for d, t in rows), key=repr)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == expected
+    assert {e[2] for e in expected} == {"plain", "psm", "spm"}
+    back = out.select("doc_id", fill_middle.restore(F.col("output"), F.col("form"))).collect()
+    assert sorted((tuple(r) for r in back), key=repr) == sorted(((d, t or "") for d, t in rows), key=repr)
+    got = queries.op12_fill_middle(spark, stored(spark, df, tmp_path, "documents"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(((*e[:-1], brute.sha(e[-1]), brute.sha(t or "")) for e, t in ((((d, *plain_fim(d, t))), t) for d, t in rows)), key=repr)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint", "output_sha256": "string", "restored_sha256": "string"}
+
+
+def test_fill_middle_of_nothing(none):
+    assert fill_middle.transform(none).count() == 0
+
+
+# 13. Nearest neighbours.
+
+VECTORS = "vec_id long, embedding array<float>"
+
+
+def plain_nearest(rows, k, asked):
+    """rows: (id, vector); the k nearest by distance in double precision, ties to the smaller id, rows without one last."""
+    good = [(i, d, np.float32(v).astype(float)) for i, (d, v) in enumerate(rows) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for i, d, v in good:
+        if d is not None and asked(d):
+            others = sorted(((float(np.sqrt(((w - v) ** 2).sum())), e is None, e or 0) for j, e, w in good if j != i and len(w) == len(v)))[:k]
+            out += [(d, r, None if none else e, s) for r, (s, none, e) in enumerate(others, 1)]
+    return sorted(out, key=repr)
+
+
+def result(df):
+    return sorted((tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect()), key=repr)
+
+
+def test_neighbours_of_odd_vectors(spark, tmp_path):
+    """Few rows, so every one is met: nulls, zeros, other lengths, ties, repeated rows and ids, rows without an id."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, -0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [0.0, 1.0])]
+    rows += [(100, [2.0, 0.0]), (100, [2.0, 1.0]), (None, [1.0, 0.0]), (None, [3.0, 0.0]), (200, [1.0, 2.0, 3.0]), (11, [1.0, 2.0, 4.0]), (300, [5.0]), (400, [0.0, 0.0]), (-100, [3e38, -3e38])]
+    rows += [(500 + i, [0.0, 7.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3).withColumns({c: F.lit("x") for c in ("row", "id", "none", "dim", "score", "rank", "cell", "kind", "label")})
+    asked = lambda d: d % 100 == 0
+    assert result(neighbours.nearest(df, F.col("vec_id") % 100 == 0)) == plain_nearest(rows, 10, asked)
+    assert result(neighbours.nearest(df, F.col("vec_id") % 100 == 0, k=3)) == plain_nearest(rows, 3, asked)
+    got = queries.op13_neighbours(spark, stored(spark, df, tmp_path, "embeddings"))
+    assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"} and result(got) == plain_nearest(rows, 10, asked)
+
+
+def test_neighbours_of_nothing(spark):
+    assert neighbours.nearest(spark.createDataFrame([], VECTORS), F.col("vec_id") % 100 == 0).count() == 0
+    assert neighbours.nearest(spark.createDataFrame([(1, [1.0])], VECTORS), F.col("vec_id") % 100 == 0).count() == 0
+    assert neighbours.nearest(spark.createDataFrame([(0, [1.0])], VECTORS), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("dim,groups,kind", [(64, 1, "spread"), (64, 7, "clusters"), (5, 3, "clusters"), (160, 4, "spread")])
+def test_neighbours_recall(spark, dim, groups, kind, monkeypatch):
+    """Against all distances, in several cells, chunks and query blocks; a third of all rows are one vector."""
+    monkeypatch.setattr(neighbours, "LEAST_ROWS", 6000 // groups)
+    monkeypatch.setattr(neighbours, "CHUNK_BYTES", 8 * max(dim, 64) * 300)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 8 * dim * 40)
+    rng = np.random.default_rng(dim + groups)
+    v = rng.standard_normal((4000, dim))
+    if kind == "clusters":
+        v = rng.standard_normal((20, dim))[rng.integers(20, size=4000)] * 4 + v * 0.3
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    v = np.concatenate([v, np.repeat(v[:1], 2000, axis=0)])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(4)
+    got = result(neighbours.nearest(df, F.col("vec_id") % 50 == 0))
+    wide, found, total = v.astype(float), 0, 0
+    by = collections.defaultdict(dict)
+    for q, r, i, s in got:
+        by[q][r] = (s, i)
+    for q in range(0, 6000, 50):
+        d = np.sqrt(((wide - wide[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(6000), d))[:10]
+        mine = [by[q][r] for r in range(1, 11)]
+        assert mine == sorted(mine) and all(abs(s - d[i]) < 1e-12 for s, i in mine)
+        found, total = found + len({i for _, i in mine} & set(best.tolist())), total + 10
+        if q >= 4000:  # the group's members are each other's nearest, by id
+            assert [i for _, i in mine] == best.tolist()
+    assert found >= 0.95 * total

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, fingerprints, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, url_filter
+from tidemark.llm import chat_format, decontamination, fill_middle, fingerprints, jaccard_join, language_id, license_scan, line_dedup, mixing, neighbours, sharding, spelling, url_filter
 from tidemark.llm.scratch import Scratch, prepare
 
 CHAT_CASE = "</s>[INST] ok [/INST]"
@@ -74,10 +74,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows.drop("lang"), "text", profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_line_dedup, op3_url_filter, op4_decontamination, op5_ngram_jaccard_join, op6_fingerprints, op7_mixing, op8_sharding, op9_chat_format, op10_language_id,
+        op11_spelling_variants, op12_fill_middle, op13_neighbours,
     )
 }
 
@@ -88,4 +104,5 @@ ORACLES = {
     "op4_decontamination": decontamination.ORACLE,
     "op5_ngram_jaccard_join": jaccard_join.ORACLE,
     "op9_chat_format": chat_format.oracle(CHAT_CASE),
+    "op12_fill_middle": fill_middle.ORACLE,
 }

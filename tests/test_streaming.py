@@ -3,37 +3,35 @@
 import datetime as dt
 
 from tests.test_features import BARS
-from tidemark.streaming.bars import BarStore, ingest
+from tidemark.streaming.bars import apply, audit_of, bar_table, ingest
 
 
 def test_stream_upserts(spark, tmp_path):
     rows = lambda close: [(1, dt.date(2026, 1, d), 1.0, 9.0, 1.0, close, 1.0) for d in (1, 2)]
     schema = spark.createDataFrame([], BARS).schema
-    store = BarStore(spark, str(tmp_path / "bars"), schema)
-    assert store.read().count() == 0
+    table, audit = bar_table(spark, str(tmp_path / "bars"), schema), str(tmp_path / "audit")
+    assert table.read().count() == 0 and audit_of(spark, audit) is None
     for i, close in enumerate((2.0, 3.0)):
         spark.createDataFrame(rows(close), BARS).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        q = ingest(stream, store, str(tmp_path / "checkpoint"))
+        q = ingest(stream, table, str(tmp_path / "checkpoint"), audit)
         assert q.awaitTermination(120)
-        assert sorted((r["date"].day, r["close"]) for r in store.read().collect()) == [(1, close), (2, close)]
+        assert sorted((r["date"].day, r["close"]) for r in table.read().collect()) == [(1, close), (2, close)]
     again = spark.createDataFrame([(*r, 0) for r in rows(3.0)], BARS + ", arrival long")
-    assert [r["skipped"] for r in store.apply(again, 7).collect()] == [2]
+    assert [r["skipped"] for r in apply(table, again, 7, audit).collect()] == [2]
+    assert sorted((r["batch"], r["inserted"], r["updated"], r["skipped"]) for r in audit_of(spark, audit).collect()) == [(0, 2, 0, 0), (1, 0, 2, 0), (7, 0, 0, 2)]
 
 
-def test_only_touched_buckets_are_rewritten_and_versions_are_bounded(spark, tmp_path):
+def test_a_batch_that_runs_again(spark, tmp_path):
+    """The table and the audit are the same, and what was kept of earlier batches is gone."""
     schema = spark.createDataFrame([], BARS).schema
-    store = BarStore(spark, str(tmp_path / "bars"), schema, buckets=4)
-    day = lambda i, close: [(i, dt.date(2026, 1, 1), 1.0, 9.0, 1.0, close, 1.0, 0)]
-    batch = lambda rows: spark.createDataFrame(rows, BARS + ", arrival long")
-    store.apply(batch([r for i in range(20) for r in day(i, 2.0)]), 0)
-    before = dict(store._versions())
-    assert len(before) > 1
-    for n in (1, 2, 3):
-        store.apply(batch(day(5, 2.0 + n)), n)
-    touched = {b for b, v in store._versions() if v > 1}
-    assert len(touched) == 1 and sorted(v for b, v in store._versions() if b in touched) == [3, 4]
-    assert all(v == 1 for b, v in store._versions() if b not in touched)
-    assert {r["instrument_id"]: r["close"] for r in store.read().collect()} == {i: 5.0 if i == 5 else 2.0 for i in range(20)}
-    store.apply(batch(day(5, 4.0)), 3)  # run again
-    assert store.read().where("instrument_id = 5").first()["close"] == 4.0 and store.read().count() == 20
+    table, audit = bar_table(spark, str(tmp_path / "bars"), schema), str(tmp_path / "audit")
+    day = lambda i, m, close: (i, dt.date(2026, m, 1), 1.0, 9.0, 1.0, close, 1.0, 0)
+    batch = lambda *rows: spark.createDataFrame(list(rows), BARS + ", arrival long")
+    apply(table, batch(*[day(i, 1, 2.0) for i in range(20)]), 0, audit)
+    for n in (1, 2, 2, 2):
+        got = apply(table, batch(day(5, 1, 2.0 + n), day(5, 2, 9.0 - n)), n, audit).first()
+        assert (got["inserted"], got["updated"]) == ((1, 1) if n == 1 else (0, 2))
+    assert {(r["instrument_id"], r["date"].month): r["close"] for r in table.read().collect()} == {**{(i, 1): 4.0 if i == 5 else 2.0 for i in range(20)}, (5, 2): 7.0}
+    assert [p.name for p in (tmp_path / "bars" / "_batches").iterdir() if p.is_dir()] == ["stream-2"]
+    assert sorted((r["batch"], r["received"]) for r in audit_of(spark, audit).where("instrument_id = 5").collect()) == [(0, 1), (1, 2), (2, 2)]

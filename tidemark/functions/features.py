@@ -1,7 +1,8 @@
 """Features: definitions, their column names, and the registry that compiles them.
 
 A family compiles either to a Column over the shared window, or (Wilder's smoothing) to increments that are smoothed in one
-ordered pass afterwards. All families see the bars up to the row's date only.
+ordered pass afterwards. All families see the bars up to the row's date only. A family says how many bars before its own it looks at, so
+that long series can be dealt to blocks (``operators.blocks``).
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.errors import InvalidArgument
 from tidemark.functions.scalars import ratio
-from tidemark.functions.windows import DATE, ID, last_rows, series
+from tidemark.functions.windows import DATE, ID, along, last_rows, series
+from tidemark.operators.blocks import BLOCK, OWN, deal
 
 BANDS = ("upper", "middle", "lower")
 
@@ -147,16 +149,23 @@ class Registry:
     """Families by normalised name."""
 
     def __init__(self) -> None:
-        self._families: dict[str, Callable[[dict], Column | Smoothed]] = {}
+        self._families: dict[str, tuple[Callable[[dict], Column | Smoothed], Callable[[dict], int] | None]] = {}
 
-    def register(self, family: str, compile_: Callable[[dict], Column | Smoothed]) -> None:
+    def register(self, family: str, compile_: Callable[[dict], Column | Smoothed], lookback: Callable[[dict], int] | None = None) -> None:
+        """``lookback``: how many bars before its own a feature of these parameters looks at. Without it the family can't go over blocks of a series."""
         key = family.strip().lower()
         if key in self._families:
             raise InvalidArgument(f"family {key} is registered already")
-        self._families[key] = compile_
+        self._families[key] = compile_, lookback
 
     def compile(self, feature: Feature) -> Column | Smoothed:
-        return self._families[feature.family.strip().lower()](feature.params)
+        return self._families[feature.family.strip().lower()][0](feature.params)
+
+    def lookback(self, feature: Feature) -> int:
+        look = self._families[feature.family.strip().lower()][1]
+        if look is None:
+            raise InvalidArgument(f"family {feature.family!r} doesn't say how many bars it looks back at")
+        return look(feature.params)
 
     def families(self) -> list[str]:
         return sorted(self._families)
@@ -164,8 +173,12 @@ class Registry:
 
 def default_registry() -> Registry:
     out = Registry()
-    for name, f in (("return", _return), ("sma", _sma), ("bollinger_bands", _bollinger), ("rsi", _rsi), ("atr", _atr)):
-        out.register(name, f)
+    before = lambda default, own: lambda p: positive(p, "window", default) - own
+    out.register("return", _return, before(1, 0))
+    out.register("sma", _sma, before(20, 1))
+    out.register("bollinger_bands", _bollinger, before(20, 1))
+    out.register("rsi", _rsi, lambda p: 1)
+    out.register("atr", _atr, lambda p: 1)
     return out
 
 
@@ -193,46 +206,130 @@ def wilder(x: np.ndarray, n: int, state: list) -> np.ndarray:
     return out
 
 
-def add_features(bars: DataFrame, features: list[Feature], registry: Registry | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+def add_features(
+    bars: DataFrame,
+    features: list[Feature],
+    registry: Registry | None = None,
+    extra: dict[str, Column] | Callable[[], dict[str, Column]] | None = None,
+    order: str = DATE,
+    rows_per_block: int | None = None,
+    ahead: int = 0,
+) -> DataFrame:
     """``bars`` with a column for each feature, in one shuffle by instrument.
 
-    ``extra``: further columns over the same window (labels). Features on smoothed values follow in one streamed pass over the
-    partitions, which the window has left sorted by instrument and date; it holds a batch of rows and one state.
+    ``extra``: further columns over the same window (labels), or what makes them. ``order``: the column that bars go by, a date or a timestamp.
+    Features on smoothed values follow in one streamed pass over the partitions, which the window has left sorted by instrument and
+    order; it holds a batch of rows and one state.
+
+    With ``rows_per_block`` longer series are dealt to blocks of about so many rows with halos, for ``ahead`` bars after a row too, and smoothing is carried
+    from block to block (``_carried``). Windowed columns are the same; smoothed ones may differ in the last bits (relatively by less than
+    1e-12), since what a block starts from is then a sum in another order.
     """
     registry = registry or default_registry()
     names = [f.name for f in features]
     if len(set(names)) != len(names):
         raise InvalidArgument("two features have the same column name")
-    made = [(f.name, registry.compile(f)) for f in features]
-    direct = {n: c for n, c in made if isinstance(c, Column)} | (extra or {})
-    smoothed = [(n, s) for n, s in made if isinstance(s, Smoothed)]
-    steps = {f"_inc{i}_{j}": c for i, (_, s) in enumerate(smoothed) for j, c in enumerate(s.increments)}
-    if smoothed:  # so that there is a window whatever the increments are: it brings each instrument's rows together
-        steps["_place"] = F.row_number().over(series())
-    out = bars.withColumns(direct | steps)
+    keys = (ID,)
+    if rows_per_block is not None:
+        keys = (ID, BLOCK)
+        bars = deal(bars, rows_per_block, max([1, *map(registry.lookback, features)]), ahead, order)
+    with along(keys, order):
+        made = [(f.name, registry.compile(f)) for f in features]
+        direct = {n: c for n, c in made if isinstance(c, Column)} | (extra() if callable(extra) else extra or {})
+        smoothed = [(n, s) for n, s in made if isinstance(s, Smoothed)]
+        steps = {f"_inc{i}_{j}": c for i, (_, s) in enumerate(smoothed) for j, c in enumerate(s.increments)}
+        place = {"_place": F.row_number().over(series())} if smoothed else {}  # so that there is a window whatever the increments are: it brings each series' rows together
+        out = bars.withColumns(direct | steps | place)
+        if rows_per_block is not None:
+            out = out.where(OWN).drop(OWN)
+            if smoothed:
+                windows = {f"_inc{i}_{j}": s.window for i, (_, s) in enumerate(smoothed) for j in range(len(s.increments))}
+                out = _carried(out, windows, order).withColumns(place)
     if not smoothed:
-        return out
-    kept = [c for c in out.columns if c not in steps]
-    schema = T.StructType([out.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n, _ in smoothed])
+        return out.drop(BLOCK)
+    return _smooth(out, smoothed, keys, order).drop(BLOCK)
+
+
+def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[str, ...], order: str) -> DataFrame:
+    """Fold the increments of each series, from nothing or from the state that ``_carried`` has put beside them."""
+    inputs = [f"_inc{i}_{j}" for i, (_, s) in enumerate(smoothed) for j in range(len(s.increments))]
+    begins = {c: f"_state{c}" for c in inputs if f"_state{c}" in rows.columns}
+    kept = [c for c in rows.columns if c not in {*inputs, *begins.values(), "_place"}]
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n, _ in smoothed])
     # What goes to the workers: no Columns.
     plan = [(n, s.window, [f"_inc{i}_{j}" for j in range(len(s.increments))], s.close_out) for i, (n, s) in enumerate(smoothed)]
-    inputs = [c for c in steps if c != "_place"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, states = None, {}
         for pdf in batches:
-            ids = pdf[ID].to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, int)
+            ids = list(zip(*(pdf[k].to_numpy() for k in keys), strict=True))
+            change = np.zeros(len(pdf), bool)
+            for k in keys:
+                v = pdf[k].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            cuts = np.flatnonzero(np.concatenate([[True], change[1:]])) if len(ids) else np.zeros(0, int)
             result = {n: np.full(len(pdf), np.nan) for n, *_ in plan}
             columns = {c: pdf[c].to_numpy(float) for c in inputs}
             for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
                 if ids[a] != key:
-                    key, states = ids[a], {c: [0, 0.0, 0.0] for c in inputs}
+                    key = ids[a]
+                    states = {c: [int(x[0]), *map(float, x[1:])] if c in begins and (x := pdf[begins[c]].iloc[a]) is not None else [0, 0.0, 0.0] for c in inputs}
                 for n, window, names, close_out in plan:
                     parts = [wilder(columns[c][a:b], window, states[c]) for c in names]
                     result[n][a:b] = close_out(*parts)
                     result[n][a:b][np.isnan(parts[0])] = np.nan
             yield pdf[kept].assign(**result)
 
-    done = out.sortWithinPartitions(ID, DATE).mapInPandas(run, schema)
+    done = rows.sortWithinPartitions(*keys, order).mapInPandas(run, schema)
     return done.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n, _ in smoothed})
+
+
+def _carried(rows: DataFrame, windows: dict[str, int], order: str) -> DataFrame:
+    """``rows`` of blocks with the state (``_state...``: count, sum, value) in which the smoothing of each increment enters their block.
+
+    Over the m increments of a block Wilder's rule is the affine map value * a^m + sum of x_i / n * a^(m - i), with a = (n - 1) / n. The maps
+    are one aggregation; an instrument's maps, one row a block, are then applied one after the other. Only they are shuffled and joined back.
+    """
+    own = series()
+    place = {f"_nth{c}": F.count(c).over(own) for c in windows} | {f"_all{c}": F.count(c).over(Window.partitionBy(ID, BLOCK)) for c in windows}
+    marked = rows.withColumns(place)
+    aggs = []
+    for c, n in windows.items():
+        a, there = (n - 1) / n, F.col(c).isNotNull()
+        pull = F.when(there, F.col(c) / n * F.pow(F.lit(a), F.col(f"_all{c}") - F.col(f"_nth{c}")))
+        early = F.when(there & (F.col(f"_nth{c}") <= n), F.struct(F.col(f"_nth{c}").alias("i"), F.col(c).alias("x")))  # what may go into the seed
+        aggs += [F.count(c).alias(f"m{c}"), F.coalesce(F.sum(pull), F.lit(0.0)).alias(f"b{c}"), F.transform(F.array_sort(F.collect_list(early)), lambda e: e["x"]).alias(f"f{c}")]
+    maps = marked.groupBy(ID, BLOCK).agg(*aggs)
+    schema = T.StructType([rows.schema[ID], rows.schema[BLOCK], *[T.StructField(f"_state{c}", T.ArrayType(T.DoubleType())) for c in windows]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLOCK, ignore_index=True)
+        out = {ID: pdf[ID], BLOCK: pdf[BLOCK]}
+        for c, n in windows.items():
+            out[f"_state{c}"] = list(entering(pdf[f"m{c}"].tolist(), pdf[f"b{c}"].tolist(), pdf[f"f{c}"].tolist(), n))
+        return pd.DataFrame(out)
+
+    states = maps.groupBy(ID).applyInPandas(run, schema)
+    key = [F.col(k).alias(f"{k}_s") for k in (ID, BLOCK)]
+    joined = rows.join(states.select(*key, *[f"_state{c}" for c in windows]), (F.col(ID) == F.col(f"{ID}_s")) & (F.col(BLOCK) == F.col(f"{BLOCK}_s")), "left")
+    return joined.drop(f"{ID}_s", f"{BLOCK}_s")
+
+
+def entering(counts: list[int], pulls: list[float], firsts: list[np.ndarray], n: int) -> Iterator[list[float]]:
+    """The state (count, sum, value) before each block, from its number of increments, what they pull to, and its first n increments.
+
+    Increments that still go into the seed are taken out of the block's pull: they are among its first n.
+    """
+    a = (n - 1) / n
+    count, total, value = 0, 0.0, 0.0
+    for m, pull, first in zip(counts, pulls, firsts, strict=True):
+        yield [float(count), total, value]
+        seed = [float(x) for x in first[: max(0, min(n - count, m))]]
+        for x in seed:
+            total += x
+        if seed and count + len(seed) == n:
+            value = total / n
+        if count + m > n or count >= n:
+            pull -= sum(x / n * a ** (m - i) for i, x in enumerate(seed, 1))
+            value = value * a ** (m - len(seed)) + pull
+        count += m

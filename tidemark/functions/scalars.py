@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.errors import InvalidArgument
+
 #: Form of an ISIN (fixed value).
 ISIN = "^[A-Z]{2}[A-Z0-9]{9}[0-9]$"
 
 
+def check_range(start: str | None, end: str | None) -> None:
+    """A range of days or times, written alike, doesn't begin after its end."""
+    if start is not None and end is not None and start > end:
+        raise InvalidArgument(f"the range begins at {start}, after its end {end}")
+
+
 def upper_code(c: Column) -> Column:
     return F.upper(F.trim(c))
 
@@ -49,6 +57,13 @@ def to_float64(c: Column) -> Column:
     return F.when(is_finite(x) & ~((x == 0) & (c != 0)), x)
 
 
+def strict_float64(c: Column, name: str) -> Column:
+    """A number as double for a model: null, what isn't finite, and what over- or underflows as a double raise."""
+    message = F.concat(F.lit(f"{name} has no value as a double: "), F.coalesce(c.cast("string"), F.lit("null")))
+    x = to_float64(c)
+    return F.when(x.isNull(), F.raise_error(message).cast("double")).otherwise(x)
+
+
 def tidy(c: Column, digits: int = 6) -> Column:
     """Rounded, without negative zero: equal across engines whose sums differ in the last bits."""
     return F.round(c, digits) + F.lit(0.0)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import is_weekend
+from tidemark.functions.scalars import check_range, is_weekend
 
 
 def holidays_in_range(holidays: DataFrame, start: str, end: str, exchange: int | str | None = None) -> DataFrame:
+    check_range(start, end)
     found = holidays.where(F.col("holiday_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     return (found if exchange is None else found.where(F.col("exchange_id") == exchange)).orderBy("exchange_id", "holiday_date")
 
@@ -28,6 +29,7 @@ def trades(day: Column, session: Column) -> Column:
 
 def calendar(exchanges: DataFrame, holidays: DataFrame, start: str, end: str) -> DataFrame:
     """Every day of every exchange: ``is_holiday`` (of any session type) and ``is_trading_day``."""
+    check_range(start, end)
     days = exchanges.select("exchange_id", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
     h = holidays.select("exchange_id", F.col("holiday_date").alias("date"), "session_type")
     out = days.join(h, ["exchange_id", "date"], "left")

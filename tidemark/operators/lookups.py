@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.errors import InvalidArgument
-from tidemark.functions.scalars import lower_name, upper_code
+from tidemark.functions.scalars import check_range, lower_name, upper_code
 from tidemark.functions.windows import DATE, ID
 
 
@@ -14,11 +13,6 @@ def _date(x: str) -> Column:
     return F.lit(x).cast("date")
 
 
-def check_range(start: str, end: str) -> None:
-    if start > end:
-        raise InvalidArgument(f"the range begins at {start}, after its end {end}")
-
-
 def bars_in_range(bars: DataFrame, instrument: int | str, start: str, end: str) -> DataFrame:
     check_range(start, end)
     return bars.where((F.col(ID) == instrument) & F.col(DATE).between(_date(start), _date(end))).orderBy(DATE)
@@ -65,6 +59,7 @@ def instrument_by_symbol(instruments: DataFrame, exchanges: DataFrame, symbol: s
 
 
 def actions_of(actions: DataFrame, instrument: int | str, start: str | None = None, end: str | None = None, kind: str | None = None) -> DataFrame:
+    check_range(start, end)
     found = F.col(ID) == instrument
     if start:
         found &= F.col("execution_date") >= _date(start)
@@ -77,6 +72,7 @@ def actions_of(actions: DataFrame, instrument: int | str, start: str | None = No
 
 def fundamentals_as_of(records: DataFrame, as_of: str, start: str | None = None, end: str | None = None, metric: str | None = None) -> DataFrame:
     """All records that were available at ``as_of``; those without availability never are."""
+    check_range(start, end)
     seen = F.col("available_at").isNotNull() & (F.col("available_at") <= _date(as_of))
     if start:
         seen &= F.col("period_end") >= _date(start)
@@ -122,6 +118,6 @@ def symbols_as_of(dated: DataFrame, history: DataFrame, instruments: DataFrame)
 
 
 def newest(rows: DataFrame, by: list[str], time: str, tie: str, k: int = 1) -> DataFrame:
-    """The k newest rows of each group; the optimizer keeps k rows a group before the shuffle."""
-    w = Window.partitionBy(*by).orderBy(F.desc(time), F.desc(tie))
+    """The k newest rows of each group, those without a time last; the optimizer keeps k rows a group before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(time), F.desc_nulls_last(tie))
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidArgument, InvalidData
-from tidemark.functions.scalars import blank_to_null, is_finite
+from tidemark.functions.scalars import blank_to_null, check_range, is_finite
 from tidemark.functions.windows import DATE, ID
 
 Rules = list[tuple[str, Column]]
@@ -39,6 +39,7 @@ def bar_rules() -> Rules:
 
 def bar_batch(batch: DataFrame, instrument: int | str, start: str, end: str, index: str = "batch_index") -> DataFrame:
     """The violation of each row; ``is_first`` marks the one that a strict ingest raises."""
+    check_range(start, end)
     repeated = F.row_number().over(Window.partitionBy(ID, DATE).orderBy(index)) > 1
     rules = [
         ("wrong_instrument", F.col(ID) != instrument),
@@ -83,6 +84,7 @@ def zone_rules(*columns: str) -> Rules:
 def fundamental_batch(records: DataFrame, start: str, end: str, instrument: int | str | None = None, stamps: tuple[str, ...] = ()) -> DataFrame:
     """Records of another instrument than the expected one (if given), out of the period range, with a text stamp that names no zone
     (``stamps``), or whose key (null-safe) is not the only one."""
+    check_range(start, end)
     key = Window.partitionBy(ID, "period_end", "metric_name", "fiscal_year", "fiscal_quarter")
     rules = [
         ("out_of_range", ~F.col("period_end").between(F.lit(start).cast("date"), F.lit(end).cast("date"))),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidArgument, InvalidData
+from tidemark.functions.scalars import strict_float64
 from tidemark.functions.windows import ID
 
 OBS = "observation_date"
@@ -119,5 +120,5 @@ def require_verified(parts: DataFrame, source: DataFrame, config: SplitConfig) -
 
 def dense_parts(parts: DataFrame, features: list[str]) -> dict[str, DataFrame]:
     """For each segment its kept rows: features as one array of doubles ``x`` in order, and the target ``y``."""
-    kept = parts.where(F.col("status") == KEPT).select("segment", ID, OBS, F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col("target").cast("double").alias("y"))
+    kept = parts.where(F.col("status") == KEPT).select("segment", ID, OBS, F.array(*[strict_float64(F.col(f), f) for f in features]).alias("x"), strict_float64(F.col("target"), "target").alias("y"))
     return {s: kept.where(F.col("segment") == s).drop("segment") for s in SEGMENTS}

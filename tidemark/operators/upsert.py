@@ -16,15 +16,23 @@ def last_arrivals(incoming: DataFrame, keys: list[str], arrival: str) -> DataFra
     return incoming.groupBy(*keys).agg(F.max_by(F.struct(*kept), arrival).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in kept])
 
 
-def classify(incoming: DataFrame, target: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """``incoming`` (one row per key) with ``status``; keys and values compare null-safe."""
+def only_arrivals(incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """``incoming``; a key that it holds twice raises, since nothing says which row counts."""
+    kept = [c for c in incoming.columns if c not in keys]
+    one = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*kept)).alias("_r"))
+    twice = F.raise_error(F.concat(F.lit("a key comes twice: "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return one.where(F.when(F.col("_n") > 1, twice).otherwise(True)).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in kept])
+
+
+def classify(incoming: DataFrame, target: DataFrame, keys: list[str], values: list[str], name: str = "status") -> DataFrame:
+    """``incoming`` (one row per key) with its status in column ``name``; keys and values compare null-safe."""
     t = target.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(v).alias(f"_v_{v}") for v in values], F.lit(True).alias("_there"))
     on = [incoming[k].eqNullSafe(t[f"_k_{k}"]) for k in keys]
     same = F.lit(True)
     for v in values:
         same &= F.col(v).eqNullSafe(F.col(f"_v_{v}"))
     status = F.when(F.col("_there").isNull(), INSERTED).when(same, SKIPPED).otherwise(UPDATED)
-    return incoming.join(t, on, "left").withColumn("status", status).drop(*[f"_k_{k}" for k in keys], *[f"_v_{v}" for v in values], "_there")
+    return incoming.join(t, on, "left").withColumn(name, status).drop(*[f"_k_{k}" for k in keys], *[f"_v_{v}" for v in values], "_there")
 
 
 def upsert(incoming: DataFrame, target: DataFrame, keys: list[str], surrogate: str | None = None) -> DataFrame:
@@ -36,9 +44,9 @@ def upsert(incoming: DataFrame, target: DataFrame, keys: list[str], surrogate: s
     return target.join(i, on, "full_outer").select(*[pick(c).alias(c) for c in cols])
 
 
-def counts(classified: DataFrame, by: list[str]) -> DataFrame:
+def counts(classified: DataFrame, by: list[str], name: str = "status") -> DataFrame:
     """Audit counters of a run."""
-    n = lambda s: F.count_if(F.col("status") == s)
+    n = lambda s: F.count_if(F.col(name) == s)
     return classified.groupBy(*by).agg(
         F.count(F.lit(1)).alias("received"), n(INSERTED).alias("inserted"), n(UPDATED).alias("updated"), n(SKIPPED).alias("skipped")
     )

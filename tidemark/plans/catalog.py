@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.files import temporary_folder
 from tidemark.functions import scalars as X
 from tidemark.functions.features import Feature, add_features, true_range
 from tidemark.functions.scalars import tidy
 from tidemark.functions.windows import DATE, ID
-from tidemark.operators import adjust, calendar, ingestion, lookups, quality, security_master, split, targets, upsert
+from tidemark.operators import adjust, calendar, ingestion, intraday, lookups, quality, security_master, split, targets, upsert
+from tidemark.operators.store import open_table
 from tidemark.plans import dataset
 from tidemark.plans.oracle import sql
-from tidemark.session import shared_dir, ship
+from tidemark.session import ship
 from tidemark.sources import domain, tables
-from tidemark.streaming.bars import BarStore, ingest
+from tidemark.streaming.bars import bar_table, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -398,6 +399,90 @@ def dense_features(spark, d):
     return x.select(ID, "observation_date", F.size("x").alias("width"), *[F.col("x")[i].alias(f"x_{i}") for i in range(len(NAMES))], "target")
 
 
+# Bars within days.
+
+
+def _half_hours(spark, d) -> DataFrame:
+    ticks = intraday.ticks_as_bars(domain.ticks(spark, d), "price", F.lit(1))
+    return intraday.resample(ticks, domain.sessions(spark, d), "30m")
+
+
+def _plain_time(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@register("SELECT tick_id, instrument_id, market_date, ts >= opens_at AND ts < closes_at AS in_session FROM dated_ticks")
+def market_date_of_exchange(spark, d):
+    return intraday.in_sessions(domain.ticks(spark, d), domain.sessions(spark, d)).select("tick_id", ID, "market_date", "in_session")
+
+
+@register("SELECT * FROM half_hours")
+def bars_resampled(spark, d):
+    return _plain_time(_half_hours(spark, d), "ts")
+
+
+@register(
+    """SELECT instrument_id, market_date, opens_at AS ts, arg_min(price, t) AS open, max(price) AS high, min(price) AS low, arg_max(price, t) AS close, CAST(count(*) AS DOUBLE) AS volume
+       FROM (SELECT *, ts AS t FROM dated_ticks) WHERE t >= opens_at AND t < closes_at GROUP BY instrument_id, market_date, opens_at"""
+)
+def session_bars(spark, d):
+    ticks = intraday.ticks_as_bars(domain.ticks(spark, d), "price", F.lit(1))
+    return _plain_time(intraday.resample(ticks, domain.sessions(spark, d), "1d"), "ts")
+
+
+@register(
+    """SELECT instrument_id, ts AS observation_date, rt AS realization_date, round(r1, 6) + 0.0 AS return_window_1, round(s5, 6) + 0.0 AS sma_window_5, round(ch / close - 1, 6) + 0.0 AS target FROM (
+       SELECT *, close / lag(close) OVER w - 1 AS r1, CASE WHEN row_number() OVER w >= 5 THEN avg(close) OVER (PARTITION BY instrument_id ORDER BY ts ROWS 4 PRECEDING) END AS s5,
+         lag(close) OVER w AS pc, lead(close, 5) OVER w AS ch, lead(ts, 5) OVER w AS rt FROM half_hours WINDOW w AS (PARTITION BY instrument_id ORDER BY ts))
+       WHERE pc > 0 AND s5 IS NOT NULL AND ch IS NOT NULL AND close > 0"""
+)
+def dataset_intraday(spark, d):
+    """Two bars of one day are two bars: everything goes by their time."""
+    rows = dataset.build(_half_hours(spark, d), FEATURES[:2], FORWARD, order="ts").rows
+    return _tidied(_plain_time(rows, "observation_date", "realization_date"), [*NAMES[:2], "target"])
+
+
+# Long series.
+
+#: Rows of a block in the registered queries: few, so that the test tables' series have several.
+BLOCK_ROWS = 64
+
+
+def _one_series(spark, d) -> DataFrame:
+    """All ticks as the bars of one instrument."""
+    return intraday.ticks_as_bars(domain.ticks(spark, d), "price", F.lit(1)).withColumn(ID, F.lit(0))
+
+
+@register(
+    """SELECT tick_id, round(s5, 6) + 0.0 AS sma_window_5, round(mid + dev, 4) + 0.0 AS bollinger_bands_band_upper_k_2_window_20, rt AS realization_date, round(CASE WHEN price > 0 THEN ch / price - 1 END, 6) + 0.0 AS target FROM (
+       SELECT *, CASE WHEN row_number() OVER w >= 5 THEN avg(price) OVER (ORDER BY ts ROWS 4 PRECEDING) END AS s5, CASE WHEN row_number() OVER w >= 20 THEN avg(price) OVER v END AS mid,
+         CASE WHEN row_number() OVER w >= 20 THEN 2 * stddev_pop(price) OVER v END AS dev, lead(price, 5) OVER w AS ch, lead(ts, 5) OVER w AS rt
+       FROM ticks WINDOW w AS (ORDER BY ts), v AS (ORDER BY ts ROWS 19 PRECEDING))"""
+)
+def features_of_one_series(spark, d):
+    """One instrument holds all rows; blocks with halos share them out."""
+    own = [FEATURES[1], ALL_FEATURES[4]]
+    extra = lambda: targets.ahead(5)
+    rows = add_features(_one_series(spark, d), own, extra=extra, order="ts", rows_per_block=1024, ahead=5)
+    rows = targets.label(rows, FORWARD, rows, order="ts").select("tick_id", own[0].name, tidy(F.col(own[1].name), 4).alias(own[1].name), "realization_date", "target")
+    return _tidied(_plain_time(rows, "realization_date"), [own[0].name, "target"])
+
+
+@register("SELECT instrument_id, date, round(rsi_window_14, 6) + 0.0 AS rsi_window_14, round(atr_window_14, 6) + 0.0 AS atr_window_14 FROM featured")
+def smoothing_over_blocks(spark, d):
+    """Smoothing that is carried from block to block."""
+    own = [FEATURES[2], ALL_FEATURES[3]]
+    names = [f.name for f in own]
+    return _tidied(add_features(domain.bars(spark, d), own, rows_per_block=BLOCK_ROWS).select(ID, DATE, *names), names)
+
+
+@register(
+    f"""SELECT instrument_id, observation_date, realization_date, {_ROUNDED}, round(target, 6) + 0.0 AS target FROM labelled"""
+)
+def dataset_over_blocks(spark, d):
+    return _tidied(dataset.build(domain.bars(spark, d), FEATURES, FORWARD, rows_per_block=BLOCK_ROWS).rows, [*NAMES, "target"])
+
+
 # Splits.
 
 
@@ -591,17 +676,83 @@ def fundamentals_ingestion_run(spark, d):
     return ingestion.ingest_fundamentals(new, r.where(F.col(ID) % 4 != 0), requested, "1992-01-01", "2000-12-31").runs
 
 
+#: What the store holds before, and what arrives: some bars of each, one row late in some batches.
+_AUDITED = f"""batch AS (SELECT instrument_id, date, open, CASE WHEN instrument_id % 6 = 0 AND {_D} % 50 = 0 THEN low - 1 ELSE high END AS high, low, CASE WHEN instrument_id % 6 = 0 THEN low ELSE close END AS close, volume,
+    2 * {_D} + CASE WHEN instrument_id % 6 = 3 AND {_D} % 45 = 0 THEN 15 ELSE 0 END AS i FROM incoming WHERE (instrument_id + {_D}) % 3 <> 0),
+  store AS (SELECT * FROM stored),
+  v AS (SELECT *, CASE WHEN instrument_id % 7 = 3 THEN 'unknown_instrument' WHEN least(open, high, low, close, volume) < 0 THEN 'negative' WHEN high < low THEN 'high_below_low'
+          WHEN open < low OR open > high THEN 'open_out_of_range' WHEN close < low OR close > high THEN 'close_out_of_range' END AS violation,
+          CASE WHEN date < lag(date) OVER (PARTITION BY instrument_id ORDER BY i) THEN 'out_of_order' END AS late FROM batch),
+  e AS (SELECT instrument_id, coalesce(arg_min(violation, i) FILTER (violation IS NOT NULL), arg_min(late, i) FILTER (late IS NOT NULL)) AS error_message FROM v GROUP BY ALL),
+  c AS (SELECT b.*, CASE WHEN s.instrument_id IS NULL THEN 'inserted' WHEN s.open = b.open AND s.high = b.high AND s.low = b.low AND s.close = b.close AND s.volume = b.volume THEN 'skipped' ELSE 'updated' END AS status
+        FROM batch b JOIN e ON e.instrument_id = b.instrument_id LEFT JOIN store s ON s.instrument_id = b.instrument_id AND s.date = b.date WHERE error_message IS NULL)"""
+
+
+def _audited(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The runs and the table after one batch."""
+    b, at = domain.bars(spark, d), temporary_folder(spark, "ingestion")
+    new, kind, day = domain.incoming_bars(b).where("arrival = 1").drop("arrival"), F.col(ID) % 6, _day(DATE)
+    new = new.where((F.col(ID) + day) % 3 != 0).withColumns(
+        {
+            "batch_index": day * 2 + F.when((kind == 3) & (day % 45 == 0), 15).otherwise(0),
+            "high": F.when((kind == 0) & (day % 50 == 0), F.col("low") - 1).otherwise(F.col("high")),
+            "close": F.when(kind == 0, F.col("low")).otherwise(F.col("close")),
+        }
+    )
+    table, runs = bar_table(spark, f"{at}/bars", b.schema, part="year"), open_table(spark, f"{at}/runs", "ingestion_runs")
+    table.save(domain.stored_bars(b))
+    requested = domain.instruments(spark, d).where(F.col(ID) % 7 != 3)
+    return ingestion.run_bars(new, table, runs, requested, "1992-01-01", "2000-12-31", "catalog", "audit"), table.read()
+
+
+@register(
+    f"""WITH {_AUDITED},
+  k AS (SELECT instrument_id, count(*)::INT AS r, (count(*) FILTER (status = 'inserted'))::INT AS n, (count(*) FILTER (status = 'updated'))::INT AS u, (count(*) FILTER (status = 'skipped'))::INT AS p FROM c GROUP BY ALL)
+SELECT 'audit:' || coalesce(q.instrument_id, e.instrument_id) AS run_id, CAST(coalesce(q.instrument_id, e.instrument_id) AS VARCHAR) AS instrument_id, 'price' AS ingestion_type, 'catalog' AS provider,
+    CASE WHEN error_message IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status, true AS ended, coalesce(r, 0) AS received_count, coalesce(n, 0) AS inserted_count, coalesce(u, 0) AS updated_count,
+    coalesce(p, 0) AS skipped_count, error_message
+FROM (SELECT instrument_id FROM instruments WHERE instrument_id % 7 <> 3) q FULL JOIN e ON e.instrument_id = q.instrument_id LEFT JOIN k ON k.instrument_id = e.instrument_id"""
+)
+def ingestion_audit(spark, d):
+    """The audit rows that a run has written."""
+    runs = _audited(spark, d)[0]
+    return runs.select("run_id", ID, "ingestion_type", "provider", "status", (F.col("completed_at") >= F.col("started_at")).alias("ended"), *ingestion.COUNTS, "error_message")
+
+
+@register(
+    f"""WITH {_AUDITED}
+SELECT s.* FROM store s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.instrument_id = s.instrument_id AND c.date = s.date)
+UNION ALL SELECT instrument_id, date, open, high, low, close, volume FROM c"""
+)
+def ingestion_table(spark, d):
+    """The table that a run has left: runs that failed have changed nothing."""
+    return _audited(spark, d)[1]
+
+
+@register(
+    f"""SELECT * FROM incoming WHERE (instrument_id + {_D}) % 3 <> 0 UNION ALL
+        SELECT * FROM stored WHERE (instrument_id + {_D}) % 3 = 0"""
+)
+def table_saved(spark, d):
+    """A table on disk after two batches, as it is read back."""
+    b = domain.bars(spark, d)
+    table = bar_table(spark, f"{temporary_folder(spark, 'saved')}/bars", b.schema, part="year")
+    table.save(domain.stored_bars(b))
+    table.save(domain.incoming_bars(b).where((F.col(ID) + _day(DATE)) % 3 != 0), arrival="arrival")
+    return table.read()
+
+
 @register("SELECT * FROM incoming")
 def bars_streamed(spark, d):
     """Two files arrive one after the other, the second with the valid closes of bars that the first has wrong."""
     bars = domain.incoming_bars(domain.bars(spark, d))
-    at = f"{shared_dir(spark)}/tidemark/stream-{uuid.uuid4().hex[:12]}"
-    store = BarStore(spark, f"{at}/bars", bars.drop("arrival").schema, buckets=8)
+    at = temporary_folder(spark, "stream")
+    table = bar_table(spark, f"{at}/bars", bars.drop("arrival").schema, part="year")
     for i in (0, 1):
         bars.where(F.col("arrival") == i).write.parquet(f"{at}/in/{i}")
         stream = spark.readStream.schema(bars.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
-        ingest(stream, store, f"{at}/checkpoint").awaitTermination()
-    return store.read()
+        ingest(stream, table, f"{at}/checkpoint").awaitTermination()
+    return table.read()
 
 
 # Quality.
@@ -641,21 +792,22 @@ def dq_ohlc_invariants(spark, d):
 
 
 @register(
-    f"""SELECT *, CASE WHEN NOT period_end BETWEEN DATE '1995-01-01' AND DATE '{END}' THEN 'out_of_range' ELSE 'duplicate' END AS violation
-        FROM (SELECT * FROM records UNION ALL SELECT * FROM records WHERE instrument_id % 7 = 0)
-        WHERE NOT period_end BETWEEN DATE '1995-01-01' AND DATE '{END}' OR instrument_id % 7 = 0"""
+    f"""SELECT * FROM (SELECT *, CASE WHEN instrument_id <> {ONE} THEN 'wrong_instrument' WHEN NOT period_end BETWEEN DATE '1995-01-01' AND DATE '{END}' THEN 'out_of_range'
+          WHEN count(*) OVER (PARTITION BY instrument_id, period_end, metric_name, fiscal_year, fiscal_quarter) > 1 THEN 'duplicate' END AS violation
+        FROM (SELECT * FROM records UNION ALL SELECT * FROM records WHERE instrument_id % 7 = 0 AND month(period_end) < 7)) WHERE violation IS NOT NULL"""
 )
 def dq_fundamental_batch(spark, d):
     r = domain.fundamentals(spark, d)
-    return quality.fundamental_batch(r.unionByName(r.where(F.col(ID) % 7 == 0)), "1995-01-01", END)
+    return quality.fundamental_batch(r.unionByName(r.where((F.col(ID) % 7 == 0) & (F.month("period_end") < 7))), "1995-01-01", END, ONE)
 
 
 @register(
-    """SELECT *, CASE WHEN metric_name = '' THEN 'metric_blank' WHEN fiscal_quarter > 4 THEN 'quarter_out_of_range' ELSE 'available_before_published' END AS violation FROM (
+    """SELECT *, CASE WHEN metric_name = '' THEN 'metric_blank' WHEN fiscal_quarter > 4 THEN 'quarter_out_of_range' WHEN available_at < published_at THEN 'available_before_published' ELSE 'currency_blank' END AS violation FROM (
        SELECT instrument_id, period_end, CASE WHEN instrument_id % 10 = 1 THEN '' ELSE metric_name END AS metric_name, value, fiscal_year,
        CASE WHEN instrument_id % 10 = 2 THEN fiscal_quarter + 4 ELSE fiscal_quarter END AS fiscal_quarter, published_at,
-       CASE WHEN instrument_id % 10 = 3 THEN CAST(available_at - 30 AS DATE) ELSE available_at END AS available_at FROM records)
-       WHERE metric_name = '' OR fiscal_quarter > 4 OR available_at < published_at"""
+       CASE WHEN instrument_id % 10 = 3 THEN CAST(available_at - 30 AS DATE) ELSE available_at END AS available_at,
+       CASE WHEN instrument_id % 10 = 4 THEN ' ' WHEN instrument_id % 10 <> 5 THEN 'USD' END AS currency FROM records)
+       WHERE metric_name = '' OR fiscal_quarter > 4 OR available_at < published_at OR trim(currency) = ''"""
 )
 def dq_fundamental_rows(spark, d):
     k = F.col(ID) % 10
@@ -664,9 +816,10 @@ def dq_fundamental_rows(spark, d):
             "metric_name": F.when(k == 1, "").otherwise(F.col("metric_name")),
             "fiscal_quarter": F.when(k == 2, F.col("fiscal_quarter") + 4).otherwise(F.col("fiscal_quarter")),
             "available_at": F.when(k == 3, F.date_sub("available_at", 30)).otherwise(F.col("available_at")),
+            "currency": F.when(k == 4, " ").when(k != 5, "USD"),
         }
     )
-    return quality.violations(broken, quality.fundamental_rules())
+    return quality.violations(broken, [*quality.fundamental_rules(), *quality.currency_rule()])
 
 
 @register(

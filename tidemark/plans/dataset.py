@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidArgument
 from tidemark.functions.features import Feature, Registry, add_features
-from tidemark.functions.scalars import is_finite
-from tidemark.functions.windows import DATE, ID
+from tidemark.functions.scalars import is_finite, strict_float64
+from tidemark.functions.windows import DATE, ID, no_repeats, repeats
 from tidemark.operators.targets import Target, ahead, label
 
 
@@ -38,32 +38,52 @@ def _complete(names: list[str]) -> Column:
 
 
 def _requested(marked: DataFrame, dates: DataFrame | None) -> DataFrame:
-    """Only the dates asked for (instrument, date); those without a bar are skipped. Lookback is not affected."""
-    return marked if dates is None else marked.join(dates.select(ID, F.col(DATE).alias("observation_date")), [ID, "observation_date"], "left_semi")
-
-
-def build(bars: DataFrame, features: list[Feature], target: Target, actions: DataFrame | None = None, dates: DataFrame | None = None, registry: Registry | None = None) -> Dataset:
-    """Labelled rows of all instruments."""
+    """Only the dates asked for (instrument, date); those without a bar are skipped, and one that is asked for twice raises. Lookback is not affected."""
+    if dates is None:
+        return marked
+    asked = dates.groupBy(ID, F.col(DATE).alias("observation_date")).agg(F.count(F.lit(1)).alias("_n"))
+    once = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("requested twice: "), F.col("observation_date").cast("string"))).cast("boolean")).otherwise(True)
+    return marked.join(asked.where(once).drop("_n"), [ID, "observation_date"], "left_semi")
+
+
+def build(
+    bars: DataFrame,
+    features: list[Feature],
+    target: Target,
+    actions: DataFrame | None = None,
+    dates: DataFrame | None = None,
+    registry: Registry | None = None,
+    order: str = DATE,
+    rows_per_block: int | None = None,
+) -> Dataset:
+    """Labelled rows of all instruments. Bars go by ``order``, a date or a timestamp; two bars of an instrument with one date (or time) raise.
+
+    ``rows_per_block``: longer series are dealt to blocks (``add_features``).
+    """
     names = [f.name for f in features]
     if set(names) & {"target", "realization_date", "observation_date"}:
         raise InvalidArgument("a feature has the name of another column")
-    rows = label(add_features(bars, features, registry, ahead(target.horizon)), target, bars, actions)
+    extra = lambda: ahead(target.horizon) | repeats()
+    rows = add_features(bars, features, registry, extra, order, rows_per_block, target.horizon).where(no_repeats(order))
+    rows = label(rows, target, bars, actions, order).withColumnRenamed(order, "observation_date")
     reason = F.when(~_complete(names), "feature").when(~is_finite(F.col("target")), "target")
-    marked = rows.withColumn("drop_reason", reason).withColumnRenamed(DATE, "observation_date")
+    marked = rows.withColumn("drop_reason", reason)
     marked = _requested(marked.select(ID, "observation_date", "realization_date", *names, "target", "drop_reason"), dates)
     return Dataset(marked.where("drop_reason is null").drop("drop_reason"), marked, names)
 
 
-def inference(bars: DataFrame, features: list[Feature], dates: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
+def inference(
+    bars: DataFrame, features: list[Feature], dates: DataFrame | None = None, registry: Registry | None = None, order: str = DATE, rows_per_block: int | None = None
+) -> DataFrame:
     """Rows without a label, up to the newest bar."""
     names = [f.name for f in features]
-    rows = add_features(bars, features, registry).withColumnRenamed(DATE, "observation_date").select(ID, "observation_date", *names)
-    return _requested(rows.where(_complete(names)), dates)
+    rows = add_features(bars, features, registry, repeats, order, rows_per_block).where(no_repeats(order))
+    return _requested(rows.withColumnRenamed(order, "observation_date").select(ID, "observation_date", *names).where(_complete(names)), dates)
 
 
 def dense(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Features as one array of doubles, in order, for the hand-off to numpy."""
-    return rows.select(ID, "observation_date", F.array(*[F.col(f).cast("double") for f in features]).alias("x"), *(["target"] if "target" in rows.columns else []))
+    """Features as one array of doubles, in order, for the hand-off to numpy; a value that no double holds raises."""
+    return rows.select(ID, "observation_date", F.array(*[strict_float64(F.col(f), f) for f in features]).alias("x"), *(["target"] if "target" in rows.columns else []))
 
 
 def same_features(train: DataFrame, other: DataFrame, keys: tuple[str, ...] = (ID, "observation_date", "realization_date", "target")) -> None:

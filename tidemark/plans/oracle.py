@@ -35,6 +35,18 @@ CTES: dict[str, str] = {
         CASE WHEN event_id % 5 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status FROM events""",
     "stored": f"SELECT * FROM bars WHERE (instrument_id + {_DAYS.format('date')}) % 7 <> 0",
     "incoming": f"""SELECT instrument_id, date, open, high, low, CASE WHEN (instrument_id + {_DAYS.format("date")}) % 5 = 0 THEN close + 1 ELSE close END AS close, volume FROM bars""",
+    # Bars within days.
+    "zones": """SELECT n_nationkey AS exchange_id, ['America/New_York', 'Europe/Berlin', 'Asia/Kolkata', 'Australia/Sydney', 'America/Chicago'][n_nationkey % 5 + 1] AS zone,
+        INTERVAL 1 MINUTE * [570, 540, 555, 600, 1020][n_nationkey % 5 + 1] AS opens, INTERVAL 1 MINUTE * [960, 1050, 930, 960, 960][n_nationkey % 5 + 1] AS closes,
+        n_nationkey % 5 = 4 AS night FROM nation""",
+    "ticks": """SELECT user_id AS instrument_id, user_id % 25 AS exchange_id, ts + to_days(CAST(event_id % 360 AS INTEGER)) AS ts, value AS price, event_id AS tick_id FROM events""",
+    "local_ticks": """SELECT t.*, z.* EXCLUDE (exchange_id), timezone(zone, timezone('UTC', ts)) AS wall FROM ticks t JOIN zones z ON z.exchange_id = t.exchange_id""",
+    "begun_ticks": """SELECT *, CAST(CASE WHEN night AND CAST(wall AS TIME) < CAST(TIMESTAMP '2000-01-01' + closes AS TIME) THEN wall - INTERVAL 1 DAY ELSE wall END AS DATE) AS begun FROM local_ticks""",
+    "dated_ticks": """SELECT *, CAST(CASE WHEN night THEN begun + INTERVAL 1 DAY ELSE begun END AS DATE) AS market_date, timezone('UTC', timezone(zone, CAST(begun AS TIMESTAMP) + opens)) AS opens_at,
+        timezone('UTC', timezone(zone, CAST(CASE WHEN night THEN begun + INTERVAL 1 DAY ELSE begun END AS TIMESTAMP) + closes)) AS closes_at FROM begun_ticks""",
+    "half_hours": """SELECT instrument_id, opens_at + INTERVAL 30 MINUTE * CAST(floor((epoch_us(ts) - epoch_us(opens_at)) / 1800000000) AS BIGINT) AS ts, market_date, arg_min(price, ts) AS open, max(price) AS high,
+        min(price) AS low, arg_max(price, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM dated_ticks d WHERE ts >= opens_at AND ts < closes_at
+        GROUP BY instrument_id, opens_at + INTERVAL 30 MINUTE * CAST(floor((epoch_us(ts) - epoch_us(opens_at)) / 1800000000) AS BIGINT), market_date""",
     # Features over one window.
     "windowed": """SELECT *, row_number() OVER w AS i, lag(close) OVER w AS pc, lead(close, 5) OVER w AS ch, lead(date, 5) OVER w AS rd, close / lag(close) OVER w - 1 AS return_window_1,
         CASE WHEN row_number() OVER w >= 5 THEN avg(close) OVER (PARTITION BY instrument_id ORDER BY date ROWS 4 PRECEDING) END AS sma_window_5,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _D, _TS, _I, _B = T.StringType(), T.DateType(), T.TimestampType(), T.IntegerType(), T.BooleanType()
@@ -40,3 +44,40 @@ KEYS: dict[str, list[str]] = {
     "corporate_actions": ["instrument_id", "execution_date", "action_type"],
     "fundamental_records": ["instrument_id", "period_end", "metric_name", "fiscal_year", "fiscal_quarter"],
 }
+#: Columns that a row keeps once it has them.
+SURROGATES: dict[str, str] = {
+    "exchanges": "exchange_id",
+    "market_holidays": "holiday_id",
+    "market_bars": "market_bar_id",
+    "corporate_actions": "corporate_action_id",
+    "fundamental_records": "fundamental_record_id",
+}
+
+
+@dataclass(frozen=True)
+class Part:
+    """Which partition a row is in: the month or year of a key column, or one of ``buckets`` by its hash."""
+
+    column: str
+    kind: str = "bucket"
+    buckets: int = 16
+
+    def of(self) -> Column:
+        c = F.col(self.column)
+        if self.kind == "bucket":
+            return F.lpad(F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("string"), 4, "0")
+        return F.coalesce(F.date_format(c, {"month": "yyyy-MM", "year": "yyyy"}[self.kind]), F.lit("none"))
+
+
+#: Partitions of the tables at rest.
+PARTS: dict[str, Part] = {
+    "exchanges": Part("code", buckets=1),
+    "companies": Part("company_id"),
+    "instruments": Part("instrument_id"),
+    "instrument_history": Part("history_id"),
+    "ingestion_runs": Part("run_id"),
+    "market_holidays": Part("holiday_date", "year"),
+    "market_bars": Part("timestamp", "month"),
+    "corporate_actions": Part("execution_date", "year"),
+    "fundamental_records": Part("period_end", "year"),
+}

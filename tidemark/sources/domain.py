@@ -47,6 +47,27 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Sessions by exchange number: zone, opening, close. One is overnight.
+SESSIONS = (
+    ("America/New_York", "09:30", "16:00"), ("Europe/Berlin", "09:00", "17:30"), ("Asia/Kolkata", "09:15", "15:30"),
+    ("Australia/Sydney", "10:00", "16:00"), ("America/Chicago", "17:00", "16:00"),
+)
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each exchange's session."""
+    n = F.col("n_nationkey")
+    kinds = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(s, ("timezone", "opens", "closes"), strict=True)]) for s in SESSIONS])
+    return table(spark, sf_dir, "nation").select(n.alias("exchange_id"), kinds[(n % len(SESSIONS)).cast("int")].alias("s")).select("exchange_id", "s.*")
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices at instants from events, spread over a year so that daylight saving begins and ends; listings are exchanges by number."""
+    ev = table(spark, sf_dir, "events")
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") % 360) * 86_400_000_000)
+    return ev.select(F.col("user_id").alias("instrument_id"), (F.col("user_id") % 25).alias("exchange_id"), at.alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("tick_id"))
+
+
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import upper_code
+from tidemark.functions.scalars import check_range, upper_code
 from tidemark.schemas import TABLES
 
 
@@ -43,5 +43,6 @@ def provider_ticker(symbol: Column, exchange: Column, strict: bool = True) -> Co
 
 def unpivot_fundamentals(wide: DataFrame, ids: list[str], metrics: list[str], start: str, end: str) -> DataFrame:
     """Long rows (metric_name, value) of a wide table whose ``period_end`` is in the range; null and NaN are left out."""
+    check_range(start, end)
     kept = wide.where(F.col("period_end").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     return kept.unpivot(ids, metrics, "metric_name", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))

@@ -1,4 +1,4 @@
-"""Bars that arrive as a stream: each micro-batch is an idempotent, audited upsert."""
+"""Bars that arrive as a stream: each micro-batch is an idempotent, audited upsert of a keyed table."""
 
 from __future__ import annotations
 
@@ -7,76 +7,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tidemark.files import exists
 from tidemark.functions.windows import DATE, ID
-from tidemark.operators.upsert import classify, counts, last_arrivals, upsert
+from tidemark.operators.store import STATUS, KeyedTable
+from tidemark.operators.upsert import counts
+from tidemark.schemas import Part
 
-VALUES = ["open", "high", "low", "close", "volume"]
-BUCKETS, KEPT_VERSIONS = 64, 2
 
+def bar_table(spark: SparkSession, path: str, schema: StructType, order: str = DATE, part: str = "month") -> KeyedTable:
+    """Bars by instrument and date (or time), in partitions by month (or year): a batch of new bars touches the newest."""
+    return KeyedTable(spark, path, schema, [ID, order], Part(order, part))
 
-class BarStore:
-    """A table of bars in buckets of instruments; each bucket has numbered Parquet versions, and the newest complete one counts.
 
-    A batch rewrites the buckets that it touches only: version ``batch + 1``, from the version before it. So a batch that is run again
-    gives the same table. Of each bucket the newest ``KEPT_VERSIONS`` versions stay.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, buckets: int = BUCKETS):
-        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
-
-    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """The newest versions (below ``before``) of all buckets, or of some; empty if there are none."""
-        newest: dict[int, int] = {}
-        for b, v in self._versions():
-            if (before is None or v < before) and (buckets is None or b in buckets):
-                newest[b] = max(v, newest.get(b, v))
-        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in sorted(newest.items())]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def _fs(self, path: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+def apply(table: KeyedTable, batch: DataFrame, number: int, audit: str) -> DataFrame:
+    """Upsert one batch; returns its counts for each instrument, which are also written below ``audit``.
 
-    def _names(self, path: str) -> list[str]:
-        fs, at = self._fs(path)
-        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-
-    def _versions(self) -> list[tuple[int, int]]:
-        """Bucket and version of all that is complete."""
-        out = []
-        for v in (n for n in self._names(self.path) if n.startswith("v=")):
-            inside = self._names(f"{self.path}/{v}")
-            out += [(int(b[7:]), int(v[2:])) for b in inside if b.startswith("bucket=")] if "_SUCCESS" in inside else []
-        return out
+    A batch that runs again, after a failure at any point, leaves the same table and the same counts. What the batch before was classified
+    as is dropped, since a stream goes on only when a batch is done.
+    """
+    rows = batch if "arrival" in batch.columns else batch.withColumn("arrival", F.monotonically_increasing_id())
+    saved = table.save(rows, "arrival", f"stream-{number}")
+    at = f"{audit}/batch={number}"
+    out = counts(saved.rows, [ID], STATUS)
+    out.write.mode("overwrite").parquet(at)
+    table.forget(f"stream-{number - 1}")
+    return table.spark.read.schema(out.schema).parquet(at)
 
-    def apply(self, batch: DataFrame, number: int) -> DataFrame:
-        """Upsert one batch (columns of the table and ``arrival``); returns the audit counts of each instrument."""
-        bucket = F.pmod(F.xxhash64(ID), F.lit(self.buckets)).cast("int")
-        touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())  # BUCKETS numbers
-        target = self.read(number + 1, touched)
-        new = last_arrivals(batch, [ID, DATE], "arrival")
-        audit = counts(classify(new, target, [ID, DATE], VALUES), [ID])
-        out = upsert(new, target, [ID, DATE]).withColumn("bucket", bucket).repartition("bucket")
-        audit.write.mode("overwrite").parquet(f"{self.path}/audit/v={number + 1}")
-        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={number + 1}")
-        self._forget(touched, number + 1)
-        return self.spark.read.schema(audit.schema).parquet(f"{self.path}/audit/v={number + 1}")
 
-    def _forget(self, buckets: list[int], upto: int) -> None:
-        """Delete what is older than the versions that stay, in the buckets that have got a new one."""
-        for b in buckets:
-            for v in sorted(v for x, v in self._versions() if x == b and v <= upto)[:-KEPT_VERSIONS]:
-                fs, at = self._fs(f"{self.path}/v={v}/bucket={b}")
-                fs.delete(at, True)
+def audit_of(spark: SparkSession, audit: str) -> DataFrame | None:
+    """The counts of all batches so far, with ``batch``; none before the first."""
+    return spark.read.parquet(audit) if exists(spark, audit) else None
 
 
-def ingest(stream: DataFrame, store: BarStore, checkpoint: str) -> StreamingQuery:
+def ingest(stream: DataFrame, table: KeyedTable, checkpoint: str, audit: str | None = None) -> StreamingQuery:
     """Upsert all that is there, batch by batch, and stop.
 
     ``stream`` has the bars' columns, and ``arrival`` if bars of one batch can repeat; otherwise the order of rows stands for it.
     """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        store.apply(batch if "arrival" in batch.columns else batch.withColumn("arrival", F.monotonically_increasing_id()), number)
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    to = audit or f"{checkpoint}-audit"
+    run = lambda batch, number: apply(table, batch, number, to) and None
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

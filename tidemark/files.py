@@ -25,6 +25,12 @@ def any_folder(spark: SparkSession, pattern: str) -> bool:
     return bool(fs.globStatus(at))
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; nothing if there is none."""
+    fs, at = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, at = _at(spark, path)
     fs.delete(at, True)

@@ -250,12 +250,14 @@ def add_features(
     return _smooth(out, smoothed, keys, order).drop(BLOCK)
 
 
-def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[str, ...], order: str) -> DataFrame:
-    """Fold the increments of each series, from nothing or from the state that ``_carried`` has put beside them."""
+def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[str, ...], order: str, left: bool = False) -> DataFrame:
+    """Fold the increments of each series, from nothing or from the state that is beside them (``_state...``). ``left``: with the state that each row leaves (``_left...``)."""
     inputs = [f"_inc{i}_{j}" for i, (_, s) in enumerate(smoothed) for j in range(len(s.increments))]
     begins = {c: f"_state{c}" for c in inputs if f"_state{c}" in rows.columns}
     kept = [c for c in rows.columns if c not in {*inputs, *begins.values(), "_place"}]
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n, _ in smoothed])
+    if left:
+        schema = T.StructType([*schema.fields, *[T.StructField(f"_left{c}", T.ArrayType(T.DoubleType())) for c in inputs]])
     # What goes to the workers: no Columns.
     plan = [(n, s.window, [f"_inc{i}_{j}" for j in range(len(s.increments))], s.close_out) for i, (n, s) in enumerate(smoothed)]
 
@@ -269,16 +271,20 @@ def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[s
                 change[1:] |= v[1:] != v[:-1]
             cuts = np.flatnonzero(np.concatenate([[True], change[1:]])) if len(ids) else np.zeros(0, int)
             result = {n: np.full(len(pdf), np.nan) for n, *_ in plan}
+            after = {f"_left{c}": [] for c in inputs} if left else {}
             columns = {c: pdf[c].to_numpy(float) for c in inputs}
             for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
                 if ids[a] != key:
                     key = ids[a]
                     states = {c: [int(x[0]), *map(float, x[1:])] if c in begins and (x := pdf[begins[c]].iloc[a]) is not None else [0, 0.0, 0.0] for c in inputs}
                 for n, window, names, close_out in plan:
+                    before = {c: tuple(states[c]) for c in names} if left else {}
                     parts = [wilder(columns[c][a:b], window, states[c]) for c in names]
+                    for c, v in zip(names, parts, strict=True) if left else ():
+                        after[f"_left{c}"] += leaving(columns[c][a:b], v, window, *before[c])
                     result[n][a:b] = close_out(*parts)
                     result[n][a:b][np.isnan(parts[0])] = np.nan
-            yield pdf[kept].assign(**result)
+            yield pdf[kept].assign(**result, **after)
 
     done = rows.sortWithinPartitions(*keys, order).mapInPandas(run, schema)
     return done.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n, _ in smoothed})
@@ -315,6 +321,46 @@ def _carried(rows: DataFrame, windows: dict[str, int], order: str) -> DataFrame:
     return joined.drop(f"{ID}_s", f"{BLOCK}_s")
 
 
+def leaving(x: np.ndarray, smoothed: np.ndarray, n: int, count: int, total: float, value: float) -> list[list[float]]:
+    """The state (count, sum, value) after each row, from the increments, their smoothed values, and the state before the first."""
+    there = ~np.isnan(x)
+    counts = count + np.cumsum(there)
+    sums = total + np.cumsum(np.where(there & (counts <= n), x, 0.0))
+    last = np.maximum.accumulate(np.where(np.isnan(smoothed), -1, np.arange(len(x))))
+    values = np.where(last < 0, value, smoothed[last])
+    return np.stack([counts.astype(float), sums, values], axis=1).tolist()
+
+
+def add_from(bars: DataFrame, features: list[Feature], since: str, registry: Registry | None = None, order: str = DATE, states: DataFrame | None = None) -> DataFrame:
+    """Features of the rows of ``bars`` from ``since`` (a column) on; those before are only looked back at.
+
+    ``states``: for an instrument the state in which smoothing enters its first such row, by the name of the increment, as a former call has left it in the row before
+    (``_left...``, see ``state_columns``); without one it begins there. The result has the states that its rows leave.
+    """
+    registry = registry or default_registry()
+    with along((ID,), order):
+        made = [(f.name, registry.compile(f)) for f in features]
+        smoothed = [(n, s) for n, s in made if isinstance(s, Smoothed)]
+        steps = {f"_inc{i}_{j}": c for i, (_, s) in enumerate(smoothed) for j, c in enumerate(s.increments)}
+        out = bars.withColumns({n: c for n, c in made if isinstance(c, Column)} | steps).where(F.col(order) >= F.col(since))
+        if smoothed:
+            named = {c: f"_state{c.removeprefix('_left')}" for c in state_columns(features, registry)}
+            if states is None:
+                out = out.withColumns({n: F.lit(None).cast("array<double>") for n in named.values()})
+            else:
+                own = states.select(F.col(ID).alias("_sid"), *[F.col(c).alias(n) for c, n in named.items()])
+                out = out.join(own, F.col(ID) == F.col("_sid"), "left").drop("_sid")
+            out = out.withColumn("_place", F.row_number().over(series()))
+    return _smooth(out, smoothed, (ID,), order, left=True) if smoothed else out
+
+
+def state_columns(features: list[Feature], registry: Registry | None = None) -> list[str]:
+    """Columns of the states that ``add_from`` leaves: one for each increment of each smoothed feature."""
+    registry = registry or default_registry()
+    made = [registry.compile(f) for f in features]
+    return [f"_left_inc{i}_{j}" for i, s in enumerate(x for x in made if isinstance(x, Smoothed)) for j in range(len(s.increments))]
+
+
 def entering(counts: list[int], pulls: list[float], firsts: list[np.ndarray], n: int) -> Iterator[list[float]]:
     """The state (count, sum, value) before each block, from its number of increments, what they pull to, and its first n increments.
 

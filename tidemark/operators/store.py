@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.errors import InvalidArgument
-from tidemark.files import any_folder, delete, exists
+from tidemark.files import any_folder, delete, exists, names_in
 from tidemark.operators.upsert import INSERTED, SKIPPED, UPDATED, classify, last_arrivals, only_arrivals, upsert
 from tidemark.schemas import KEYS, PARTS, SURROGATES, TABLES, Part
 
@@ -58,6 +58,10 @@ class KeyedTable:
         """All rows, or those of some partitions: others are not listed as input."""
         return self._of(parts).drop(PART)
 
+    def parts(self) -> list[str]:
+        """The table's partitions, in order."""
+        return sorted(n.removeprefix(f"{PART}=") for n in names_in(self.spark, self.path) if n.startswith(f"{PART}="))
+
     def save(self, rows: DataFrame, arrival: str | None = None, batch: str | None = None) -> Saved:
         """Upsert ``rows``, cast to the table's types. With ``arrival`` the last of each key to arrive counts; without it, a key that comes twice raises."""
         batch = batch or uuid.uuid4().hex
@@ -67,13 +71,16 @@ class KeyedTable:
         if not exists(self.spark, f"{staged}/_SUCCESS"):
             wanted = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields], *([arrival] if arrival else []))
             new = last_arrivals(wanted, self.keys, arrival) if arrival else only_arrivals(wanted, self.keys)
-            new = new.withColumn(PART, self.part)
+            stored = StructType([*self.schema.fields]).add(PART, "string")
+            new.withColumn(PART, self.part).select(*stored.fieldNames()).write.mode("overwrite").parquet(f"{staged}-rows")  # computed once
+            new = self.spark.read.schema(stored).parquet(f"{staged}-rows")
             parts = self._listed(new)
             n = lambda s: F.count_if(F.col(STATUS) == s).alias(s)
             found = Observation()
             marked = classify(new, self._of(parts), self.keys, values, STATUS).observe(found, n(INSERTED), n(UPDATED), n(SKIPPED))
             marked.select(*names, PART, STATUS).write.mode("overwrite").parquet(staged)
             counts = found.get
+            delete(self.spark, f"{staged}-rows")
         saved = self.spark.read.schema(StructType([*self.schema.fields]).add(PART, "string").add(STATUS, "string")).parquet(staged)
         if counts is None or sum(counts.values()) == 0:
             counts = {r[0]: r[1] for r in saved.groupBy(STATUS).count().collect()}

@@ -12,13 +12,14 @@ from tidemark.functions import scalars as X
 from tidemark.functions.features import Feature, add_features, true_range
 from tidemark.functions.scalars import tidy
 from tidemark.functions.windows import DATE, ID
-from tidemark.operators import adjust, calendar, ingestion, intraday, lookups, quality, security_master, split, targets, upsert
+from tidemark.operators import adjust, calendar, ingestion, intraday, lookups, matrix, quality, security_master, split, targets, upsert
 from tidemark.operators.store import open_table
 from tidemark.plans import dataset
 from tidemark.plans.oracle import sql
 from tidemark.session import ship
 from tidemark.sources import domain, tables
 from tidemark.streaming.bars import bar_table, ingest
+from tidemark.streaming.features import FeatureStream, follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -544,6 +545,21 @@ def dense_by_segment(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@register(
+    """SELECT p.segment, count(*) AS rows, count(*) AS next_row, 3 AS cols, round(sum(round(return_window_1, 6)), 3) + 0.0 AS x_0, round(sum(round(sma_window_5, 6)), 2) + 0.0 AS x_1, round(sum(round(rsi_window_14, 6)), 2) + 0.0 AS x_2,
+       round(sum(round(target, 6)), 3) + 0.0 AS y FROM parts p JOIN labelled l ON l.instrument_id = p.instrument_id AND l.observation_date = p.observation_date WHERE p.status = 'kept' GROUP BY p.segment""",
+    e=3,
+)
+def matrix_blocks(spark, d):
+    """Blocks of each segment, as they are read back: they follow each other without a gap, and their bytes are the dataset's values."""
+    rows, at = _tidied(_labelled(spark, d).rows, [*NAMES, "target"]), temporary_folder(spark, "matrix")
+    kept = split.split(rows, split.SplitConfig(embargo=3)).where(F.col("status") == split.KEPT)
+    matrix.write_matrix(kept, NAMES, at, segment="segment", block_rows=1000)
+    b = matrix.column_sums(matrix.read_matrix(spark, at))
+    sums = [tidy(F.sum(F.col("sums")[i]), n).alias(f"x_{i}") for i, n in enumerate((3, 2, 2))]
+    return b.groupBy("segment").agg(F.sum("rows").alias("rows"), F.max(F.col("first_row") + F.col("rows")).alias("next_row"), F.max("cols").alias("cols"), *sums, tidy(F.sum("y"), 3).alias("y"))
+
+
 #: Parts that someone has changed: another status, a row less, a row twice, another segment; by the instrument's number.
 _TAMPERED = """WITH x AS (SELECT p.instrument_id, p.observation_date, realization_date, CASE WHEN p.instrument_id % 5 = 3 AND p.segment = 'val' THEN 'test' ELSE p.segment END AS segment,
     CASE WHEN p.instrument_id % 5 = 0 THEN 'kept' ELSE status END AS status FROM parts p JOIN labelled l ON l.instrument_id = p.instrument_id AND l.observation_date = p.observation_date
@@ -755,6 +771,25 @@ def bars_streamed(spark, d):
     return table.read()
 
 
+@register(
+    """SELECT instrument_id, date, round(return_window_1, 6) + 0.0 AS return_window_1, round(sma_window_5, 6) + 0.0 AS sma_window_5, round(rsi_window_14, 6) + 0.0 AS rsi_window_14,
+       round(atr_window_14, 6) + 0.0 AS atr_window_14 FROM featured"""
+)
+def features_streamed(spark, d):
+    """Bars come in three files: with gaps and wrong closes, then the gaps, then the valid closes. The features are those of the bars as they are in the end."""
+    b, at = domain.bars(spark, d), temporary_folder(spark, "features")
+    kind = (F.col(ID) + _day(DATE)) % 7
+    early = b.withColumn("close", F.when(kind == 3, F.col("low")).otherwise(F.col("close")))
+    own = [*FEATURES, ALL_FEATURES[3]]
+    names = [f.name for f in own]
+    stream = FeatureStream(spark, f"{at}/features", bar_table(spark, f"{at}/bars", b.schema, part="year"), own, part="year")
+    for i, rows in enumerate((early.where((kind != 5) | (F.year(DATE) < 1997)), early.where((kind == 5) & (F.year(DATE) >= 1997)), b.where(kind == 3))):
+        rows.write.parquet(f"{at}/in/{i}")
+        arriving = spark.readStream.schema(b.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        follow(arriving, stream, f"{at}/checkpoint").awaitTermination()
+    return _tidied(stream.read(), names)
+
+
 # Quality.
 
 

@@ -1,0 +1,185 @@
+"""What users bring along: providers, calculators, labels; and definitions that stay with the data."""
+
+import datetime as dt
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.errors import InvalidArgument
+from tidemark.functions.features import Feature, Stepped, add_features, default_registry
+from tidemark.functions.windows import series
+from tidemark.operators.targets import Target, add_target
+from tidemark.plans import dataset
+from tidemark.sources.provider import TickTable, Window, register_provider
+from tidemark.streaming.bars import bar_table, ingest
+
+UTC = dt.UTC
+
+
+def events(spark, rows, path):
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").coalesce(1).write.mode("append").parquet(path)
+
+
+def at(day, second=0):
+    return dt.datetime(2024, 1, day, 0, 0, second, tzinfo=UTC)
+
+
+@pytest.fixture(scope="module")
+def ticks(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("ticks") / "events")
+    rows = [(i, i % 40, at(1 + i % 20, i % 60), float(i)) for i in range(1000)]
+    events(spark, rows, path)
+    register_provider(spark, "test_ticks", lambda options: TickTable(options["path"]))
+    return path, rows
+
+
+def test_provider(spark, ticks):
+    path, rows = ticks
+    bars = spark.read.format("test_ticks").option("path", path).option("parts", 5).load()
+    assert bars.rdd.getNumPartitions() == 5
+    whole = lambda df: sorted((r["instrument_id"], r["ts"].astimezone(UTC), r["open"], r["close"], r["volume"]) for r in df.collect())
+    expected = sorted((u, t, v, v, 1.0) for _, u, t, v in rows)
+    assert whole(bars) == expected
+    some = bars.where("instrument_id >= 10 and instrument_id < 15 and ts >= timestamp'2024-01-03 00:00:00Z' and close > 100 and instrument_id in (3, 11, 12)")
+    assert whole(some) == [r for r in expected if r[0] in (11, 12) and r[1] >= at(3) and r[2] > 100]
+    plan = some._jdf.queryExecution().executedPlan().toString()  # what the provider has applied exactly is not looked at again
+    assert "BatchScan test_ticks" in plan and ">= 10)" not in plan and ">= 2024" not in plan and "< 15)" in plan and "> 100.0)" in plan
+    assert some.rdd.getNumPartitions() < 5
+    assert spark.read.format("test_ticks").option("path", path).load().where("instrument_id = 7").count() == 25
+    assert spark.read.format("test_ticks").option("path", path).load().where("instrument_id = 700").count() == 0
+
+
+def test_errors_of_providers(spark):
+    class Limited:
+        def ranges(self, parts):
+            return [(0, 9)]
+
+        def bars(self, window):
+            raise RuntimeError("HTTP 429 slow down")
+            yield
+
+        def newest(self):
+            return None
+
+    class Odd(Limited):
+        def bars(self, window):
+            yield pa.RecordBatch.from_pydict({"instrument_id": [1]})
+
+    for name, kind, text in (("limited", Limited, "instruments 0 to 9: HTTP 429"), ("odd", Odd, "instruments 0 to 9")):
+        register_provider(spark, name, lambda options, kind=kind: kind())
+        with pytest.raises(Exception, match=text):
+            spark.read.format(name).load().collect()
+    with pytest.raises(InvalidArgument):
+        register_provider(spark, "no name", lambda options: None)
+
+
+def test_provider_as_a_stream(spark, tmp_path):
+    """What is new since the last offset, into a table; the stream begins anew from its checkpoint."""
+    path = str(tmp_path / "events")
+    register_provider(spark, "stream_ticks", lambda options: TickTable(options["path"]))
+    table = bar_table(spark, str(tmp_path / "bars"), spark.read.format("stream_ticks").option("path", path).load().schema, order="ts")
+    seen = []
+    for day in (1, 2, 5):
+        rows = [(day * 100 + i, i, at(day, i), float(i)) for i in range(10)]
+        events(spark, rows, path)
+        seen += rows
+        q = ingest(spark.readStream.format("stream_ticks").option("path", path).load(), table, str(tmp_path / "checkpoint"), str(tmp_path / "audit"))
+        assert q.awaitTermination(120)
+        assert sorted((r["instrument_id"], r["ts"].astimezone(UTC)) for r in table.read().collect()) == sorted((u, t) for _, u, t, _ in seen)
+    counts = spark.read.parquet(str(tmp_path / "audit")).agg(F.sum("received"), F.sum("inserted")).first()
+    assert tuple(counts) == (30, 30)  # nothing comes twice
+
+
+def test_windows_narrow():
+    w = Window().narrowed("instrument_id", 3, None).narrowed("instrument_id", 1, 9).narrowed("ts", None, at(4)).narrowed("ts", None, at(2))
+    assert w == Window(3, 9, None, at(2))
+
+
+# Calculators.
+
+BARS = "instrument_id long, date date, open double, high double, low double, close double, volume double"
+
+
+def bars_of(spark, n=300, instruments=3):
+    price = lambda i, k: 100.0 + (k * 37 + i * 11) % 23
+    return spark.createDataFrame([(i, dt.date(2024, 1, 1) + dt.timedelta(days=k), price(i, k), price(i, k) + 1, price(i, k) - 1, price(i, k), 1.0) for i in range(instruments) for k in range(n)], BARS).repartition(4)
+
+
+def drawdown(params):
+    """How far the close is below the greatest so far."""
+
+    def step(state, close):
+        top = np.maximum.accumulate(np.concatenate([[state["top"]], close]))[1:]
+        state["top"] = top[-1]
+        state["rows"] += len(close)
+        return close / top - 1
+
+    return Stepped((F.col("close"),), lambda: {"top": -np.inf, "rows": 0}, step)
+
+
+def test_calculators_go_along_series(spark):
+    r = default_registry()
+    r.register("drawdown", drawdown)
+    own = [Feature("drawdown"), Feature("rsi", {"window": 14}), Feature("sma", {"window": 5})]
+    bars = bars_of(spark)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # states go on over batches
+    try:
+        out = add_features(bars, own, r)
+        got = {(x["instrument_id"], x["date"]): (x["drawdown"], x["rsi_window_14"], x["sma_window_5"]) for x in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("MapInPandas") == 1 and plan.count("Exchange hashpartitioning(instrument_id") == 1
+    plain = {(x["instrument_id"], x["date"]): (x["rsi_window_14"], x["sma_window_5"]) for x in add_features(bars, own[1:]).collect()}
+    top = {}
+    for x in sorted(bars.collect(), key=lambda x: (x["instrument_id"], x["date"])):
+        top[x["instrument_id"]] = max(top.get(x["instrument_id"], 0), x["close"])
+        key = x["instrument_id"], x["date"]
+        assert got[key] == (x["close"] / top[x["instrument_id"]] - 1, *plain[key])
+    with pytest.raises(InvalidArgument):
+        add_features(bars, own, r, rows_per_block=50)
+
+
+def test_labels_of_the_user(spark):
+    """The worst low of the next bars against the close, in the window that features share."""
+    worst = Target("worst", 4, lambda h: F.min("low").over(series().rowsBetween(1, h)) / F.col("close") - 1)
+    bars = bars_of(spark, 50, 2)
+    rows = {(x["instrument_id"], x["date"]): x for x in bars.collect()}
+    for kw in ({}, {"rows_per_block": 10}):
+        for x in add_target(bars, worst, **kw).collect():
+            ahead = [rows.get((x["instrument_id"], x["date"] + dt.timedelta(days=k))) for k in range(1, 5)]
+            assert x["target"] == (None if None in ahead else min(a["low"] for a in ahead) / x["close"] - 1)
+    built = dataset.build(bars, [Feature("sma", {"window": 3})], worst).rows
+    assert built.count() == 2 * (50 - 2 - 4)
+    for kind, column in (("worst", None), ("forward_return", lambda h: F.lit(1))):
+        with pytest.raises(InvalidArgument):
+            Target(kind, 3, column)
+
+
+# Definitions.
+
+
+def test_definitions_stay_with_the_data(spark, tmp_path):
+    own = [Feature("sma", {"window": 5}), Feature("RSI ", {"window": 14}), Feature("bollinger_bands", {"window": 5, "k": 2, "band": "upper"})]
+    bars = bars_of(spark, 40)
+    train = dataset.build(bars, own, Target("forward_return", 2)).rows
+    train.write.parquet(str(tmp_path / "train"))
+    back, later = spark.read.parquet(str(tmp_path / "train")), dataset.inference(bars, own)
+    assert dataset.definitions(back) == dataset.definitions(later) and all(d for _, d in dataset.definitions(back)) and "window" in dataset.definitions(back)[0][1]
+    dataset.same_features(back, later)
+    dataset.same_features(back.where("target > 0"), dataset.inference(bars, own, rows_per_block=20))
+    names = [f.name for f in own]
+    keys = ["instrument_id", "observation_date"]
+    for other, why in (
+        (later.select(*keys, *reversed(names)), "features differ"),
+        (later.drop(names[0]), "3 and 2 features"),
+        (later.withColumnRenamed(names[0], "sma"), "features differ"),
+        (later.withColumn(names[0], F.col(names[1])), "defined differently"),
+        (later.withColumn(names[0], F.lit(1.0)), "defined differently"),
+        (dataset.inference(bars, [Feature("sma", {"window": 6}), *own[1:]]).withColumnRenamed("sma_window_6", names[0]), "defined differently"),
+    ):
+        with pytest.raises(InvalidArgument, match=why):
+            dataset.same_features(back, other)

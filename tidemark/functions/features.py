@@ -127,6 +127,18 @@ class Smoothed:
     close_out: Callable[..., np.ndarray]
 
 
+@dataclass(frozen=True)
+class Stepped:
+    """A calculator of the user: ``begin`` makes the state of a series, ``step`` gives the values of its next rows from the state and the inputs.
+
+    It sees each series in order, in as many pieces as batches hold of it, and changes the state in place; NaN stands for null on both sides.
+    """
+
+    inputs: tuple[Column, ...]
+    begin: Callable[[], object]
+    step: Callable[..., np.ndarray]
+
+
 def _rsi_value(gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         out = 100.0 * gain / (gain + loss)
@@ -145,20 +157,23 @@ def _atr(params: dict) -> Smoothed:
     return Smoothed(positive(params, "window", 14), (true_range(),), lambda x: x)
 
 
+Compiled = Column | Smoothed | Stepped
+
+
 class Registry:
-    """Families by normalised name."""
+    """Families by normalised name: windowed columns, smoothed increments, or calculators that go along a series."""
 
     def __init__(self) -> None:
-        self._families: dict[str, tuple[Callable[[dict], Column | Smoothed], Callable[[dict], int] | None]] = {}
+        self._families: dict[str, tuple[Callable[[dict], Compiled], Callable[[dict], int] | None]] = {}
 
-    def register(self, family: str, compile_: Callable[[dict], Column | Smoothed], lookback: Callable[[dict], int] | None = None) -> None:
+    def register(self, family: str, compile_: Callable[[dict], Compiled], lookback: Callable[[dict], int] | None = None) -> None:
         """``lookback``: how many bars before its own a feature of these parameters looks at. Without it the family can't go over blocks of a series."""
         key = family.strip().lower()
         if key in self._families:
             raise InvalidArgument(f"family {key} is registered already")
         self._families[key] = compile_, lookback
 
-    def compile(self, feature: Feature) -> Column | Smoothed:
+    def compile(self, feature: Feature) -> Compiled:
         return self._families[feature.family.strip().lower()][0](feature.params)
 
     def lookback(self, feature: Feature) -> int:
@@ -237,32 +252,47 @@ def add_features(
         made = [(f.name, registry.compile(f)) for f in features]
         direct = {n: c for n, c in made if isinstance(c, Column)} | (extra() if callable(extra) else extra or {})
         smoothed = [(n, s) for n, s in made if isinstance(s, Smoothed)]
+        stepped = [(n, s) for n, s in made if isinstance(s, Stepped)]
+        if stepped and rows_per_block is not None:
+            raise InvalidArgument(f"{stepped[0][0]} goes along whole series, not over blocks")
         steps = {f"_inc{i}_{j}": c for i, (_, s) in enumerate(smoothed) for j, c in enumerate(s.increments)}
-        place = {"_place": F.row_number().over(series())} if smoothed else {}  # so that there is a window whatever the increments are: it brings each series' rows together
+        steps |= {f"_in{i}_{j}": c for i, (_, s) in enumerate(stepped) for j, c in enumerate(s.inputs)}
+        place = {"_place": F.row_number().over(series())} if smoothed or stepped else {}  # so that there is a window whatever the increments are: it brings each series' rows together
         out = bars.withColumns(direct | steps | place)
         if rows_per_block is not None:
             out = out.where(OWN).drop(OWN)
             if smoothed:
                 windows = {f"_inc{i}_{j}": s.window for i, (_, s) in enumerate(smoothed) for j in range(len(s.increments))}
                 out = _carried(out, windows, order).withColumns(place)
-    if not smoothed:
-        return out.drop(BLOCK)
-    return _smooth(out, smoothed, keys, order).drop(BLOCK)
+    if smoothed or stepped:
+        out = _smooth(out, smoothed, keys, order, stepped=stepped)
+    return defined(out.drop(BLOCK), features)
+
+
+def defined(rows: DataFrame, features: list[Feature]) -> DataFrame:
+    """``rows`` whose feature columns say how they are defined, in their metadata: selections keep it, and so does Parquet."""
+    for f in features:
+        rows = rows.withMetadata(f.name, {"feature": json.dumps([f.family.strip().lower(), {k: encode(v) for k, v in sorted(f.params.items())}])})
+    return rows
 
 
-def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[str, ...], order: str, left: bool = False) -> DataFrame:
+def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[str, ...], order: str, left: bool = False, stepped: list[tuple[str, Stepped]] | None = None) -> DataFrame:
     """Fold the increments of each series, from nothing or from the state that is beside them (``_state...``). ``left``: with the state that each row leaves (``_left...``)."""
     inputs = [f"_inc{i}_{j}" for i, (_, s) in enumerate(smoothed) for j in range(len(s.increments))]
     begins = {c: f"_state{c}" for c in inputs if f"_state{c}" in rows.columns}
-    kept = [c for c in rows.columns if c not in {*inputs, *begins.values(), "_place"}]
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n, _ in smoothed])
+    stepped = stepped or []
+    own = {f"_in{i}_{j}" for i, (_, s) in enumerate(stepped) for j in range(len(s.inputs))}
+    kept = [c for c in rows.columns if c not in {*inputs, *own, *begins.values(), "_place"}]
+    names = [n for n, _ in [*smoothed, *stepped]]
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in names])
     if left:
         schema = T.StructType([*schema.fields, *[T.StructField(f"_left{c}", T.ArrayType(T.DoubleType())) for c in inputs]])
     # What goes to the workers: no Columns.
     plan = [(n, s.window, [f"_inc{i}_{j}" for j in range(len(s.increments))], s.close_out) for i, (n, s) in enumerate(smoothed)]
+    walks = [(n, [f"_in{i}_{j}" for j in range(len(s.inputs))], s.begin, s.step) for i, (n, s) in enumerate(stepped)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, states = None, {}
+        key, states, walking = None, {}, {}
         for pdf in batches:
             ids = list(zip(*(pdf[k].to_numpy() for k in keys), strict=True))
             change = np.zeros(len(pdf), bool)
@@ -270,24 +300,27 @@ def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[s
                 v = pdf[k].to_numpy()
                 change[1:] |= v[1:] != v[:-1]
             cuts = np.flatnonzero(np.concatenate([[True], change[1:]])) if len(ids) else np.zeros(0, int)
-            result = {n: np.full(len(pdf), np.nan) for n, *_ in plan}
+            result = {n: np.full(len(pdf), np.nan) for n in names}
             after = {f"_left{c}": [] for c in inputs} if left else {}
-            columns = {c: pdf[c].to_numpy(float) for c in inputs}
+            columns = {c: pdf[c].to_numpy(float) for c in [*inputs, *own]}
             for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
                 if ids[a] != key:
                     key = ids[a]
+                    walking = {n: begin() for n, _, begin, _ in walks}
                     states = {c: [int(x[0]), *map(float, x[1:])] if c in begins and (x := pdf[begins[c]].iloc[a]) is not None else [0, 0.0, 0.0] for c in inputs}
-                for n, window, names, close_out in plan:
-                    before = {c: tuple(states[c]) for c in names} if left else {}
-                    parts = [wilder(columns[c][a:b], window, states[c]) for c in names]
-                    for c, v in zip(names, parts, strict=True) if left else ():
+                for n, cols, _, step in walks:
+                    result[n][a:b] = step(walking[n], *[columns[c][a:b] for c in cols])
+                for n, window, cols, close_out in plan:
+                    before = {c: tuple(states[c]) for c in cols} if left else {}
+                    parts = [wilder(columns[c][a:b], window, states[c]) for c in cols]
+                    for c, v in zip(cols, parts, strict=True) if left else ():
                         after[f"_left{c}"] += leaving(columns[c][a:b], v, window, *before[c])
                     result[n][a:b] = close_out(*parts)
                     result[n][a:b][np.isnan(parts[0])] = np.nan
             yield pdf[kept].assign(**result, **after)
 
     done = rows.sortWithinPartitions(*keys, order).mapInPandas(run, schema)
-    return done.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n, _ in smoothed})
+    return done.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
 
 def _carried(rows: DataFrame, windows: dict[str, int], order: str) -> DataFrame:
@@ -341,6 +374,8 @@ def add_from(bars: DataFrame, features: list[Feature], since: str, registry: Reg
     with along((ID,), order):
         made = [(f.name, registry.compile(f)) for f in features]
         smoothed = [(n, s) for n, s in made if isinstance(s, Smoothed)]
+        if any(isinstance(s, Stepped) for _, s in made):
+            raise InvalidArgument("calculators go along whole series, not from a row on")
         steps = {f"_inc{i}_{j}": c for i, (_, s) in enumerate(smoothed) for j, c in enumerate(s.increments)}
         out = bars.withColumns({n: c for n, c in made if isinstance(c, Column)} | steps).where(F.col(order) >= F.col(since))
         if smoothed:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,21 +21,23 @@ TARGETS = ("forward_return", "total_return")
 
 @dataclass(frozen=True)
 class Target:
-    """A label over ``horizon`` bars."""
+    """A label over ``horizon`` bars; with ``column`` one of the user's own, which makes a Column over the shared window from the horizon."""
 
     kind: str
     horizon: int
+    column: Callable[[int], Column] | None = None
 
     def __post_init__(self) -> None:
-        if self.kind not in TARGETS:
-            raise InvalidArgument(f"unknown target {self.kind!r}")
+        if (self.kind in TARGETS) == (self.column is not None):
+            raise InvalidArgument(f"unknown target {self.kind!r}" if self.column is None else f"{self.kind!r} has a rule of its own")
         positive({"horizon": self.horizon}, "horizon", 1)
 
 
-def ahead(horizon: int) -> dict[str, Column]:
-    """The bar at the end of the horizon, from the window that features share."""
+def ahead(horizon: int, column: Callable[[int], Column] | None = None) -> dict[str, Column]:
+    """The bar at the end of the horizon, from the window that features share, and what the user's label is there."""
     w = series()
-    return {"_close_h": F.lead("close", horizon).over(w), "realization_date": F.lead(order_column(), horizon).over(w)}
+    own = {} if column is None else {"_own_label": column(horizon)}
+    return {"_close_h": F.lead("close", horizon).over(w), "realization_date": F.lead(order_column(), horizon).over(w)} | own
 
 
 def label(rows: DataFrame, target: Target, bars: DataFrame, actions: DataFrame | None = None, order: str = DATE) -> DataFrame:
@@ -43,6 +46,8 @@ def label(rows: DataFrame, target: Target, bars: DataFrame, actions: DataFrame |
     Corporate actions have dates. Of bars within days the last of an ex-date is the one that its dividend is held against, and what
     lies between two bars is told by their dates.
     """
+    if target.column is not None:  # as all labels, only where the horizon has its bars
+        return rows.withColumn("target", F.when(F.col("realization_date").isNotNull(), F.col("_own_label").cast("double"))).drop("_close_h", "_own_label")
     forward = ratio(F.col("_close_h"), F.col("close")) - 1
     if target.kind == "forward_return":
         return rows.withColumn("target", forward).drop("_close_h")
@@ -72,7 +77,7 @@ def add_target(bars: DataFrame, target: Target, actions: DataFrame | None = None
     """
     dealt = bars if rows_per_block is None else deal(bars, rows_per_block, 1, target.horizon, order)
     with along((ID,) if rows_per_block is None else (ID, BLOCK), order):
-        rows = dealt.withColumns(ahead(target.horizon) | repeats()).where(no_repeats(order)).drop(AGAIN)
+        rows = dealt.withColumns(ahead(target.horizon, target.column) | repeats()).where(no_repeats(order)).drop(AGAIN)
     if rows_per_block is not None:
         rows = rows.where(OWN).drop(OWN, BLOCK)
     return label(rows, target, bars, actions, order)

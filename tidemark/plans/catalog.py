@@ -18,6 +18,7 @@ from tidemark.plans import dataset
 from tidemark.plans.oracle import sql
 from tidemark.session import ship
 from tidemark.sources import domain, tables
+from tidemark.sources.provider import TickTable, register_provider
 from tidemark.streaming.bars import bar_table, ingest
 from tidemark.streaming.features import FeatureStream, follow
 
@@ -114,6 +115,13 @@ def holiday_upsert(spark, d):
     return upsert.upsert(changed.unionByName(added), h, ["exchange_id", "holiday_date"])
 
 
+@register("SELECT user_id AS instrument_id, ts, value AS open, value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume FROM events")
+def bars_from_provider(spark, d):
+    """Bars of a provider that is registered by name, fetched by ranges of instruments."""
+    register_provider(spark, "catalog_ticks", lambda options: TickTable(options["path"]))
+    return _plain_time(spark.read.format("catalog_ticks").option("path", f"{d}/events.parquet").load(), "ts")
+
+
 # Filters and lookups.
 
 

@@ -63,7 +63,7 @@ def build(
     names = [f.name for f in features]
     if set(names) & {"target", "realization_date", "observation_date"}:
         raise InvalidArgument("a feature has the name of another column")
-    extra = lambda: ahead(target.horizon) | repeats()
+    extra = lambda: ahead(target.horizon, target.column) | repeats()
     rows = add_features(bars, features, registry, extra, order, rows_per_block, target.horizon).where(no_repeats(order))
     rows = label(rows, target, bars, actions, order).withColumnRenamed(order, "observation_date")
     reason = F.when(~_complete(names), "feature").when(~is_finite(F.col("target")), "target")
@@ -86,8 +86,18 @@ def dense(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.select(ID, "observation_date", F.array(*[strict_float64(F.col(f), f) for f in features]).alias("x"), *(["target"] if "target" in rows.columns else []))
 
 
+def definitions(rows: DataFrame, keys: tuple[str, ...] = (ID, "observation_date", "realization_date", "target")) -> list[tuple[str, str | None]]:
+    """Feature columns in order, each with its definition (family and parameters, as its metadata has it) if it says one."""
+    return [(f.name, (f.metadata or {}).get("feature")) for f in rows.schema.fields if f.name not in keys]
+
+
 def same_features(train: DataFrame, other: DataFrame, keys: tuple[str, ...] = (ID, "observation_date", "realization_date", "target")) -> None:
-    """An error unless both have the same features in the same order."""
-    a, b = ([c for c in df.columns if c not in keys] for df in (train, other))
-    if a != b:
-        raise InvalidArgument(f"features differ: {a} and {b}")
+    """An error unless both have the same features in the same order, by number, name and definition. Definitions outlive Parquet."""
+    a, b = definitions(train, keys), definitions(other, keys)
+    if len(a) != len(b):
+        raise InvalidArgument(f"{len(a)} and {len(b)} features")
+    if [n for n, _ in a] != [n for n, _ in b]:
+        raise InvalidArgument(f"features differ: {[n for n, _ in a]} and {[n for n, _ in b]}")
+    redefined = [n for (n, x), (_, y) in zip(a, b, strict=True) if x != y]
+    if redefined:
+        raise InvalidArgument(f"features of one name are defined differently: {redefined}")

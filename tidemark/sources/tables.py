@@ -1,9 +1,7 @@
-"""Readers with explicit schemas, and providers as pluggable sources."""
+"""Readers with explicit schemas; providers are in ``sources.provider``."""
 
 from __future__ import annotations
 
-from typing import Protocol
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +9,6 @@ from tidemark.functions.scalars import check_range, upper_code
 from tidemark.schemas import TABLES
 
 
-class BarSource(Protocol):
-    def bars(self, spark: SparkSession) -> DataFrame: ...
-
-
-class FundamentalsSource(Protocol):
-    def fundamentals(self, spark: SparkSession) -> DataFrame: ...
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -197,3 +197,25 @@ def test_op10_as_registered(spark, stored, odd_rows):
     assert all(r["lang_pred"] in ("en", "de", "und") and 0 <= r["score"] <= 1 for r in rows)
     texts = {r[0]: r[1] for r in odd_rows}
     assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in texts[r["doc_id"]] or "")) for r in rows if [x[0] for x in odd_rows].count(r["doc_id"]) == 1)
+
+
+# Chat formatting.
+
+
+def test_tokens_that_texts_can_spell_are_refused(tmp_path):
+    import json
+
+    from tidemark.llm import chat_format
+
+    with open(chat_format.DEFAULT_TOKENIZER) as f:
+        spec = json.load(f)
+    n = max(spec["model"]["vocab"].values()) + 10
+    for content, fine in (("<|own|>", True), ("</s>", False), ("[INST]", False)):
+        spec["added_tokens"] = [{"id": n, "content": content, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]
+        at = tmp_path / f"{fine}{len(content)}.json"
+        at.write_text(json.dumps(spec))
+        if fine:
+            assert chat_format._tokenizer(str(at)).token_to_id(content) is not None
+        else:
+            with pytest.raises(ValueError, match="texts can spell"):
+                chat_format._tokenizer(str(at))

@@ -73,6 +73,9 @@ def _tokenizer(path: str):
             raise FileNotFoundError(f"no tokenizer at {path}: name the path of a byte-level BPE file that every executor can read")
 
         tok = Tokenizer.from_file(path)
+        open_ = [t.content for t in tok.get_added_tokens_decoder().values() if "<|" not in t.content]
+        if open_:  # a text that holds one would turn into it: only what has <| is escaped
+            raise ValueError(f"the tokenizer at {path} has tokens of its own that texts can spell: {open_[:5]}")
         tok.post_processor = processors.ByteLevel(trim_offsets=False)
         tok.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (TURN, TEXT, END)])
         _TOKENIZERS[path] = tok

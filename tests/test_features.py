@@ -1,4 +1,4 @@
-"""Hand-computed cases of features, labels and adjusted prices."""
+"""Features, labels and adjusted prices. Expected numbers are fixed values: the golden cases that FIXTURES.md lists with their sources."""
 
 import datetime as dt
 from decimal import Decimal

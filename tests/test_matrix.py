@@ -70,3 +70,38 @@ def test_no_target_and_no_rows(spark, tmp_path):
     (b,) = matrix.read_matrix(spark, str(tmp_path / "one")).collect()
     assert matrix.as_numpy(bytes(b["x"]), 1).tolist() == [[1.5]] and not b["y"]
     assert matrix.write_matrix(df.limit(0), ["a"], str(tmp_path / "none")).count() == 0
+
+
+def test_containers_are_checked(spark, tmp_path, rows):
+    """Arrays are read-only, contiguous doubles; what is damaged on the way is found."""
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(*r[:4], Decimal(str(r[4])), r[5]) for r in rows], SCHEMA).repartition(3)
+    at = str(tmp_path / "m")
+    matrix.write_matrix(df, ["a", "b"], at, segment="segment", block_rows=50)
+    check = lambda p, source=df: {r["segment"]: tuple(r[c] for c in ("rows", "misshapen", "damaged", "gaps", "not_finite", "differs")) for r in matrix.verify_matrix(spark, p, source, ["a", "b"], segment="segment").collect()}
+    n = {s: sum(r[2] == s for r in rows) for s in ("train", "val", "test")}
+    assert check(at) == {s: (k, 0, 0, 0, 0, False) for s, k in n.items()}
+    assert check(at, df.where("segment <> 'val' or a <> target"))["train"][-1] is False and check(at, df.withColumn("b", F.col("b") + 1))["val"][-1] is True
+    (b,) = matrix.read_matrix(spark, at).where("segment = 'train' and first_row = 0").collect()
+    x = matrix.as_numpy(bytes(b["x"]), 2)
+    assert x.dtype == np.float64 and x.flags.c_contiguous and not x.flags.writeable and x.shape == (50, 2)
+
+    def tampered(name, change):
+        to = str(tmp_path / name)
+        change(spark.read.parquet(f"{at}/blocks")).write.parquet(f"{to}/blocks")
+        spark.read.parquet(f"{at}/index").write.parquet(f"{to}/index")
+        return check(to)
+
+    head = F.col("seq") == spark.read.parquet(f"{at}/blocks").where("segment = 'val'").agg(F.min("seq")).first()[0]
+    one = (F.col("segment") == "val") & head
+    flipped = tampered("flipped", lambda d: d.withColumn("x", F.when(one, F.concat(F.unhex(F.lit("01" * 8)), F.expr("substring(x, 9)"))).otherwise(F.col("x"))))
+    assert flipped["val"][2] >= 1 and flipped["val"][-1] and flipped["train"] == (n["train"], 0, 0, 0, 0, False)
+    short = tampered("short", lambda d: d.withColumn("x", F.when(one, F.expr("substring(x, 9)")).otherwise(F.col("x"))))
+    assert short["val"][1] >= 1 and short["val"][2] >= 1 and short["val"][-1]
+    lost = tampered("lost", lambda d: d.where(~one))
+    assert lost["val"][3] >= 1 and lost["val"][-1] and lost["test"][3] == 0
+    odd = tampered("odd", lambda d: d.withColumn("x", F.when(one, F.concat(F.unhex(F.lit("000000000000F07F")), F.expr("substring(x, 9)"))).otherwise(F.col("x"))))
+    assert odd["val"][4] >= 1

@@ -259,3 +259,46 @@ def test_small_lookups(spark):
     h = spark.createDataFrame([(1, dt.date(2026, 8, 14), "full_day"), (2, dt.date(2026, 8, 14), "half_day"), (1, dt.date(2027, 1, 1), "full_day")], "exchange_id long, holiday_date date, session_type string")
     assert calendar.holiday_on(h, 2, "2026-08-14").first()["session_type"] == "half_day" and calendar.holiday_on(h, 2, "2027-01-01").count() == 0
     assert calendar.holidays_of_year(h, 1, 2026).count() == 1
+
+
+def test_time_stamps_in_text(spark):
+    texts = {
+        "2024-03-10T07:30:00": "2024-03-10 07:30:00", "2024-03-10 07:30:00.25": "2024-03-10 07:30:00.25", "2024-03-10T07:30:00Z": "2024-03-10 07:30:00", "2024-03-10T07:30:00+05:30": "2024-03-10 02:00:00",
+        "2024-03-10T07:30:00-0300": None, "2024-03-10 07:30:00 America/New_York": "2024-03-10 11:30:00", "2024-03-10": "2024-03-10 00:00:00", "soon": None, None: None, "": None, "07:30:00": None,
+    }
+    from tidemark.functions.scalars import utc_timestamp
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = {r["t"]: r["u"] for r in df.select("t", F.to_utc_timestamp(utc_timestamp(F.col("t")), zone).cast("string").alias("u") if zone != "UTC" else utc_timestamp(F.col("t")).cast("string").alias("u")).collect()}
+            assert {k: v for k, v in got.items() if k != "2024-03-10T07:30:00-0300"} == {k: v for k, v in texts.items() if k != "2024-03-10T07:30:00-0300"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_ranges_are_checked(spark):
+    from tidemark.operators import calendar, ingestion, lookups, quality
+    from tidemark.sources import tables
+
+    df = spark.createDataFrame([], "instrument_id long, exchange_id long, date date, holiday_date date, session_type string, period_end date, available_at date, execution_date date, action_type string, metric_name string, fiscal_year int, fiscal_quarter int, batch_index long, m double")
+    a, b = "2024-02-01", "2024-01-01"
+    for call in (
+        lambda: lookups.bars_in_range(df, 1, a, b), lambda: lookups.actions_of(df, 1, a, b), lambda: lookups.fundamentals_as_of(df, b, a, b), lambda: calendar.holidays_in_range(df, a, b),
+        lambda: calendar.trading_days(df, df, a, b), lambda: tables.unpivot_fundamentals(df, ["instrument_id"], ["m"], a, b), lambda: quality.bar_batch(df, 1, a, b), lambda: quality.fundamental_batch(df, a, b),
+        lambda: ingestion.ingest_bars(df, df, df, a, b), lambda: ingestion.ingest_fundamentals(df, df, df, a, b),
+    ):
+        with pytest.raises(InvalidArgument, match="the range begins at"):
+            call()
+
+
+def test_order_of_nulls(spark):
+    from tidemark.operators import lookups
+
+    rows = [(1, None, "a"), (1, dt.date(2024, 1, 2), None), (1, dt.date(2024, 1, 2), "b"), (1, dt.date(2024, 1, 1), "z")]
+    df = spark.createDataFrame(rows, "instrument_id long, execution_date date, action_type string")
+    assert [tuple(r) for r in lookups.actions_of(df, 1).collect()] == [rows[3], rows[2], rows[1], rows[0]]
+    runs = spark.createDataFrame([(1, None, 5), (1, 3, 1), (1, 3, None), (1, 2, 9)], "k long, t long, i long")
+    assert [(r["t"], r["i"]) for r in lookups.newest(runs, ["k"], "t", "i", 4).orderBy("rank").collect()] == [(3, 1), (3, None), (2, 9), (None, 5)]

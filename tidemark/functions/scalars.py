@@ -38,6 +38,13 @@ def market_date(ts: Column, zone: str | None = None) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, zone) if zone else ts)
 
 
+def utc_timestamp(text: Column) -> Column:
+    """The UTC instant of a time stamp in text: by its offset or zone if it says one, otherwise it is taken to be in UTC, whatever the session's zone. What is no time stamp is null."""
+    zoned = text.rlike(r"[T ]\d.*(Z|UTC|[+-]\d{1,2}:?(\d{2})?|[A-Za-z]+/[A-Za-z_]+)$")
+    plain = F.concat(F.trim(text), F.when(text.contains(":"), "Z").otherwise(" 00:00:00Z"))
+    return F.when(text.rlike(r"^\s*\d{4}-\d"), F.try_to_timestamp(F.when(zoned, text).otherwise(plain)))  # a time alone would be of today
+
+
 def is_weekend(d: Column) -> Column:
     return F.weekday(d) >= 5
 

@@ -13,6 +13,11 @@ def _date(x: str) -> Column:
     return F.lit(x).cast("date")
 
 
+def ascending(*columns: str) -> list[Column]:
+    """An order by several columns; rows that lack one come last among their equals."""
+    return [F.asc_nulls_last(c) for c in columns]
+
+
 def bars_in_range(bars: DataFrame, instrument: int | str, start: str, end: str) -> DataFrame:
     check_range(start, end)
     return bars.where((F.col(ID) == instrument) & F.col(DATE).between(_date(start), _date(end))).orderBy(DATE)
@@ -67,7 +72,7 @@ def actions_of(actions: DataFrame, instrument: int | str, start: str | None = No
         found &= F.col("execution_date") <= _date(end)
     if kind:
         found &= F.col("action_type") == lower_name(F.lit(kind))
-    return actions.where(found).orderBy("execution_date", "action_type")
+    return actions.where(found).orderBy(*ascending("execution_date", "action_type"))
 
 
 def fundamentals_as_of(records: DataFrame, as_of: str, start: str | None = None, end: str | None = None, metric: str | None = None) -> DataFrame:
@@ -80,13 +85,13 @@ def fundamentals_as_of(records: DataFrame, as_of: str, start: str | None = None,
         seen &= F.col("period_end") <= _date(end)
     if metric:
         seen &= F.col("metric_name") == lower_name(F.lit(metric))
-    return records.where(seen).orderBy("period_end", "metric_name", "available_at")
+    return records.where(seen).orderBy(*ascending("period_end", "metric_name", "available_at"))
 
 
 def fundamentals_of(records: DataFrame, instrument: int | str, period: str, as_of: str | None = None) -> DataFrame:
     """One period's records of an instrument; with ``as_of`` only those that were available then."""
     seen = fundamentals_as_of(records, as_of) if as_of else records
-    return seen.where((F.col(ID) == instrument) & (F.col("period_end") == _date(period))).orderBy("metric_name")
+    return seen.where((F.col(ID) == instrument) & (F.col("period_end") == _date(period))).orderBy(*ascending("metric_name"))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:

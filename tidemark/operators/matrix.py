@@ -124,6 +124,46 @@ def export_files(blocks: DataFrame, folder: str) -> DataFrame:
     return blocks.select("segment", "first_row", "rows", "cols", "x", "y").mapInArrow(run, "name string, segment string, first_row long, rows long, cols int")
 
 
+def _unpacked(blocks: DataFrame) -> DataFrame:
+    """Rows of blocks: ``segment``, ``x`` and ``y``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                flat, n, cols = np.frombuffer(r["x"], "<f8"), r["rows"], r["cols"]
+                x = pa.ListArray.from_arrays(pa.array(np.arange(0, n * cols + 1, cols, dtype=np.int32)), pa.array(flat[: n * cols]))
+                y = pa.array(np.frombuffer(r["y"], "<f8")) if r["y"] else pa.nulls(n, pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([r["segment"]] * n), x, y], ["segment", "x", "y"])
+
+    return blocks.select("segment", "rows", "cols", "x", "y").mapInArrow(run, "segment string, x array<double>, y double")
+
+
+def verify_matrix(spark: SparkSession, path: str, rows: DataFrame, features: list[str], segment: str | None = None, target: str | None = "target") -> DataFrame:
+    """Per segment: ``rows``, and what is wrong with the blocks below ``path``, which are to hold ``rows``.
+
+    ``misshapen``: blocks whose bytes aren't rows times columns of doubles; ``damaged``: blocks whose bytes don't have their checksum; ``gaps``: blocks that don't begin where
+    the one before ends, or are out of the index; ``not_finite``: values; ``differs``: whether the values, row by row, aren't those of the source.
+    """
+    blocks = spark.read.parquet(f"{path}/blocks")
+    index = spark.read.parquet(f"{path}/index")
+    good = (F.length("x") == F.col("rows") * F.col("cols") * 8) & ((F.length("y") == F.col("rows") * 8) | (F.length("y") == 0))
+    sound = F.crc32(F.concat("x", "y")) == F.col("crc32")
+    shape = blocks.groupBy("segment").agg(F.sum("rows").alias("rows"), F.count_if(~good).alias("misshapen"), F.count_if(~sound).alias("damaged"))
+    there = index.join(blocks.select("segment", "part", "seq", F.lit(True).alias("here")), ["segment", "part", "seq"], "full_outer")
+    after = F.lag(F.col("first_row") + F.col("rows"), 1, 0).over(Window.partitionBy("segment").orderBy("first_row"))
+    gaps = there.withColumn("_after", after).groupBy("segment").agg(F.count_if(F.coalesce((F.col("first_row") != F.col("_after")) | F.col("here").isNull(), F.lit(True))).alias("gaps"))
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    source = rows.select((F.col(segment).cast("string") if segment else F.lit("all")).alias("segment"), x.alias("x"), (F.col(target) if target else F.lit(None)).cast("double").alias("y"))
+    mark = F.sum(F.xxhash64("x", F.coalesce("y", F.lit(0.0))).cast("decimal(38,0)"))  # of rows in any order: equal if the rows are
+    finite = lambda c: F.col(c).isNull() | (~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    bad = F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == F.lit(float("inf")))) | ~finite("y")
+    mine = _unpacked(blocks.where(good)).groupBy("segment").agg(mark.alias("m"), F.count_if(bad).alias("not_finite"))
+    both = mine.join(source.groupBy("segment").agg(mark.alias("s")), "segment", "full_outer")
+    out = shape.join(gaps, "segment", "full_outer").join(both, "segment", "full_outer")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("rows", "misshapen", "damaged", "gaps", "not_finite")}
+    return out.withColumns(zero | {"differs": ~F.col("m").eqNullSafe(F.col("s"))}).drop("m", "s")
+
+
 def column_sums(blocks: DataFrame) -> DataFrame:
     """Each block's columns and target summed, from its bytes."""
 

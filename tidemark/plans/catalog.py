@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.files import temporary_folder
@@ -122,6 +122,16 @@ def bars_from_provider(spark, d):
     return _plain_time(spark.read.format("catalog_ticks").option("path", f"{d}/events.parquet").load(), "ts")
 
 
+@register("SELECT event_id, ts FROM events")
+def timestamps_utc(spark, d):
+    """Time stamps that come as text, without a zone, in UTC, or with offsets."""
+    ev = tables.table(spark, d, "events")
+    at, kind = F.col("ts").cast("timestamp"), F.col("event_id") % 4
+    text = lambda zone, mark: F.concat(F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(mark))
+    written = F.when(kind == 0, text("UTC", "")).when(kind == 1, text("UTC", "Z")).when(kind == 2, text("+05:30", "+05:30")).otherwise(text("-03:00", "-03:00"))
+    return ev.select("event_id", X.utc_timestamp(written).cast("timestamp_ntz").alias("ts"))
+
+
 # Filters and lookups.
 
 
@@ -226,6 +236,13 @@ def isin_valid(spark, d):
     return domain.instruments(spark, d).select(ID, "isin", X.is_isin(F.col("isin")).alias("valid"))
 
 
+@register("SELECT instrument_id, period_end, metric_name, row_number() OVER (PARTITION BY instrument_id ORDER BY available_at ASC NULLS LAST, period_end, metric_name)::INT AS place FROM records")
+def fundamentals_ordered(spark, d):
+    """Each instrument's records in the order of several keys: those that aren't available yet come last."""
+    place = F.row_number().over(Window.partitionBy(ID).orderBy(*lookups.ascending("available_at", "period_end", "metric_name")))
+    return domain.fundamentals(spark, d).select(ID, "period_end", "metric_name", place.alias("place"))
+
+
 # Joins.
 
 
@@ -568,6 +585,25 @@ def matrix_blocks(spark, d):
     return b.groupBy("segment").agg(F.sum("rows").alias("rows"), F.max(F.col("first_row") + F.col("rows")).alias("next_row"), F.max("cols").alias("cols"), *sums, tidy(F.sum("y"), 3).alias("y"))
 
 
+@register("SELECT segment, count(*) AS rows, 0::BIGINT AS misshapen, 0::BIGINT AS damaged, 0::BIGINT AS gaps, 0::BIGINT AS not_finite, false AS differs FROM parts WHERE status = 'kept' GROUP BY segment", e=3)
+def matrix_verified(spark, d):
+    """Blocks as written, held against the dataset."""
+    rows, at = _tidied(_labelled(spark, d).rows, [*NAMES, "target"]), temporary_folder(spark, "matrix")
+    kept = split.split(rows, split.SplitConfig(embargo=3)).where(F.col("status") == split.KEPT)
+    matrix.write_matrix(kept, NAMES, at, segment="segment", block_rows=1000)
+    return matrix.verify_matrix(spark, at, kept, NAMES, segment="segment")
+
+
+@register(
+    """SELECT instrument_id, observation_date, name, value FROM (UNPIVOT (SELECT instrument_id, observation_date, round(return_window_1, 6) + 0.0 AS return_window_1, round(sma_window_5, 6) + 0.0 AS sma_window_5,
+       round(rsi_window_14, 6) + 0.0 AS rsi_window_14 FROM labelled) ON return_window_1, sma_window_5, rsi_window_14 INTO NAME name VALUE value)"""
+)
+def feature_records(spark, d):
+    """Features as records keyed by name."""
+    found = dataset.records(_tidied(_labelled(spark, d).rows, NAMES), NAMES)
+    return found.select(ID, "observation_date", F.explode("record").alias("name", "value"))
+
+
 #: Parts that someone has changed: another status, a row less, a row twice, another segment; by the instrument's number.
 _TAMPERED = """WITH x AS (SELECT p.instrument_id, p.observation_date, realization_date, CASE WHEN p.instrument_id % 5 = 3 AND p.segment = 'val' THEN 'test' ELSE p.segment END AS segment,
     CASE WHEN p.instrument_id % 5 = 0 THEN 'kept' ELSE status END AS status FROM parts p JOIN labelled l ON l.instrument_id = p.instrument_id AND l.observation_date = p.observation_date

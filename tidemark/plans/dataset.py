@@ -86,6 +86,12 @@ def dense(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.select(ID, "observation_date", F.array(*[strict_float64(F.col(f), f) for f in features]).alias("x"), *(["target"] if "target" in rows.columns else []))
 
 
+def records(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Rows as records: the keys, and ``features`` as one map from name to value."""
+    pairs = [x for f in features for x in (F.lit(f), F.col(f).cast("double"))]
+    return rows.select(ID, "observation_date", F.create_map(*pairs).alias("record"))
+
+
 def definitions(rows: DataFrame, keys: tuple[str, ...] = (ID, "observation_date", "realization_date", "target")) -> list[tuple[str, str | None]]:
     """Feature columns in order, each with its definition (family and parameters, as its metadata has it) if it says one."""
     return [(f.name, (f.metadata or {}).get("feature")) for f in rows.schema.fields if f.name not in keys]

@@ -656,7 +656,7 @@ def test_queries_take_whole_tables(spark):
 
     sf = "/root/testdata/sf0.001"
     n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
     for name in ("op1_license_scan", "op3_url_filter", "op8_sharding", "op10_language_id"):
         assert queries()[name](spark, sf).count() == n["pages" if "url" in name else "documents"]
     shards = queries()["op8_sharding"](spark, sf).collect()

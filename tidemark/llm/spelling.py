@@ -3,7 +3,7 @@
 1. Words are counted where the texts are read: a bounded table in each task, summed in Spark.
 2. Symmetric deletion: every word emits itself and its distinct single deletions, as hashes; an equi-join on them brings near words together.
    A deletion carries the places that give it, so words that share it by different places, which differ twice, don't leave the join.
-3. Exact verification on the words themselves, then one aggregation gives each word its near words' number and its form.
+3. Exact verification on the words themselves at the place that the join gave, in time linear in their length, then one aggregation gives each word its near words' number and its form.
 4. Forms lead to forms; roots come by joining the pointers with themselves, each round doubling their reach.
 
 A key is shared by the words that one inserted code point makes of it, so by no more than its length and alphabet allow; a word as long as a
@@ -124,10 +124,13 @@ def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of near words of (``id``, ``word``, ``n``), each once in either direction: ``id``, ``n``, and ``near_id``, ``near``, ``near_n``."""
     keys = scratch.write(_keys(words), "keys")
     left, right = (keys.select("k1", "k2", F.col("id").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ab")
-    met = left.join(right, ["k1", "k2"]).where("a < b and low_a <= high_b and low_b <= high_a").select("a", "b")
+    met = left.join(right, ["k1", "k2"]).where("a < b and low_a <= high_b and low_b <= high_a").select("a", "b", F.greatest("low_a", "low_b").alias("at"))
     side = lambda x: words.select(F.col("id").alias(x), F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}"))
     seen = met.join(side("a"), "a").join(side("b"), "b")
-    seen = seen.where(F.levenshtein("word_a", "word_b", 1) == 1)
+    # Without the code point at that place they must be equal; a word that is another's deletion stays as it is.
+    longer = F.length("word_a") - F.length("word_b")
+    rest = lambda x, whole: F.when(whole, F.col(f"word_{x}")).otherwise(F.concat(F.substring(f"word_{x}", F.lit(1), F.col("at")), F.substring(f"word_{x}", F.col("at") + 2, F.length(f"word_{x}"))))
+    seen = seen.where(F.abs(longer) <= 1).where(rest("a", longer < 0) == rest("b", longer > 0))
     one = lambda x, y: F.struct(F.col(x).alias("id"), F.col(f"n_{x}").alias("n"), F.col(y).alias("near_id"), F.col(f"word_{y}").alias("near"), F.col(f"n_{y}").alias("near_n"))
     return seen.select(F.explode(F.array(one("a", "b"), one("b", "a"))).alias("p")).select("p.*")
 

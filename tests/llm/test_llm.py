@@ -352,6 +352,23 @@ def test_fingerprints_are_plain_minhash():
         assert fingerprints.to_text(fingerprints.fingerprint_texts([text])) == ["".join(plain)]
 
 
+def test_signatures_of_pairs_are_those_of_each():
+    rng = np.random.Generator(np.random.PCG64(3))
+    lists = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (0, 1, 7, 300, 40_000, 0)]
+    changed = [np.concatenate([x[: 2 * len(x) // 3], rng.integers(0, 2**64, k, dtype=np.uint64)]) for x, k in zip(lists, (0, 1, 2, 100, 13_000, 5), strict=True)]
+    for left, right in ((lists, changed), (changed, lists), (lists, lists), ([], [])):
+        for got, plain in zip(fingerprints.pair_signatures(left, right), (left, right), strict=True):
+            assert (got == fingerprints.signatures(plain)).all()
+
+
+@pytest.mark.parametrize("bounds", [[], [5], [-(2**63), 0, 3, 9, 2**63 - 1], list(range(0, 1000, 7))])
+def test_ranges_count_bounds(spark, bounds):
+    ids = [None, -(2**63), -1, 0, 1, 3, 5, 7, 9, 693, 694, 994, 995, 2**63 - 1]
+    number, is_bound = fingerprints._range_of(F.col("i"), bounds)
+    for r in spark.createDataFrame([(i,) for i in ids], "i long").select("i", number.alias("n"), is_bound.alias("b")).collect():
+        assert (r["n"], r["b"]) == ((0, False) if r["i"] is None else (sum(x < r["i"] for x in bounds), r["i"] in bounds))
+
+
 def test_fingerprints_of_any_id(spark, monkeypatch):
     """Ids that floats can't hold stay as they are beside null ids, and classes come along."""
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 2)

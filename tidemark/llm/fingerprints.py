@@ -12,11 +12,15 @@ components.
 ``edited_likeness`` compares each text with an edited text that takes its end from the next document. Neighbours come by
 sorting within ranges of ids: one shuffle of the texts. Range bounds are ids that occur, so the first row of a range is
 known beforehand and is sent to its neighbour as well. An id that very many rows have, and rows without an id, are one range:
-it is read in a stream, so it costs time, not memory.
+it is read in a stream, so it costs time, not memory. The shingles that a text and its edited text begin with are hashed once for
+both: a signature is the least of its parts' signatures.
+
+``fingerprint_documents`` does both: one pass over the texts gives fingerprints and set digests, as a table that the classes and the
+result come from; bands are those of the fingerprints. Only texts of candidate classes are read again.
 
 Defined results: null text is empty text; rows with equal ids are ordered by a hash of the text, equal texts in any order;
 null ids come last (least), and any long is an id; with one document, it is its own next; repeated rows are rows of their own; a
-very long text is one row; other columns are carried by ``edited_likeness`` only if asked for; an empty table gives no rows.
+very long text is one row; other columns are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,20 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.words import blocks, gram_hashes, mix, shingle_lists
+from tidemark.llm.words import blocks, shingle_lists
 
 SHINGLE, PERMUTATIONS, BITS = 5, 128, 16
 #: Rows of the signature in a band: 32 bands of 4 miss a pair of similarity 0.8 about once in 10^7.
 BAND_ROWS, SIMILAR_PERCENT = 4, 80
 #: Shingles whose permutations are taken at once: fits a core's cache.
 STEP = 16_384
-#: Texts of one range, in rows. Ranges are read in a stream, so this bounds nothing but the number of ranges.
-ROWS_PER_RANGE = 8192
+#: Texts of one range, in rows: some seconds of work. Ranges are read in a stream, so this bounds nothing but their number.
+ROWS_PER_RANGE = 2048
 MAX_RANGES = 65_536
 _RNG = np.random.Generator(np.random.PCG64(20_011))
 _A = _RNG.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -61,6 +65,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def pair_signatures(own: list[np.ndarray], changed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of both lists of shingles; what the two of a pair begin with is hashed once."""
+    same = [_shared_start(x, y) for x, y in zip(own, changed, strict=True)]
+    heads = signatures([x[:k] for x, k in zip(own, same, strict=True)])
+    tails = signatures([x[k:] for x, k in zip(own, same, strict=True)]), signatures([y[k:] for y, k in zip(changed, same, strict=True)])
+    return np.minimum(heads, tails[0]), np.minimum(heads, tails[1])
+
+
+def _shared_start(x: np.ndarray, y: np.ndarray) -> int:
+    n = min(len(x), len(y))
+    unlike = x[:n] != y[:n]
+    return int(unlike.argmax()) if unlike.any() else n
+
+
 def _groups(size: np.ndarray) -> Iterator[np.ndarray]:
     """Runs of sets that aren't empty, of about ``STEP`` elements."""
     at = np.flatnonzero(size)
@@ -74,8 +92,12 @@ def codes(sig: np.ndarray) -> np.ndarray:
     return ((sig >> np.uint64(24)) & np.uint64(2**BITS - 1)).astype(np.uint16)
 
 
+def to_bytes(code: np.ndarray) -> list[bytes]:
+    return [row.astype(">u2").tobytes() for row in code]
+
+
 def to_text(code: np.ndarray) -> list[str]:
-    return [row.astype(">u2").tobytes().hex() for row in code]
+    return [b.hex() for b in to_bytes(code)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,29 +125,32 @@ def _bounds(docs: DataFrame, doc: str) -> tuple[list[int], int | None]:
     return sorted(set(docs.agg(F.percentile_approx(doc, at, 100_000)).first()[0])), top
 
 
-def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text", label: str | None = None) -> DataFrame:
-    """Fingerprints of each text and its edited text, and their likeness; see the module. ``label``: a long to carry along."""
-    bounds, top = _bounds(docs.select(F.col(doc).cast("long").alias(doc)), doc)
-    ranges = len(bounds) + 1
-    carried = (F.col(label) if label else F.lit(None)).cast("long").alias("label")
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), carried)
-    at = F.col("doc_id")
-    number = F.lit(0)
-    if bounds:  # two levels, so that a row passes about twice the square root of the number of bounds
-        width = max(1, int(len(bounds) ** 0.5))
-        groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-        lits = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-        coarse = F.size(F.filter(lits([g[-1] for g in groups]), lambda v: v < at))
-        fine = F.element_at(F.array(*[lits(g) for g in groups]), F.least(coarse + 1, F.lit(len(groups))))
-        number = F.coalesce(F.when(coarse >= len(groups), F.lit(len(bounds))).otherwise(coarse * width + F.size(F.filter(fine, lambda v: v < at))), F.lit(0))
+def _range_of(at: Column, bounds: list[int]) -> tuple[Column, Column]:
+    """How many bounds are below a number, and whether it is a bound: two levels, so that a row passes about twice the square root of their number."""
+    if not bounds:
+        return F.lit(0), F.lit(False)
+    width = max(1, int(len(bounds) ** 0.5))
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<long>")  # one literal in the plan
+    below = lambda xs: F.size(F.filter(xs, lambda v: v < at))
+    skipped = below(longs(bounds[width - 1 :: width])) * width
+    number = F.coalesce(skipped + below(F.slice(longs(bounds), skipped + 1, width)), F.lit(0))
+    return number, F.coalesce(F.get(longs(bounds), number) == at, F.lit(False))
+
+
+def _compared(own: DataFrame) -> DataFrame:
+    """One pass over the texts (``own`` as of ``jaccard_join.identified``): what ``edited_likeness`` gives, in bytes, with ``t``, and what classes need."""
+    rows = own.select(F.when(~F.col("no"), F.col("doc")).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), "t")
+    bounds, top = _bounds(rows, "doc")
+    at = F.col("doc")
     # Range r holds ids above bounds[r-1] up to bounds[r]; after its last row comes bounds[r-1], the first row of range r-1.
-    lower = F.when(at.isin(bounds), number + 1) if bounds else F.lit(None)
-    wrap = F.when(at == F.lit(top), F.lit(0)) if top is not None else F.lit(0)
-    to = F.array_compact(F.array(F.struct(number.cast("int").alias("r"), F.lit(False).alias("copy")), F.when(lower.isNotNull(), F.struct(lower.cast("int").alias("r"), F.lit(True).alias("copy"))), F.when(wrap.isNotNull(), F.struct(wrap.cast("int").alias("r"), F.lit(True).alias("copy")))))
+    number, is_bound = _range_of(at, bounds)
+    wrapped = at.eqNullSafe(F.lit(top).cast("long"))
+    target = lambda r, copy: F.struct(r.cast("int").alias("r"), F.lit(copy).alias("copy"))
+    to = F.array_compact(F.array(target(number, False), F.when(is_bound, target(number + 1, True)), F.when(wrapped, target(F.lit(0), True))))
     # Numbers that can be null go to the workers with a flag: as floats they would lose digits.
-    flagged = [x for c in ("doc_id", "label") for x in (F.coalesce(c, F.lit(0)).alias(c), F.col(c).isNull().alias(f"no_{c}"))]
-    dealt = rows.withColumn("_to", F.explode(to)).select("_to.r", "_to.copy", "doc_id", "label", "text", F.xxhash64("text").alias("_h"))
-    ordered = dealt.repartitionById(ranges, F.col("r")).sortWithinPartitions("r", "copy", F.desc_nulls_last("doc_id"), "_h").select("r", "copy", "text", *flagged)
+    dealt = rows.withColumn("_to", F.explode(to)).select("_to.r", "_to.copy", "doc", "text", "t", F.xxhash64("text").alias("_h"))
+    ordered = dealt.repartitionById(len(bounds) + 1, F.col("r")).sortWithinPartitions("r", "copy", F.desc_nulls_last("doc"), "_h")
+    ordered = ordered.select("r", "copy", "text", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("no"), "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Holds back the last row of what has come, until its next one is there."""
@@ -133,7 +158,7 @@ def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text", la
         done: int | None = None  # the range whose copies have begun: its last row is complete
         for pdf in batches:
             pairs: list[tuple] = []
-            keys = zip(pdf["doc_id"], pdf["no_doc_id"], pdf["label"], pdf["no_label"], strict=True)
+            keys = zip(pdf["doc"], pdf["no"], pdf["t"], strict=True)
             for r, copy, key, t in zip(pdf["r"], pdf["copy"], keys, pdf["text"], strict=True):
                 if copy:
                     if done != r and held is not None:
@@ -146,12 +171,18 @@ def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text", la
                     held = (key, t)
             yield from _compare(pairs)
 
-    numbers = "doc_id long, no_doc_id boolean, label long, no_label boolean"
-    found = ordered.mapInPandas(
-        run, f"{numbers}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
-    found = found.withColumns({c: F.when(~F.col(f"no_{c}"), F.col(c)) for c in ("doc_id", "label")}).drop("no_doc_id", "no_label")
-    return found.withColumnRenamed("label", label) if label else found.drop("label")
+    made = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+    return jaccard_join.with_ids(ordered.mapInPandas(run, f"doc long, no boolean, t long, {made}, {_DESCRIBED}"))
+
+
+def _results(rows: DataFrame, *more) -> DataFrame:
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return rows.select(F.col("doc").alias("doc_id"), "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next", *more)
+
+
+def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Fingerprints of each text and its edited text, and their likeness; see the module."""
+    return _results(_compared(jaccard_join.identified(docs, doc, text)))
 
 
 def _compare(pairs: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -160,7 +191,9 @@ def _compare(pairs: list[tuple]) -> Iterator[pd.DataFrame]:
         return
     for a, b in blocks(texts):
         edited = [edit(t, f) for t, f in zip(texts[a:b], following[a:b], strict=True)]
-        own, changed = fingerprint_texts(texts[a:b]), fingerprint_texts(edited)
+        grams = shingle_lists(texts[a:b], SHINGLE)
+        sig, other = pair_signatures(grams, shingle_lists(edited, SHINGLE))
+        own, changed = codes(sig), codes(other)
         # Rows follow each other: the next text's fingerprint is mostly there already.
         last = fingerprint_texts([following[b - 1]])
         nxt = np.concatenate([own[1:], last])
@@ -169,21 +202,31 @@ def _compare(pairs: list[tuple]) -> Iterator[pd.DataFrame]:
                 nxt[i] = fingerprint_texts([following[a + i]])[0]
         yield pd.DataFrame(
             {
-                **{c: [p[0][i] for p in pairs[a:b]] for i, c in enumerate(("doc_id", "no_doc_id", "label", "no_label"))},
+                **{c: [p[0][i] for p in pairs[a:b]] for i, c in enumerate(("doc", "no", "t"))},
                 "n_chars": [len(t) for t in texts[a:b]],
-                "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
-                "fingerprint": to_text(own),
-                "edited_fingerprint": to_text(changed),
+                "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest() for e in edited],
+                "fingerprint": to_bytes(own),
+                "edited_fingerprint": to_bytes(changed),
                 "near_edited": likeness(own, changed),
                 "near_next": likeness(own, nxt),
+                **_describe([np.unique(g) for g in grams]),
             }
         )
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
-    """A hash of each band of each signature; different bands have different hashes."""
-    parts = np.split(sig, PERMUTATIONS // BAND_ROWS, axis=1)
-    return np.stack([mix(gram_hashes(np.ravel(p), BAND_ROWS)[:: BAND_ROWS] ^ np.uint64(i)) for i, p in enumerate(parts)], axis=1).view(np.int64)
+#: What classes need of each text beside its fingerprint: the size and digests of its set.
+_DESCRIBED = "n int, s1 long, s2 long"
+
+
+def _describe(sets: list[np.ndarray]) -> dict[str, object]:
+    digests = np.array([jaccard_join.digest(s) for s in sets], np.int64).reshape(-1, 2)
+    return {"n": [len(s) for s in sets], "s1": digests[:, 0], "s2": digests[:, 1]}
+
+
+def bands_of(fingerprint: str) -> Column:
+    """A hash of each band of a fingerprint in bytes: ``BAND_ROWS`` places with their number. Bands that agree in whole signatures agree here."""
+    size = BAND_ROWS * BITS // 8
+    return F.array(*[F.xxhash64(F.lit(i), F.substring(fingerprint, i * size + 1, size)) for i in range(PERMUTATIONS // BAND_ROWS)])
 
 
 def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = SIMILAR_PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -199,22 +242,24 @@ def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
             texts = list(pdf["text"])
             for a, b in blocks(texts):
                 sets = [np.unique(s) for s in shingle_lists(texts[a:b], SHINGLE)]
-                digests = np.array([jaccard_join.digest(s) for s in sets], np.int64).reshape(-1, 2)
-                made = {"n": [len(s) for s in sets], "s1": digests[:, 0], "s2": digests[:, 1], "bands": list(band_hashes(signatures(sets)))}
+                made = {"fingerprint": to_bytes(codes(signatures(sets)))} | _describe(sets)
                 yield pd.DataFrame({c: pdf[c].iloc[a:b].to_numpy() for c in ("doc", "no", "t")} | made)
 
-    described = own.mapInPandas(describe, "doc long, no boolean, t long, n int, s1 long, s2 long, bands array<long>")
-    wide = scratch.write(jaccard_join.with_ids(described), "wide")
-    described = scratch.write(wide.drop("bands"), "described")
+    described = own.mapInPandas(describe, f"doc long, no boolean, t long, fingerprint binary, {_DESCRIBED}")
+    return _classes(own, scratch.write(jaccard_join.with_ids(described), "wide"), percent, scratch)
+
+
+def _classes(own: DataFrame, wide: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``similar_classes`` from the table ``wide``: ``doc``, ``t``, and what is described of each text."""
     by = ["s1", "s2", "n"]
-    banded = jaccard_join.number_classes(wide, by, scratch, F.first("bands").alias("bands"))
-    classes = scratch.write(banded.drop("bands"), "narrow")
+    banded = jaccard_join.number_classes(wide.select("doc", "t", *by, "fingerprint"), by, scratch, F.first("fingerprint").alias("fingerprint"))
+    classes = scratch.write(banded.drop("fingerprint"), "narrow")
     # Most bands are those of one class: only their hashes are counted, and the others meet what is left.
-    each = banded.select("rep", "n", F.explode("bands").alias("band"))
+    each = banded.select("rep", "n", F.explode(bands_of("fingerprint")).alias("band"))
     held = scratch.write(each.groupBy("band").count().where("count > 1"), "held")
     few = held.count() <= jaccard_join.MAX_SPREAD_IDS
     bands = scratch.write(each.join(F.broadcast(held) if few else held, "band"), "bands")
-    scratch.drop("held", "wide", "classes")
+    scratch.drop("held", "classes")
     left = bands.where(F.col("count") <= jaccard_join.HOT)
     right = left.select("band", F.col("rep").alias("b"), F.col("n").alias("m"))
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("rep") < F.col("b"))
@@ -226,7 +271,7 @@ def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     edges = jaccard_join.verified(pairs, sets, percent).unionByName(jaccard_join._block_edges(crowded, sets, percent, scratch))
     found = jaccard_join.component_ids(edges, classes, scratch)
     scratch.drop("pairs", "blocks", "wanted", "sets", "sets_once", *jaccard_join.BLOCK_TABLES)
-    back = described.select("doc", "t", *by).join(classes.select(*by, "rep", "least"), by, "left").join(found, "rep", "left")
+    back = wide.select("doc", "t", *by).join(classes.select(*by, "rep", "least"), by, "left").join(found, "rep", "left")
     class_id = F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.coalesce("least", "doc"))
     return back.select(F.col("doc").alias("doc_id"), F.col("t").alias("text_hash"), class_id.alias("class_id"))
 
@@ -237,10 +282,12 @@ def fingerprint_documents(docs: DataFrame, doc: str = "doc_id", text: str = "tex
     Only rows that aren't the first of their class are listed for the join: a broadcast up to a checked number, a shuffle beyond.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    found = similar_classes(docs, doc, text, scratch=scratch).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).distinct()
-    found = scratch.write(found.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias("t"), "class_id"), "linked")
-    scratch.drop("described", "narrow", "numbers")
-    ident = F.col(doc).cast("long")
-    rows = docs.select(ident.alias("doc_id"), F.col(text).alias("text"), F.coalesce(ident, F.lit(0)).alias("d"), ident.isNull().alias("none"), F.xxhash64(F.col(text).cast("string")).alias("t"))
+    own = jaccard_join.identified(docs, doc, text)
+    wide = scratch.write(_compared(own), "wide")
+    found = _classes(own, wide, SIMILAR_PERCENT, scratch).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).distinct()
+    key = lambda c: [F.coalesce(c, F.lit(0)).alias("d"), F.col(c).isNull().alias("none")]
+    found = scratch.write(found.select(*key("doc_id"), F.col("text_hash").alias("t"), "class_id"), "linked")
+    scratch.drop("narrow", "numbers")
+    rows = wide.drop("n", "s1", "s2").select("*", *key("doc"))
     rows = rows.join(F.broadcast(found) if found.count() <= jaccard_join.MAX_SPREAD_IDS else found, ["d", "none", "t"], "left")
-    return edited_likeness(rows.select("doc_id", "text", F.coalesce("class_id", "doc_id").alias("class_id")), label="class_id")
+    return _results(rows, F.coalesce("class_id", "doc").alias("class_id"))

@@ -361,6 +361,14 @@ def test_signatures_of_pairs_are_those_of_each():
             assert (got == fingerprints.signatures(plain)).all()
 
 
+def test_packed_fingerprints_come_back():
+    rng = np.random.Generator(np.random.PCG64(4))
+    own = rng.integers(0, 3, (50, fingerprints.PERMUTATIONS)).astype(np.uint16)
+    for changed in (own, own[::-1], own + np.uint16(7)):
+        got = [fingerprints.unpacked(x, y) for x, y in zip(fingerprints.to_bytes(own), fingerprints.packed(own, changed), strict=True)]
+        assert got == fingerprints.to_bytes(changed)
+
+
 @pytest.mark.parametrize("bounds", [[], [5], [-(2**63), 0, 3, 9, 2**63 - 1], list(range(0, 1000, 7))])
 def test_ranges_count_bounds(spark, bounds):
     ids = [None, -(2**63), -1, 0, 1, 3, 5, 7, 9, 693, 694, 994, 995, 2**63 - 1]

@@ -96,6 +96,18 @@ def to_bytes(code: np.ndarray) -> list[bytes]:
     return [row.astype(">u2").tobytes() for row in code]
 
 
+def packed(own: np.ndarray, changed: np.ndarray) -> list[bytes]:
+    """Each of ``changed`` beside its ``own``: a bit for each place that differs, then the values there."""
+    unlike = own != changed
+    return [bits.tobytes() + b for bits, b in zip(np.packbits(unlike, axis=1), (c[u].astype(">u2").tobytes() for c, u in zip(changed, unlike, strict=True)), strict=True)]
+
+
+def unpacked(own: bytes, change: bytes) -> bytes:
+    out, head = np.frombuffer(own, ">u2").copy(), PERMUTATIONS // 8
+    out[np.unpackbits(np.frombuffer(change[:head], np.uint8)).astype(bool)] = np.frombuffer(change[head:], ">u2")
+    return out.tobytes()
+
+
 def to_text(code: np.ndarray) -> list[str]:
     return [b.hex() for b in to_bytes(code)]
 
@@ -138,8 +150,9 @@ def _range_of(at: Column, bounds: list[int]) -> tuple[Column, Column]:
 
 
 def _compared(own: DataFrame) -> DataFrame:
-    """One pass over the texts (``own`` as of ``jaccard_join.identified``): what ``edited_likeness`` gives, in bytes, with ``t``, and what classes need."""
-    rows = own.select(F.when(~F.col("no"), F.col("doc")).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), "t")
+    """One pass over the texts (``own`` as of ``jaccard_join.identified``): what ``edited_likeness`` gives, in bytes and packed, with ``t`` (of null text, that of the
+    empty one), and what classes need."""
+    rows = own.select(F.when(~F.col("no"), F.col("doc")).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     bounds, top = _bounds(rows, "doc")
     at = F.col("doc")
     # Range r holds ids above bounds[r-1] up to bounds[r]; after its last row comes bounds[r-1], the first row of range r-1.
@@ -148,8 +161,8 @@ def _compared(own: DataFrame) -> DataFrame:
     target = lambda r, copy: F.struct(r.cast("int").alias("r"), F.lit(copy).alias("copy"))
     to = F.array_compact(F.array(target(number, False), F.when(is_bound, target(number + 1, True)), F.when(wrapped, target(F.lit(0), True))))
     # Numbers that can be null go to the workers with a flag: as floats they would lose digits.
-    dealt = rows.withColumn("_to", F.explode(to)).select("_to.r", "_to.copy", "doc", "text", "t", F.xxhash64("text").alias("_h"))
-    ordered = dealt.repartitionById(len(bounds) + 1, F.col("r")).sortWithinPartitions("r", "copy", F.desc_nulls_last("doc"), "_h")
+    dealt = rows.withColumn("_to", F.explode(to)).select("_to.r", "_to.copy", "doc", "text", F.xxhash64("text").alias("t"))
+    ordered = dealt.repartitionById(len(bounds) + 1, F.col("r")).sortWithinPartitions("r", "copy", F.desc_nulls_last("doc"), "t")
     ordered = ordered.select("r", "copy", "text", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("no"), "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,8 +189,10 @@ def _compared(own: DataFrame) -> DataFrame:
 
 
 def _results(rows: DataFrame, *more) -> DataFrame:
-    text = lambda c: F.lower(F.hex(c)).alias(c)
-    return rows.select(F.col("doc").alias("doc_id"), "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next", *more)
+    whole = F.pandas_udf(lambda own, change: pd.Series([unpacked(x, y) for x, y in zip(own, change, strict=True)], dtype=object), "binary")
+    text = lambda c, name: F.lower(F.hex(c)).alias(name)
+    edited = text(whole("fingerprint", "edited_fingerprint"), "edited_fingerprint")
+    return rows.select(F.col("doc").alias("doc_id"), "n_chars", text("edited_sha256", "edited_sha256"), text("fingerprint", "fingerprint"), edited, "near_edited", "near_next", *more)
 
 
 def edited_likeness(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +221,7 @@ def _compare(pairs: list[tuple]) -> Iterator[pd.DataFrame]:
                 "n_chars": [len(t) for t in texts[a:b]],
                 "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest() for e in edited],
                 "fingerprint": to_bytes(own),
-                "edited_fingerprint": to_bytes(changed),
+                "edited_fingerprint": packed(own, changed),
                 "near_edited": likeness(own, changed),
                 "near_next": likeness(own, nxt),
                 **_describe([np.unique(g) for g in grams]),

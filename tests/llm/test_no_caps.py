@@ -5,6 +5,7 @@ import itertools
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,26 @@ def test_steps_reach_the_tolerance():
             url_filter.most_steps(damping, tolerance)
 
 
+#: The contract's words, written out here, so that the operator's own list is not compared with itself.
+CONTRACT = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+RULED = [
+    ("com/en/1", 0), ("a.com/en/", 0), ("example.com/en/6", 0), ("example.com/en/71", 1), ("b.EXAMPLE.com/en/7", 1), ("net/de/", 2), ("a.net/de/8", 2), ("example.net/de/7", 2),
+    ("example.net/de/8", 3), ("b.example.net/de/81?x", 3), ("org/es/", 4), ("a.org/es/1#t", 4), ("example.info/de/8", None),
+]
+
+
+def test_rules_are_those_of_the_contract(spark, tmp_path):
+    """Query and SQL, on pages of which every rule fits some."""
+    assert [(r.name, r.verdict) for r in url_filter.RULES] == CONTRACT
+    pages = spark.createDataFrame([(i, f"https://{u}", "<a>") for i, (u, _) in enumerate(RULED)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    want = [(i, *(CONTRACT[k] if k is not None else (None, "allow"))) for i, (_, k) in enumerate(RULED)]
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in queries.op3_url_filter(spark, str(tmp_path)).collect()) == want
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(db.execute(f"SELECT page_id, rule, verdict FROM ({queries.ORACLES['op3_url_filter']})").fetchall()) == want
+
+
 # Sharding.
 
 

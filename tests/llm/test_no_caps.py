@@ -8,11 +8,13 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.test_llm import taken_of_sources
-from tidemark.llm import mixing, queries, sharding, url_filter
+from tidemark.llm import line_dedup, mixing, queries, sharding, url_filter
+from tidemark.llm.scratch import Scratch
 
 
 def test_costs_of_repetitions_rise_without_end():
@@ -81,6 +83,23 @@ def test_rules_are_those_of_the_contract(spark, tmp_path):
     assert sorted(db.execute(f"SELECT page_id, rule, verdict FROM ({queries.ORACLES['op3_url_filter']})").fetchall()) == want
 
 
+# Line dedup.
+
+
+def test_each_line_is_written_once_a_level(spark, monkeypatch):
+    """Four batches: their tables are the runs of level 0, so what is written is the lines, four batches, one merge and what is dropped."""
+    made, write, bucketed = [], Scratch.write, Scratch.write_bucketed
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, *a, **k: (made.append(name), write(self, df, name, *a, **k))[1])
+    monkeypatch.setattr(Scratch, "write_bucketed", lambda self, df, name, *a: (made.append(name), bucketed(self, df, name, *a))[1])
+    saved, save = [], DataFrameWriter.saveAsTable
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda self, name, *a, **k: (saved.append(name), save(self, name, *a, **k))[1])
+    rows = [(i, f"a line that all have\nline of the pair {i // 2}\nline of every tenth {i % 10}\nonly here {i}") for i in range(100)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batches=4)
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == [(i, *x) for i, x in enumerate(brute.line_dedup(rows))]
+    assert len(saved) == 4 and len(made) == 7 and "keys" not in made, (saved, made)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_run")]
+
+
 # Sharding.
 
 

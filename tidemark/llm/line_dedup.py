@@ -1,8 +1,8 @@
 """Exact line dedup with levelled sorted runs of line hashes.
 
 The index of known lines is a set of runs: tables of 128-bit line hashes with the document that owns each, bucketed and
-sorted by hash. A new batch is reduced to one row per line, merge-joined with every run (its anti-join says which lines are
-new), and its new lines become a run of level 0. As soon as a level has ``FANOUT`` runs they are merged into one of the next
+sorted by hash. A new batch is reduced to one row per line and merge-joined with every run (its anti-join says which lines are
+new). It is written once, as a table whose new lines are a run of level 0. As soon as a level has ``FANOUT`` runs they are merged into one of the next
 level, so there are few runs and each line is rewritten once a level.
 
 A batch's own repeats are settled by the least document id. ``dedup_lines`` feeds the documents in ranges of ids, in order, so
@@ -34,22 +34,28 @@ _H = ["_ld_h1", "_ld_h2"]
 
 
 class LineRuns:
-    """The levelled runs. Each is a bucketed table in the shared folder, so joins with it don't shuffle it again."""
+    """The levelled runs. Each is a bucketed table in the shared folder, so joins with it don't shuffle it again.
+
+    A batch's table is its run of level 0 as well: ``_ld_new`` says which of its lines the run adds.
+    """
 
     def __init__(self, scratch: Scratch, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.scratch, self.fanout = scratch.spark, scratch, fanout
-        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.dealt = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or self.dealt
         self.levels: list[list[str]] = []
         self.made = 0
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame, folder: str | None = None) -> str:
         """A run; its name is also that of an external table of the session's catalog."""
         self.made += 1
         name = f"tidemark_run_{self.scratch.root.rsplit('-', 1)[-1]}_{self.made}"
-        writer = df.repartition(self.buckets, *_H).write.bucketBy(self.buckets, *_H).sortBy(*_H)
-        writer.option("path", f"{self.scratch.root}/{name}").mode("overwrite").saveAsTable(name)
+        self.scratch.write_bucketed(df, folder or name, name, self.buckets, _H)
         return name
 
+    def _read(self, run: str) -> DataFrame:
+        return self.spark.table(run).where("_ld_new").select(*_H, "_ld_owner")
+
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.scratch.drop(name)
@@ -62,25 +68,25 @@ class LineRuns:
         runs = [r for level in self.levels for r in level]
         joined, owners = keys, []
         for i, run in enumerate(runs):
-            joined = joined.join(self.spark.table(run).withColumnRenamed("_ld_owner", f"_ld_o{i}"), _H, "left")
+            joined = joined.join(self._read(run).withColumnRenamed("_ld_owner", f"_ld_o{i}"), _H, "left")
             owners.append(F.col(f"_ld_o{i}"))
         known = F.coalesce(*owners) if owners else F.lit(None).cast("long")
-        table = self.scratch.write(
-            joined.select(*[c for c in keys.columns if c != "_ld_first"], F.coalesce(known, "_ld_first").alias("_ld_owner"), known.isNull().alias("_ld_new")), name
-        )
-        if not last:
-            self._push(0, self._write(table.where("_ld_new").select(*_H, "_ld_owner")))
-        return table
+        settled = joined.select(*[c for c in keys.columns if c != "_ld_first"], F.coalesce(known, "_ld_first").alias("_ld_owner"), known.isNull().alias("_ld_new"))
+        if last:
+            return self.scratch.write(settled, name)
+        # What aggregations and joins by the same columns have dealt to as many partitions is in its buckets already.
+        self._push(0, self._write(settled if self.dealt == self.buckets else settled.repartition(self.buckets, *_H), name))
+        return self.scratch.read(name, settled)
 
     def _push(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self.spark.table(self.levels[level][0])
+            merged = self._read(self.levels[level][0])
             for r in self.levels[level][1:]:
-                merged = merged.unionByName(self.spark.table(r))
-            name = self._write(merged)
+                merged = merged.unionByName(self._read(r))
+            name = self._write(merged.repartition(self.buckets, *_H).withColumn("_ld_new", F.lit(True)))
             for r in self.levels[level]:
                 self._drop(r)
             self.levels[level] = []
@@ -114,15 +120,15 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_ch
     exploded = docs.select(*[c.alias(k) for k, c in who.items()], F.posexplode(_lines(F.col(text))).alias("_ld_pos", "_ld_line"))
     key = exploded.withColumn("_ld_key", line_key(F.col("_ld_line"))).where(F.char_length("_ld_key") >= min_chars)
     hashed = key.select(*who, "_ld_pos", F.xxhash64("_ld_key").alias(_H[0]), F.xxhash64(F.lit(1), "_ld_key").alias(_H[1]))
-    lines = scratch.write(hashed.withColumn("_ld_batch", number.cast("int")), "hashed")  # texts are split once
+    lines = scratch.write(hashed.withColumn("_ld_batch", number.cast("int")), "hashed", partition_by="_ld_batch")  # texts are split once
     own = F.when(~F.col("_ld_n"), F.col("_ld_d"))
-    keys = lines.groupBy("_ld_batch", *_H).agg(F.min(own).alias("_ld_first"), F.max(own).alias("_ld_last"), F.max("_ld_n").alias("_ld_none"))
-    keys = scratch.write(keys, "keys", partition_by="_ld_batch")
+    firsts = [F.min(own).alias("_ld_first"), F.max(own).alias("_ld_last"), F.max("_ld_n").alias("_ld_none")]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES_PER_BUCKET)
     runs, repeated = LineRuns(scratch, buckets=buckets), []
     try:
         for b in range(len(bounds) + 1):
-            settled = runs.add(keys.where(F.col("_ld_batch") == b).drop("_ld_batch"), f"batch{b}", last=b == len(bounds))
+            keys = lines.where(F.col("_ld_batch") == b).groupBy(*_H).agg(*firsts)
+            settled = runs.add(keys, f"batch{b}", last=b == len(bounds))
             repeated.append(settled.where("_ld_none or _ld_last > _ld_owner").select(F.lit(b).alias("_ld_batch"), *_H, "_ld_owner"))
     finally:
         runs.clear()
@@ -132,7 +138,7 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_ch
     # A line without an owner is one of rows without an id only.
     dropped = lines.join(again, ["_ld_batch", *_H]).where("_ld_owner is not null and (_ld_n or _ld_d > _ld_owner)").select(*who, "_ld_pos")
     drops = scratch.write(dropped.groupBy(*who).agg(F.array_sort(F.collect_set("_ld_pos")).alias("_ld_drops")), "drops")
-    scratch.drop("keys", "hashed", *[f"batch{b}" for b in range(len(bounds) + 1)])
+    scratch.drop("hashed", *[f"batch{b}" for b in range(len(bounds) + 1)])
     out = docs.withColumns(who).join(drops, list(who), "left").drop(*who)
     out = out.withColumns({"_ld_lines": _lines(F.col(text)), "_ld_at": F.concat(F.array(F.lit(-1)), F.coalesce("_ld_drops", F.array().cast("array<int>")), F.array(F.size(_lines(F.col(text)))))})
     lines_col, at = F.col("_ld_lines"), F.col("_ld_at")

@@ -56,6 +56,24 @@ def test_all_patterns_of_many_sources(spark, arcs, monkeypatch):
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 60 for s in target), (target, taken)
 
 
+def test_mix_is_the_same_whatever_is_spread(spark, monkeypatch):
+    """No size of the network switches to another law: rows are taken alike with any limit of what is spread."""
+    rng = random.Random(8)
+    rows = [(t, s, rng.randint(1, 40)) for t in range(150) for s in rng.sample("abcdef", rng.randint(1, 5))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, t long, source string, size long").repartition(3)
+    got = []
+    for arcs in (160_000, 20, 1):
+        monkeypatch.setattr(mixing, "MAX_ARCS", arcs)
+        got.append(sorted((r["doc_id"], r["taken"], r["target"]) for r in mixing.mix(df, F.col("source"), F.col("t"), ["doc_id"], F.col("size")).collect()))
+    assert got[0] == got[1] == got[2]
+
+
+def test_levels_are_the_offers_of_all_patterns():
+    once, most = [10, 0, 5, 1, 3], [95, 7, 0, 10_000, 3]
+    levels = list(zip(*mixing._levels(np.array(once), np.array(most)), strict=True))
+    assert [[int(x) for x in level if x] for level in levels] == [mixing._offers(*x) for x in zip(once, most, strict=True)]
+
+
 def test_steps_reach_the_tolerance():
     assert url_filter.most_steps(0.5, 1e-9) <= 40 < url_filter.most_steps(0.85, 1e-9) < url_filter.most_steps(0.99, 1e-9)
     for damping, tolerance in ((1.0, 1e-9), (0.0, 1e-9), (0.5, 0.0)):

@@ -12,10 +12,8 @@ its own tokens, and what is above is shared again by weight.
 
 Only numbers are read: a source, hashes and a size for each row. Texts in several sources are looked up by their hash, a
 broadcast up to ``MAX_SPREAD`` of them and a shuffle of narrow rows beyond. Rows of a cell are cumulated in hash buckets whose
-number follows the number of rows, and ordered one by one only in the bucket where the cell's flow ends. The driver sees one number for
-each cell. Where patterns have more than ``MAX_ARCS`` members together, a text shares its repetitions among some of its sources only (so many, by a
-seeded hash of text and source, as bring the network down to that size) and counts as a text of its own in each other one. With none that share, the
-network is as large as the list of sources. All rows, sizes and quotas stay as they are; only repetitions in different sources may then not know of each other.
+number follows the number of rows, and ordered one by one only in the bucket where the cell's flow ends. The driver sees a few numbers
+for each cell, as arrays, and solves the whole network whatever its size: all sources of a text share its repetitions. Patterns are told apart by a 64-bit hash.
 
 Defined results: a null text has no words; null source is a source; rows that are equal in all that is hashed are taken
 alike; very long texts are numbers like others; an empty table gives no rows. All other columns are carried along; columns
@@ -24,9 +22,12 @@ that begin with ``_mx_`` are the operator's own.
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import zip_longest
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from tidemark.llm.words import count_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-#: Members of all patterns: the network's arcs between patterns and sources.
+#: Half of the cells (the network's arcs between patterns and sources) that may be spread to all executors; more are joined by a shuffle.
 MAX_ARCS = 160_000
 #: Repetitions that have a cost of their own. Beyond, costs rise with each doubling, so they stay convex however many copies a text has.
 COST_LEVELS = 64
@@ -73,65 +74,91 @@ def min_cost_flow(offers: list[list[int]], reach: list[dict[int, int]], quota: l
 
     ``offers[p][r]``: tokens that p offers at cost r. ``reach[p][s]``: how many of them s can take.
 
+    See ``_flow``, which has the arcs as arrays.
+    """
+    arcs = sorted((s, p, c) for p, to in enumerate(reach) for s, c in to.items())
+    at = np.array(arcs, np.int64).reshape(-1, 3)
+    flow = _flow((np.array(level, np.int64) for level in zip_longest(*offers, fillvalue=0)), at[:, 1], at[:, 0], at[:, 2], np.array(quota, np.int64))
+    return {(p, s): int(x) for (s, p, _), x in zip(arcs, flow, strict=True) if x}
+
+
+def _flow(offers: Iterable[np.ndarray], pattern: np.ndarray, source: np.ndarray, reach: np.ndarray, quota: np.ndarray) -> np.ndarray:
+    """Tokens on each arc. Arcs are sorted by source and, within one, by pattern; ``offers`` has an array over patterns for each cost.
+
     Costs are on the arcs from the root only. So a cheapest path in the residual network costs what its first arc does, and
-    opening the arcs cost by cost, each time up to a maximal flow, gives a maximal flow of least cost.
+    opening the arcs cost by cost, each time up to a maximal flow, gives a maximal flow of least cost. Patterns between two sources are one
+    step of a path, over which tokens move from the one source to the other, so searches run over sources, with arrays over arcs.
     """
-    n_p, root, sink = len(offers), len(offers) + len(quota), len(offers) + len(quota) + 1
-    to: list[int] = []
-    cap: list[int] = []
-    out: list[list[int]] = [[] for _ in range(sink + 1)]
-
-    def arc(a: int, b: int, c: int) -> int:
-        for x, y, z in ((a, b, c), (b, a, 0)):
-            out[x].append(len(to))
-            to.append(y)
-            cap.append(z)
-        return len(to) - 2
-
-    first = [arc(root, p, 0) for p in range(n_p)]
-    mid = {(p, s): arc(p, n_p + s, c) for p in range(n_p) for s, c in reach[p].items()}
-    for s, q in enumerate(quota):
-        arc(n_p + s, sink, q)
-    for cost in range(max(map(len, offers), default=0)):
-        for p, e in enumerate(first):
-            cap[e] += offers[p][cost] if cost < len(offers[p]) else 0
-        while _blocking_flow(root, sink, to, cap, out):
-            pass
-    return {k: cap[e ^ 1] for k, e in mid.items() if cap[e ^ 1]}
-
-
-def _blocking_flow(root: int, sink: int, to: list[int], cap: list[int], out: list[list[int]]) -> int:
-    """Send what the shortest paths can carry; 0 if there is no path."""
-    depth = [-1] * len(out)
-    depth[root] = 0
-    queue = deque([root])
-    while queue:
-        u = queue.popleft()
-        for e in out[u]:
-            if cap[e] > 0 and depth[to[e]] < 0:
-                depth[to[e]] = depth[u] + 1
-                queue.append(to[e])
-    if depth[sink] < 0:
-        return 0
-    at, path, v, sent = [0] * len(out), [], root, 0
-    while True:
-        if v == sink:
-            amount = min(cap[e] for e in path)
-            sent += amount
-            for e in path:
-                cap[e] -= amount
-                cap[e ^ 1] += amount
-            path, v = [], root
-        while at[v] < len(out[v]) and not (cap[out[v][at[v]]] > 0 and depth[to[out[v][at[v]]]] == depth[v] + 1):
-            at[v] += 1
-        if at[v] < len(out[v]):
-            path.append(out[v][at[v]])
-            v = to[path[-1]]
-        elif path:
-            depth[v] = -1
-            v = to[path.pop() ^ 1]
-        else:
-            return sent
+    begin = np.searchsorted(source, np.arange(len(quota) + 1))
+    sent, lack, left = np.zeros(len(pattern), np.int64), quota.copy(), 0
+    fill = lambda can, amount: np.clip(amount - (np.cumsum(can) - can), 0, can)  # in the order of arcs
+
+    def enter(s: int):
+        """Arcs from patterns with tokens left to ``s``, and what they can take."""
+        arcs = slice(begin[s], begin[s + 1])
+        return arcs, np.minimum(left[pattern[arcs]], reach[arcs] - sent[arcs])
+
+    def move(a: int, b: int):
+        """Arcs to ``a`` and ``b`` of the same patterns, and what can move from the one to the other."""
+        off = begin[a] + np.flatnonzero(sent[begin[a] : begin[a + 1]])
+        on = begin[b] + np.searchsorted(pattern[begin[b] : begin[b + 1]], pattern[off])
+        both = on < begin[b + 1]
+        off, on = off[both], on[both]
+        both = pattern[on] == pattern[off]
+        off, on = off[both], on[both]
+        return off, on, np.minimum(sent[off], reach[on] - sent[on])
+
+    def push(path: list[int]) -> None:
+        """Tokens from the root over the sources of ``path`` to its last one, as many as it can carry. It is simple, so its steps don't hinder each other."""
+        first, can = enter(path[0])
+        steps = [move(a, b) for a, b in zip(path, path[1:])]
+        amount = min(lack[path[-1]], can.sum(), *[x[2].sum() for x in steps])
+        if amount > 0:
+            more = fill(can, amount)
+            sent[first] += more
+            left[pattern[first]] -= more
+            for off, on, most in steps:
+                x = fill(most, amount)
+                sent[off] -= x
+                sent[on] += x
+            lack[path[-1]] -= amount
+
+    def ways() -> list[list[int]]:
+        """Shortest paths to sources that lack tokens."""
+        back = np.full(len(quota), -2)
+        room = sent < reach
+        new = np.unique(source[room & (left[pattern] > 0)])
+        back[new] = -1
+        via = np.full(len(left), -1)
+        while len(new) and not (lack[new] > 0).any():
+            front = np.zeros(len(quota), bool)
+            front[new] = True
+            seen = via >= 0
+            arcs = np.flatnonzero(front[source] & (sent > 0))
+            arcs = arcs[~seen[pattern[arcs]]]
+            via[pattern[arcs]] = source[arcs]
+            arcs = np.flatnonzero(room & (back[source] == -2))
+            arcs = arcs[~seen[pattern[arcs]] & (via[pattern[arcs]] >= 0)]
+            back[source[arcs]] = via[pattern[arcs]]
+            new = np.unique(source[arcs])
+        out = []
+        for s in new[lack[new] > 0].tolist():
+            path = [s]
+            while back[path[-1]] >= 0:
+                path.append(int(back[path[-1]]))
+            out.append(path[::-1])
+        return out
+
+    for offer in offers:
+        left = left + offer
+        for s in np.flatnonzero(lack > 0).tolist():
+            push([s])
+        while (lack > 0).any() and (paths := ways()):
+            for path in paths:
+                push(path)
+        if not (lack > 0).any():
+            break
+    return sent
 
 
 def numbers(docs: DataFrame, source: Column, same: Column, ids: list, size: Column | None = None, seed: int = 23) -> DataFrame:
@@ -170,19 +197,7 @@ def _bucket(bits: int) -> Column:
 
 def _with_pattern(rows: DataFrame, shared: DataFrame, few: bool) -> DataFrame:
     out = rows.join(F.broadcast(shared) if few else shared, "_mx_g", "left")
-    m = F.coalesce("_mx_m", F.array("_mx_s"))
-    return out.withColumn("_mx_m", F.when(F.array_contains(m, F.col("_mx_s")), m).otherwise(F.array("_mx_s")))
-
-
-def _fewer(held: DataFrame, scratch: Scratch) -> DataFrame:
-    """``held`` with patterns of few enough members together; texts that share with no other source are left out."""
-    arcs = lambda df: df.select("_mx_m").distinct().agg(F.coalesce(F.sum(F.size("_mx_m")), F.lit(0))).first()[0]
-    out, most = held, None
-    while most != 1 and arcs(out) > MAX_ARCS:
-        most = 8 if most is None else most // 2
-        drawn = F.transform(F.slice(F.array_sort(F.transform("_mx_m", lambda s: F.struct(F.xxhash64(F.col("_mx_g"), s).alias("h"), s.alias("s")))), 1, most), lambda x: x["s"])
-        out = held.withColumn("_mx_m", F.array_sort(drawn))
-    return held if most is None else scratch.write(out.where(F.size("_mx_m") > 1), "fewer")
+    return out.withColumn("_mx_m", F.coalesce("_mx_m", F.xxhash64(F.array("_mx_s"))))
 
 
 def _key(code: str) -> tuple[bool, bytes]:
@@ -200,42 +215,48 @@ def solve(rows: DataFrame, scratch: Scratch, repeats: int = MAX_REPEATS, weights
     several = scratch.write(several, "several")
     few = several.count() <= MAX_SPREAD
     held = rows.join(F.broadcast(several) if few else several, "_mx_g", "left_semi").groupBy("_mx_g", "_mx_s").agg(F.max("_mx_n").alias("n"))
-    held = scratch.write(held.groupBy("_mx_g").agg(F.array_sort(F.collect_list("_mx_s")).alias("_mx_m"), F.max("n").alias("n")), "shared")
-    held = _fewer(held, scratch)
+    held = scratch.write(held.groupBy("_mx_g").agg(F.xxhash64(F.array_sort(F.collect_list("_mx_s"))).alias("_mx_m"), F.max("n").alias("n")), "shared")
     once = held.groupBy("_mx_m").agg(F.sum("n").alias("once"))
     shared = held.select("_mx_g", "_mx_m")
     buckets = _with_pattern(rows, shared, few).withColumn("_mx_b", _bucket(bits)).groupBy(*CELL, "_mx_b").agg(F.sum("_mx_n").alias("sum"))
     buckets = scratch.write(buckets, "buckets")
 
     # As many as the network has arcs.
-    found = buckets.groupBy(*CELL).agg(F.sum("sum").alias("tokens")).join(once, "_mx_m", "left").collect()
-    by_pattern: dict[tuple[str, ...], dict[str, int]] = {}
-    offered: dict[tuple[str, ...], int] = {}
-    for r in found:
-        by_pattern.setdefault(tuple(r["_mx_m"]), {})[r["_mx_s"]] = int(r["tokens"])
-        offered[tuple(r["_mx_m"])] = int(r["tokens"] if r["once"] is None else r["once"])
-    patterns = sorted(by_pattern, key=lambda m: [_key(s) for s in m])
-    sources = sorted({s for m in patterns for s in by_pattern[m]}, key=_key)
+    found = buckets.groupBy(*CELL).agg(F.sum("sum").alias("tokens")).join(once, "_mx_m", "left").select(*CELL, "tokens", F.coalesce("once", "tokens").alias("once")).toArrow()
+    names = found["_mx_s"].combine_chunks().dictionary_encode()
+    sources = sorted(names.dictionary.to_pylist(), key=_key)
     number = {s: i for i, s in enumerate(sources)}
-    own = [sum(by_pattern[m].get(s, 0) for m in patterns) for s in sources]
-    share = targets(own, weights, repeats)
-    flow = min_cost_flow(
-        [_offers(offered[m], repeats * sum(by_pattern[m].values())) for m in patterns],
-        [{number[s]: repeats * t for s, t in by_pattern[m].items()} for m in patterns],
-        [round(x) for x in share],
-    )
-    plan = []
-    for p, m in enumerate(patterns):
-        for s, tokens in sorted(by_pattern[m].items()):
-            taken = flow.get((p, number[s]), 0)
-            epochs = min(taken // tokens, repeats) if tokens else 0
-            plan.append((list(m), s, int(epochs), int(taken - epochs * tokens), own[number[s]], share[number[s]]))
-    schema = "_mx_m array<string>, _mx_s string, _mx_epochs int, _mx_rest long, _mx_source_size long, _mx_target double"
-    plan_df = spark.createDataFrame(plan, schema)
-    small = len(plan) <= 2 * MAX_ARCS
+    place = np.array([number[s] for s in names.dictionary.to_pylist()], np.int64)
+    source = place[names.indices.to_numpy(zero_copy_only=False)]
+    keys, pattern = np.unique(found["_mx_m"].to_numpy(), return_inverse=True)
+    order = np.lexsort((pattern, source))
+    source, pattern = source[order], pattern[order]
+    tokens, once = (found[c].to_numpy()[order] for c in ("tokens", "once"))
+    own, offered, most = np.zeros(len(sources), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    np.add.at(own, source, tokens)
+    np.add.at(most, pattern, repeats * tokens)
+    offered[pattern] = once
+    share = targets(own.tolist(), weights, repeats)
+    flow = _flow(_levels(offered, most), pattern, source, repeats * tokens, np.array([round(x) for x in share], np.int64))
+    epochs = np.minimum(flow // np.maximum(tokens, 1), repeats)
+    plan = {
+        "_mx_m": keys[pattern], "_mx_s": pa.DictionaryArray.from_arrays(pa.array(source), pa.array(sources, pa.string())).cast(pa.string()), "_mx_epochs": epochs.astype(np.int32),
+        "_mx_rest": flow - epochs * tokens, "_mx_source_size": own[source], "_mx_target": np.array(share, np.float64)[source],
+    }
+    plan_df = spark.createDataFrame(pa.table(plan))
+    small = len(tokens) <= 2 * MAX_ARCS
     return Mix(scratch.write(_ends(rows, buckets, plan_df, shared, few, bits, small), "cells"), shared, few, bits, small)
 
 
+def _levels(once: np.ndarray, most: np.ndarray) -> Iterable[np.ndarray]:
+    """``_offers`` of all patterns, cost by cost."""
+    left, cost = most.copy(), 0
+    while left.any():
+        now = np.where(once > 0, np.minimum(once << max(0, cost - COST_LEVELS), left), left)
+        yield now
+        left, cost = left - now, cost + 1
+
+
 def _offers(once: int, most: int) -> list[int]:
     """Tokens at each cost: one repetition each, then twice as many as before, until all ``most`` tokens are offered."""
     out: list[int] = []

@@ -46,25 +46,29 @@ class Kind:
     late: Rules
 
 
-def _batch_rules(key: list[str], index: str, at: str, start: str, end: str) -> Rules:
-    """What holds for a batch: known instruments, a date in the range that was asked for, no key twice."""
+def _batch_rules(key: list[str], index: str, at: str, start: str | None, end: str | None) -> Rules:
+    """What holds for a batch: known instruments, a date in the range that was asked for (open where there is no bound), no key twice."""
     check_range(start, end)
-    day = F.col(at)
+    day, outside = F.col(at), F.lit(False)
+    if start is not None:
+        outside |= day < F.lit(start).cast("timestamp")
+    if end is not None:
+        outside |= day > F.lit(end).cast("timestamp")
     return [
         ("unknown_instrument", F.col("_known").isNull()),
         ("no_timestamp", day.isNull()),
-        ("out_of_range", ~day.between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))),
+        ("out_of_range", outside),
         ("duplicate", F.row_number().over(Window.partitionBy(*key).orderBy(index)) > 1),
     ]
 
 
-def _bars(start: str, end: str, index: str, order: str) -> Kind:
+def _bars(start: str | None, end: str | None, index: str, order: str) -> Kind:
     """Bars also ascend in order of arrival."""
     before = F.lag(order).over(Window.partitionBy(ID).orderBy(index))
     return Kind("price", [ID, order], [*_batch_rules([ID, order], index, order, start, end), *bar_rules()], [("out_of_order", before > F.col(order))])
 
 
-def _fundamentals(start: str, end: str, index: str) -> Kind:
+def _fundamentals(start: str | None, end: str | None, index: str) -> Kind:
     return Kind("fundamentals", PERIOD_KEY, [*_batch_rules(PERIOD_KEY, index, "period_end", start, end), *fundamental_rules()], [])
 
 
@@ -103,12 +107,12 @@ def _ingest(batch: DataFrame, store: DataFrame, requested: DataFrame, kind: Kind
     return Ingested(upsert(changed, store, kind.key), _ended(asked, verdicts, _counted(classified), kind))
 
 
-def ingest_bars(batch: DataFrame, store: DataFrame, requested: DataFrame, start: str, end: str, index: str = "batch_index", order: str = DATE) -> Ingested:
-    """Bars (with their order of arrival in ``index``) of the requested instruments between two days or times."""
+def ingest_bars(batch: DataFrame, store: DataFrame, requested: DataFrame, start: str | None, end: str | None, index: str = "batch_index", order: str = DATE) -> Ingested:
+    """Bars (with their order of arrival in ``index``) of the requested instruments between two days or times; without one of them the range is open there."""
     return _ingest(batch, store, requested, _bars(start, end, index, order), index)
 
 
-def ingest_fundamentals(batch: DataFrame, store: DataFrame, requested: DataFrame, start: str, end: str, index: str = "batch_index") -> Ingested:
+def ingest_fundamentals(batch: DataFrame, store: DataFrame, requested: DataFrame, start: str | None, end: str | None, index: str = "batch_index") -> Ingested:
     """Fundamental records; a period without a fiscal year or quarter is a key as well."""
     return _ingest(batch, store, requested, _fundamentals(start, end, index), index)
 
@@ -155,7 +159,7 @@ def _run(batch: DataFrame, table: KeyedTable, runs: KeyedTable, requested: DataF
 
 
 def run_bars(
-    batch: DataFrame, bars: KeyedTable, runs: KeyedTable, requested: DataFrame, start: str, end: str, provider: str, run_id: str, index: str = "batch_index", order: str = DATE
+    batch: DataFrame, bars: KeyedTable, runs: KeyedTable, requested: DataFrame, start: str | None, end: str | None, provider: str, run_id: str, index: str = "batch_index", order: str = DATE
 ) -> DataFrame:
     """Ingest bars into a table and return the audit rows of its runs, one for each instrument (``run_id`` and the instrument, after a colon).
 
@@ -166,7 +170,7 @@ def run_bars(
     return _run(batch, bars, runs, requested, _bars(start, end, index, order), provider, run_id, index)
 
 
-def run_fundamentals(batch: DataFrame, records: KeyedTable, runs: KeyedTable, requested: DataFrame, start: str, end: str, provider: str, run_id: str, index: str = "batch_index") -> DataFrame:
+def run_fundamentals(batch: DataFrame, records: KeyedTable, runs: KeyedTable, requested: DataFrame, start: str | None, end: str | None, provider: str, run_id: str, index: str = "batch_index") -> DataFrame:
     """As ``run_bars``, for fundamental records."""
     return _run(batch, records, runs, requested, _fundamentals(start, end, index), provider, run_id, index)
 

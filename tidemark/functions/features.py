@@ -276,13 +276,13 @@ def defined(rows: DataFrame, features: list[Feature]) -> DataFrame:
     return rows
 
 
-def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[str, ...], order: str, left: bool = False, stepped: list[tuple[str, Stepped]] | None = None) -> DataFrame:
-    """Fold the increments of each series, from nothing or from the state that is beside them (``_state...``). ``left``: with the state that each row leaves (``_left...``)."""
+def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[str, ...], order: str, left: str | None = None, stepped: list[tuple[str, Stepped]] | None = None) -> DataFrame:
+    """Fold the increments of each series, from nothing or from the state that is beside them (``_state...``). With the state (``_left...``) that a row leaves where column ``left`` says so."""
     inputs = [f"_inc{i}_{j}" for i, (_, s) in enumerate(smoothed) for j in range(len(s.increments))]
     begins = {c: f"_state{c}" for c in inputs if f"_state{c}" in rows.columns}
     stepped = stepped or []
     own = {f"_in{i}_{j}" for i, (_, s) in enumerate(stepped) for j in range(len(s.inputs))}
-    kept = [c for c in rows.columns if c not in {*inputs, *own, *begins.values(), "_place"}]
+    kept = [c for c in rows.columns if c not in {*inputs, *own, *begins.values(), "_place", left}]
     names = [n for n, _ in [*smoothed, *stepped]]
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in names])
     if left:
@@ -301,7 +301,8 @@ def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[s
                 change[1:] |= v[1:] != v[:-1]
             cuts = np.flatnonzero(np.concatenate([[True], change[1:]])) if len(ids) else np.zeros(0, int)
             result = {n: np.full(len(pdf), np.nan) for n in names}
-            after = {f"_left{c}": [] for c in inputs} if left else {}
+            ends = pdf[left].to_numpy(bool) if left else None
+            after = {f"_left{c}": np.full(len(pdf), None, object) for c in inputs} if left else {}
             columns = {c: pdf[c].to_numpy(float) for c in [*inputs, *own]}
             for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
                 if ids[a] != key:
@@ -314,7 +315,9 @@ def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[s
                     before = {c: tuple(states[c]) for c in cols} if left else {}
                     parts = [wilder(columns[c][a:b], window, states[c]) for c in cols]
                     for c, v in zip(cols, parts, strict=True) if left else ():
-                        after[f"_left{c}"] += leaving(columns[c][a:b], v, window, *before[c])
+                        at = np.flatnonzero(ends[a:b])
+                        for i, x in zip(at, leaving(columns[c][a:b], v, at, window, *before[c]), strict=True):
+                            after[f"_left{c}"][a + i] = x
                     result[n][a:b] = close_out(*parts)
                     result[n][a:b][np.isnan(parts[0])] = np.nan
             yield pdf[kept].assign(**result, **after)
@@ -354,21 +357,21 @@ def _carried(rows: DataFrame, windows: dict[str, int], order: str) -> DataFrame:
     return joined.drop(f"{ID}_s", f"{BLOCK}_s")
 
 
-def leaving(x: np.ndarray, smoothed: np.ndarray, n: int, count: int, total: float, value: float) -> list[list[float]]:
-    """The state (count, sum, value) after each row, from the increments, their smoothed values, and the state before the first."""
+def leaving(x: np.ndarray, smoothed: np.ndarray, at: np.ndarray, n: int, count: int, total: float, value: float) -> list[list[float]]:
+    """The state (count, sum, value) after some rows, from the increments, their smoothed values, and the state before the first."""
     there = ~np.isnan(x)
     counts = count + np.cumsum(there)
     sums = total + np.cumsum(np.where(there & (counts <= n), x, 0.0))
     last = np.maximum.accumulate(np.where(np.isnan(smoothed), -1, np.arange(len(x))))
     values = np.where(last < 0, value, smoothed[last])
-    return np.stack([counts.astype(float), sums, values], axis=1).tolist()
+    return np.stack([counts.astype(float), sums, values], axis=1)[at].tolist()
 
 
-def add_from(bars: DataFrame, features: list[Feature], since: str, registry: Registry | None = None, order: str = DATE, states: DataFrame | None = None) -> DataFrame:
-    """Features of the rows of ``bars`` from ``since`` (a column) on; those before are only looked back at.
+def add_from(bars: DataFrame, features: list[Feature], since: str, end: str, registry: Registry | None = None, order: str = DATE, states: DataFrame | None = None) -> DataFrame:
+    """Instrument, order and features of the rows of ``bars`` from ``since`` (a column) on; those before are only looked back at.
 
     ``states``: for an instrument the state in which smoothing enters its first such row, by the name of the increment, as a former call has left it in the row before
-    (``_left...``, see ``state_columns``); without one it begins there. The result has the states that its rows leave.
+    (``_left...``, see ``state_columns``); without one it begins there. The result has the states that rows leave where column ``end`` says so; others have null.
     """
     registry = registry or default_registry()
     with along((ID,), order):
@@ -377,7 +380,8 @@ def add_from(bars: DataFrame, features: list[Feature], since: str, registry: Reg
         if any(isinstance(s, Stepped) for _, s in made):
             raise InvalidArgument("calculators go along whole series, not from a row on")
         steps = {f"_inc{i}_{j}": c for i, (_, s) in enumerate(smoothed) for j, c in enumerate(s.increments)}
-        out = bars.withColumns({n: c for n, c in made if isinstance(c, Column)} | steps).where(F.col(order) >= F.col(since))
+        direct = {n: c for n, c in made if isinstance(c, Column)}
+        out = bars.withColumns(direct | steps).where(F.col(order) >= F.col(since)).select(ID, order, *direct, *steps, *([end] if smoothed else []))
         if smoothed:
             named = {c: f"_state{c.removeprefix('_left')}" for c in state_columns(features, registry)}
             if states is None:
@@ -386,7 +390,7 @@ def add_from(bars: DataFrame, features: list[Feature], since: str, registry: Reg
                 own = states.select(F.col(ID).alias("_sid"), *[F.col(c).alias(n) for c, n in named.items()])
                 out = out.join(own, F.col(ID) == F.col("_sid"), "left").drop("_sid")
             out = out.withColumn("_place", F.row_number().over(series()))
-    return _smooth(out, smoothed, (ID,), order, left=True) if smoothed else out
+    return _smooth(out, smoothed, (ID,), order, left=end) if smoothed else out
 
 
 def state_columns(features: list[Feature], registry: Registry | None = None) -> list[str]:

@@ -279,14 +279,15 @@ def defined(rows: DataFrame, features: list[Feature]) -> DataFrame:
 def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[str, ...], order: str, left: str | None = None, stepped: list[tuple[str, Stepped]] | None = None) -> DataFrame:
     """Fold the increments of each series, from nothing or from the state that is beside them (``_state...``). With the state (``_left...``) that a row leaves where column ``left`` says so."""
     inputs = [f"_inc{i}_{j}" for i, (_, s) in enumerate(smoothed) for j in range(len(s.increments))]
-    begins = {c: f"_state{c}" for c in inputs if f"_state{c}" in rows.columns}
+    # States go to and from the workers as numbers: arrays would be made one by one for each row.
+    begins = {c: [f"_state{c}_{k}" for k in range(3)] for c in inputs if f"_state{c}" in rows.columns}
+    rows = rows.withColumns({x: F.col(f"_state{c}")[k] for c, xs in begins.items() for k, x in enumerate(xs)}).drop(*[f"_state{c}" for c in begins])
+    leaves = {c: [f"_left{c}_{k}" for k in range(3)] for c in inputs} if left else {}
     stepped = stepped or []
     own = {f"_in{i}_{j}" for i, (_, s) in enumerate(stepped) for j in range(len(s.inputs))}
-    kept = [c for c in rows.columns if c not in {*inputs, *own, *begins.values(), "_place", left}]
+    kept = [c for c in rows.columns if c not in {*inputs, *own, *[x for xs in begins.values() for x in xs], "_place", left}]
     names = [n for n, _ in [*smoothed, *stepped]]
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in names])
-    if left:
-        schema = T.StructType([*schema.fields, *[T.StructField(f"_left{c}", T.ArrayType(T.DoubleType())) for c in inputs]])
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in [*names, *[x for xs in leaves.values() for x in xs]]])
     # What goes to the workers: no Columns.
     plan = [(n, s.window, [f"_inc{i}_{j}" for j in range(len(s.increments))], s.close_out) for i, (n, s) in enumerate(smoothed)]
     walks = [(n, [f"_in{i}_{j}" for j in range(len(s.inputs))], s.begin, s.step) for i, (n, s) in enumerate(stepped)]
@@ -302,13 +303,14 @@ def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[s
             cuts = np.flatnonzero(np.concatenate([[True], change[1:]])) if len(ids) else np.zeros(0, int)
             result = {n: np.full(len(pdf), np.nan) for n in names}
             ends = pdf[left].to_numpy(bool) if left else None
-            after = {f"_left{c}": np.full(len(pdf), None, object) for c in inputs} if left else {}
-            columns = {c: pdf[c].to_numpy(float) for c in [*inputs, *own]}
+            after = {x: np.full(len(pdf), np.nan) for xs in leaves.values() for x in xs}
+            columns = {c: pdf[c].to_numpy(float) for c in [*inputs, *own, *[x for xs in begins.values() for x in xs]]}
             for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
                 if ids[a] != key:
                     key = ids[a]
                     walking = {n: begin() for n, _, begin, _ in walks}
-                    states = {c: [int(x[0]), *map(float, x[1:])] if c in begins and (x := pdf[begins[c]].iloc[a]) is not None else [0, 0.0, 0.0] for c in inputs}
+                    found = {c: [float(columns[x][a]) for x in xs] for c, xs in begins.items()}
+                    states = {c: [int(found[c][0]), *found[c][1:]] if c in found and not np.isnan(found[c][0]) else [0, 0.0, 0.0] for c in inputs}
                 for n, cols, _, step in walks:
                     result[n][a:b] = step(walking[n], *[columns[c][a:b] for c in cols])
                 for n, window, cols, close_out in plan:
@@ -316,14 +318,15 @@ def _smooth(rows: DataFrame, smoothed: list[tuple[str, Smoothed]], keys: tuple[s
                     parts = [wilder(columns[c][a:b], window, states[c]) for c in cols]
                     for c, v in zip(cols, parts, strict=True) if left else ():
                         at = np.flatnonzero(ends[a:b])
-                        for i, x in zip(at, leaving(columns[c][a:b], v, at, window, *before[c]), strict=True):
-                            after[f"_left{c}"][a + i] = x
+                        for x, y in zip(leaves[c], leaving(columns[c][a:b], v, window, *before[c]), strict=True):
+                            after[x][a + at] = y[at]
                     result[n][a:b] = close_out(*parts)
                     result[n][a:b][np.isnan(parts[0])] = np.nan
             yield pdf[kept].assign(**result, **after)
 
     done = rows.sortWithinPartitions(*keys, order).mapInPandas(run, schema)
-    return done.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+    done = done.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names} | {f"_left{c}": F.when(F.col(xs[0]).isNotNull() & ~F.isnan(xs[0]), F.array(*xs)) for c, xs in leaves.items()})
+    return done.drop(*[x for xs in leaves.values() for x in xs])
 
 
 def _carried(rows: DataFrame, windows: dict[str, int], order: str) -> DataFrame:
@@ -357,14 +360,14 @@ def _carried(rows: DataFrame, windows: dict[str, int], order: str) -> DataFrame:
     return joined.drop(f"{ID}_s", f"{BLOCK}_s")
 
 
-def leaving(x: np.ndarray, smoothed: np.ndarray, at: np.ndarray, n: int, count: int, total: float, value: float) -> list[list[float]]:
-    """The state (count, sum, value) after some rows, from the increments, their smoothed values, and the state before the first."""
+def leaving(x: np.ndarray, smoothed: np.ndarray, n: int, count: int, total: float, value: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The state (count, sum, value) after each row, from the increments, their smoothed values, and the state before the first."""
     there = ~np.isnan(x)
     counts = count + np.cumsum(there)
     sums = total + np.cumsum(np.where(there & (counts <= n), x, 0.0))
     last = np.maximum.accumulate(np.where(np.isnan(smoothed), -1, np.arange(len(x))))
     values = np.where(last < 0, value, smoothed[last])
-    return np.stack([counts.astype(float), sums, values], axis=1)[at].tolist()
+    return counts.astype(float), sums, values
 
 
 def add_from(bars: DataFrame, features: list[Feature], since: str, end: str, registry: Registry | None = None, order: str = DATE, states: DataFrame | None = None) -> DataFrame:
